@@ -4,15 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystat.llm import licenses, mixing, packing, quality_rules
-from quarrystat.llm.common import documents
+from quarrystat.llm import licenses, mixing, packing, quality_model, quality_rules, toxicity
+from quarrystat.llm.common import crc_remainder, documents
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def judged(scored: DataFrame, held_out: Column, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir).select("doc_id", "text"), crc_remainder("doc_id", 3) == 1
+    model = quality_model.fit(docs, labels(spark, sf_dir), fits=~held_out)
+    return judged(quality_model.score(docs, model), held_out, 0.5)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -82,12 +96,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir).select("doc_id", "text"), crc_remainder("doc_id", 4) == 2
+    model = toxicity.fit(docs, labels(spark, sf_dir), fits=~held_out)
+    return judged(toxicity.score(docs, model), held_out, 0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op5_license_scan": op5_license_scan,
         "op6_mixing": op6_mixing,
         "op7_quality_rules": op7_quality_rules,
         "op9_packing": op9_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
