@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystat.llm import licenses, mixing, packing, quality_model, quality_rules, toxicity
+from quarrystat.llm import licenses, lm_scoring, mixing, packing, quality_model, quality_rules, toxicity
 from quarrystat.llm.common import crc_remainder, documents
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -27,6 +27,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality_model.score(docs, model), held_out, 0.5)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return lm_scoring.score(docs, crc_remainder("doc_id", 10) == 0)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -105,6 +110,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_lm_scoring": op2_lm_scoring,
         "op5_license_scan": op5_license_scan,
         "op6_mixing": op6_mixing,
         "op7_quality_rules": op7_quality_rules,
