@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,13 +37,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir, or where it is unset
+    (tests on one machine) a folder below the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_settled").rstrip("/")
+
+
+_settled: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    """Deletes the tables that settle() has written, if the session still runs."""
+    for spark, path in _settled:
+        with contextlib.suppress(Exception):  # the session may have stopped, and the folder may be gone with it
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read from there: later reads neither repeat the work
-    nor depend on the executors that did it. The folder is the session's spark.checkpoint.dir; where none is set
-    (tests on one machine) one below the warehouse is used."""
+    """The rows written once as a table in the shared folder, and read from there: later reads neither repeat the work
+    nor depend on the executors that did it. (checkpoint() would run the last stage twice.)"""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _settled.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)

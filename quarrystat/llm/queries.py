@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystat.llm import licenses, lm_scoring, mixing, packing, quality_model, quality_rules, toxicity
+from quarrystat.llm import ann, licenses, lm_scoring, mixing, packing, quality_model, quality_rules, toxicity
 from quarrystat.llm.common import crc_remainder, documents
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -97,6 +97,19 @@ def sql7() -> str:
     SELECT *, fail_bits & {quality_rules.mask("base")} <> 0 AS base_failed, fail_bits & {quality_rules.mask("base") | quality_rules.mask("v1")} = 0 AS kept FROM b"""
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
+SQL8 = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -114,10 +127,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_license_scan": op5_license_scan,
         "op6_mixing": op6_mixing,
         "op7_quality_rules": op7_quality_rules,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": sql5(), "op6_mixing": SQL6, "op7_quality_rules": sql7()}
+    return {"op5_license_scan": sql5(), "op6_mixing": SQL6, "op7_quality_rules": sql7(), "op8_nearest_neighbours": SQL8}
