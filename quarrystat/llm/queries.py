@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystat.llm import ann, licenses, lm_scoring, mixing, packing, quality_model, quality_rules, toxicity
+from quarrystat.llm import ann, licenses, lm_scoring, mixing, near_dedup, packing, quality_model, quality_rules, toxicity
 from quarrystat.llm.common import crc_remainder, documents
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -32,6 +32,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, crc_remainder("doc_id", 10) == 0)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -124,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_lm_scoring": op2_lm_scoring,
+        "op4_near_dedup": op4_near_dedup,
         "op5_license_scan": op5_license_scan,
         "op6_mixing": op6_mixing,
         "op7_quality_rules": op7_quality_rules,
