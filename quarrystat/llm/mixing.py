@@ -48,6 +48,19 @@ def sliced_total(rows: DataFrame, keys: list[str], slice_: str, order: list[Colu
     return joined.withColumn(name, F.col("_start") + F.sum(value).over(within)).drop("_start")
 
 
+def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[list[Column], Column]:
+    """The columns that mixing reads (doc_id, source, size, place, tie), and the order within a source as a struct."""
+    text = text_or_empty(text_col)
+    columns = [
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        F.size(words_of(text)).cast("long").alias("size"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("place"),
+        F.xxhash64(text).alias("tie"),
+    ]
+    return columns, F.struct("place", "doc_id", "tie", "size")
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -60,42 +73,47 @@ def mix(
     seed: int = 0,
 ) -> DataFrame:
     """doc_id, size, source, source_size (long), target (double), copies (int), taken (long), finish (double: the virtual
-    finish time of the first copy), one row for each row of ``docs``.
+    finish time of the first copy), place (struct: the order within the source), a row for each row of ``docs``.
 
     The budget is the sum of the targets, and every source reaches its target at time 1, so the cut at the budget is
     at time 1. A copy is taken if at least half of it lies before the cut: a source misses its target by half a
     document at most. Null texts have size 0, and documents of size 0 are taken like others, with 0 words. A null
     source is a source of its own. Ties in the shuffled order go by id, then by text; rows alike in both may stand in
-    either order, and the result is the same. Empty tables give no rows. Reruns agree: the order is a hash of seed and id.
+    either order. Empty tables give no rows. Reruns agree: the order is a hash of seed and id.
     """
-    text = text_or_empty(text_col)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.size(words_of(text)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("place"),
-        F.xxhash64(text).alias("tie"),
-    )
-    rows = settle(rows)
+    columns, order = placed(docs, id_col, text_col, source_col, seed)
+    rows = settle(docs.select(*columns))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     aims = targets(sources.select("source", "source_size"), weights=weights, share=share, most=most)
     counts = sources.select(F.col("source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE)).alias("slices"))
-    aims = aims.join(counts, aims["source"].eqNullSafe(counts["_s"])).drop("_s").withColumnRenamed("source", "_source")
+    aims = settle(aims.join(counts, aims["source"].eqNullSafe(counts["_s"])).drop("_s").withColumnRenamed("source", "_source"))
     rows = rows.join(aims, rows["source"].eqNullSafe(aims["_source"])).drop("_source")
     # the first 8 hexadecimal digits of the place, scaled to the source's slices
     rows = rows.withColumn("slice", (F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * F.col("slices") / F.lit(1 << 32)).cast("long"))
-    order = [F.col("place"), F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("size")]
-    rows = sliced_total(rows, ["source"], "slice", order, "size", "sent")
-    # copy c (from 0) ends at sent + c * source_size
-    end = lambda c: F.col("sent") + F.lit(c) * F.col("source_size")
-    copies = sum((F.when(end(c) - F.col("size") / 2 <= F.col("target"), 1).otherwise(0) for c in range(1, most)), F.when(end(0) - F.col("size") / 2 <= F.col("target"), 1).otherwise(0))
+    rows = sliced_total(rows, ["source"], "slice", [order], "size", "sent")
+    # the middle of copy c (from 0) lies at sent + c * source_size - size / 2
+    copies = sum(F.when(F.col("sent") + F.lit(c) * F.col("source_size") - F.col("size") / 2 <= F.col("target"), 1).otherwise(0) for c in range(most))
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-        (F.col("size") * copies).alias("taken"),
+        (F.col("size") * copies).cast("long").alias("taken"),
         F.when(F.col("target") > 0, F.col("sent") / F.col("target")).otherwise(F.lit(0.0)).alias("finish"),
+        order.alias("place"),
     )
 
 
+def taken(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 2, seed: int = 0, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, as often as it takes them; see ``mix``. In a source's order the copies
+    taken only fall, so the last place for each number of copies says it all, and the texts need no shuffle: what is
+    joined to them is a row for each source. Rows alike in id, text and source are taken alike."""
+    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, most=most, seed=seed, **options)
+    cuts = settle(mixed.groupBy(F.col("source").alias("_cut_source")).agg(*[F.max(F.when(F.col("copies") > c, F.col("place"))).alias(f"_cut_{c}") for c in range(most)]))
+    columns, order = placed(docs, id_col, text_col, source_col, seed)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *columns).select("_row", "source", order.alias("place"))
+    joined = keyed.join(cuts, F.col("source").eqNullSafe(F.col("_cut_source")))
+    copies = sum(F.when(F.col("place") <= F.col(f"_cut_{c}"), 1).otherwise(0) for c in range(most))
+    return joined.select("_row", copies.alias("copies")).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+
+
 def in_order(mixed: DataFrame) -> DataFrame:
     """The mix itself: a row for each copy taken (doc_id, source, size, copy, time), range-sorted by virtual finish time."""
     copies = mixed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))

@@ -258,7 +258,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay, one for each class of near-duplicates; see ``classes``."""
     names = docs.columns
     key = lambda node, doc: F.sha2(F.concat(F.hex(node), F.lit(":"), F.coalesce(F.col(doc).cast("string"), F.lit("null"))), 256)
-    stay = classes(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(key(F.col("node"), "doc_id").alias("_stay")).distinct()
+    stay = settle(classes(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(key(F.col("node"), "doc_id").alias("_stay")).distinct())
     keyed = docs.withColumn("_key", key(node_of(normal(text_or_empty(text_col))), id_col))
     found = keyed.join(stay, F.col("_key") == F.col("_stay"), "left_semi")
     once = Window.partitionBy("_key").orderBy(F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystat.llm import ann, licenses, lm_scoring, mixing, near_dedup, packing, quality_model, quality_rules, toxicity
+from quarrystat.llm import ann, licenses, lm_scoring, mixing, near_dedup, packing, quality_model, quality_rules, quotations, toxicity
 from quarrystat.llm.common import crc_remainder, documents
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -32,6 +32,29 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, crc_remainder("doc_id", 10) == 0)
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+SQL3 = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+l AS (SELECT conv_id, turn, role, i, ls[i] AS line, regexp_matches(ls[i], '^[ \t]*>') AS quoted, coalesce(regexp_matches(ls[i + 1], '^[ \t]*>'), false) AS before,
+  regexp_replace(ls[i], '^[ \t]*>([ \t]*>)*', '') AS body FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM m)),
+k AS (SELECT *, nullif(trim(regexp_replace(lower(body), '[\x20\x09-\x0D]+', ' ', 'g')), '') AS key, len(line) - len(body) AS marks,
+  CASE WHEN quoted THEN len(regexp_replace(regexp_extract(line, '^[ \t]*>([ \t]*>)*'), '[^>]', '', 'g')) ELSE 0 END AS level,
+  NOT quoted AND NOT (before AND regexp_matches(line, '(?i)^[ \t]*(on\b.*\bwrote|.*\bsaid)[ \t]*:[ \t]*$')) AS own FROM l),
+w AS (SELECT conv_id, key, min(turn) AS first FROM k WHERE own AND key IS NOT NULL GROUP BY conv_id, key),
+t AS (SELECT q.conv_id, q.turn, first, min(level) AS level, count(*) AS n FROM k q JOIN w ON q.conv_id = w.conv_id AND q.key = w.key AND first < q.turn WHERE level > 0 GROUP BY ALL),
+f AS (SELECT conv_id, turn, arg_max(first, (-level, n, first)) AS parent, sum(n) AS n_linked FROM t GROUP BY conv_id, turn),
+p(conv_id, turn, path, depth) AS (
+  SELECT conv_id, turn, CAST(turn AS VARCHAR), 0 FROM m ANTI JOIN f USING (conv_id, turn)
+  UNION ALL SELECT f.conv_id, f.turn, p.path || '.' || f.turn, p.depth + 1 FROM p JOIN f ON f.conv_id = p.conv_id AND f.parent = p.turn),
+o AS (SELECT conv_id, turn, role, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (own), ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS text,
+  count(*) FILTER (level > 0 AND key IS NOT NULL) AS n_quoted FROM k GROUP BY conv_id, turn, role)
+SELECT conv_id, turn, role, text, n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, parent, CAST(depth AS BIGINT) AS depth, path
+FROM o LEFT JOIN f USING (conv_id, turn) JOIN p USING (conv_id, turn)"""
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "kept")
 
@@ -128,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_lm_scoring": op2_lm_scoring,
+        "op3_quotation_linking": op3_quotation_linking,
         "op4_near_dedup": op4_near_dedup,
         "op5_license_scan": op5_license_scan,
         "op6_mixing": op6_mixing,
@@ -139,4 +163,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": sql5(), "op6_mixing": SQL6, "op7_quality_rules": sql7(), "op8_nearest_neighbours": SQL8}
+    return {"op3_quotation_linking": SQL3, "op5_license_scan": sql5(), "op6_mixing": SQL6, "op7_quality_rules": sql7(), "op8_nearest_neighbours": SQL8}
