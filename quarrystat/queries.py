@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrystat.plans import basic
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(basic.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(basic.SQL)

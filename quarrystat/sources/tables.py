@@ -8,3 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A result of a few rows; numpy numbers become plain ones."""
+    plain = lambda v: v.item() if hasattr(v, "item") else v
+    return spark.createDataFrame([tuple(map(plain, r)) for r in rows], schema)
