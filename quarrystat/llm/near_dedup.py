@@ -6,9 +6,9 @@ Two registers agree with the probability Jaccard of the weights, the plain Jacca
 element stops once its next arrival is later than every register. Documents that agree on all registers of a band
 share a bucket.
 
-Texts that are equal as word lists are one node from the start, so groups of copies cost one row each. Within a bucket
-every node is compared with one leader only; nodes that end up outside the leader's class get a new leader in the next
-round, until no bucket holds two classes that haven't met. What a few rounds leave over (many different texts that
+Texts that are equal as word lists are one node from the start, so groups of copies cost one row each. In a round,
+a bucket's leader is compared with the bucket's nodes of other classes, and leaves. Rounds go on until no bucket holds
+nodes of two classes that haven't met; a bucket whose nodes all are copies of one text closes after the first. What a few rounds leave over (many different texts that
 share a common passage) moves on to buckets of an exact prefix filter over the same nodes. A link needs a Jaccard
 similarity of the shingle sets of at least ``threshold``, counted exactly. Classes are the connected parts.
 """
@@ -185,10 +185,11 @@ def resolve(members: DataFrame, sets: DataFrame, found: Classes, threshold: floa
     tested: DataFrame | None = None
     done = 0
     while True:
-        # the class of each member, and as leader the first node of the bucket's first class
+        # the leader of a bucket is a node of its smallest class: outsiders meet a large class, not the other way round
         classed = found.of(members)
-        heads = classed.groupBy("bucket").agg(F.min(F.struct("part", "node")).alias("first"), F.max("part").alias("last")).where(F.col("first.part") != F.col("last"))
-        heads = heads.select(F.col("bucket").alias("_bucket"), F.col("first.node").alias("leader"), F.col("first.part").alias("leads"))
+        sizes = classed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+        heads = sizes.groupBy("bucket").agg(F.min(F.struct("n", "part", "node")).alias("head"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        heads = heads.select(F.col("bucket").alias("_bucket"), F.col("head.node").alias("leader"), F.col("head.part").alias("leads"))
         open_ = settle(classed.join(heads, F.col("bucket") == F.col("_bucket")).select("bucket", "node", "part", "leader", "leads"))
         if open_.isEmpty() or done == rounds:
             return found, open_.select("bucket", "node")
@@ -198,8 +199,8 @@ def resolve(members: DataFrame, sets: DataFrame, found: Classes, threshold: floa
         pairs = settle(pairs)
         found = found.joined_by(settle(verified(pairs, sets, threshold)))
         tested = pairs if tested is None else tested.union(pairs)
-        # the leader's class has met all others of its bucket
-        members = open_.where(F.col("part") != F.col("leads")).select("bucket", "node")
+        # the leader has met all other classes of its bucket
+        members = open_.where(F.col("node") != F.col("leader")).select("bucket", "node")
         done += 1
 
 
