@@ -73,9 +73,9 @@ def sql5() -> str:
     WITH docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
     words AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{between}'), lambda w: w <> '') AS w FROM docs),
     phrases(label, p) AS (VALUES {phrases}),
-    places AS (
-      SELECT doc_id, label, unnest(list_filter(range(len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) AS place
-      FROM words, phrases WHERE len(w) >= len(p)),
+    following AS (SELECT doc_id, i - 1 AS place, [x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o] AS f
+      FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    places AS (SELECT doc_id, label, place FROM following, phrases WHERE f[1 : len(p)] = p),
     base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
     templates(label, tokens) AS (VALUES {values}),
     lines AS (SELECT doc_id, list_distinct(regexp_split_to_array(unnest(string_split(t, chr(10))), '{between}')) AS l FROM docs),
@@ -114,7 +114,8 @@ def sql7() -> str:
     return rf"""
     WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
     lines AS (SELECT doc_id, t, w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM docs),
-    windows AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) > 4)),
+    windows AS (SELECT doc_id, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS win
+      FROM (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM docs) WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY i <= n - 4),
     twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
     covered AS (SELECT doc_id, sum(step) AS n FROM (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS step FROM twice) GROUP BY doc_id),
     m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,

@@ -3,7 +3,7 @@
 import math
 import random
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -430,12 +430,12 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path, labelled):
     counts = kept[3].doc_id.value_counts()
     want = {i: len(tokens(t)) * int(counts[i]) for i, t in zip(kept[3].doc_id, kept[3].text, strict=True)}
     assert kept[4].groupby("doc_id").length.sum().to_dict() == want
-    whole = corpus_pipeline.run(spark, str(tmp_path))
-    assert whole.agg(F.sum("length")).first()[0] == sum(want.values())
 
 
 def test_registered_queries_have_contract_columns():
+    import __spark_entry__
+
+    assert "pipeline" in __spark_entry__.queries()
     names = {n.split("_")[0] for n in registered.queries()}
     assert names == {f"op{i}" for i in range(1, 11)}
     assert set(registered.oracle_sql()) <= set(registered.queries())
-    assert defaultdict(int) is not None
