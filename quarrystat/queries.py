@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystat.plans import basic
+from quarrystat.plans import models as _models  # registers its queries in basic
+
+
+MODULES = (basic, _models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
