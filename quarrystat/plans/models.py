@@ -218,7 +218,7 @@ SUP = "s AS (SELECT s_nationkey AS h, s_suppkey AS u, s_acctbal AS y, 1.0 + s_su
 
 
 @query(f"""WITH {SUP}, t AS (SELECT sum(w) AS tw, sum(w * y) AS ty FROM s), z AS (SELECT h, (w * y - ty / tw * w) / tw AS z, w * y AS t FROM s, t), v AS (SELECT h, count(*) AS m, var_samp(z) AS vz, var_samp(t) AS vt FROM z GROUP BY h)
-SELECT round(max(ty / tw), 6) AS mean, round(sqrt(sum(m * vz) FILTER (m > 1)), 6) AS std_error, round(max(ty), 4) AS total, round(sqrt(sum(m * vt) FILTER (m > 1)), 4) AS total_se, CAST(sum(m) AS BIGINT) AS psus, count(*) AS strata FROM v, t""")
+SELECT round(max(ty / tw), 6) AS mean, round(sqrt(coalesce(sum(m * vz) FILTER (m > 1), 0)), 6) AS std_error, round(max(ty), 4) AS total, round(sqrt(coalesce(sum(m * vt) FILTER (m > 1), 0)), 4) AS total_se, CAST(sum(m) AS BIGINT) AS psus, count(*) AS strata FROM v, t""")
 def survey_mean(spark, sf):
     rows = table(spark, sf, "supplier").withColumn("w", 1.0 + F.col("s_suppkey") % 3)
     out = multivariate.survey_mean(rows, "s_acctbal", "w", "s_nationkey", "s_suppkey")
@@ -226,7 +226,7 @@ def survey_mean(spark, sf):
 
 
 @query("""WITH u AS (SELECT c_nationkey AS h, c_custkey AS u, sum(o_totalprice) AS a, CAST(count(*) AS DOUBLE) AS b FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM u),
-z AS (SELECT h, (a - ta / tb * b) / tb AS z FROM u, t), v AS (SELECT h, count(*) AS m, var_samp(z) AS v FROM z GROUP BY h) SELECT round(max(ta / tb), 4) AS ratio, round(sqrt(sum(m * v) FILTER (m > 1)), 4) AS std_error FROM v, t""")
+z AS (SELECT h, (a - ta / tb * b) / tb AS z FROM u, t), v AS (SELECT h, count(*) AS m, var_samp(z) AS v FROM z GROUP BY h) SELECT round(max(ta / tb), 4) AS ratio, round(sqrt(coalesce(sum(m * v) FILTER (m > 1), 0)), 4) AS std_error FROM v, t""")
 def survey_ratio(spark, sf):
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "c_custkey", "o_totalprice", F.lit(1.0).alias("one"), F.lit(1.0).alias("w"))
     return rounded(multivariate.survey_ratio(rows, "o_totalprice", "one", "w", "c_nationkey", "c_custkey"), 4)
