@@ -9,6 +9,7 @@ from quarrystat.operators import likelihood, linear, multivariate, network, pane
 from quarrystat.plans.basic import DAYS, _days, estimates, query, rounded
 from quarrystat.plans.spec import Spec
 from quarrystat.sources.tables import small, table
+from quarrystat.streaming import moments
 
 
 def _binary(spark: SparkSession, sf: str) -> DataFrame:
@@ -362,3 +363,9 @@ def network_at(spark, sf):
 def lincom(spark, sf):
     fit = linear.ols(table(spark, sf, "lineitem"), Spec("l_extendedprice", ("l_quantity",)))
     return small(spark, [("l_quantity", round(fit.lincom({"l_quantity": 1.0})[0], 4))], "term string, estimate double")
+
+
+@query("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(value) AS n, round(avg(value), 8) AS mean, round(var_samp(value), 8) AS variance FROM events GROUP BY ALL")
+def windowed_moments(spark, sf):
+    out = moments.windowed_moments(table(spark, sf, "events"), "ts", "value", ["event_type"], "1 day")
+    return rounded(out.withColumn("start", F.unix_seconds("start")), 8)
