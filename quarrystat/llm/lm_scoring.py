@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quarrystat.llm.common import settle, text_or_empty
@@ -136,6 +136,21 @@ def count_words(docs: DataFrame, *, most: int = 300_000) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[Row]:
+    """The end of a text, and all words of at least some count, ``most`` rows at most, the most frequent first. The
+    count comes from a histogram of its logarithm, so no task sends more than its share of these rows to the driver."""
+    step = F.floor(F.log2("n") * 32)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("step").desc()).collect()
+    total, least = 1, math.inf
+    for r in sizes:
+        total += r["words"]
+        if total > most:
+            break
+        least = r["step"]
+    rows = counts.where((step >= F.lit(float(least))) | (F.col("word") == "")).collect()
+    return sorted(rows, key=lambda r: (r["word"] != "", -r["n"], r["word"]))
+
+
 def train(docs: DataFrame, top: list[bytes], shares: np.ndarray, *, width: int, batch: int = 1024, seed: int = 0) -> Model:
     """One pass of every task over its own texts, then the average of the tasks' parameters by their tokens."""
     ids = {w: i + 2 for i, w in enumerate(top)}
@@ -188,7 +203,7 @@ def score(
     fitting = rows.where(~F.col("held_out")).select("text")
     counts = settle(count_words(fitting))
     total, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0))).first()
-    first = counts.orderBy((F.col("word") == "").desc(), F.col("n").desc(), "word").limit(head).collect()
+    first = frequent(counts, head)
     names, n = [r["word"].encode() for r in first], np.array([r["n"] for r in first], np.float64)
     ends = float(n[names.index(b"")]) if b"" in names else 0.0
     top = [w for w in names if w][: classes - 2]

@@ -7,9 +7,10 @@ element stops once its next arrival is later than every register. Documents that
 share a bucket.
 
 Texts that are equal as word lists are one node from the start, so groups of copies cost one row each. In a round,
-a bucket's leader is compared with the bucket's nodes of other classes, and leaves. Rounds go on until no bucket holds
-nodes of two classes that haven't met; a bucket whose nodes all are copies of one text closes after the first. What a few rounds leave over (many different texts that
-share a common passage) moves on to buckets of an exact prefix filter over the same nodes. A link needs a Jaccard
+a few leaders of a bucket are compared with the bucket's nodes of other classes, and leave. Rounds go on, with twice
+the leaders each time, until no bucket holds nodes of two classes that haven't met; a bucket whose nodes all are copies
+of one text closes after the first. What a few rounds leave over (many different texts that share a common passage)
+moves on to buckets of an exact prefix filter over the same nodes. A link needs a Jaccard
 similarity of the shingle sets of at least ``threshold``, counted exactly. Classes are the connected parts.
 """
 
@@ -168,7 +169,7 @@ class Classes:
     def joined_by(self, found: DataFrame) -> Classes:
         if found.isEmpty():
             return self
-        links = found if self.links is None else self.links.union(found)
+        links = found if self.links is None else settle(self.links.union(found))
         return Classes(links, parts(links))
 
     def of(self, nodes: DataFrame) -> DataFrame:
@@ -179,38 +180,47 @@ class Classes:
         return nodes.join(labels, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("_part", "node")).drop("_node", "_part")
 
 
-def resolve(members: DataFrame, sets: DataFrame, found: Classes, threshold: float, rounds: int | None) -> tuple[Classes, DataFrame]:
-    """Rounds of leaders over buckets: members (bucket, node); returns the classes and the members of buckets that
-    still hold classes which haven't met (none, if the rounds have no limit)."""
+def resolve(members: DataFrame, sets: DataFrame, found: Classes, threshold: float, rounds: int | None, leaders: int = 1) -> tuple[Classes, DataFrame]:
+    """Rounds of leaders over buckets: members (bucket, node, leads: whether the node may lead); returns the classes
+    and the members of buckets that still hold a leader of a class which hasn't met the others (none, if the rounds
+    have no limit). The number of a bucket's leaders starts at ``leaders`` and doubles each round."""
     tested: DataFrame | None = None
     done = 0
     while True:
-        # the leader of a bucket is a node of its smallest class: outsiders meet a large class, not the other way round
         classed = found.of(members)
-        sizes = classed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-        heads = sizes.groupBy("bucket").agg(F.min(F.struct("n", "part", "node")).alias("head"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        heads = heads.select(F.col("bucket").alias("_bucket"), F.col("head.node").alias("leader"), F.col("head.part").alias("leads"))
-        open_ = settle(classed.join(heads, F.col("bucket") == F.col("_bucket")).select("bucket", "node", "part", "leader", "leads"))
+        sizes = classed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.max("leads").alias("able"))
+        undone = sizes.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("parts"), F.max("able").alias("able")).where("parts > 1 AND able").select("_bucket")
+        sizes = sizes.join(undone, F.col("bucket") == F.col("_bucket")).select(F.col("bucket").alias("_bucket"), F.col("part").alias("_part"), "n")
+        open_ = settle(classed.join(sizes, (F.col("bucket") == F.col("_bucket")) & (F.col("part") == F.col("_part"))).select("bucket", "node", "leads", "part", "n"))
         if open_.isEmpty() or done == rounds:
             return found, open_.select("bucket", "node")
-        pairs = open_.where(F.col("part") != F.col("leads")).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        # leaders come from a bucket's smallest classes: outsiders meet a large class, not the other way round
+        order = Window.partitionBy("bucket").orderBy("n", "part", "node")
+        heads = open_.where("leads").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders << done)
+        heads = settle(heads.select(F.col("bucket").alias("_bucket"), F.col("node").alias("leader"), F.col("part").alias("of")))
+        pairs = open_.join(heads, F.col("bucket") == F.col("_bucket")).where(F.col("part") != F.col("of")).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs)
         found = found.joined_by(settle(verified(pairs, sets, threshold)))
         tested = pairs if tested is None else tested.union(pairs)
-        # the leader has met all other classes of its bucket
-        members = open_.where(F.col("node") != F.col("leader")).select("bucket", "node")
+        # the leaders have met all other classes of their buckets
+        members = open_.join(heads, (F.col("bucket") == F.col("_bucket")) & (F.col("node") == F.col("leader")), "left_anti").select("bucket", "node", "leads")
         done += 1
 
 
 def prefixes(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Buckets of an exact filter: sets as similar as the threshold share one of their first ``n - ceil(threshold n) + 1``
-    shingles in the order of frequency, rarest first."""
+    """Buckets of an exact filter: (bucket, node, leads). In the order of frequency, rarest first, sets of n and m >= n
+    shingles that are as similar as the threshold t share ``need = ceil(t (n + m) / (1 + t))`` shingles, and the first
+    that they share is among the first ``m - need + 1`` of the larger and ``n - need + 1`` of the smaller. With m <= n / t
+    and m >= n that is within ``m - ceil(t m) + 1`` and ``n - ceil(2 t n / (1 + t)) + 1``. A node leads in a bucket if
+    it lies within the second, shorter bound; others only meet leaders. Shingles of a passage that many texts share
+    come late in the order, and their buckets seldom have a leader."""
     each = nodes.join(sets, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("times"))
     placed = each.join(counts, "bucket").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("times", "bucket")))
-    return placed.where((F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & (F.col("times") > 1)).select("bucket", "node")
+    bound = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
+    return placed.where((F.col("place") <= bound(threshold)) & (F.col("times") > 1)).select("bucket", "node", (F.col("place") <= bound(2 * threshold / (1 + threshold))).alias("leads"))
 
 
 def classes(
@@ -236,7 +246,7 @@ def classes(
     nodes = settle(nodes)
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
-    members = settle(buckets.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "node"))
+    members = settle(buckets.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "node", F.lit(True).alias("leads")))
     involved = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     involved = involved.select(F.col("node").alias("_node"), F.coalesce("rep", F.lit(-1)).alias("_rep"))
     texts = read.join(involved, (F.col("node") == F.col("_node")) & (F.coalesce("doc_id", F.lit(-1)) == F.col("_rep"))).select("node", "norm")
@@ -244,7 +254,7 @@ def classes(
     found, rest = resolve(members, sets, Classes(), threshold, rounds)
     if not rest.isEmpty():
         left = settle(rest.select("node").distinct())
-        found, _ = resolve(settle(prefixes(left, sets, threshold)), sets, found, threshold, None)
+        found, _ = resolve(settle(prefixes(left, sets, threshold)), sets, found, threshold, None, leaders=4)
     labelled = found.of(nodes.select("node", "rep"))
     # the row that stays: the smallest id, and of equal ids the smallest node
     low = labelled.groupBy("part").agg(F.min(F.struct(F.col("rep").isNull().alias("void"), "rep", "node")).alias("low"))
