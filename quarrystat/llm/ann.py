@@ -5,9 +5,13 @@ product. Each curve projects them onto a few random directions, shifts the grid,
 Spark range-partitions the rows by curve and key; a task goes through its sorted rows in blocks and compares the
 queries of a block with the rows of that block and its two neighbours. The curves' findings are merged and reranked.
 
-Along the first curve the rows are also packed into blocks with a centre and a radius. An exact check follows: a block
-is compared with a group of queries unless ``c . q + radius * |q|`` shows that it holds nothing as near as what the
-windows found. Pairs of blocks and groups, not of rows, are joined.
+Of equal vectors only the ``k + 1`` smallest ids can be among the k nearest of any query, so the others leave before the
+first shuffle and copies never fill a window.
+
+Along the first curve the blocks of rows also get a centre and a radius. An exact check follows: a block is compared
+with a group of queries unless ``c . q + radius * |q|`` shows that it holds nothing as near as what the windows found.
+Pairs of blocks and groups, not of rows, are joined. What passes is dealt by tiles, a block with a bounded number of
+groups; a task streams a tile's queries past its block.
 """
 
 from __future__ import annotations
@@ -22,8 +26,9 @@ from pyspark.sql import functions as F
 
 from quarrystat.llm.common import settle
 
-HIT, BLOCK, GROUP = 0, 1, 2
-FOUND = "kind int, query_id long, vec_id long, score double, block long, ids binary, vectors binary, centre array<double>, radius double"
+#: What the windows return: a finding, a row or a query with the block it lies in, the bounds of a block of rows or of queries.
+HIT, ROW, ASK, BLOCK, GROUP = range(5)
+FOUND = "kind int, query_id long, vec_id long, score double, block long, v binary, centre array<double>, radius double"
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -52,20 +57,24 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row of scores the k largest (ties to the smaller id, the query itself left out): row, id, score."""
-    scores = np.where(ids[None, :] == own[:, None], -np.inf, scores)
+def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the k rows of the largest inner product (ties to the smaller id, the query itself left out): query, id,
+    score. A matrix product finds them; their scores are then summed in one order, so equal vectors score equally."""
+    scores = q @ x.T
+    scores[ids[None, :] == own[:, None]] = -np.inf
+    slack = 1e-12 * max(1.0, float(np.abs(scores[np.isfinite(scores)]).max(initial=0)))
     if least is not None:
-        scores[scores < least[:, None]] = -np.inf
+        scores[scores < least[:, None] - slack] = -np.inf
     if scores.shape[1] > k:
-        cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        scores[scores < cut[:, None]] = -np.inf
+        cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        scores[scores < cut[:, None] - slack] = -np.inf
     row, col = np.nonzero(scores > -np.inf)
-    order = np.lexsort((ids[col], -scores[row, col], row))
-    row, col = row[order], col[order]
+    score = (q[row] * x[col]).sum(1)
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
-    row, col = row[place < k], col[place < k]
-    return row, ids[col], scores[row, col]
+    kept = place < k
+    return row[kept], ids[col[kept]], score[kept]
 
 
 def usable(vector: Column) -> Column:
@@ -98,10 +107,14 @@ def search(
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    dims, most = rows.agg(F.max(F.size("v")), F.max(F.sqrt(squares))).first()
+    rows = rows.withColumn("asks", F.coalesce(queries, F.lit(False)))
+    dims, most, asked = rows.agg(F.max(F.size("v")), F.max(F.sqrt(squares)), F.sum(F.col("asks").cast("long"))).first()
     if dims is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    rows = rows.withColumn("asks", F.coalesce(queries, F.lit(False)))
+    # repeated ids and vectors count once; the limit holds in each task before the rows are dealt by vector
+    copies = Window.partitionBy("v").orderBy("id")
+    sole = rows.select("id", "v").withColumn("n", F.dense_rank().over(copies)).where(F.col("n") <= k + 1).dropDuplicates(["v", "id"])
+    rows = sole.select("id", F.lit(False).alias("asks"), "v").union(rows.where("asks").select("id", "asks", "v"))
     rng = np.random.default_rng(seed)
     turns = rng.standard_normal((curves, dims + 1, directions)) / np.sqrt(dims + 1)
     shifts = rng.random((curves, directions))
@@ -115,33 +128,31 @@ def search(
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, asks = matrix(b.column(1)), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            x, asks = matrix(b.column(2)), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             norms = np.sqrt((x * x).sum(1))
+            # a row is lengthened to the largest norm, a query is scaled to it
+            y = np.where(asks, most / norms, 1.0)[:, None] * x
+            last = np.where(asks, 0.0, np.sqrt(np.maximum(most * most - norms**2, 0)))
             packed = pa.array([r.tobytes() for r in x], pa.binary())
             for c in range(curves):
-                for asking in (False, True):  # every row is a candidate; queries are looked up by their own key
-                    own = np.flatnonzero(asks) if asking else np.arange(len(x))
-                    if not len(own):
-                        continue
-                    y = x[own] * (most / norms[own])[:, None] if asking else x[own]
-                    last = np.zeros(len(own)) if asking else np.sqrt(np.maximum(most * most - norms[own] ** 2, 0))
-                    p = np.column_stack([y, last]) @ turns[c] / (most / np.sqrt(dims + 1))  # about standard normal
-                    cells = np.clip((p + 4 + 4 * shifts[c]) / 12 * (1 << bits), 0, (1 << bits) - 1)
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(hilbert(cells, bits)), b.column(0).take(pa.array(own)), pa.array(np.full(n, asking)), packed.take(pa.array(own))], ["curve", "key", "id", "asks", "v"])
+                p = np.column_stack([y, last]) @ turns[c] / (most / np.sqrt(dims + 1))  # about standard normal
+                cells = np.clip((p + 4 + 4 * shifts[c]) / 12 * (1 << bits), 0, (1 << bits) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert(cells, bits)), b.column(0), b.column(1), packed], ["curve", "key", "id", "asks", "v"])
 
     def batch(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
         names = [f.split()[0] for f in FOUND.split(", ")]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.float64()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(columns[c] if c in columns else [None] * n, t) for c, t in zip(names, kinds, strict=True)], names)
 
-    def packs(kind: int, ids: np.ndarray, x: np.ndarray, size: int, number: int) -> Iterator[pa.RecordBatch]:
+    def bounds(kind: int, ids: np.ndarray, x: np.ndarray, size: int, number: int) -> Iterator[pa.RecordBatch]:
+        """The rows by blocks of at most ``size``, and each block's centre and radius."""
+        name = "vec_id" if kind == BLOCK else "query_id"
         for at in range(0, len(ids), size):
             own, y = ids[at : at + size], x[at : at + size]
-            centre = y.mean(0)
-            radius = float(np.sqrt(((y - centre) ** 2).sum(1)).max())
-            yield batch(kind=[kind], block=[number + at // size], ids=[own.tobytes()], vectors=[y.tobytes()], centre=[centre.tolist()], radius=[radius])
+            centre, block = y.mean(0), number + at // size
+            yield batch(kind=np.full(len(own), ROW if kind == BLOCK else ASK), block=np.full(len(own), block), v=[r.tobytes() for r in y], **{name: own})
+            yield batch(kind=[kind], block=[block], centre=[centre.tolist()], radius=[float(np.sqrt(((y - centre) ** 2).sum(1)).max())])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -156,7 +167,7 @@ def search(
                 near = held[max(0, at - 1) : at + 2]
                 ids, x = np.concatenate([h[0] for h in near]), np.concatenate([h[1] for h in near])
                 if len(ids):
-                    row, found, score = best(q @ x.T, ids, asks, k)
+                    row, found, score = best(q, x, ids, asks, k)
                     yield batch(kind=np.full(len(row), HIT), query_id=asks[row], vec_id=found, score=score)
 
         def add(ids: np.ndarray, asks: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -169,7 +180,7 @@ def search(
                 del held[0], waiting[0]
             if curve == 0 and exact:
                 for kind, size, own in ((BLOCK, block_rows, ~asks), (GROUP, group_rows, asks)):
-                    yield from packs(kind, ids[own], x[own], size, number)
+                    yield from bounds(kind, ids[own], x[own], size, number)
                 number += len(ids) // group_rows + 1
 
         def end() -> Iterator[pa.RecordBatch]:
@@ -201,49 +212,65 @@ def search(
         yield from end()
 
     keyed = rows.mapInArrow(keys, "curve int, key long, id long, asks boolean, v binary")
-    found = keyed.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "id").mapInArrow(windows, FOUND)
+    found = keyed.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id").mapInArrow(windows, FOUND)
     found = settle(found) if exact else found
     hits = found.where(F.col("kind") == HIT).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     if exact:
-        hits = hits.unionByName(check(found, hits, k, dims)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        hits = hits.unionByName(check(found, hits, k, dims, spans=-(-(asked or 0) // (64 * group_rows)))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def check(found: DataFrame, hits: DataFrame, k: int, dims: int) -> DataFrame:
-    """What blocks hold that is at least as near as the k-th hit of a query: query_id, vec_id, score."""
+def check(found: DataFrame, hits: DataFrame, k: int, dims: int, spans: int) -> DataFrame:
+    """What blocks hold that is at least as near as the k-th hit of a query: query_id, vec_id, score. ``spans``: into so
+    many parts the groups of queries are dealt, so that a tile (a block and a part) has a bounded number of groups."""
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rank") == k)
-    known = ranked.select("query_id", F.col("score").alias("least"))
-    groups = found.where(F.col("kind") == GROUP).select(F.col("block").alias("group"), F.col("ids").alias("asks"), F.col("vectors").alias("q"), F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius"))
-    blocks = found.where(F.col("kind") == BLOCK).select("block", "ids", "vectors", "centre", "radius")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for group, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(asks, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), group)), pa.array(ids), pa.array(np.arange(len(ids), dtype=np.int32))], ["group", "query_id", "place"])
-
-    # group_rows rows for a group at most
-    least = groups.select("group", "asks").mapInArrow(members, "group long, query_id long, place int").join(known, "query_id", "left")
-    least = least.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("least", F.lit(float("-inf"))).alias("least")))).alias("l"))
-    least = least.select("group", F.transform("l", lambda s: s["least"]).alias("least"))
-    groups = groups.join(least, "group")
+    known = ranked.select(F.col("query_id").alias("_query"), F.col("score").alias("least"))
+    asks = found.where(F.col("kind") == ASK).select(F.col("block").alias("group"), "query_id", "v").join(known, F.col("query_id") == F.col("_query"), "left")
+    asks = settle(asks.select("group", "query_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least")))
+    lowest = asks.groupBy(F.col("group").alias("_group")).agg(F.min("least").alias("least"))
+    groups = found.where(F.col("kind") == GROUP).select(F.col("block").alias("group"), F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius"))
+    groups = groups.join(lowest, F.col("group") == F.col("_group"))
+    blocks = found.where(F.col("kind") == BLOCK).select("block", "centre", "radius")
 
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     length = lambda a: F.sqrt(dot(a, a))
     near = dot("centre", "q_centre") + length("q_centre") * F.col("radius") + F.col("q_radius") * (length("centre") + F.col("radius"))
     # blocks of rows against groups of the stated queries, by a bound on what they can score
-    pairs = blocks.select("block", "centre", "radius").join(groups.select("group", "q_centre", "q_radius", F.array_min("least").alias("least")), near >= F.col("least") - 1e-9).select("block", "group")
-    work = pairs.join(blocks.select("block", "ids", "vectors", "centre", "radius"), "block").join(groups.select("group", "asks", "q", "least"), "group")
+    pairs = settle(blocks.join(groups, near * (1 + 1e-9) + 1e-9 >= F.col("least")).select("block", "group", F.pmod(F.xxhash64("group"), F.lit(max(1, spans))).alias("span")))
+    tiles = pairs.select(F.col("block").alias("_block"), "span").distinct()
+    held = found.where(F.col("kind") == ROW).select("block", "vec_id", "v").join(tiles, F.col("block") == F.col("_block"))
+    held = held.select("block", "span", F.lit(ROW).alias("kind"), F.col("vec_id").alias("id"), "v", F.lit(None).cast("double").alias("least"))
+    asked = pairs.join(asks.withColumnRenamed("group", "_group"), F.col("group") == F.col("_group"))
+    asked = asked.select("block", "span", F.lit(ASK).alias("kind"), F.col("query_id").alias("id"), "v", "least")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, x, centre, radius, asks, q, low in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                ids, asks, low = np.frombuffer(ids, np.int64), np.frombuffer(asks, np.int64), np.array(low)
-                x, q = np.frombuffer(x).reshape(-1, dims), np.frombuffer(q).reshape(-1, dims)
-                may = q @ np.array(centre) + np.sqrt((q * q).sum(1)) * radius >= low - 1e-9
-                if may.any():
-                    row, vec, score = best(q[may] @ x.T, ids, asks[may], k, low[may] - 1e-12)
-                    yield pa.RecordBatch.from_arrays([pa.array(asks[may][row]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    return work.select("ids", "vectors", "centre", "radius", "asks", "q", "least").mapInArrow(compare, "query_id long, vec_id long, score double")
+        none = (np.zeros(0, np.int64), np.zeros((0, dims)))
+        tile, ids, x = None, *none
+
+        def look(asks: np.ndarray, q: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
+            centre = x.mean(0)
+            radius = np.sqrt(((x - centre) ** 2).sum(1)).max()
+            may = q @ centre + np.sqrt((q * q).sum(1)) * radius * (1 + 1e-9) + 1e-9 >= low
+            if may.any():
+                row, vec, score = best(q[may], x, ids, asks[may], k, low[may])
+                yield pa.RecordBatch.from_arrays([pa.array(asks[may][row]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
+
+        for b in batches:  # rows of a tile come before its queries
+            block, span, kind, own = (b.column(i).to_numpy() for i in range(4))
+            y, low = np.frombuffer(b"".join(b.column(4).to_pylist())).reshape(-1, dims), b.column(5).to_numpy(zero_copy_only=False)
+            turn = np.flatnonzero((np.diff(block) != 0) | (np.diff(span) != 0) | (np.diff(kind) != 0)) + 1
+            for at, to in zip([0, *turn], [*turn, len(own)], strict=True):
+                if to == at:
+                    continue
+                if tile != (block[at], span[at]):
+                    tile, ids, x = (block[at], span[at]), *none
+                if kind[at] == ROW:
+                    ids, x = np.concatenate([ids, own[at:to]]), np.concatenate([x, y[at:to]])
+                else:
+                    for i in range(at, to, 1024):
+                        j = min(i + 1024, to)
+                        yield from look(own[i:j], y[i:j], low[i:j])
+
+    dealt = held.union(asked).repartition("block", "span").sortWithinPartitions("block", "span", "kind")
+    return dealt.mapInArrow(compare, "query_id long, vec_id long, score double")
