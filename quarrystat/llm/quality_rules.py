@@ -7,6 +7,7 @@ policy therefore never reads a text again. All columns are built-in expressions.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from quarrystat.llm.common import let, text_or_empty, words_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+FIELDS = re.compile(rf"\b({'|'.join(MEASURES)})\b")
 
 
 @dataclass(frozen=True)
@@ -90,14 +92,20 @@ def ledger(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             ),
         )
 
-    measured = docs.select(*kept, let(words_of(text), measure).alias("_m")).select(*kept, *[F.col("_m")[m].alias(m) for m in MEASURES])
-    bits = " + ".join(f"CASE WHEN {rule.fails} THEN {1 << i}L ELSE 0L END" for i, rule in enumerate(RULES))
-    return measured.withColumn("fail_bits", F.expr(bits))
+    bits = " + ".join(f"CASE WHEN {FIELDS.sub(r'm.\1', rule.fails)} THEN {1 << i}L ELSE 0L END" for i, rule in enumerate(RULES))
+    fields = ", ".join(f"'{m}', m.{m}" for m in MEASURES)
+    measured = docs.select(*kept, let(words_of(text), measure).alias("_m"))
+    # the measurements are named once, so a filter on the bits, pushed below, takes them once too
+    judged = measured.select(*kept, F.expr(f"transform(array(_m), m -> named_struct({fields}, 'fail_bits', {bits}))[0]").alias("_m"))
+    return judged.select(*kept, *[F.col("_m")[m].alias(m) for m in [*MEASURES, "fail_bits"]])
 
 
-def passes(policy: str, bits: str = "fail_bits") -> Column:
-    """Whether a row of the ledger passes a policy."""
-    return F.col(bits).bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
+def passes(*policies: str, bits: str = "fail_bits") -> Column:
+    """Whether a row of the ledger passes all of the policies."""
+    whole = 0
+    for policy in policies:
+        whole |= mask(policy)
+    return F.col(bits).bitwiseAND(F.lit(whole).cast("long")) == 0
 
 
 def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
@@ -124,4 +132,4 @@ def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
 def judge(docs: DataFrame, *, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The ledger with base_failed and kept (booleans): kept rows pass both the base policy and ``policy``."""
     rows = ledger(docs, text_col=text_col)
-    return rows.withColumns({"base_failed": ~passes("base"), "kept": passes("base") & passes(policy)})
+    return rows.withColumns({"base_failed": ~passes("base"), "kept": passes("base", policy)})
