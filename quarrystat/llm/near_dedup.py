@@ -10,7 +10,9 @@ Texts that are equal as word lists are one node from the start, so groups of cop
 a few leaders of a bucket are compared with the bucket's nodes of other classes, and leave. Rounds go on, with twice
 the leaders each time, until no bucket holds nodes of two classes that haven't met; a bucket whose nodes all are copies
 of one text closes after the first. What a few rounds leave over (many different texts that share a common passage)
-moves on to buckets of an exact prefix filter over the same nodes. A link needs a Jaccard
+moves on to buckets of an exact prefix filter over the same nodes. Before two nodes become a pair, their sizes and maps
+of bits must allow the similarity: the bits in which two maps differ never outnumber the shingles in which the sets
+differ, so this drops no link, and texts that only share a passage seldom become pairs. A link needs a Jaccard
 similarity of the shingle sets of at least ``threshold``, counted exactly. Classes are the connected parts.
 """
 
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from quarrystat.llm.common import settle, text_or_empty, words_of
 
 SHINGLE = 5
+#: Bits of the map that says of each set, by parity, in which of so many parts its shingles lie; a multiple of 64.
+MAP_BITS = 512
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -123,16 +127,31 @@ def banded(nodes: DataFrame, registers: int, rows: int) -> DataFrame:
 
 
 def shingled(nodes: DataFrame) -> DataFrame:
-    """(node, norm) to (node, shingles: array of long)."""
+    """(node, norm) to (node, shingles: array of long, bits: the set's map as an array of long)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for b in batches:
-            sets = [shingles(norm.split(" "), known)[0].astype(np.int64) for norm in b.column(1).to_pylist()]
-            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["node", "shingles"])
+            sets = [shingles(norm.split(" "), known)[0] for norm in b.column(1).to_pylist()]
+            maps = [np.packbits(np.bincount((x % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1).view(np.int64) for x in sets]
+            lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *[x.view(np.int64) for x in xs]])))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(sets), lists(maps)], ["node", "shingles", "bits"])
 
-    return nodes.mapInArrow(split, "node binary, shingles array<long>")
+    return nodes.mapInArrow(split, "node binary, shingles array<long>, bits array<long>")
+
+
+def described(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` with the size and the map of each node's set."""
+    return members.join(sets.select(F.col("node").alias("_node"), F.size("shingles").alias("size"), "bits"), F.col("node") == F.col("_node")).drop("_node")
+
+
+def allowed(threshold: float) -> Column:
+    """Whether sizes and maps allow a pair (size, bits and _size, _bits) the threshold. Of n and m shingles in all,
+    similar sets differ in ``(n + m) (1 - t) / (1 + t)`` at most, and maps in no more bits than that."""
+    total = F.col("size") + F.col("_size")
+    apart = F.aggregate(F.zip_with("bits", "_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    ratio = F.least("size", "_size") >= F.lit(threshold) * F.greatest("size", "_size") - 1e-9
+    return ratio & (apart <= F.lit((1 - threshold) / (1 + threshold)) * total + 1e-9)
 
 
 def parts(links: DataFrame) -> DataFrame:
@@ -181,9 +200,10 @@ class Classes:
 
 
 def resolve(members: DataFrame, sets: DataFrame, found: Classes, threshold: float, rounds: int | None, leaders: int = 1) -> tuple[Classes, DataFrame]:
-    """Rounds of leaders over buckets: members (bucket, node, leads: whether the node may lead); returns the classes
+    """Rounds of leaders over buckets: members (bucket, node, leads: whether the node may lead, size, bits); returns the classes
     and the members of buckets that still hold a leader of a class which hasn't met the others (none, if the rounds
-    have no limit). The number of a bucket's leaders starts at ``leaders`` and doubles each round."""
+    have no limit). The number of a bucket's leaders starts at ``leaders`` and doubles each round, or where rounds have
+    no limit becomes four times as many."""
     tested: DataFrame | None = None
     done = 0
     while True:
@@ -191,21 +211,21 @@ def resolve(members: DataFrame, sets: DataFrame, found: Classes, threshold: floa
         sizes = classed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.max("leads").alias("able"))
         undone = sizes.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("parts"), F.max("able").alias("able")).where("parts > 1 AND able").select("_bucket")
         sizes = sizes.join(undone, F.col("bucket") == F.col("_bucket")).select(F.col("bucket").alias("_bucket"), F.col("part").alias("_part"), "n")
-        open_ = settle(classed.join(sizes, (F.col("bucket") == F.col("_bucket")) & (F.col("part") == F.col("_part"))).select("bucket", "node", "leads", "part", "n"))
+        open_ = settle(classed.join(sizes, (F.col("bucket") == F.col("_bucket")) & (F.col("part") == F.col("_part"))).select("bucket", "node", "leads", "size", "bits", "part", "n"))
         if open_.isEmpty() or done == rounds:
             return found, open_.select("bucket", "node")
         # leaders come from a bucket's smallest classes: outsiders meet a large class, not the other way round
         order = Window.partitionBy("bucket").orderBy("n", "part", "node")
-        heads = open_.where("leads").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders << done)
-        heads = settle(heads.select(F.col("bucket").alias("_bucket"), F.col("node").alias("leader"), F.col("part").alias("of")))
-        pairs = open_.join(heads, F.col("bucket") == F.col("_bucket")).where(F.col("part") != F.col("of")).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        heads = open_.where("leads").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders << (done if rounds else 2 * done))
+        heads = settle(heads.select(F.col("bucket").alias("_bucket"), F.col("node").alias("leader"), F.col("part").alias("of"), F.col("size").alias("_size"), F.col("bits").alias("_bits")))
+        pairs = open_.join(heads, F.col("bucket") == F.col("_bucket")).where((F.col("part") != F.col("of")) & allowed(threshold)).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs)
         found = found.joined_by(settle(verified(pairs, sets, threshold)))
         tested = pairs if tested is None else tested.union(pairs)
         # the leaders have met all other classes of their buckets
-        members = open_.join(heads, (F.col("bucket") == F.col("_bucket")) & (F.col("node") == F.col("leader")), "left_anti").select("bucket", "node", "leads")
+        members = open_.join(heads, (F.col("bucket") == F.col("_bucket")) & (F.col("node") == F.col("leader")), "left_anti").select("bucket", "node", "leads", "size", "bits")
         done += 1
 
 
@@ -251,10 +271,10 @@ def classes(
     involved = involved.select(F.col("node").alias("_node"), F.coalesce("rep", F.lit(-1)).alias("_rep"))
     texts = read.join(involved, (F.col("node") == F.col("_node")) & (F.coalesce("doc_id", F.lit(-1)) == F.col("_rep"))).select("node", "norm")
     sets = settle(shingled(texts).dropDuplicates(["node"]))
-    found, rest = resolve(members, sets, Classes(), threshold, rounds)
+    found, rest = resolve(settle(described(members, sets)), sets, Classes(), threshold, rounds)
     if not rest.isEmpty():
         left = settle(rest.select("node").distinct())
-        found, _ = resolve(settle(prefixes(left, sets, threshold)), sets, found, threshold, None, leaders=4)
+        found, _ = resolve(settle(described(prefixes(left, sets, threshold), sets)), sets, found, threshold, None, leaders=4)
     labelled = found.of(nodes.select("node", "rep"))
     # the row that stays: the smallest id, and of equal ids the smallest node
     low = labelled.groupBy("part").agg(F.min(F.struct(F.col("rep").isNull().alias("void"), "rep", "node")).alias("low"))
