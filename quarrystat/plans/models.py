@@ -150,7 +150,7 @@ def _spells(spark: SparkSession, sf: str) -> DataFrame:
 k AS (SELECT *, exp(sum(ln((at_risk - d) / at_risk)) OVER w) AS s, sum(d / (at_risk * (at_risk - d))) OVER w AS gw, sum(d / at_risk) OVER w AS hazard FROM r WHERE at_risk > d WINDOW w AS (PARTITION BY g ORDER BY time))
 SELECT g, time, CAST(at_risk AS BIGINT) AS at_risk, CAST(d AS BIGINT) AS events, round(s, 8) AS survival, round(s * sqrt(gw), 8) AS std_error, round(hazard, 8) AS hazard FROM k WHERE d > 0""")
 def kaplan_meier(spark, sf):
-    return rounded(survival.kaplan_meier(_spells(spark, sf), "time", "event", ["g"]), 8).where("at_risk > events")
+    return rounded(survival.kaplan_meier(_spells(spark, sf), "time", "event", ["g"]), 8)
 
 
 @query(f"""WITH {SURV}, c AS (SELECT time, count(*) FILTER (g = 'F') AS m0, count(*) FILTER (g = 'O') AS m1, sum(event) FILTER (g = 'F') AS e0, sum(event) AS d FROM u GROUP BY time),
@@ -270,9 +270,8 @@ def meta_analysis(spark, sf):
 
 
 def _graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers to the nations' suppliers they buy from most: a sparse graph of integer ids."""
-    rows = table(spark, sf, "lineitem").select((F.col("l_partkey") % 300).alias("src"), (F.col("l_suppkey") % 40 + 1000).alias("dst"), "l_orderkey")
-    return rows.where("l_orderkey % 11 = 0").select("src", "dst").distinct()
+    """Parts to the suppliers they come from, over all lines: a bipartite graph, parts with even ids and suppliers with odd ones."""
+    return table(spark, sf, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
 
 
 GRAPH = "g AS (SELECT DISTINCT l_partkey % 300 AS src, l_suppkey % 40 + 1000 AS dst FROM lineitem WHERE l_orderkey % 11 = 0)"
@@ -303,8 +302,11 @@ def network_pagerank(spark, sf):
 
 
 def _ring(spark: SparkSession, sf: str) -> DataFrame:
-    """A graph with triangles: parts bought from the same supplier, modulo small numbers."""
-    return table(spark, sf, "lineitem").where("l_orderkey % 7 = 0").select((F.col("l_partkey") % 211).alias("src"), (F.col("l_suppkey") * 3 % 211).alias("dst")).distinct()
+    """A graph with triangles: each line's part to the parts of the lines after it in its order (lines of the same number: both ways), over all lines."""
+    rows = table(spark, sf, "lineitem")
+    one = rows.select("l_orderkey", F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("src"))
+    two = rows.select("l_orderkey", F.col("l_linenumber").alias("j"), F.col("l_partkey").alias("dst"))
+    return one.join(two, "l_orderkey").where("i <= j AND src <> dst").select("src", "dst").distinct()
 
 
 RING = "g AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT l_partkey % 211 AS a, l_suppkey * 3 % 211 AS b FROM lineitem WHERE l_orderkey % 7 = 0) WHERE a <> b), b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"
