@@ -1,11 +1,12 @@
 """License scans: an exact containment join between text blocks and license templates.
 
-A block is a line. A template matches it if at least ``threshold`` of the template's distinct tokens stand in the
-block. Tokens are ordered by how many documents hold them, rarest first; by this global order
+A block is a line, or a run of as many words as the template has, wherever lines end in it, so that wrapped notices
+count. A template matches a block if at least ``threshold`` of the template's distinct tokens stand in it. Tokens are ordered by how many documents hold them, rarest first; by this global order
 - prefix: a match must hold one of the template's first ``n - need + 1`` tokens (of n, with need = ceil(threshold n)),
 - length: the block needs at least ``need`` of the templates' tokens,
 - position: after the first shared token, what is left on either side must still reach ``need``.
-The filters drop no match, and what passes is verified. Templates are parameters, so their index is of fixed size and
+The filters drop no match, and what passes is verified. Runs of words are looked at only in a text of several lines
+that holds ``need`` tokens of the template at all; of those runs, the ones that start with a token of the template do. Templates are parameters, so their index is of fixed size and
 goes into the plan; the join runs where a document lies and shuffles nothing. All columns are built-in expressions.
 """
 
@@ -47,6 +48,7 @@ class Template:
     label: str
     ids: tuple[int, ...]  # ranks of its tokens in the global order, rarest first
     need: int
+    n_words: int
 
 
 def lowered(text: Column) -> Column:
@@ -73,7 +75,7 @@ def index(templates: dict[str, list[str]], counts: dict[str, int], threshold: fl
     for label, texts in templates.items():
         for t in texts:
             ids = tuple(sorted({rank[w] for w in t.split()}))
-            made.append(Template(label, ids, math.ceil(threshold * len(ids) - 1e-9)))
+            made.append(Template(label, ids, math.ceil(threshold * len(ids) - 1e-9), len(t.split())))
     return order, made
 
 
@@ -117,6 +119,34 @@ def contained(line: Column, order: list[str], templates: list[Template]) -> Colu
     return let(ids, lambda i: F.array_compact(F.array(*[match(i, t) for t in templates])))
 
 
+def spanning(words: Column, order: list[str], templates: list[Template]) -> Column:
+    """The templates that a run of words holds, in a text of blank-separated words: array of structs (label, score)."""
+    ints = lambda xs: F.array(*[F.lit(x) for x in xs])
+    rank = F.create_map(*[F.lit(x) for i, w in enumerate(order) for x in (w, i)])
+    place = lambda w, i: F.struct(F.element_at(rank, w).alias("id"), i.alias("at"))
+
+    def most(hits: Column, t: Template) -> Column:
+        """The most tokens of the template in a run; ``hits``: id and place of the words that are tokens, by place."""
+        run = lambda own, x, i: F.filter(F.slice(own, i + 1, F.lit(t.n_words)), lambda y: y["at"] < x["at"] + t.n_words)
+        distinct = lambda xs: F.size(F.array_distinct(F.transform(xs, lambda y: y["id"])))
+        return let(F.filter(hits, lambda x: F.array_contains(ints(t.ids), x["id"])), lambda own: F.array_max(F.transform(own, lambda x, i: distinct(run(own, x, i)))))
+
+    def match(hits: Column, t: Template) -> Column:
+        return let(most(hits, t), lambda n: F.when(n >= t.need, F.struct(F.lit(t.label).alias("label"), (n / len(t.ids)).alias("score"))))
+
+    def of(split: Column) -> Column:
+        able = lambda held, t: F.size(F.array_intersect(held, F.array(*[F.lit(order[i]) for i in t.ids]))) >= t.need
+        hits = F.filter(F.transform(split, place), lambda x: x["id"].isNotNull())
+        found = lambda held: let(hits, lambda h: F.array_compact(F.array(*[F.when(able(held, t), match(h, t)) for t in templates])))
+        none = F.array().cast("array<struct<label:string,score:double>>")
+        return let(
+            F.array_intersect(split, F.array(*map(F.lit, order))),
+            lambda held: F.when(F.exists(F.array(*[able(held, t) for t in templates]), lambda x: x), found(held)).otherwise(none),
+        )
+
+    return let(F.split(words, " "), of)
+
+
 def scan(
     docs: DataFrame,
     *,
@@ -139,16 +169,19 @@ def scan(
     results = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kept = [c for c in docs.columns if c not in [*results, "_s", "_t"]]
 
+    text = text_or_empty(text_col)
+
     def found(words: Column) -> Column:
         n = F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
-        return F.struct(n.cast("long").alias("n_words"), *[places(words, n, p).alias(f"p{i}") for i, p in enumerate(phrases)])
+        runs = F.when(F.contains(text, F.lit("\n")), spanning(words, order, made))
+        return F.struct(runs.alias("runs"), n.cast("long").alias("n_words"), *[places(words, n, p).alias(f"p{i}") for i, p in enumerate(phrases)])
 
-    text = text_or_empty(text_col)
     lines = F.transform(F.split(text, "\n", -1), lowered)
     rare = F.array(*map(F.lit, prefixes))
     blocks = F.filter(lines, lambda line: F.arrays_overlap(F.split(line, " "), rare))
     matches = F.array_distinct(F.flatten(F.transform(blocks, lambda line: contained(line, order, made))))
     rows = docs.select(*kept, let(lowered(text), found).alias("_s"), matches.alias("_t"))
+    rows = rows.withColumn("_t", F.concat("_t", F.coalesce(F.col("_s")["runs"], F.array().cast("array<struct<label:string,score:double>>"))))
 
     each = [F.col("_s")[f"p{i}"] for i in range(len(phrases))]
     labels = F.array_compact(F.array(*[F.when(p["n"] > 0, F.lit(label)) for p, label in zip(each, phrases.values(), strict=True)]))
