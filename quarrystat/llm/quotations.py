@@ -1,12 +1,14 @@
 """Chat formatting by quotation linking.
 
 Lines that start with > marks quote an earlier message; the number of marks is the level. Quoted lines are normalised,
-hashed and joined to the message of the same conversation that first wrote such a line itself. The message replied to
+hashed and joined to the message of the same conversation that first wrote such a line itself. The lines of one level
+are also a passage, hashed in runs of five words across line ends: a line that was wrapped again, or is part of a
+longer one, belongs to the message that first wrote most of the runs it has a word in. The message replied to
 is the one that the shallowest matched level names, of several the one with most matched lines, then the latest. The
 reply path of a message is the turn of the message it replies to, and that one's, up to a message that replies to none;
 sorted by path, replies follow what they answer. All columns are built-in expressions.
 
-First writers are a minimum by conversation and line, summed before the shuffle, so a line that a third of all
+First writers are a minimum by conversation and line or run of words, summed before the shuffle, so a line that a third of all
 messages share is one row. No conversation is gathered in one place.
 """
 
@@ -21,11 +23,13 @@ MARKS = r"^[ \t]*>([ \t]*>)*"
 #: A line that announces a quotation.
 ANNOUNCES = r"(?i)^[ \t]*(on\b.*\bwrote|.*\bsaid)[ \t]*:[ \t]*$"
 BLANK = r"[\x20\x09-\x0D]+"
+#: Words in a run.
+RUN = 5
 
 
 def parsed(text: Column) -> Column:
     """The lines of a text: structs of level, own (whether the line is the writer's own), line (without marks), key
-    (md5 of the line in lower case with single blanks, null if blank)."""
+    (md5 of the line in lower case with single blanks, null if blank), words (those of that form)."""
 
     def of(lines: Column) -> Column:
         def one(line: Column, i: Column) -> Column:
@@ -37,6 +41,7 @@ def parsed(text: Column) -> Column:
                 (~line.rlike(MARKS) & ~(line.rlike(ANNOUNCES) & after.rlike(MARKS))).alias("own"),
                 body.alias("line"),
                 F.when(norm != "", F.md5(norm)).alias("key"),
+                F.split(norm, " ").alias("words"),
             )
 
         return F.transform(lines, one)
@@ -44,6 +49,21 @@ def parsed(text: Column) -> Column:
     return let(F.split(text, "\n", -1), of)
 
 
+def runs(words: Column) -> Column:
+    """The runs of RUN neighbouring elements: array of arrays."""
+    return let(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - (RUN - 1), F.lit(0))), lambda x, i: F.slice(w, i + 1, F.lit(RUN))))
+
+
+def quoted_runs(quotes: Column) -> Column:
+    """The runs of words of each level's passage: structs of key and lines (the numbers of the lines it has words of)."""
+
+    def of(level: Column) -> Column:
+        words = F.flatten(F.transform(F.filter(quotes, lambda q: q["level"] == level), lambda q: F.transform(q["words"], lambda w: F.struct(w.alias("w"), q["i"].alias("i")))))
+        return F.transform(runs(words), lambda r: F.struct(F.xxhash64(F.transform(r, lambda x: x["w"])).alias("key"), F.array_distinct(F.transform(r, lambda x: x["i"])).alias("lines")))
+
+    return F.flatten(F.transform(F.array_distinct(F.transform(quotes, lambda q: q["level"])), of))
+
+
 def paths(links: DataFrame) -> DataFrame:
     """(conv_id, turn, parent) to (conv_id, turn, path: array of turns from the first message of the chain). Each round
     doubles the stretch a row knows, so a chain of n replies takes log n rounds."""
@@ -60,7 +80,8 @@ def paths(links: DataFrame) -> DataFrame:
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotes and the lines that announce them), n_quoted, n_linked (long: quoted
     lines with a word, and those found in an earlier message), parent (long: the turn replied to, or null), depth
-    (long: replies above it), path (string: turns from the start of the chain, joined by dots), one row for each row.
+    (long: replies above it), path (string: turns from the start of the chain, joined by dots), one row for each row. A line found whole counts for
+    the message that first wrote it; else its runs of words decide.
 
     Null texts count as empty. Rows with a null conversation or turn are kept and never linked. A line is only found
     in a smaller turn, so no message replies to itself or to a later one. Rows that repeat with the same conversation,
@@ -73,17 +94,28 @@ def link(messages: DataFrame) -> DataFrame:
     quotes = F.filter("lines", lambda x: (x["level"] > 0) & x["key"].isNotNull())
     rows = rows.select(
         "conv_id", "turn", "role", F.md5("raw").alias("id"), F.regexp_replace(own, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("text"),
-        F.transform(quotes, lambda x: F.struct(x["level"].alias("level"), x["key"].alias("key"))).alias("quotes"),
+        F.transform(quotes, lambda x, i: F.struct(x["level"].alias("level"), x["key"].alias("key"), i.alias("i"), x["words"].alias("words"))).alias("quotes"),
         F.array_distinct(F.transform(F.filter("lines", lambda x: x["own"] & x["key"].isNotNull()), lambda x: x["key"])).alias("keys"),
+        F.flatten(F.transform(F.filter("lines", lambda x: x["own"] & x["key"].isNotNull()), lambda x: x["words"])).alias("said"),
     )
     quoted = rows.where(F.size("quotes") > 0)
     if quoted.isEmpty():
         return rows.select("conv_id", "turn", "role", "text", *[F.lit(0).cast("long").alias(c) for c in ("n_quoted", "n_linked")], F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("depth"), F.col("turn").cast("string").alias("path"))
-    writers = rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", F.explode("keys").alias("key"))
-    writers = writers.groupBy(F.col("conv_id").alias("_conv"), F.col("key").alias("_key")).agg(F.min("turn").alias("first"))
-    each = quoted.select("conv_id", "turn", "id", "quotes").distinct().select("conv_id", "turn", "id", F.explode("quotes").alias("q")).select("conv_id", "turn", "id", "q.*")
-    met = each.join(writers, (F.col("conv_id") == F.col("_conv")) & (F.col("key") == F.col("_key")) & (F.col("first") < F.col("turn")))
-    by_turn = met.groupBy("conv_id", "turn", "id", "first").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n"))
+    dated = rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+
+    def met(quoted: DataFrame, written: DataFrame) -> DataFrame:
+        first = written.groupBy(F.col("conv_id").alias("_conv"), F.col("key").alias("_key")).agg(F.min("turn").alias("first"))
+        return quoted.join(first, (F.col("conv_id") == F.col("_conv")) & (F.col("key") == F.col("_key")) & (F.col("first") < F.col("turn")))
+
+    each = quoted.select("conv_id", "turn", "id", "quotes").distinct()
+    lines = each.select("conv_id", "turn", "id", F.explode("quotes").alias("q")).select("conv_id", "turn", "id", "q.level", "q.key", "q.i")
+    whole = met(lines, dated.select("conv_id", "turn", F.explode("keys").alias("key"))).select("conv_id", "turn", "id", "i", "first", F.lit(True).alias("whole"), F.lit(1).cast("long").alias("n"))
+    spans = each.select("conv_id", "turn", "id", F.explode(quoted_runs(F.col("quotes"))).alias("r")).select("conv_id", "turn", "id", "r.*")
+    written = dated.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(runs(F.col("said")), lambda r: F.xxhash64(r)))).alias("key"))
+    part = met(spans, written).select("conv_id", "turn", "id", "first", F.explode("lines").alias("i")).groupBy("conv_id", "turn", "id", "i", "first").agg(F.count(F.lit(1)).alias("n"))
+    hits = whole.unionByName(part.withColumn("whole", F.lit(False))).groupBy("conv_id", "turn", "id", "i").agg(F.max_by("first", F.struct("whole", "n", "first")).alias("first"))
+    met_lines = hits.join(lines.select("conv_id", "turn", "id", "i", "level"), ["conv_id", "turn", "id", "i"])
+    by_turn = met_lines.groupBy("conv_id", "turn", "id", "first").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n"))
     found = by_turn.groupBy("conv_id", "turn", "id").agg(F.max_by("first", F.struct(-F.col("level"), F.col("n"), F.col("first"))).alias("parent"), F.sum("n").alias("n_linked"))
     found = settle(found)
     ways = paths(found.groupBy("conv_id", "turn").agg(F.min("parent").alias("parent")))
