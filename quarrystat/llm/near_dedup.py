@@ -4,7 +4,9 @@ A document is the set of its five-word shingles, weighted by 1 + ln(times). Prob
 a Poisson process with the weight as its rate, to random registers; a register keeps the shingle that arrived first.
 Two registers agree with the probability Jaccard of the weights, the plain Jaccard where no shingle repeats. An
 element stops once its next arrival is later than every register. Documents that agree on all registers of a band
-share a bucket.
+share a bucket. Links are decided on the plain Jaccard, which may be far above that of the weights where a part of a
+text repeats; a text with repeated shingles is therefore signed a second time with all weights 1, into the same
+buckets. Without repeats both signatures are the same.
 
 Texts that are equal as word lists are one node from the start, so groups of copies cost one row each. In a round,
 a few leaders of a bucket are compared with the bucket's nodes of other classes, and leave. Rounds go on, with twice
@@ -117,7 +119,10 @@ def banded(nodes: DataFrame, registers: int, rows: int) -> DataFrame:
             for norm in b.column(2).to_pylist():
                 if norm:
                     found, times = shingles(norm.split(" "), known)
-                    bands.append(band_keys(signature(found, 1 + np.log(times), registers), rows))
+                    keys = band_keys(signature(found, 1 + np.log(times), registers), rows)
+                    if times.max() > 1:
+                        keys = np.union1d(keys, band_keys(signature(found, np.ones(len(found)), registers), rows))
+                    bands.append(keys)
                 else:
                     bands.append(np.zeros(0, np.int64))
             offsets = pa.array(np.cumsum([0, *map(len, bands)]), pa.int32())
