@@ -1,4 +1,4 @@
-"""Survey totals, principal components, k-means, discriminant analysis: reductions in Spark, small algebra on the driver."""
+"""Survey totals, principal components and k-means: reductions in Spark, small algebra on the driver."""
 
 from __future__ import annotations
 
