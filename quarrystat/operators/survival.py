@@ -40,7 +40,9 @@ def kaplan_meier(df: DataFrame, time: str, event: str, by: list[str] | None = No
 def logrank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """The log-rank test of equal hazards: observed and expected events of the first group, chi-square, p-value."""
     rows = df.na.drop(subset=[time, event, group])
-    levels = [r[0] for r in rows.select(group).distinct().orderBy(group).limit(1000).collect()]
+    levels = [r[0] for r in rows.select(group).distinct().orderBy(group).limit(1001).collect()]
+    if len(levels) > 1000:
+        raise ValueError("more than 1000 groups")
     by_time = rows.groupBy(F.col(time).cast("double").alias("time")).agg(
         *[F.count(F.when(F.col(group) == v, 1)).alias(f"n{i}") for i, v in enumerate(levels)], *[F.sum(F.when(F.col(group) == v, F.col(event).cast("long")).otherwise(0)).alias(f"d{i}") for i, v in enumerate(levels)]
     )
