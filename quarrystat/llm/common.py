@@ -43,23 +43,45 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_settled").rstrip("/")
 
 
-_settled: list[tuple[SparkSession, str]] = []
+#: Folders of the tables that settle() has written and nobody has released.
+_settled: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 @atexit.register
 def _sweep() -> None:
-    """Deletes the tables that settle() has written, if the session still runs."""
-    for spark, path in _settled:
+    """Deletes what is left, if the session still runs."""
+    for path, spark in _settled.items():
         with contextlib.suppress(Exception):  # the session may have stopped, and the folder may be gone with it
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(spark, path)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, *superseded: DataFrame | None) -> DataFrame:
     """The rows written once as a table in the shared folder, and read from there: later reads neither repeat the work
-    nor depend on the executors that did it. (checkpoint() would run the last stage twice.)"""
+    nor depend on the executors that did it. (checkpoint() would run the last stage twice.) Then the settled tables in
+    ``superseded`` are released."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _settled.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _settled[path] = spark
+    made = spark.read.schema(df.schema).parquet(path)
+    vars(made)["settled_at"] = path
+    release(*superseded)
+    return made
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that settle() returned and that no plan still to be run reads; others are left alone."""
+    for table in tables:
+        path = vars(table).get("settled_at") if table is not None else None
+        if path and (spark := _settled.pop(path, None)):
+            _delete(spark, path)
+
+
+def wrapped(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The whole rows of ``docs`` as one struct ``row`` beside computed columns, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in columns.items()])

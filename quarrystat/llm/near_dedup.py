@@ -8,14 +8,17 @@ share a bucket. Links are decided on the plain Jaccard, which may be far above t
 text repeats; a text with repeated shingles is therefore signed a second time with all weights 1, into the same
 buckets. Without repeats both signatures are the same.
 
-Texts that are equal as word lists are one node from the start, so groups of copies cost one row each. In a round,
-a few leaders of a bucket are compared with the bucket's nodes of other classes, and leave. Rounds go on, with twice
-the leaders each time, until no bucket holds nodes of two classes that haven't met; a bucket whose nodes all are copies
-of one text closes after the first. What a few rounds leave over (many different texts that share a common passage)
-moves on to buckets of an exact prefix filter over the same nodes. Before two nodes become a pair, their sizes and maps
-of bits must allow the similarity: the bits in which two maps differ never outnumber the shingles in which the sets
-differ, so this drops no link, and texts that only share a passage seldom become pairs. A link needs a Jaccard
-similarity of the shingle sets of at least ``threshold``, counted exactly. Classes are the connected parts.
+Texts that are equal as word lists are one node from the start, so groups of copies cost one row each, and buckets
+with the same nodes are one bucket. In a first round every node meets one leader: of the smallest nodes of its buckets
+the smallest that sizes and maps of bits allow. As md5 hashes order nodes alike in all buckets, a group of near copies
+falls into few classes at once. In each further round a few leaders of a bucket are compared with the bucket's nodes of
+other classes, and leave. Rounds go on, with twice the leaders each time, until no bucket holds nodes of two classes
+that haven't met. What a few rounds leave over (many different texts that share a common passage) moves on to buckets
+of an exact prefix filter over the same nodes. Before two nodes become a pair, their sizes and maps of bits must allow
+the similarity: the bits in which two maps differ never outnumber the shingles in which the sets differ, so this drops
+no link, and texts that only share a passage seldom become pairs. A link needs a Jaccard similarity of the shingle sets
+of at least ``threshold``, counted exactly. Classes are the connected parts. A round's links join classes and are then
+forgotten: what is kept is one row for each node with its class, and tables are deleted once their successor is written.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystat.llm.common import settle, text_or_empty, words_of
+from quarrystat.llm.common import release, settle, text_or_empty, words_of, wrapped
 
 SHINGLE = 5
 #: Bits of the map that says of each set, by parity, in which of so many parts its shingles lie; a multiple of 64.
@@ -168,33 +171,39 @@ def parts(links: DataFrame) -> DataFrame:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("part").alias("near"))
         moved = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("part").alias("old"), F.least("part", "near").alias("part"))
         above = labels.select(F.col("node").alias("_node"), F.col("part").alias("_part"))
-        jumped = settle(moved.join(above, F.col("part") == F.col("_node"), "left").select("node", "old", F.least("part", "_part").alias("part")))
-        labels = jumped.select("node", "part")
+        jumped = settle(moved.join(above, F.col("part") == F.col("_node"), "left").select("node", "old", F.least("part", "_part").alias("part")), labels)
+        labels = jumped
         if jumped.where(F.col("part") != F.col("old")).isEmpty():
+            release(edges)
             return labels
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the threshold's similarity."""
+    """The pairs (a, b and other columns) whose shingle sets have at least the threshold's similarity."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     sizes = F.least(F.size("x"), F.size("y")) >= F.lit(threshold) * F.greatest(F.size("x"), F.size("y"))
-    return pairs.join(left, "a").join(right, "b").where(sizes).where(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(sizes).where(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both)).drop("x", "y")
 
 
 @dataclass(frozen=True)
 class Classes:
-    """Links found so far, and the parts (node, part) they make; None while there are none."""
+    """The part of each node that has a link: (node, part); None while there are none."""
 
-    links: DataFrame | None = None
     labels: DataFrame | None = None
 
-    def joined_by(self, found: DataFrame) -> Classes:
-        if found.isEmpty():
+    def joined_by(self, links: DataFrame) -> Classes:
+        """The classes after links between parts (a, b: parts of linked nodes, different ones)."""
+        if links.isEmpty():
             return self
-        links = found if self.links is None else settle(self.links.union(found))
-        return Classes(links, parts(links))
+        merged = parts(links)
+        if self.labels is None:
+            return Classes(merged)
+        above = merged.select(F.col("node").alias("_node"), F.col("part").alias("_part"))
+        moved = self.labels.join(above, F.col("part") == F.col("_node"), "left").select("node", F.coalesce("_part", "part").alias("part"))
+        fresh = merged.join(self.labels.select(F.col("node").alias("_node")), F.col("node") == F.col("_node"), "left_anti").select("node", "part")
+        return Classes(settle(moved.union(fresh), self.labels, merged))
 
     def of(self, nodes: DataFrame) -> DataFrame:
         """``nodes`` with the part of each; a node without links is its own part."""
@@ -204,33 +213,59 @@ class Classes:
         return nodes.join(labels, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("_part", "node")).drop("_node", "_part")
 
 
-def resolve(members: DataFrame, sets: DataFrame, found: Classes, threshold: float, rounds: int | None, leaders: int = 1) -> tuple[Classes, DataFrame]:
-    """Rounds of leaders over buckets: members (bucket, node, leads: whether the node may lead, size, bits); returns the classes
-    and the members of buckets that still hold a leader of a class which hasn't met the others (none, if the rounds
-    have no limit). The number of a bucket's leaders starts at ``leaders`` and doubles each round, or where rounds have
-    no limit becomes four times as many."""
-    tested: DataFrame | None = None
+MEMBER = ["bucket", "node", "leads", "size", "bits"]
+
+
+def still_open(members: DataFrame, found: Classes) -> DataFrame:
+    """The members of buckets that hold nodes of several classes and one that may lead, with part and n (the members
+    of that part in the bucket)."""
+    classed = found.of(members)
+    sizes = classed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.max("leads").alias("able"))
+    undone = sizes.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("parts"), F.max("able").alias("able")).where("parts > 1 AND able").select("_bucket")
+    sizes = sizes.join(undone, F.col("bucket") == F.col("_bucket")).select(F.col("bucket").alias("_bucket"), F.col("part").alias("_part"), "n")
+    return classed.join(sizes, (F.col("bucket") == F.col("_bucket")) & (F.col("part") == F.col("_part"))).select(*MEMBER, "part", "n")
+
+
+def first_meeting(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[Classes, DataFrame]:
+    """Every node meets one leader, the smallest allowed one of its buckets' smallest nodes: the classes that makes, and
+    the pairs (a, b) tried. One pair a node at most."""
+    heads = members.groupBy(F.col("bucket").alias("_bucket")).agg(F.min(F.struct("node", "size", "bits")).alias("head"))
+    heads = heads.select("_bucket", F.col("head.node").alias("leader"), F.col("head.size").alias("_size"), F.col("head.bits").alias("_bits"))
+    met = members.join(heads, F.col("bucket") == F.col("_bucket")).where((F.col("leader") < F.col("node")) & allowed(threshold))
+    pairs = settle(met.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"))
+    links = settle(verified(pairs, sets, threshold).select("a", "b"))
+    found = Classes().joined_by(links)
+    release(links)
+    return found, pairs
+
+
+def resolve(members: DataFrame, sets: DataFrame, found: Classes, tested: DataFrame | None, threshold: float, rounds: int | None, leaders: int = 1) -> tuple[Classes, DataFrame]:
+    """Rounds of leaders over buckets: members (settled: bucket, node, leads: whether the node may lead, size, bits); ``tested``: pairs
+    that have met. Returns the classes and the members of buckets that still hold a leader of a class which hasn't met
+    the others (none, if the rounds have no limit). The number of a bucket's leaders starts at ``leaders`` and doubles
+    each round, or where rounds have no limit becomes four times as many."""
+    tries = [] if tested is None else [tested]
     done = 0
     while True:
-        classed = found.of(members)
-        sizes = classed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), F.max("leads").alias("able"))
-        undone = sizes.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("parts"), F.max("able").alias("able")).where("parts > 1 AND able").select("_bucket")
-        sizes = sizes.join(undone, F.col("bucket") == F.col("_bucket")).select(F.col("bucket").alias("_bucket"), F.col("part").alias("_part"), "n")
-        open_ = settle(classed.join(sizes, (F.col("bucket") == F.col("_bucket")) & (F.col("part") == F.col("_part"))).select("bucket", "node", "leads", "size", "bits", "part", "n"))
+        open_ = settle(still_open(members, found), members)
         if open_.isEmpty() or done == rounds:
-            return found, open_.select("bucket", "node")
+            release(*tries)
+            return found, open_
         # leaders come from a bucket's smallest classes: outsiders meet a large class, not the other way round
         order = Window.partitionBy("bucket").orderBy("n", "part", "node")
         heads = open_.where("leads").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders << (done if rounds else 2 * done))
         heads = settle(heads.select(F.col("bucket").alias("_bucket"), F.col("node").alias("leader"), F.col("part").alias("of"), F.col("size").alias("_size"), F.col("bits").alias("_bits")))
-        pairs = open_.join(heads, F.col("bucket") == F.col("_bucket")).where((F.col("part") != F.col("of")) & allowed(threshold)).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        met = open_.join(heads, F.col("bucket") == F.col("_bucket")).where((F.col("part") != F.col("of")) & allowed(threshold))
+        ends = [F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"), F.least("of", "part").alias("pa"), F.greatest("of", "part").alias("pb")]
+        pairs = met.select(*ends).distinct()
+        for t in tries:
+            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
         pairs = settle(pairs)
-        found = found.joined_by(settle(verified(pairs, sets, threshold)))
-        tested = pairs if tested is None else tested.union(pairs)
+        links = settle(verified(pairs, sets, threshold).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        found = found.joined_by(links)
+        tries.append(pairs)
         # the leaders have met all other classes of their buckets
-        members = open_.join(heads, (F.col("bucket") == F.col("_bucket")) & (F.col("node") == F.col("leader")), "left_anti").select("bucket", "node", "leads", "size", "bits")
+        members = settle(open_.join(heads, (F.col("bucket") == F.col("_bucket")) & (F.col("node") == F.col("leader")), "left_anti").select(*MEMBER), open_, heads, links)
         done += 1
 
 
@@ -266,36 +301,41 @@ def classes(
     banding a pair at similarity 0.8 is missed with odds of 6 in 100,000, and at 0.85 of 3 in 10 million.
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal(text_or_empty(text_col)).alias("norm")).select("doc_id", node_of(F.col("norm")).alias("node"), "norm")
-    rows = settle(banded(read, registers, band_rows))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    nodes = settle(nodes)
+    signed = settle(banded(read, registers, band_rows))
+    rows = settle(signed.select("doc_id", "node"))
+    nodes = settle(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), signed)
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
+    # a bucket of one node says nothing; of buckets with the same nodes (by number and sum of hashes) one is enough
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    shared = settle(shared.groupBy("n", "all", "low", "high").agg(F.min("bucket").alias("_bucket")).select("_bucket"))
     members = settle(buckets.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "node", F.lit(True).alias("leads")))
-    involved = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    involved = involved.select(F.col("node").alias("_node"), F.coalesce("rep", F.lit(-1)).alias("_rep"))
-    texts = read.join(involved, (F.col("node") == F.col("_node")) & (F.coalesce("doc_id", F.lit(-1)) == F.col("_rep"))).select("node", "norm")
+    reps = settle(nodes.select("node", "rep"), nodes, shared)
+    involved = members.select("node").distinct().join(reps, "node").select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
+    texts = read.join(involved, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("node", "norm")
     sets = settle(shingled(texts).dropDuplicates(["node"]))
-    found, rest = resolve(settle(described(members, sets)), sets, Classes(), threshold, rounds)
+    members = settle(described(members, sets), members)
+    found, tested = first_meeting(members, sets, threshold)
+    found, rest = resolve(members, sets, found, tested, threshold, rounds)
     if not rest.isEmpty():
-        left = settle(rest.select("node").distinct())
-        found, _ = resolve(settle(described(prefixes(left, sets, threshold), sets)), sets, found, threshold, None, leaders=4)
-    labelled = found.of(nodes.select("node", "rep"))
+        left = settle(rest.select("node").distinct(), rest)
+        found, rest = resolve(settle(described(prefixes(left, sets, threshold), sets), left), sets, found, None, threshold, None, leaders=4)
+    release(sets, rest)
+    labelled = found.of(reps)
     # the row that stays: the smallest id, and of equal ids the smallest node
     low = labelled.groupBy("part").agg(F.min(F.struct(F.col("rep").isNull().alias("void"), "rep", "node")).alias("low"))
     low = low.select(F.col("part").alias("_part"), "low")
     grouped = labelled.join(low, F.col("part") == F.col("_part")).select(F.col("node").alias("_node"), F.col("low.rep").alias("class_id"), F.col("low.node").alias("first"))
-    joined = rows.select("doc_id", "node").join(grouped, F.col("node") == F.col("_node")).select("doc_id", "node", "class_id", (F.col("node") == F.col("first")).alias("leads"))
+    joined = rows.join(grouped, F.col("node") == F.col("_node")).select("doc_id", "node", "class_id", (F.col("node") == F.col("first")).alias("leads"))
     stays = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))
     return joined.select("doc_id", "class_id", stays.alias("kept"), "node")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each class of near-duplicates; see ``classes``."""
-    names = docs.columns
-    key = lambda node, doc: F.sha2(F.concat(F.hex(node), F.lit(":"), F.coalesce(F.col(doc).cast("string"), F.lit("null"))), 256)
-    stay = settle(classes(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(key(F.col("node"), "doc_id").alias("_stay")).distinct())
-    keyed = docs.withColumn("_key", key(node_of(normal(text_or_empty(text_col))), id_col))
-    found = keyed.join(stay, F.col("_key") == F.col("_stay"), "left_semi")
-    once = Window.partitionBy("_key").orderBy(F.lit(0))
-    return found.withColumn("_turn", F.row_number().over(once)).where("_turn = 1").select(*names)
+    """The rows of ``docs`` that stay, one for each class of near-duplicates; see ``classes``. Of rows alike in id and
+    text the one that is first by a hash of all its columns stays, so reruns agree."""
+    key = lambda node, doc: F.sha2(F.concat(F.hex(node), F.lit(":"), F.coalesce(doc.cast("string"), F.lit("null"))), 256)
+    stay = settle(classes(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(key(F.col("node"), F.col("doc_id")).alias("stay")).distinct())
+    keyed = wrapped(docs, key=key(node_of(normal(text_or_empty(text_col))), F.col(id_col)))
+    found = keyed.join(stay, F.col("key") == F.col("stay"), "left_semi")
+    once = Window.partitionBy("key").orderBy(F.md5(F.to_json("row")))
+    return found.withColumn("turn", F.row_number().over(once)).where("turn = 1").select("row.*")
