@@ -2,33 +2,35 @@
 
 Vectors are lengthened by one component so that all have the largest norm; nearest in distance is then largest inner
 product. Each curve projects them onto a few random directions, shifts the grid, and takes the Hilbert index as key.
-Spark range-partitions the rows by curve and key; a task goes through its sorted rows in blocks and compares the
-queries of a block with the rows of that block and its two neighbours. The curves' findings are merged and reranked.
+Keys, lengthened by a few bits of a hash of the id so that one crowded cell can be cut too, are cut into ranges of
+about ``block_rows`` rows. A query meets the rows of its range and of the two beside it: it is sent to all three, and
+a task streams a range's rows past its queries. The curves' findings are merged and reranked.
 
-Of equal vectors only the ``k + 1`` smallest ids can be among the k nearest of any query, so the others leave before the
-first shuffle and copies never fill a window.
+How many curves and how wide ranges are needed depends on the vectors: where they have structure, a neighbour is near
+on some curve and narrow ranges do; vectors that point in all directions alike need wide ones. A pilot finds out: a
+bounded number of queries is compared with all rows, and the cheapest setting that finds ``recall`` of their true
+neighbours, by keys cut at the quantiles of a bounded sample, is taken.
 
-Along the first curve the blocks of rows also get a centre and a radius. An exact check follows: a block is compared
-with a group of queries unless ``c . q + radius * |q|`` shows that it holds nothing as near as what the windows found.
-Pairs of blocks and groups, not of rows, are joined. What passes is dealt by tiles, a block with a bounded number of
-groups; a task streams a tile's queries past its block.
+Of equal vectors only the ``k + 1`` smallest ids can be among the k nearest of any query, so the others leave before
+the first shuffle and copies never fill a range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystat.llm.common import settle
-
-#: What the windows return: a finding, a row or a query with the block it lies in, the bounds of a block of rows or of queries.
-HIT, ROW, ASK, BLOCK, GROUP = range(5)
-FOUND = "kind int, query_id long, vec_id long, score double, block long, v binary, centre array<double>, radius double"
+#: What a range is sent, queries before rows.
+ASK, ROW = range(2)
+#: Into so many ranges at least a curve is cut, if these find enough.
+RANGES = 16
+#: Bits of the id's hash below a Hilbert index.
+TIE = 7
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -57,24 +59,25 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each query the k rows of the largest inner product (ties to the smaller id, the query itself left out): query, id,
     score. A matrix product finds them; their scores are then summed in one order, so equal vectors score equally."""
     scores = q @ x.T
     scores[ids[None, :] == own[:, None]] = -np.inf
     slack = 1e-12 * max(1.0, float(np.abs(scores[np.isfinite(scores)]).max(initial=0)))
-    if least is not None:
-        scores[scores < least[:, None] - slack] = -np.inf
     if scores.shape[1] > k:
         cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
         scores[scores < cut[:, None] - slack] = -np.inf
     row, col = np.nonzero(scores > -np.inf)
-    score = (q[row] * x[col]).sum(1)
-    order = np.lexsort((ids[col], -score, row))
-    row, col, score = row[order], col[order], score[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    kept = place < k
-    return row[kept], ids[col[kept]], score[kept]
+    return first_of(row, ids[col], (q[row] * x[col]).sum(1), k)
+
+
+def first_of(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest scores of each row number, ties to the smaller id."""
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], ids[kept], score[kept]
 
 
 def usable(vector: Column) -> Column:
@@ -83,6 +86,77 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0)
 
 
+def matrix(lists: pa.Array, dims: int) -> np.ndarray:
+    """Rows of up to ``dims`` numbers, filled up with zeros."""
+    lengths = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), dims))
+    out[np.arange(dims)[None, :] < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+@dataclass(frozen=True)
+class Curves:
+    """Random directions and shifts; ``most`` is the largest norm."""
+
+    turns: np.ndarray
+    shifts: np.ndarray
+    bits: int
+    most: float
+
+    @staticmethod
+    def drawn(number: int, dims: int, directions: int, bits: int, most: float, seed: int) -> Curves:
+        rng = np.random.default_rng(seed)
+        return Curves(rng.standard_normal((number, dims + 1, directions)) / np.sqrt(dims + 1), rng.random((number, directions)), bits, most)
+
+    def keys(self, curve: int, x: np.ndarray, ids: np.ndarray, asks: bool) -> np.ndarray:
+        """The keys of vectors as rows, lengthened to the largest norm, or as queries, scaled to it."""
+        norms = np.sqrt((x * x).sum(1))
+        y = x * (self.most / norms)[:, None] if asks else x
+        last = np.zeros(len(x)) if asks else np.sqrt(np.maximum(self.most**2 - norms**2, 0))
+        p = np.column_stack([y, last]) @ self.turns[curve] / (self.most / np.sqrt(x.shape[1] + 1))  # about standard normal
+        cells = np.clip((p + 4 + 4 * self.shifts[curve]) / 12 * (1 << self.bits), 0, (1 << self.bits) - 1)
+        tie = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TIE)).astype(np.int64)
+        return hilbert(cells, self.bits) << TIE | tie
+
+
+@dataclass(frozen=True)
+class Plan:
+    """The keys at which each curve is cut, and the share of the pilot's neighbours that this finds."""
+
+    cuts: list[np.ndarray]
+    recall: float
+
+
+def planned(curves: Curves, sample: tuple[np.ndarray, np.ndarray], pilot: tuple[np.ndarray, np.ndarray], near: list[tuple[np.ndarray, np.ndarray]], n: int, recall: float, least: int) -> Plan:
+    """The cheapest of growing numbers of curves and widths. ``sample`` and ``pilot``: ids and vectors; ``near``: of each
+    pilot query its true neighbours. Cost: the rows a query meets."""
+    number = len(curves.turns)
+    owner = np.repeat(np.arange(len(near)), [len(v[0]) for v in near])
+    ids, x = np.concatenate([v[0] for v in near]), np.concatenate([v[1] for v in near])
+    keys = [np.sort(curves.keys(c, sample[1], sample[0], False)) for c in range(number)]
+    of_query = [curves.keys(c, pilot[1], pilot[0], True) for c in range(number)]
+    of_near = [curves.keys(c, x, ids, False) for c in range(number)]
+    found = None
+    blocks = max(1, n // least)
+    while True:
+        hit = np.zeros(len(ids), bool)
+        for c in range(number):
+            cuts = keys[c][np.arange(1, blocks) * len(keys[c]) // blocks]
+            hit |= np.abs(np.searchsorted(cuts, of_query[c], "right")[owner] - np.searchsorted(cuts, of_near[c], "right")) <= 1
+            share = float(hit.mean()) if len(hit) else 1.0
+            if share >= recall:
+                cost = (c + 1) * min(3, blocks) / blocks
+                if found is None or cost < found[0]:
+                    found = (cost, c + 1, blocks, share)
+                break
+        # ranges wider than a 16th only if nothing else does; a single range finds all
+        if blocks == 1 or (found and blocks <= RANGES):
+            break
+        blocks = max(blocks * 3 // 4, RANGES) if blocks > RANGES else blocks * 3 // 4
+    _, taken, blocks, share = found
+    return Plan([keys[c][np.arange(1, blocks) * len(keys[c]) // blocks] for c in range(taken)], share)
+
+
 def search(
     vectors: DataFrame,
     queries: Column,
@@ -90,187 +164,111 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 20,
-    curves: int = 4,
+    curves: int = 12,
     directions: int = 8,
     bits: int = 7,
     block_rows: int = 1024,
-    group_rows: int = 256,
-    exact: bool = True,
+    recall: float = 0.94,
+    pilot: int = 128,
+    sample: int = 20_000,
     seed: int = 0,
 ) -> DataFrame:
     """query_id, rank (int, from 1), vec_id, score (double): the k nearest found of each query, ties to the smaller id.
 
-    ``queries`` is a condition on the id. Null, all-zero and not finite vectors and null ids take no part; a vector
-    shorter than the longest counts as filled up with zeros. Repeated ids count once, with their largest score. An
-    empty table gives no rows. With ``exact`` the result is that of a full comparison; without it, what the windows
-    found. Other columns are not read.
+    ``queries`` is a condition on the column ``id``. Null, all-zero and not finite vectors and null ids take no part; a
+    vector shorter than the longest counts as filled up with zeros. Repeated ids count once, with their largest score.
+    An empty table gives no rows, and so does one without queries. Other columns are not read. ``curves`` at most and
+    ranges of ``block_rows`` rows at least are tried for ``recall``, measured on ``pilot`` queries (the first by a hash
+    of the id); ranges are cut by about ``sample`` rows. Every row is searched. A table of less than two ranges is compared whole.
     """
+    # vectors travel in the precision they have; all arithmetic is in double precision
+    packing = np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     rows = rows.withColumn("asks", F.coalesce(queries, F.lit(False)))
-    dims, most, asked = rows.agg(F.max(F.size("v")), F.max(F.sqrt(squares)), F.sum(F.col("asks").cast("long"))).first()
-    if dims is None:
-        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    dims, most, n, asked = rows.agg(F.max(F.size("v")), F.max(F.sqrt(squares)), F.count(F.lit(1)), F.sum(F.col("asks").cast("long"))).first()
+    if not asked:
+        return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     # repeated ids and vectors count once; the limit holds in each task before the rows are dealt by vector
     copies = Window.partitionBy("v").orderBy("id")
-    sole = rows.select("id", "v").withColumn("n", F.dense_rank().over(copies)).where(F.col("n") <= k + 1).dropDuplicates(["v", "id"])
-    rows = sole.select("id", F.lit(False).alias("asks"), "v").union(rows.where("asks").select("id", "asks", "v"))
-    rng = np.random.default_rng(seed)
-    turns = rng.standard_normal((curves, dims + 1, directions)) / np.sqrt(dims + 1)
-    shifts = rng.random((curves, directions))
-
-    def matrix(lists: pa.Array) -> np.ndarray:
-        """Rows of up to ``dims`` numbers, filled up with zeros."""
-        lengths = np.diff(lists.offsets.to_numpy())
-        out = np.zeros((len(lists), dims))
-        out[np.arange(dims)[None, :] < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-        return out
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, asks = matrix(b.column(2)), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            norms = np.sqrt((x * x).sum(1))
-            # a row is lengthened to the largest norm, a query is scaled to it
-            y = np.where(asks, most / norms, 1.0)[:, None] * x
-            last = np.where(asks, 0.0, np.sqrt(np.maximum(most * most - norms**2, 0)))
-            packed = pa.array([r.tobytes() for r in x], pa.binary())
-            for c in range(curves):
-                p = np.column_stack([y, last]) @ turns[c] / (most / np.sqrt(dims + 1))  # about standard normal
-                cells = np.clip((p + 4 + 4 * shifts[c]) / 12 * (1 << bits), 0, (1 << bits) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert(cells, bits)), b.column(0), b.column(1), packed], ["curve", "key", "id", "asks", "v"])
-
-    def batch(**columns) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        names = [f.split()[0] for f in FOUND.split(", ")]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(columns[c] if c in columns else [None] * n, t) for c, t in zip(names, kinds, strict=True)], names)
-
-    def bounds(kind: int, ids: np.ndarray, x: np.ndarray, size: int, number: int) -> Iterator[pa.RecordBatch]:
-        """The rows by blocks of at most ``size``, and each block's centre and radius."""
-        name = "vec_id" if kind == BLOCK else "query_id"
-        for at in range(0, len(ids), size):
-            own, y = ids[at : at + size], x[at : at + size]
-            centre, block = y.mean(0), number + at // size
-            yield batch(kind=np.full(len(own), ROW if kind == BLOCK else ASK), block=np.full(len(own), block), v=[r.tobytes() for r in y], **{name: own})
-            yield batch(kind=[kind], block=[block], centre=[centre.tolist()], radius=[float(np.sqrt(((y - centre) ** 2).sum(1)).max())])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last blocks of rows: ids and vectors
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []  # the queries that lie in them
-        curve = None
-
-        def look(at: int) -> Iterator[pa.RecordBatch]:
-            """Compares the queries of block ``at`` with it and its neighbours."""
-            asks, q = waiting[at]
-            if len(asks):
-                near = held[max(0, at - 1) : at + 2]
-                ids, x = np.concatenate([h[0] for h in near]), np.concatenate([h[1] for h in near])
-                if len(ids):
-                    row, found, score = best(q, x, ids, asks, k)
-                    yield batch(kind=np.full(len(row), HIT), query_id=asks[row], vec_id=found, score=score)
-
-        def add(ids: np.ndarray, asks: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            held.append((ids[~asks], x[~asks]))
-            waiting.append((ids[asks], x[asks]))
-            if len(held) > 1:
-                yield from look(len(held) - 2)
-            if len(held) > 2:
-                del held[0], waiting[0]
-            if curve == 0 and exact:
-                for kind, size, own in ((BLOCK, block_rows, ~asks), (GROUP, group_rows, asks)):
-                    yield from bounds(kind, ids[own], x[own], size, number)
-                number += len(ids) // group_rows + 1
-
-        def end() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield from look(len(held) - 1)
-            held.clear()
-            waiting.clear()
-
-        rest: list[tuple[np.ndarray, ...]] = []
+    sole = rows.select("id", "v").withColumn("n", F.dense_rank().over(copies)).where(F.col("n") <= k + 1).dropDuplicates(["v", "id"]).select("id", "v")
+    asking = rows.where("asks").select("id", "v")
+    mine = Curves.drawn(curves, dims, directions, bits, most, seed)
+    plan = pilot_plan(sole, asking, mine, dims, n, k=k, recall=recall, pilot=pilot, sample=sample, least=block_rows)
+
+    def send(kind: int):
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, x = b.column(0).to_numpy(), matrix(b.column(1), dims)
+                packed = pa.array([r.tobytes() for r in x.astype(packing)], pa.binary())
+                for c, cuts in enumerate(plan.cuts):
+                    block = np.searchsorted(cuts, mine.keys(c, x, ids, kind == ASK), "right")
+                    for shift in (0,) if kind == ROW else (-1, 0, 1):
+                        to = block + shift
+                        within = pa.array((to >= 0) & (to <= len(cuts)))
+                        whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c, np.int32)), pa.array(to.astype(np.int64)), pa.array(np.full(len(ids), kind, np.int32)), b.column(0), packed], ["curve", "block", "kind", "id", "v"])
+                        yield whole.filter(within)
+
+        return dealt
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Streams a range's rows past its queries."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at, asks, q, held = None, np.zeros(0, np.int64), np.zeros((0, dims)), none
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(held[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(asks[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "vec_id", "score"])
+
         for b in batches:
-            of = b.column(0).to_numpy()
-            ids, asks = b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            x = np.frombuffer(b"".join(b.column(4).to_pylist())).reshape(-1, dims)
-            for c in np.unique(of):
-                if c != curve:
-                    for r in rest:
-                        yield from add(*r)
-                    yield from end()
-                    rest, curve = [], int(c)
-                own = of == c
-                parts = [*rest, (ids[own], asks[own], x[own])]
-                i, a, y = (np.concatenate([p[j] for p in parts]) for j in range(3))
-                whole = len(i) // block_rows * block_rows
-                for at in range(0, whole, block_rows):
-                    yield from add(i[at : at + block_rows], a[at : at + block_rows], y[at : at + block_rows])
-                rest = [(i[whole:], a[whole:], y[whole:])] if whole < len(i) else []
-        for r in rest:
-            yield from add(*r)
-        yield from end()
-
-    keyed = rows.mapInArrow(keys, "curve int, key long, id long, asks boolean, v binary")
-    found = keyed.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id").mapInArrow(windows, FOUND)
-    found = settle(found) if exact else found
-    hits = found.where(F.col("kind") == HIT).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    if exact:
-        hits = hits.unionByName(check(found, hits, k, dims, spans=-(-(asked or 0) // (64 * group_rows)))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            curve, block, kind, ids = (b.column(i).to_numpy() for i in range(4))
+            x = np.frombuffer(b"".join(b.column(4).to_pylist()), packing).reshape(-1, dims).astype(np.float64)
+            turn = np.flatnonzero((np.diff(curve) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *turn], [*turn, len(ids)], strict=True):
+                if hi == lo:
+                    continue
+                if at != (curve[lo], block[lo]):
+                    yield from out()
+                    at, asks, q, held = (curve[lo], block[lo]), np.zeros(0, np.int64), np.zeros((0, dims)), none
+                if kind[lo] == ASK:
+                    asks, q = np.concatenate([asks, ids[lo:hi]]), np.concatenate([q, x[lo:hi]])
+                    continue
+                for i in range(lo, hi, 4096):
+                    j = min(i + 4096, hi)
+                    for a in range(0, len(asks), 1024):
+                        row, vec, score = best(q[a : a + 1024], x[i:j], ids[i:j], asks[a : a + 1024], k)
+                        held = tuple(np.concatenate([h, new]) for h, new in zip(held, (row + a, vec, score), strict=True))
+                    held = first_of(*held, k)
+        yield from out()
+
+    kinds = "curve int, block long, kind int, id long, v binary"
+    sent = sole.mapInArrow(send(ROW), kinds).union(asking.mapInArrow(send(ASK), kinds))
+    found = sent.repartition("curve", "block").sortWithinPartitions("curve", "block", "kind").mapInArrow(compare, "query_id long, vec_id long, score double")
+    hits = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def check(found: DataFrame, hits: DataFrame, k: int, dims: int, spans: int) -> DataFrame:
-    """What blocks hold that is at least as near as the k-th hit of a query: query_id, vec_id, score. ``spans``: into so
-    many parts the groups of queries are dealt, so that a tile (a block and a part) has a bounded number of groups."""
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rank") == k)
-    known = ranked.select(F.col("query_id").alias("_query"), F.col("score").alias("least"))
-    asks = found.where(F.col("kind") == ASK).select(F.col("block").alias("group"), "query_id", "v").join(known, F.col("query_id") == F.col("_query"), "left")
-    asks = settle(asks.select("group", "query_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least")))
-    lowest = asks.groupBy(F.col("group").alias("_group")).agg(F.min("least").alias("least"))
-    groups = found.where(F.col("kind") == GROUP).select(F.col("block").alias("group"), F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius"))
-    groups = groups.join(lowest, F.col("group") == F.col("_group"))
-    blocks = found.where(F.col("kind") == BLOCK).select("block", "centre", "radius")
-
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    length = lambda a: F.sqrt(dot(a, a))
-    near = dot("centre", "q_centre") + length("q_centre") * F.col("radius") + F.col("q_radius") * (length("centre") + F.col("radius"))
-    # blocks of rows against groups of the stated queries, by a bound on what they can score
-    pairs = settle(blocks.join(groups, near * (1 + 1e-9) + 1e-9 >= F.col("least")).select("block", "group", F.pmod(F.xxhash64("group"), F.lit(max(1, spans))).alias("span")))
-    tiles = pairs.select(F.col("block").alias("_block"), "span").distinct()
-    held = found.where(F.col("kind") == ROW).select("block", "vec_id", "v").join(tiles, F.col("block") == F.col("_block"))
-    held = held.select("block", "span", F.lit(ROW).alias("kind"), F.col("vec_id").alias("id"), "v", F.lit(None).cast("double").alias("least"))
-    asked = pairs.join(asks.withColumnRenamed("group", "_group"), F.col("group") == F.col("_group"))
-    asked = asked.select("block", "span", F.lit(ASK).alias("kind"), F.col("query_id").alias("id"), "v", "least")
+def pilot_plan(rows: DataFrame, asking: DataFrame, curves: Curves, dims: int, n: int, *, k: int, recall: float, pilot: int, sample: int, least: int) -> Plan:
+    """Compares ``pilot`` queries with all rows, and plans by their nearest; a table of less than two ranges needs no plan."""
+    if n < 2 * least:
+        return Plan([np.zeros(0, np.int64)], 1.0)
+    lists = lambda t: (t.column("id").to_numpy(), matrix(t.column("v").combine_chunks(), dims))
+    chosen = lists(asking.orderBy(F.xxhash64("id"), "id").limit(pilot).toArrow())
+    part = 1_000_000
+    known = lists(rows.where(F.pmod(F.xxhash64("id"), F.lit(part)) < F.lit(-(-part * sample // n))).toArrow())
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros(0, np.int64), np.zeros((0, dims)))
-        tile, ids, x = None, *none
-
-        def look(asks: np.ndarray, q: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
-            centre = x.mean(0)
-            radius = np.sqrt(((x - centre) ** 2).sum(1)).max()
-            may = q @ centre + np.sqrt((q * q).sum(1)) * radius * (1 + 1e-9) + 1e-9 >= low
-            if may.any():
-                row, vec, score = best(q[may], x, ids, asks[may], k, low[may])
-                yield pa.RecordBatch.from_arrays([pa.array(asks[may][row]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
-
-        for b in batches:  # rows of a tile come before its queries
-            block, span, kind, own = (b.column(i).to_numpy() for i in range(4))
-            y, low = np.frombuffer(b"".join(b.column(4).to_pylist())).reshape(-1, dims), b.column(5).to_numpy(zero_copy_only=False)
-            turn = np.flatnonzero((np.diff(block) != 0) | (np.diff(span) != 0) | (np.diff(kind) != 0)) + 1
-            for at, to in zip([0, *turn], [*turn, len(own)], strict=True):
-                if to == at:
-                    continue
-                if tile != (block[at], span[at]):
-                    tile, ids, x = (block[at], span[at]), *none
-                if kind[at] == ROW:
-                    ids, x = np.concatenate([ids, own[at:to]]), np.concatenate([x, y[at:to]])
-                else:
-                    for i in range(at, to, 1024):
-                        j = min(i + 1024, to)
-                        yield from look(own[i:j], y[i:j], low[i:j])
-
-    dealt = held.union(asked).repartition("block", "span").sortWithinPartitions("block", "span", "kind")
-    return dealt.mapInArrow(compare, "query_id long, vec_id long, score double")
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, x = b.column(0).to_numpy(), matrix(b.column(1), dims)
+            row, vec, score = best(chosen[1], x, ids, chosen[0], k)
+            at = {int(i): j for j, i in enumerate(ids)}
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(vec), pa.array(score), b.column(1).take(pa.array([at[int(i)] for i in vec], pa.int64()))], ["q", "id", "score", "v"])
+
+    hits = rows.mapInArrow(nearest, "q long, id long, score double, v array<double>").dropDuplicates(["q", "id"])
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
+    top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "id", "v").toArrow()
+    ids, x = lists(top)
+    of = top.column("q").to_numpy()
+    near = [(ids[of == q], x[of == q]) for q in range(len(chosen[0]))]
+    return planned(curves, known, chosen, near, n, recall, least)

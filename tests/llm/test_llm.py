@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,7 +284,7 @@ def test_nearest_neighbours_are_exact(spark):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(2000, None), (2020, [0.0] * 12), (2040, [1.0, None] + [0.0] * 10), (2060, [float("nan")] * 12), (2080, []), (2100, [1.0, 2.0]), (None, [1.0] * 12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    got = ann.search(df, F.col("id") % 20 == 0, block_rows=64, group_rows=8, curves=2).toPandas()
+    got = ann.search(df, F.col("id") % 20 == 0).toPandas()  # one range
     y = np.vstack([x.astype(np.float32), [[1.0, 2.0] + [0.0] * 10]]).astype(float)
     ids = np.array([*range(900), 2100])
     for q, own in got.groupby("query_id"):
@@ -294,12 +295,31 @@ def test_nearest_neighbours_are_exact(spark):
         assert np.allclose(own.score, s[order], rtol=1e-12)
         assert list(own.vec_id) == list(ids[order])
     assert set(got.query_id) == {i for i in ids if i % 20 == 0}
-    windows = ann.search(df, F.col("id") % 20 == 0, block_rows=64, exact=False).toPandas()
-    both = set(zip(got.query_id, got.vec_id, strict=True)) & set(zip(windows.query_id, windows.vec_id, strict=True))
-    assert len(both) > 0.5 * len(got)
+    ranges = ann.search(df, F.col("id") % 20 == 0, block_rows=64).toPandas()
+    both = set(zip(got.query_id, got.vec_id, strict=True)) & set(zip(ranges.query_id, ranges.vec_id, strict=True))
+    assert len(both) >= 0.9 * len(got)
+    assert ann.search(df, F.lit(False)).count() == 0
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_ranges_find_nine_in_ten_of_20_000_rows(spark):
+    """Vectors without structure, vectors in clusters, and one vector that a third of all rows hold."""
+    rng = np.random.default_rng(9)
+    for x in (rng.standard_normal((20_000, 24)), rng.standard_normal((50, 24))[rng.integers(0, 50, 20_000)] * 2 + 0.3 * rng.standard_normal((20_000, 24))):
+        x = x.astype(np.float32)
+        x[::3] = x[0]
+        df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+        got = ann.search(df, F.col("id") % 100 == 0).toPandas()
+        y, hit, all_ = x.astype(float), 0, 0
+        for q, own in got.groupby("query_id"):
+            s = y @ y[q]
+            s[q] = -np.inf
+            hit += (own.score >= np.sort(s)[-20] - 1e-9).sum()
+            all_ += 20
+            assert len(own) == 20
+        assert all_ == 4000 and hit >= 0.9 * all_
+
+
 def test_hilbert_steps_are_neighbours():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = ann.hilbert(cells, 3)
