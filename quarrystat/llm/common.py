@@ -23,6 +23,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A helper column's name that no column of ``docs`` has, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, without empty ones at its ends."""
     return F.array_remove(F.split(text, SPACE), "")

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystat.llm.common import let, text_or_empty
+from quarrystat.llm.common import free, let, text_or_empty
 
 #: Characters between words, once A-Z are in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,8 +53,8 @@ class Template:
 
 
 def lowered(text: Column) -> Column:
-    """Words in lower case, one blank between them. Letters outside A-Z may change too, which no phrase can notice."""
-    return F.trim(F.regexp_replace(F.lower(text), BETWEEN, " "))
+    """Words with A-Z, and nothing else, in lower case, one blank between them."""
+    return F.trim(F.regexp_replace(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), BETWEEN, " "))
 
 
 def vocabulary(templates: dict[str, list[str]]) -> list[str]:
@@ -167,7 +168,8 @@ def scan(
     order, made = index(templates, frequencies(docs, vocabulary(templates), text_col), threshold)
     prefixes = [order[i] for i in sorted({i for t in made for i in t.ids[: len(t.ids) - t.need + 1]})]
     results = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    kept = [c for c in docs.columns if c not in [*results, "_s", "_t"]]
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in results]
+    of_words, of_blocks = free(docs, "_words"), free(docs, "_blocks")
 
     text = text_or_empty(text_col)
 
@@ -180,22 +182,22 @@ def scan(
     rare = F.array(*map(F.lit, prefixes))
     blocks = F.filter(lines, lambda line: F.arrays_overlap(F.split(line, " "), rare))
     matches = F.array_distinct(F.flatten(F.transform(blocks, lambda line: contained(line, order, made))))
-    rows = docs.select(*kept, let(lowered(text), found).alias("_s"), matches.alias("_t"))
-    rows = rows.withColumn("_t", F.concat("_t", F.coalesce(F.col("_s")["runs"], F.array().cast("array<struct<label:string,score:double>>"))))
+    rows = docs.select(*kept, let(lowered(text), found).alias(of_words), matches.alias(of_blocks))
+    rows = rows.withColumn(of_blocks, F.concat(of_blocks, F.coalesce(F.col(of_words)["runs"], F.array().cast("array<struct<label:string,score:double>>"))))
 
-    each = [F.col("_s")[f"p{i}"] for i in range(len(phrases))]
+    each = [F.col(of_words)[f"p{i}"] for i in range(len(phrases))]
     labels = F.array_compact(F.array(*[F.when(p["n"] > 0, F.lit(label)) for p, label in zip(each, phrases.values(), strict=True)]))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     lowest = lambda f: (F.least if f == "first" else F.greatest)(*[p[f] for p in each]) if len(each) > 1 else each[0][f]
     n_base = sum((p["n"] for p in each[1:]), each[0]["n"])
-    best = F.coalesce(F.array_max(F.transform(F.col("_t"), lambda t: t["score"])), F.lit(0.0))
+    best = F.coalesce(F.array_max(F.transform(F.col(of_blocks), lambda t: t["score"])), F.lit(0.0))
     return rows.select(
         *kept,
-        F.col("_s")["n_words"].alias("n_words"),
+        F.col(of_words)["n_words"].alias("n_words"),
         n_base.alias("n_base"),
         lowest("first").alias("first_word"),
         lowest("last").alias("last_word"),
         joined(labels).alias("base_labels"),
-        joined(F.concat(labels, F.transform(F.col("_t"), lambda t: t["label"]))).alias("labels"),
+        joined(F.concat(labels, F.transform(F.col(of_blocks), lambda t: t["label"]))).alias("labels"),
         F.when(n_base > 0, 1.0).otherwise(best).alias("score"),
     )

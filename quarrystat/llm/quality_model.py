@@ -180,6 +180,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, fits: Column, label: str = "quali
 def score(docs: DataFrame, model: RuleModel, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with score (double, 0 to 1). Null texts score like empty ones, empty ones by their
     statistics, all 0. Repeated rows each keep their row; an empty table gives none. A column named score is replaced."""
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [f"`{c}`" for c in docs.columns if c.lower() != "score"]
     # one expression that names the statistics once: a filter on the score, pushed below, computes them once too
     return docs.select(*kept, let(statistics(text_or_empty(text_col)), model.column).alias("score"))
