@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystat.llm.common import let, text_or_empty, words_of
+from quarrystat.llm.common import free, let, text_or_empty, words_of
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_bullet_lines", "n_open_lines"]
 FIELDS = re.compile(rf"\b({'|'.join(MEASURES)})\b")
 
 
@@ -35,12 +35,20 @@ RULES = (
     Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 30 * n_words"),
+    Rule("few_letters", "100 * n_letter_words < 60 * n_words"),
+    Rule("bullets", "100 * n_bullet_lines > 90 * n_lines"),
+    Rule("cut_lines", "100 * n_open_lines > 50 * n_lines"),
 )
 
+# What has a letter, what starts a bullet, what ends a line that was cut.
+LETTER = r"[A-Za-z]|[^\x00-\x7F]"
+BULLET = r"^[\x20\x09-\x0D]*[-*\x{2022}\x{25CF}\x{25AA}\x{2023}]"
+OPEN = r"(\.\.\.|\x{2026})[\x20\x09-\x0D]*$"
+
 #: By version, the names of the rules that reject.
 POLICIES = {
     "base": ("few_words", "repeated_words"),
-    "v1": ("few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words"),
+    "v1": ("few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words", "few_letters", "bullets", "cut_lines"),
 }
 
 
@@ -75,7 +83,8 @@ def ledger(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     Null text: no words, and it fails ``few_words``. Empty and blank texts likewise. Repeated rows each get their own
     row; an empty table gives none. Columns of ``docs`` that are named like a measurement are replaced.
     """
-    kept = [c for c in docs.columns if c not in [*MEASURES, "fail_bits", "_m"]]
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in [*MEASURES, "fail_bits"]]
+    m = free(docs, "_m")
     text = text_or_empty(text_col)
 
     def measure(words: Column) -> Column:
@@ -87,17 +96,20 @@ def ledger(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
                 F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
                 (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
                 (F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines"),
-                F.size(own).cast("long").alias("n_lines"),
                 repeated(words).alias("n_repeat_words"),
+                F.size(own).cast("long").alias("n_lines"),
+                F.size(F.filter(words, lambda w: w.rlike(LETTER))).cast("long").alias("n_letter_words"),
+                F.size(F.filter(own, lambda x: x.rlike(BULLET))).cast("long").alias("n_bullet_lines"),
+                F.size(F.filter(own, lambda x: x.rlike(OPEN))).cast("long").alias("n_open_lines"),
             ),
         )
 
     bits = " + ".join(f"CASE WHEN {FIELDS.sub(r'm.\1', rule.fails)} THEN {1 << i}L ELSE 0L END" for i, rule in enumerate(RULES))
     fields = ", ".join(f"'{m}', m.{m}" for m in MEASURES)
-    measured = docs.select(*kept, let(words_of(text), measure).alias("_m"))
+    measured = docs.select(*kept, let(words_of(text), measure).alias(m))
     # the measurements are named once, so a filter on the bits, pushed below, takes them once too
-    judged = measured.select(*kept, F.expr(f"transform(array(_m), m -> named_struct({fields}, 'fail_bits', {bits}))[0]").alias("_m"))
-    return judged.select(*kept, *[F.col("_m")[m].alias(m) for m in [*MEASURES, "fail_bits"]])
+    judged = measured.select(*kept, F.expr(f"transform(array({m}), m -> named_struct({fields}, 'fail_bits', {bits}))[0]").alias(m))
+    return judged.select(*kept, *[F.col(m)[x].alias(x) for x in [*MEASURES, "fail_bits"]])
 
 
 def passes(*policies: str, bits: str = "fail_bits") -> Column:
