@@ -1,21 +1,27 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Documents of a source queue in a shuffled order, as often as their source may repeat. A copy's virtual finish time is
-the tokens its source has sent up to and with it, over the source's target. The copies are sorted by finish time, and
-the mix is cut where the running total reaches the budget. A running total over a whole source, or over the mix, would
-put a third of all rows in one task; totals are therefore taken by slices of the hash (or of the finish time) first,
-and only the rows of a slice are ordered together.
+the tokens its source has sent up to and with it, over the source's target. The copies of all sources are ranged by
+finish time, and the mix is cut where the running total reaches the budget. A running total over a whole source, or
+over the mix, would put all rows in one task; totals are therefore taken by slices first: of a hash for a source, and
+for the mix by ranges of time, coarse ones and then the fine ones of that in which the budget ends. Only the rows of a
+slice, and of the last fine range, are ordered together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarrystat.llm.common import settle, text_or_empty, words_of
 
 #: Rows of a slice, about.
 SLICE = 2_000
+#: Slices whose sums are ordered together.
+GROUP = 2_000
+#: Coarse ranges of a unit of virtual time, and fine ones of a coarse; powers of two, so times are cut without rounding.
+COARSE, FINE = 1 << 10, 1 << 12
 
 
 def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -40,8 +46,14 @@ def sliced_total(rows: DataFrame, keys: list[str], slice_: str, order: list[Colu
     """``rows`` with the running total of ``value`` within ``keys``, by slice and then by ``order``; slices have few rows."""
     named = {k: f"_{k}" for k in [*keys, slice_]}
     sums = rows.groupBy(*[F.col(k).alias(n) for k, n in named.items()]).agg(F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy(*[named[k] for k in keys]).orderBy(named[slice_]).rowsBetween(Window.unboundedPreceding, -1)
-    start = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    earlier = Window.partitionBy(*[named[k] for k in keys], "_group").orderBy(named[slice_]).rowsBetween(Window.unboundedPreceding, -1)
+    # slices in groups of GROUP, so that no window holds more than the groups or the slices of one
+    sums = sums.withColumn("_group", F.floor(F.col(named[slice_]) / GROUP))
+    groups = sums.groupBy(*[named[k] for k in keys], "_group").agg(F.sum("_sum").alias("_all"))
+    of_groups = Window.partitionBy(*[named[k] for k in keys]).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(*[F.col(named[k]).alias(f"_{named[k]}") for k in keys], F.col("_group").alias("__group"), F.coalesce(F.sum("_all").over(of_groups), F.lit(0)).alias("_before"))
+    sums = sums.join(groups, [F.col(named[k]).eqNullSafe(F.col(f"_{named[k]}")) for k in keys] + [F.col("_group") == F.col("__group")])
+    start = sums.select(*named.values(), (F.col("_before") + F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).alias("_start"))
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
     joined = rows.join(start, same).drop(*named.values())
     within = Window.partitionBy(*keys, slice_).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -75,30 +87,67 @@ def mix(
     """doc_id, size, source, source_size (long), target (double), copies (int), taken (long), finish (double: the virtual
     finish time of the first copy), place (struct: the order within the source), a row for each row of ``docs``.
 
-    The budget is the sum of the targets, and every source reaches its target at time 1, so the cut at the budget is
-    at time 1. A copy is taken if at least half of it lies before the cut: a source misses its target by half a
-    document at most. Null texts have size 0, and documents of size 0 are taken like others, with 0 words. A null
+    The budget is ``share`` (or ``most``, if less) times all sizes. Every source reaches its target at time 1, so the
+    cut lies near it; a copy is taken if at least half of it lies before the budget's end, and a source misses its
+    target by about a document. Null texts have size 0, and documents of size 0 are taken like others, with 0 words. A null
     source is a source of its own. Ties in the shuffled order go by id, then by text; rows alike in both may stand in
     either order. Empty tables give no rows. Reruns agree: the order is a hash of seed and id.
     """
     columns, order = placed(docs, id_col, text_col, source_col, seed)
-    rows = settle(docs.select(*columns))
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    read = settle(docs.select(*columns))
+    sources = read.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     aims = targets(sources.select("source", "source_size"), weights=weights, share=share, most=most)
     counts = sources.select(F.col("source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE)).alias("slices"))
     aims = settle(aims.join(counts, aims["source"].eqNullSafe(counts["_s"])).drop("_s").withColumnRenamed("source", "_source"))
-    rows = rows.join(aims, rows["source"].eqNullSafe(aims["_source"])).drop("_source")
+    rows = read.join(aims, read["source"].eqNullSafe(aims["_source"])).drop("_source")
     # the first 8 hexadecimal digits of the place, scaled to the source's slices
     rows = rows.withColumn("slice", (F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * F.col("slices") / F.lit(1 << 32)).cast("long"))
     rows = sliced_total(rows, ["source"], "slice", [order], "size", "sent")
-    # the middle of copy c (from 0) lies at sent + c * source_size - size / 2
-    copies = sum(F.when(F.col("sent") + F.lit(c) * F.col("source_size") - F.col("size") / 2 <= F.col("target"), 1).otherwise(0) for c in range(most))
-    return rows.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-        (F.col("size") * copies).cast("long").alias("taken"),
-        F.when(F.col("target") > 0, F.col("sent") / F.col("target")).otherwise(F.lit(0.0)).alias("finish"),
-        order.alias("place"),
-    )
+    rows = settle(rows.select("doc_id", "source", "size", "source_size", "target", "sent", order.alias("place")), read, aims)
+    time = lambda c: F.when(F.col("target") > 0, (F.col("sent") + F.lit(c) * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
+    queue = rows.select("source", "size", "place", F.posexplode(F.array(*[time(c) for c in range(most)])).alias("copy", "time"))
+    end = cut(queue.select(F.struct("time", F.col("source").isNull().alias("void"), "source", "place", "copy").alias("at"), "size"), min(share, most))
+    if end is None:
+        copies = F.lit(0)
+    else:
+        at = lambda c: F.struct(time(c).alias("time"), F.col("source").isNull().alias("void"), "source", "place", F.lit(c).alias("copy"))
+        copies = sum(F.when(at(c) <= end, 1).otherwise(0) for c in range(most))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), time(0).alias("finish"), "place")
+
+
+def cut(queue: DataFrame, share: float) -> Column | None:
+    """The last place of a queue (at: struct that starts with time; size) that the budget reaches, as a literal; None if
+    the queue is empty. The queue holds the copies of all documents, and the budget is ``share`` times the sizes of the
+    first copies. By powers of two the fine ranges of time nest in the coarse ones."""
+    coarse, fine = F.floor(F.col("at.time") * COARSE), F.floor(F.col("at.time") * (COARSE * FINE))
+    total = queue.agg(F.sum(F.when(F.col("at.copy") == 0, F.col("size")))).first()[0]
+    if total is None:
+        return None
+    budget, before, part = share * total, 0, queue
+    for ranges in (coarse, fine):
+        # the coarse ranges up to time 1 and a last one for what is later: the budget ends at about 1
+        late = COARSE * 2 if ranges is coarse else None
+        step = F.least(ranges, F.lit(late)) if late else ranges
+        sums = {r["step"]: r["size"] for r in part.groupBy(step.alias("step")).agg(F.sum("size").alias("size")).collect()}
+        last = max(sums)
+        for k in sorted(sums):
+            if before + sums[k] > budget:
+                last = k
+                break
+            before += sums[k] if k != last else 0
+        part = part.where(step == last)
+    running = F.sum("size").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    inside = part.withColumn("reached", F.lit(before) + running - F.col("size") / 2 <= budget).where("reached").agg(F.max("at").alias("at")).first()["at"]
+    if inside is None:  # the budget ends with the range before
+        inside = queue.where(fine < last).agg(F.max("at").alias("at")).first()["at"]
+    return literal(inside, queue.schema["at"].dataType)
+
+
+def literal(value, kind: StructType) -> Column:
+    """A row as a literal struct."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    return F.struct(*[(literal(value[f.name], f.dataType) if isinstance(f.dataType, StructType) else F.lit(value[f.name]).cast(f.dataType)).alias(f.name) for f in kind])
 
 
 def taken(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 2, seed: int = 0, **options) -> DataFrame:
