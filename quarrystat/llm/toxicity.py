@@ -11,11 +11,13 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystat.llm.common import let, text_or_empty
-from quarrystat.llm.licenses import lowered
+from quarrystat.llm.common import free, let, text_or_empty
+from quarrystat.llm.licenses import BETWEEN
 from quarrystat.llm.quality_model import labelled_sample
 
 # Terms that name groups; those of a line can stand for each other in a sentence.
@@ -48,7 +50,7 @@ def features(text: Column) -> Column:
         first = lambda k: F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*"))))
         return F.concat(words, *[first(k) for k in PREFIXES])
 
-    return let(F.array_remove(F.array_distinct(F.split(lowered(text), " ")), ""), of)
+    return let(F.array_remove(F.array_distinct(F.split(F.regexp_replace(F.lower(text), BETWEEN, " "), " ")), ""), of)
 
 
 @dataclass(frozen=True)
@@ -66,12 +68,12 @@ class ToxicityModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def swaps(names: list[str], found: list[list[int]]) -> list[tuple[list[int], list[int]]]:
+def swaps(names: list[str], found: list) -> list[tuple[list[int], list[int]]]:
     """For each text that holds an identity term: the features lost and those gained when it is swapped for another."""
     at = {f: i for i, f in enumerate(names)}
     pairs = []
     for row in found:
-        own = set(row)
+        own = {int(i) for i in row}
         for kind in IDENTITY_TERMS:
             for term in kind:
                 if at.get(term) in own:
@@ -84,7 +86,7 @@ def swaps(names: list[str], found: list[list[int]]) -> list[tuple[list[int], lis
 
 
 def fit_weights(
-    names: list[str], found: list[list[int]], y: np.ndarray, *, lasso: float = 2e-4, fairness: float = 1.0, steps: int = 400
+    names: list[str], found: list, y: np.ndarray, *, lasso: float = 2e-4, fairness: float = 1.0, steps: int = 400
 ) -> ToxicityModel:
     """Accelerated proximal gradient for log loss + lasso + fairness * mean squared score change over the swaps."""
     if not len(y) or not names:
@@ -131,15 +133,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, fits: Column, label: str = "toxic
         best = [r["f"] for r in counts.where("n >= 3").orderBy(weight.desc(), "f").limit(vocabulary).collect()]
         terms = [f for kind in IDENTITY_TERMS for w in kind for f in features_of(w)]
         names = list(dict.fromkeys([*best, *terms]))
-        rows = sample.select("y", "doc_id", F.array_intersect("f", F.array(*[F.lit(x) for x in names])).alias("f")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        rows = sample.select("y", "doc_id", F.array_intersect("f", F.array(*[F.lit(x) for x in names])).alias("f")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow()
     finally:
         sample.unpersist()
-    at = {f: i for i, f in enumerate(names)}
-    return fit_weights(names, [[at[x] for x in r["f"]] for r in rows], np.array([r["y"] for r in rows], dtype=float))
+    lists = rows.column("f").combine_chunks()
+    ids = pc.index_in(lists.flatten(), pa.array(names)).to_numpy(zero_copy_only=False).astype(np.int32)
+    found = np.split(ids, np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1]) if len(lists) else []
+    return fit_weights(names, found, rows.column("y").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with score (double, 0 to 1). Null and empty texts have no features and score by the
     intercept. Repeated rows each keep their row; an empty table gives none. A column named score is replaced."""
-    kept = [c for c in docs.columns if c not in ("score", "_f")]
-    return docs.select(*kept, features(text_or_empty(text_col)).alias("_f")).select(*kept, model.column(F.col("_f")).alias("score"))
+    kept, f = [f"`{c}`" for c in docs.columns if c.lower() != "score"], free(docs, "_f")
+    return docs.select(*kept, features(text_or_empty(text_col)).alias(f)).select(*kept, model.column(F.col(f)).alias("score"))
