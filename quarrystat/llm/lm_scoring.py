@@ -1,9 +1,11 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
 The model predicts a class for each token from the two tokens before it. Classes: the end of a text (which also fills
-the places before its start), each of the most frequent words, and one for all other words. The score of class w after
-words u (last) and v is ``(c1 * r[u] + c2 * r[v]) . q[w] + b[w]``. A word of the rest class then has its share among the
-training tokens of that class, with the Good-Turing mass of unseen words for one unknown word.
+the places before its start), each of the most frequent words, bands of words of like frequency with about as many
+tokens each, and a rest class for words that occur once or lie beyond the ``head``. There are about as many classes as
+the root of the number of distinct words, so the model grows with the corpus. The score of class w after
+classes u (last) and v is ``(c1 * r[u] + c2 * r[v]) . q[w] + b[w]``. A word then has its share among the training
+tokens of its class, in the rest class with the Good-Turing mass of unseen words for one unknown word.
 
 - Counting: each task counts words within bounded memory; one shuffle sums them. It covers all training texts.
 - Training: each task runs noise-contrastive steps over all its training tokens from the same start; the tasks'
@@ -61,11 +63,10 @@ class Model:
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """t1[u, w], t2[v, w] (with the bias) and z[u, v], so that ln P(w | u, v) = t1[u, w] + t2[v, w] - z[u, v]."""
         t1, t2 = (self.r * self.c[0]) @ self.q.T, (self.r * self.c[1]) @ self.q.T + self.b
-        z = np.empty_like(t1)
-        for u in range(len(t1)):
-            s = t2 + t1[u]
-            most = s.max(axis=1)
-            z[u] = most + np.log(np.exp(s - most[:, None]).sum(axis=1))
+        # the sum over w of a product of exponentials is a matrix product
+        most1, most2 = t1.max(1), t2.max(1)
+        sums = np.exp(t1 - most1[:, None]).astype(np.float64) @ np.exp(t2 - most2[:, None]).T.astype(np.float64)
+        z = (most1[:, None] + most2[None, :] + np.log(np.maximum(sums, 1e-300))).astype(np.float32)
         return t1, t2, z
 
 
@@ -151,20 +152,24 @@ def frequent(counts: DataFrame, most: int) -> list[Row]:
     return sorted(rows, key=lambda r: (r["word"] != "", -r["n"], r["word"]))
 
 
-def train(docs: DataFrame, top: list[bytes], shares: np.ndarray, *, width: int, batch: int = 1024, seed: int = 0) -> Model:
-    """One pass of every task over its own texts, then the average of the tasks' parameters by their tokens."""
-    ids = {w: i + 2 for i, w in enumerate(top)}
+#: Parameters in a row of what a task sends.
+CHUNK = 256
+
+
+def train(docs: DataFrame, index: dict[bytes, int], cls: np.ndarray, shares: np.ndarray, *, width: int, batch: int = 2048, seed: int = 0) -> Model:
+    """One pass of every task over its own texts, then the average of the tasks' parameters by their tokens. Each task
+    starts alike, so the model depends on how texts are dealt to tasks, and is the same for the same tasks."""
     start = Model.start(shares, width, seed)
-    sent = docs.sparkSession.sparkContext.broadcast((ids, start, shares))
+    sent = docs.sparkSession.sparkContext.broadcast((index, cls, start, shares))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, begin, own_shares = sent.value
+        own, own_cls, begin, own_shares = sent.value
         trainer = Trainer(Model(*[x.copy() for x in (begin.r, begin.q, begin.b, begin.c)]), own_shares, seed=TaskContext.get().partitionId())
         seen = 0
         for b in batches:
             texts, held = [], 0
             for i, text in enumerate(b.column(0).cast(pa.binary()).to_pylist()):
-                texts.append(np.array([own.get(w, REST) for w in words_of(text)], np.int64))
+                texts.append(own_cls[np.array([own.get(w, -1) for w in words_of(text)], np.int64)])
                 held += len(texts[-1]) + 1
                 if held >= 64 * batch or i == b.num_rows - 1:
                     w, u, v = contexts(texts)
@@ -173,22 +178,43 @@ def train(docs: DataFrame, top: list[bytes], shares: np.ndarray, *, width: int,
                     seen, texts, held = seen + len(w), [], 0
         if seen:
             flat = trainer.m.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["i", "x", "n"])
+            cuts = [flat[at : at + CHUNK] for at in range(0, len(flat), CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts))), pa.array([c * seen for c in cuts], pa.list_(pa.float64())), pa.array(np.full(len(cuts), seen))], ["i", "x", "n"])
+
+    def mean(part: pa.Table) -> pa.Table:
+        tasks = part.num_rows
+        sums = part.column("x").combine_chunks().flatten().to_numpy().reshape(tasks, -1).sum(0) / part.column("n").to_numpy().sum()
+        return pa.table({"i": part.column("i")[:1], "x": pa.array([sums], pa.list_(pa.float64()))})
 
-    sums = docs.select("text").mapInArrow(learn, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
-    rows = sums.toPandas()
+    rows = docs.select("text").mapInArrow(learn, "i long, x array<double>, n long").groupBy("i").applyInArrow(mean, "i long, x array<double>").toArrow()
     flat = start.flat()
-    flat[rows["i"].to_numpy(np.int64)] = rows["x"].to_numpy()
+    for i, x in zip(rows.column("i").to_pylist(), rows.column("x").to_pylist(), strict=True):
+        flat[i * CHUNK : i * CHUNK + len(x)] = x
     return Model.of(flat, len(shares), width)
 
 
+def classed(names: list[bytes], n: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each word of the head (most frequent first, the end of a text as the empty word), and of a word
+    beyond as the last entry."""
+    cls = np.full(len(names) + 1, REST)
+    ends = [i for i, w in enumerate(names) if w == b""]
+    cls[ends] = END
+    words = np.array([i for i, w in enumerate(names) if w and n[i] > 1], np.int64)
+    top, more = np.split(words, [max(1, (classes - 2) // 2)])
+    cls[top] = 2 + np.arange(len(top))
+    if len(more) and (bands := classes - 2 - len(top)) > 0:
+        before = np.cumsum(n[more]) - n[more]
+        cls[more] = 2 + len(top) + (before * bands / n[more].sum()).astype(np.int64)
+    return cls
+
+
 def score(
     docs: DataFrame,
     held_out: Column,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    classes: int = 512,
+    classes: int | None = None,
     width: int = 24,
     head: int = 200_000,
 ) -> DataFrame:
@@ -196,8 +222,8 @@ def score(
 
     Learns from the rows where ``held_out`` is false. Null and empty texts are one token, the end. Repeated rows each
     count and keep their row. With no training rows every word is unknown: base_score is 0, and score is that of the
-    untrained model. An empty table gives no rows. ``classes`` and ``head`` bound what is broadcast; words beyond are
-    looked up by a join.
+    untrained model. An empty table gives no rows. ``classes``: by default the power of two next to the root of the
+    number of distinct words, from 64 to 2048. ``head`` bounds what is broadcast; words beyond are looked up by a join.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_or_empty(text_col).alias("text"))
     fitting = rows.where(~F.col("held_out")).select("text")
@@ -206,26 +232,21 @@ def score(
     first = frequent(counts, head)
     names, n = [r["word"].encode() for r in first], np.array([r["n"] for r in first], np.float64)
     ends = float(n[names.index(b"")]) if b"" in names else 0.0
-    top = [w for w in names if w][: classes - 2]
-    of_top = set(top)
-
     scale = total + 0.1 * (distinct + 1)
-    cls = np.full(len(names) + 1, REST)  # the last place stands for words beyond the head
-    at = {w: i + 2 for i, w in enumerate(top)}
-    for i, w in enumerate(names):
-        cls[i] = END if w == b"" else at.get(w, REST)
-    by_class = np.full(len(top) + 2, 0.5)
+    cls = classed(names, n, classes or int(np.clip(2 ** round(math.log2(max(distinct, 1)) / 2), 64, 2048)))
+    by_class = np.full(cls.max(initial=REST) + 1, 0.5)
     np.add.at(by_class, cls[:-1], n)
-    rest_tokens = total - ends - sum(x for w, x in zip(names, n, strict=True) if w in of_top)
+    is_rest = cls[:-1] == REST
+    rest_tokens = total - n[~is_rest].sum()
     by_class[REST] = rest_tokens + 0.5
-    model = train(fitting, top, by_class / by_class.sum(), width=width)
+    index = {w: i for i, w in enumerate(names) if w}
+    model = train(fitting, index, cls, by_class / by_class.sum(), width=width)
 
     unseen = (once + 1) / (rest_tokens + once + 2)  # Good-Turing, within the rest class
     base_log, rest_log = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     base_log[:-1] = np.log10((n + 0.1) / scale)
-    is_rest = cls[:-1] == REST
-    rest_log[:-1][is_rest] = np.log10((1 - unseen) * n[is_rest] / max(rest_tokens, 1))
-    index = {w: i for i, w in enumerate(names) if w}
+    inside = np.bincount(cls[:-1], n, len(by_class))[cls[:-1]] if len(names) else n
+    rest_log[:-1] = np.where(is_rest, np.log10((1 - unseen) * n / max(rest_tokens, 1)), np.log10(n / np.maximum(inside, 1)))
     end_at = names.index(b"") if b"" in names else -1
     end_base = math.log10((ends + 0.1) / scale)
     sent = docs.sparkSession.sparkContext.broadcast((index, cls, base_log, rest_log, model, end_at, end_base))
