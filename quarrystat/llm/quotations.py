@@ -5,8 +5,8 @@ hashed and joined to the message of the same conversation that first wrote such
 are also a passage, hashed in runs of five words across line ends: a line that was wrapped again, or is part of a
 longer one, belongs to the message that first wrote most of the runs it has a word in. The message replied to
 is the one that the shallowest matched level names, of several the one with most matched lines, then the latest. The
-reply path of a message is the turn of the message it replies to, and that one's, up to a message that replies to none;
-sorted by path, replies follow what they answer. All columns are built-in expressions.
+root of a message is the message at the start of its chain of replies, its depth the number of replies up to there;
+sorted by root and turn, replies follow what they answer. All columns are built-in expressions.
 
 First writers are a minimum by conversation and line or run of words, summed before the shuffle, so a line that a third of all
 messages share is one row. No conversation is gathered in one place.
@@ -64,29 +64,30 @@ def quoted_runs(quotes: Column) -> Column:
     return F.flatten(F.transform(F.array_distinct(F.transform(quotes, lambda q: q["level"])), of))
 
 
-def paths(links: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent) to (conv_id, turn, path: array of turns from the first message of the chain). Each round
-    doubles the stretch a row knows, so a chain of n replies takes log n rounds."""
-    state = settle(links.select("conv_id", "turn", F.col("parent").alias("up"), F.array("turn").alias("path")))
-    while not state.where("up IS NOT NULL").isEmpty():
-        above = state.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        joined = state.join(above, (F.col("conv_id") == F.col("_conv")) & (F.col("up") == F.col("_turn")), "left")
-        # a message above that links no further is its own path
-        path = F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.coalesce("_path", F.array("up")), "path"))
-        state = settle(joined.select("conv_id", "turn", F.col("_up").alias("up"), path.alias("path")))
-    return state.select("conv_id", "turn", "path")
+def chains(links: DataFrame) -> DataFrame:
+    """(conv_id, turn, parent) to (conv_id, turn, root, depth). Each round doubles the stretch a row knows, so a chain
+    of n replies takes log n rounds, and a row holds no more than its root and depth. Rows that know their root rest."""
+    keys = links.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.lit(True).alias("more"))
+    state = links.join(keys, (F.col("conv_id") == F.col("_conv")) & (F.col("parent") == F.col("_turn")), "left")
+    state = settle(state.select("conv_id", "turn", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"), F.coalesce("more", F.lit(False)).alias("more")))
+    while not state.where("more").isEmpty():
+        above = state.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("more").alias("_more"))
+        joined = state.where("more").join(above, (F.col("conv_id") == F.col("_conv")) & (F.col("root") == F.col("_turn")))
+        moved = joined.select("conv_id", "turn", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_more").alias("more"))
+        state = settle(moved.union(state.where("NOT more")), state)
+    return state.drop("more")
 
 
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotes and the lines that announce them), n_quoted, n_linked (long: quoted
-    lines with a word, and those found in an earlier message), parent (long: the turn replied to, or null), depth
-    (long: replies above it), path (string: turns from the start of the chain, joined by dots), one row for each row. A line found whole counts for
-    the message that first wrote it; else its runs of words decide.
+    lines with a word, and those found in an earlier message), parent (long: the turn replied to, or null), root (long:
+    the turn at the start of its chain), depth (long: replies above it), one row for each row. A line found whole counts
+    for the message that first wrote it; else its runs of words decide.
 
     Null texts count as empty. Rows with a null conversation or turn are kept and never linked. A line is only found
     in a smaller turn, so no message replies to itself or to a later one. Rows that repeat with the same conversation,
     turn and text link alike; where the same turn has different texts, its lines are the lines of all of them, and the
-    path follows the smallest parent. Other columns are not read. An empty table gives no rows.
+    chain follows the smallest parent. Other columns are not read. An empty table gives no rows.
     """
     rows = messages.select("conv_id", "turn", "role", text_or_empty("text").alias("raw"))
     rows = rows.withColumn("lines", parsed(F.col("raw")))
@@ -99,8 +100,6 @@ def link(messages: DataFrame) -> DataFrame:
         F.flatten(F.transform(F.filter("lines", lambda x: x["own"] & x["key"].isNotNull()), lambda x: x["words"])).alias("said"),
     )
     quoted = rows.where(F.size("quotes") > 0)
-    if quoted.isEmpty():
-        return rows.select("conv_id", "turn", "role", "text", *[F.lit(0).cast("long").alias(c) for c in ("n_quoted", "n_linked")], F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("depth"), F.col("turn").cast("string").alias("path"))
     dated = rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
 
     def met(quoted: DataFrame, written: DataFrame) -> DataFrame:
@@ -118,15 +117,28 @@ def link(messages: DataFrame) -> DataFrame:
     by_turn = met_lines.groupBy("conv_id", "turn", "id", "first").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n"))
     found = by_turn.groupBy("conv_id", "turn", "id").agg(F.max_by("first", F.struct(-F.col("level"), F.col("n"), F.col("first"))).alias("parent"), F.sum("n").alias("n_linked"))
     found = settle(found)
-    ways = paths(found.groupBy("conv_id", "turn").agg(F.min("parent").alias("parent")))
-    answers = found.join(ways, ["conv_id", "turn"]).select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("id").alias("_id"), "n_linked", "parent", "path")
+    ways = chains(found.groupBy("conv_id", "turn").agg(F.min("parent").alias("parent")))
+    answers = found.join(ways, ["conv_id", "turn"]).select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("id").alias("_id"), "n_linked", "parent", "root", "depth")
     joined = rows.join(answers, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")) & (F.col("id") == F.col("_id")), "left")
     return joined.select(
         "conv_id", "turn", "role", "text", F.size("quotes").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent",
-        F.coalesce(F.size("path") - 1, F.lit(0)).cast("long").alias("depth"), F.coalesce(F.array_join("path", "."), F.col("turn").cast("string")).alias("path"),
+        F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
 
 
 def in_reply_order(linked: DataFrame) -> DataFrame:
-    """The messages, range-sorted by conversation and reply path."""
-    return linked.orderBy("conv_id", F.transform(F.split("path", r"\."), lambda x: x.cast("long")))
+    """The messages, range-sorted by conversation and thread: what a message answers stands before it."""
+    return linked.orderBy("conv_id", "root", "turn")
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """The messages as a mail client would send them: two in three quote the message before (turn - 1), and one in three
+    also the one before that, at the second level. For tables that hold no quotes."""
+    messages = messages.select("conv_id", "turn", "role", "text")
+    said = messages.groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn")).agg(F.min("text").alias("_said"))
+    marked = lambda marks: F.concat(F.lit(marks), F.replace("_said", F.lit("\n"), F.lit("\n" + marks)), F.lit("\n"))
+    for back, name, marks, some in ((2, "_second", "> > ", F.col("turn") % 3 == 2), (1, "_first", "> ", F.col("turn") % 3 != 0)):
+        before = said.where("_said <> ''").select("_conv", F.col("_turn") + back, marked(marks).alias(name)).toDF("_conv", "_turn", name)
+        messages = messages.join(before, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")) & some, "left").drop("_conv", "_turn")
+    quoted = F.concat(F.coalesce("_second", F.lit("")), F.coalesce("_first", F.lit("")), F.coalesce("text", F.lit("")))
+    return messages.select("conv_id", "turn", "role", quoted.alias("text"))

@@ -59,19 +59,45 @@ def same(a, b):
     assert norm(a) == norm(b)
 
 
+def clashing(docs):
+    """With columns named like the operators' helpers and results."""
+    names = ["_m", "_f", "_s", "_t", "_words", "_blocks", "row", "key", "stay", "turn", "_key", "_stay", "node", "a", "b", "size", "place", "sent", "base", "bucket"]
+    return docs.withColumns({n: F.lit("clash") for n in names})
+
+
+def test_operators_keep_clashing_columns(docs, labelled):
+    rows = clashing(docs)
+    model = toxicity.fit(*labelled, fits=F.lit(True))
+    for got in (licenses.scan(rows), toxicity.score(rows, model), near_dedup.deduplicate(rows), mixing.taken(rows)):
+        assert set(rows.columns) <= set(got.columns)
+        assert {r["_key"] for r in got.select("_key").distinct().collect()} == {"clash"}
+    n = rows.count()
+    assert lm_scoring.score(rows, crc_remainder("doc_id", 10) == 0, width=8).count() == n
+    assert near_dedup.classes(rows).count() == n and mixing.mix(rows).count() == n
+    assert packing.pack_documents(rows).select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    text = "This wor\u212a is licensed under the GNU General Public License version 3"
+    df = spark.createDataFrame([(1, text), (2, text.replace("\u212a", "K"))], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in licenses.scan(df).collect()}
+    assert got[2] == 1.0 and got[1] < 1.0
+
+
 def once(docs):
     """Without the repeated ids, which the SQL forms join on."""
     return docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
 
 
 def test_rules_match_sql(docs):
-    rows = quality_rules.judge(once(docs).select("doc_id", "text")).select("doc_id", *quality_rules.MEASURES, "fail_bits", "base_failed", "kept")
+    rows = quality_rules.judge(once(docs).select("doc_id", "text")).drop("text")
     same(rows.toPandas(), sql(once(docs), registered.sql7()))
 
 
 def test_rules_edges_and_ablations(spark, docs, empty):
     rows = quality_rules.judge(docs.withColumn("n_words", F.lit("clash")))
     assert rows.count() == docs.count() and dict(rows.dtypes)["n_words"] == "bigint"
+    assert {"_m", "_f", "_words", "row"} <= set(quality_rules.judge(clashing(docs)).columns)
     assert not rows.where("text IS NULL OR trim(text) = ''").where("kept").count()
     assert quality_rules.judge(empty).count() == 0
     got = {r["rule"]: r for r in quality_rules.ablations(rows, "v1").collect()}
@@ -113,7 +139,7 @@ def test_mixing_over_slices(spark, monkeypatch):
     mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
     assert (mixed.taken <= 2 * mixed["size"]).all()
     for _, own in mixed.groupby("source", dropna=False):
-        assert abs(own.taken.sum() - own.target.iloc[0]) <= 15
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= 30  # a document: the cut is one for all sources
         assert own.target.iloc[0] <= 2 * own.source_size.iloc[0] + 1e-6
     assert abs(mixed.drop_duplicates("source").target.sum() - 1.5 * mixed["size"].sum()) < 1e-3
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -128,7 +154,6 @@ def tokens(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -341,12 +366,12 @@ CHAT = [
 
 def test_quotations(spark):
     df = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")
-    got = quotations.link(df.withColumn("path", F.lit("clash")))
-    same(got.toPandas(), sql(df, registered.SQL3, "conversations"))
+    got = quotations.link(df.withColumns({"root": F.lit("clash"), "_conv": F.lit(0)}))
+    same(got.toPandas(), sql(df, registered.SQL3.replace("MESSAGES", "conversations"), "conversations"))
     by = {(r["conv_id"], r["turn"]): r for r in got.collect()}
     assert by[1, 1]["text"] == "Use an index." and by[1, 1]["parent"] == 0
-    assert by[1, 2]["parent"] == 1 and by[1, 2]["path"] == "0.1.2"
-    assert by[1, 5]["path"] == "0.1.2.5" or by[1, 5]["parent"] in (1, 2)
+    assert by[1, 2]["parent"] == 1 and (by[1, 2]["root"], by[1, 2]["depth"]) == (0, 2)
+    assert by[1, 5]["parent"] in (1, 2) and by[1, 5]["root"] == 0
     assert by[1, 4]["parent"] is None and by[1, 4]["n_quoted"] == 1
     assert [r["turn"] for r in quotations.in_reply_order(got.where("conv_id = 1")).collect()][:3] == [0, 1, 2]
 
@@ -357,7 +382,18 @@ def test_quotations_without_quotes_and_with_nulls(spark):
     got = quotations.link(spark.createDataFrame(rows, schema))
     assert got.count() == 5 and got.where("parent = 0").count() == 2
     assert quotations.link(spark.createDataFrame([], schema)).count() == 0
-    assert quotations.link(spark.createDataFrame(rows[:1], schema)).first()["path"] == "0"
+    assert quotations.link(spark.createDataFrame(rows[:1], schema)).first()["root"] == 0
+
+
+def test_long_chains_and_derived_quotes(spark):
+    """A chain of 70 replies, a very long message, and the registered query's quotes against its SQL."""
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, i, "a", f"line {i} of the chain\nand {i} more") for i in range(71)] + [(2, i, "b", t) for i, t in enumerate([None, "", "x " * 40_000 + "end", "same\nsame", "> same\n\nlast"])]
+    df = spark.createDataFrame(rows, schema)
+    quoted = df.where("conv_id = 1 AND turn > 0").withColumn("text", F.concat(F.lit("> line "), F.col("turn") - 1, F.lit(" of the chain\n"), "text"))
+    got = {r["turn"]: r for r in quotations.link(quoted.union(df.where("conv_id = 1 AND turn = 0"))).collect()}
+    assert all(got[t]["depth"] == t and got[t]["root"] == 0 for t in range(71))
+    same(quotations.link(quotations.quoting(df)).toPandas(), sql(df, registered.oracle_sql()["op3_quotation_linking"], "conversations"))
 
 
 @pytest.fixture(scope="module")

@@ -16,9 +16,9 @@ def test_wrapped_and_partial_quotes_link(spark):
         (2, 0, "user", "> The index of the table was built last week\nNot said in this conversation."),
     ]
     got = {(r["conv_id"], r["turn"]): r for r in quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert (got[1, 2]["parent"], got[1, 2]["n_quoted"], got[1, 2]["n_linked"], got[1, 2]["path"]) == (0, 3, 3, "0.2")
+    assert (got[1, 2]["parent"], got[1, 2]["n_quoted"], got[1, 2]["n_linked"], got[1, 2]["root"], got[1, 2]["depth"]) == (0, 3, 3, 0, 1)
     assert (got[1, 3]["parent"], got[1, 3]["n_quoted"], got[1, 3]["n_linked"]) == (0, 2, 2)
-    assert (got[1, 4]["parent"], got[1, 4]["n_linked"], got[1, 4]["path"]) == (2, 3, "0.2.4")
+    assert (got[1, 4]["parent"], got[1, 4]["n_linked"], got[1, 4]["root"], got[1, 4]["depth"]) == (2, 3, 0, 2)
     assert (got[1, 5]["parent"], got[1, 5]["n_linked"]) == (None, 0)
     assert (got[2, 0]["parent"], got[2, 0]["n_linked"]) == (None, 0)
 
