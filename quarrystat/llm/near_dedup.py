@@ -9,8 +9,8 @@ text repeats; a text with repeated shingles is therefore signed a second time wi
 buckets. Without repeats both signatures are the same.
 
 Texts that are equal as word lists are one node from the start, so groups of copies cost one row each, and buckets
-with the same nodes are one bucket. In a first round every node meets one leader: of the smallest nodes of its buckets
-the smallest that sizes and maps of bits allow. As md5 hashes order nodes alike in all buckets, a group of near copies
+with the same nodes are one bucket. In a first round every node meets one leader: of the smallest nodes of its
+buckets the one whose map of bits differs least. As md5 hashes order nodes alike in all buckets, a group of near copies
 falls into few classes at once. In each further round a few leaders of a bucket are compared with the bucket's nodes of
 other classes, and leave. Rounds go on, with twice the leaders each time, until no bucket holds nodes of two classes
 that haven't met. What a few rounds leave over (many different texts that share a common passage) moves on to buckets
@@ -153,13 +153,17 @@ def described(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(sets.select(F.col("node").alias("_node"), F.size("shingles").alias("size"), "bits"), F.col("node") == F.col("_node")).drop("_node")
 
 
+def apart() -> Column:
+    """In how many bits the maps of a pair (bits, _bits) differ."""
+    return F.aggregate(F.zip_with("bits", "_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+
+
 def allowed(threshold: float) -> Column:
     """Whether sizes and maps allow a pair (size, bits and _size, _bits) the threshold. Of n and m shingles in all,
     similar sets differ in ``(n + m) (1 - t) / (1 + t)`` at most, and maps in no more bits than that."""
     total = F.col("size") + F.col("_size")
-    apart = F.aggregate(F.zip_with("bits", "_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     ratio = F.least("size", "_size") >= F.lit(threshold) * F.greatest("size", "_size") - 1e-9
-    return ratio & (apart <= F.lit((1 - threshold) / (1 + threshold)) * total + 1e-9)
+    return ratio & (apart() <= F.lit((1 - threshold) / (1 + threshold)) * total + 1e-9)
 
 
 def parts(links: DataFrame) -> DataFrame:
@@ -227,12 +231,13 @@ def still_open(members: DataFrame, found: Classes) -> DataFrame:
 
 
 def first_meeting(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[Classes, DataFrame]:
-    """Every node meets one leader, the smallest allowed one of its buckets' smallest nodes: the classes that makes, and
-    the pairs (a, b) tried. One pair a node at most."""
+    """Every node meets one leader, of its buckets' smallest nodes the one whose map differs least: the classes that
+    makes, and the pairs (a, b) tried. One pair a node at most."""
     heads = members.groupBy(F.col("bucket").alias("_bucket")).agg(F.min(F.struct("node", "size", "bits")).alias("head"))
     heads = heads.select("_bucket", F.col("head.node").alias("leader"), F.col("head.size").alias("_size"), F.col("head.bits").alias("_bits"))
     met = members.join(heads, F.col("bucket") == F.col("_bucket")).where((F.col("leader") < F.col("node")) & allowed(threshold))
-    pairs = settle(met.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"))
+    nearest = F.struct((apart() / (F.col("size") + F.col("_size"))).alias("apart"), "leader")
+    pairs = settle(met.groupBy(F.col("node").alias("b")).agg(F.min(nearest).alias("head")).select(F.col("head.leader").alias("a"), "b"))
     links = settle(verified(pairs, sets, threshold).select("a", "b"))
     found = Classes().joined_by(links)
     release(links)
