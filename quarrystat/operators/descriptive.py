@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystat.functions import dist
+from quarrystat.operators.ranked import running
 from quarrystat.sources.tables import small
 
 
@@ -22,12 +23,18 @@ def describe(df: DataFrame, columns: list[str], by: list[str] | None = None, *,
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.skewness("value").alias("skewness"), (F.kurtosis("value") + 3).alias("kurtosis"),
     )
-    ranked = long.withColumns({"_i": F.row_number().over(Window.partitionBy(*keys).orderBy("value")), "_n": F.count("value").over(Window.partitionBy(*keys))})
+    # values are counted first; a percentile is the value at which the running count passes n p / 100
+    distinct = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_c"))
+    by_value = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = distinct.withColumns({"_upto": F.sum("_c").over(by_value)}).join(stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("n").alias("_n")), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
 
     def percentile(p: float) -> Column:
         at = F.col("_n") * p / 100
-        chosen = (F.col("_i") == F.floor(at) + 1) | ((F.col("_i") == at) & (at == F.floor(at)))
-        return F.avg(F.when(chosen, F.col("value"))).alias(f"p{p:g}")
+        whole = at == F.floor(at)
+        first, second = F.greatest(F.when(whole, at).otherwise(F.floor(at) + 1), F.lit(1.0)), F.least(F.floor(at) + 1, F.col("_n"))
+        covers = lambda i: (F.col("_upto") >= i) & (F.col("_upto") - F.col("_c") < i)
+        pick = lambda i: F.max(F.when(covers(i), F.col("value")))
+        return ((pick(first) + pick(second)) / 2).alias(f"p{p:g}")
 
     cuts = ranked.groupBy(*keys).agg(*[percentile(p) for p in percentiles])
     return stats.join(cuts, keys)
@@ -104,8 +111,11 @@ def midranks(df: DataFrame, value: str, by: list[str] | None = None, name: str =
     row in the window; ``by`` splits the ranking."""
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.withColumn(name, upto - (F.col("_n") - 1) / 2).drop("_n")
+    if by:
+        upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        ranks = counts.withColumn(name, upto - (F.col("_n") - 1) / 2).drop("_n")
+    else:
+        ranks = running(counts, value, "_n", "_upto").withColumn(name, F.col("_upto") - (F.col("_n") - 1) / 2).drop("_n", "_upto")
     return df.join(ranks, [*by, value], "left")
 
 
@@ -210,10 +220,29 @@ def mcnemar(df: DataFrame, a: str, b: str) -> DataFrame:
 def scatter(df: DataFrame, x: str, y: str, order: list[str], most: int = 2000) -> DataFrame:
     """At most ``most`` finite pairs at even ranks of the stated order, the first and last among them."""
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *[F.col(o).alias(f"o_{i}") for i, o in enumerate(order)]).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    ranked = rows.withColumns({"i": F.row_number().over(Window.orderBy(*[f"o_{i}" for i in range(len(order))])) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())})
-    step = (F.col("n") - 1) / F.lit(most - 1)
+    n = rows.count()
+    if n <= most:
+        return rows.select("x", "y")
+    # rows are counted by the first key's slices; only a slice's rows are ordered together
+    rows = rows.withColumn("s", _slice_of(rows))
+    sums = rows.groupBy(F.col("s").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sums.select("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy("s").orderBy(*[f"o_{i}" for i in range(len(order))])
+    ranked = rows.join(F.broadcast(starts), F.col("s") == F.col("_s")).withColumn("i", F.col("_start") + F.row_number().over(inner) - 1)
+    step = F.lit((n - 1) / (most - 1))
     even = F.floor(F.ceil(F.col("i") / step) * step + 1e-9) == F.col("i")
-    return ranked.where((F.col("n") <= most) | even).select("x", "y")
+    return ranked.where(even).select("x", "y")
+
+
+def _slice_of(rows: DataFrame) -> Column:
+    """Slices of the first key where it is a number or a time, else one."""
+    kind = dict(rows.dtypes)["o_0"]
+    if kind in ("string", "boolean", "binary"):
+        return F.lit(0)
+    value = F.col("o_0") if kind not in ("timestamp", "timestamp_ntz", "date") else F.unix_seconds(F.col("o_0").cast("timestamp"))
+    numbered = rows.withColumn("_v", value.cast("double"))
+    cuts = sorted(set(numbered.agg(F.percentile_approx("_v", [i / 256 for i in range(1, 256)], 2_000)).first()[0] or []))
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value.cast("double"))), F.lit(-1)) if cuts else F.lit(0)
 
 
 def one_row(spark: SparkSession, values: dict[str, float]) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystat.functions import jets
+from quarrystat.operators import mle
 from quarrystat.operators.linear import Fit, clustered, positive, products_of
 from quarrystat.plans.spec import INTERCEPT, Spec, design
 
@@ -16,22 +18,6 @@ def _eta(xs: list[Column], beta: np.ndarray) -> Column:
     return sum((F.lit(float(b)) * x for b, x in zip(beta, xs, strict=True)), F.lit(0.0))
 
 
-def _normal_pdf(z: Column) -> Column:
-    return F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-
-
-def _normal_cdf(z: Column) -> Column:
-    """The normal distribution function in built-in arithmetic: a continued fraction far out, a power series inside."""
-    a = F.least(F.abs(z), F.lit(37.0))
-    start = F.struct(a.alias("term"), a.alias("sum"))
-    next_ = lambda s, k: s["term"] * a * a / (2 * k + 1)
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, lambda s, k: F.struct(next_(s, k).alias("term"), (s["sum"] + next_(s, k)).alias("sum")), lambda s: s["sum"])
-    inside = 0.5 + series * _normal_pdf(a)
-    fraction = F.aggregate(F.sequence(F.lit(40), F.lit(1), F.lit(-1)), a, lambda f, k: a + k / f)
-    upper = F.when(a < 4.0, 1 - inside).otherwise(_normal_pdf(a) / fraction)
-    return F.when(z >= 0, 1 - upper).otherwise(upper)
-
-
 #: For each family and its canonical or usual link: (log likelihood, d/d eta, minus the expected second derivative),
 #: from y and eta.
 def _logit(y: Column, eta: Column) -> tuple[Column, Column, Column]:
@@ -62,16 +48,7 @@ def _cloglog(y: Column, eta: Column) -> tuple[Column, Column, Column]:
 FAMILIES = {"logit": _logit, "poisson": _poisson, "gamma": _gamma, "gaussian": _gaussian, "cloglog": _cloglog}
 
 
-def probit_parts(rows: DataFrame, xs: list[Column], beta: np.ndarray) -> DataFrame:
-    q = 2 * F.col("y") - 1
-    out = rows.withColumn("_z", q * _eta(xs, beta)).withColumn("_p", _normal_cdf(F.col("_z")))
-    lam = q * _normal_pdf(F.col("_z")) / F.col("_p")
-    return out.select("*", F.log("_p").alias("_ll"), lam.alias("_s")).withColumn("_h", F.col("_s") * (F.col("_s") + q * F.col("_z")))
-
-
 def _parts(rows: DataFrame, xs: list[Column], beta: np.ndarray, family: str) -> DataFrame:
-    if family == "probit":
-        return probit_parts(rows, xs, beta)
     ll, s, h = FAMILIES[family](F.col("y"), F.col("_eta"))
     return rows.withColumn("_eta", _eta(xs, beta)).select("*", ll.alias("_ll"), s.alias("_s"), h.alias("_h"))
 
@@ -81,6 +58,8 @@ def fit(df: DataFrame, spec: Spec, family: str = "logit", *, steps: int = 50, to
     Each step is halved until the likelihood doesn't fall; stops when score and step are both small."""
     rows, names = design(df, spec)
     k = len(names)
+    if family == "probit":
+        return _probit(rows, names, spec)
     xs = [F.col(f"x{i}") for i in range(k)]
     rows = rows.persist()
     try:
@@ -114,6 +93,8 @@ def fit(df: DataFrame, spec: Spec, family: str = "logit", *, steps: int = 50, to
             beta, (ll, score, info) = beta + size * step, moved
             if np.max(np.abs(score * scale)) / math.sqrt(total) <= 1e-8 and np.max(np.abs(step) / (1 + np.abs(beta))) <= math.sqrt(tolerance):
                 break
+        else:
+            raise mle.NotConverged(f"not converged in {steps} steps; an outcome may be separated")
         inverse = np.linalg.inv(info)
         dispersion = 1.0
         if family in ("gaussian", "gamma"):
@@ -130,3 +111,16 @@ def fit(df: DataFrame, spec: Spec, family: str = "logit", *, steps: int = 50, to
         return Fit(names, beta, v, None, {"n": float(n), "loglik": ll, "loglik_null": null, "pseudo_r2": 1 - ll / null if null else math.nan}, spec.alpha)
     finally:
         rows.unpersist()
+
+
+def _probit(rows: DataFrame, names: list[str], spec: Spec) -> Fit:
+    """By the engine for any likelihood: the normal distribution function isn't one of Spark's."""
+    terms = tuple(f"x{i}" for i in range(len(names)))
+    keys = [f"k_{c}" for c in spec.cluster]
+    if len(keys) > 1:
+        raise ValueError("probit clusters by one column")
+    problem = mle.Problem(lambda y, e: jets.log_ndtr(e[0] * np.where(y["y"] > 0, 1.0, -1.0)), ("y",), (mle.Equation("y", terms, False),))
+    fit = mle.maximise(rows, problem, weight="w", robust=spec.covariance.startswith("HC"), cluster=keys[0] if keys else None, alpha=spec.alpha)
+    n, n1 = rows.agg(F.sum("w"), F.sum(F.col("w") * F.col("y"))).first()
+    null = n1 * math.log(n1 / n) + (n - n1) * math.log(1 - n1 / n) if 0 < n1 < n else math.nan
+    return Fit(names, fit.beta, fit.covariance, None, fit.metrics | {"loglik_null": null, "pseudo_r2": 1 - fit.metrics["loglik"] / null if null else math.nan}, spec.alpha)

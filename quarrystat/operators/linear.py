@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystat.functions import dist
@@ -143,6 +143,8 @@ def hac(df: DataFrame, scores: list[Column], time: str, lags: int) -> np.ndarray
     names = [f"s{i}" for i in range(len(scores))]
     own = df.select(F.col(time).alias("t"), *[s.alias(n) for s, n in zip(scores, names, strict=True)])
     meat = products_of(own, [F.col(n) for n in names])
+    if own.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() is False:
+        raise ValueError(f"{time} repeats")
     if not lags:
         return meat
     later = own.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags))))
@@ -185,6 +187,8 @@ def ols(df: DataFrame, spec: Spec, absorbed: int = 0) -> Fit:
             v = inverse * rss / (count - used)
         elif kind.startswith("HC"):
             h = sum((F.lit(float(inverse[i, j])) * xs[i] * xs[j] for i in range(k) for j in range(k) if inverse[i, j]), F.lit(0.0)) * (F.lit(1.0) if freq else w)
+            if kind in ("HC2", "HC3") and (rows.agg(F.max(h)).first()[0] or 0.0) > 1 - 1e-10:
+                raise ValueError(f"a row has a leverage of 1, so {kind} doesn't exist")
             shrink = {"HC0": F.lit(1.0), "HC1": F.lit(1.0), "HC2": F.sqrt(1 - h), "HC3": 1 - h}[kind]
             base = [(F.sqrt(w) if freq else w) * e * x / shrink for x in xs]
             meat = products_of(rows, base)
@@ -210,34 +214,94 @@ def ols(df: DataFrame, spec: Spec, absorbed: int = 0) -> Fit:
         rows.unpersist()
 
 
-def within(df: DataFrame, columns: dict[str, Column], effects: list[str], *, sweeps: int = 100, tolerance: float = 1e-10) -> DataFrame:
-    """``df`` with each named column less its means by the effects. One effect takes one window; several take
-    alternating sweeps until the largest change is small, with the rows written out every few sweeps."""
+def within(df: DataFrame, columns: dict[str, Column], effects: list[str], *, sweeps: int = 200, tolerance: float = 1e-10) -> DataFrame:
+    """``df`` with each named column less its means by the effects. Means are group sums, joined back, so a group that
+    holds a third of all rows is one row in the shuffle. One effect takes one pass. With several, alternating
+    projections run on the small tables of level effects: the part of each effect in the other's levels is a table of
+    cells (level, level, rows), so sweeps never read the rows again; what doesn't settle is an error."""
     names = list(columns)
-    grand = df.select("*", *[c.cast("double").alias(n) for n, c in columns.items()])
+    rows = df.select("*", *[c.cast("double").alias(n) for n, c in columns.items()])
     if len(effects) == 1:
-        by = Window.partitionBy(*effects)
-        return grand.withColumns({n: F.col(n) - F.avg(n).over(by) for n in names})
-    for i in range(sweeps):
-        for effect in effects:
-            by = Window.partitionBy(effect)
-            grand = grand.withColumns({n: F.col(n) - F.avg(n).over(by) for n in names})
-        if i % 4 == 3:
-            grand = grand.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else grand.persist()
-            left = grand.groupBy(effects[0]).agg(*[F.abs(F.avg(n)).alias(n) for n in names]).agg(F.greatest(*[F.max(n) for n in names], F.lit(0.0))).first()[0]
-            size = grand.agg(F.greatest(*[F.max(F.abs(n)) for n in names], F.lit(0.0))).first()[0]
-            if not size or (left or 0.0) <= tolerance * size:
-                break
-    return grand
+        return _less(rows, [_means(rows, effects[0], names)], effects, names)
+    kept = _cut
+    cells = kept(rows.groupBy(*effects).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(n).alias(f"_s{i}") for i, n in enumerate(names)]))
+    state = [cells.select(e).distinct().select(e, *[F.lit(0.0).alias(n) for n in names]) for e in effects]
+    size = rows.agg(*[F.max(F.abs(n)) for n in names]).first()
+    largest = max((v or 0.0) for v in size)
+    for sweep in range(sweeps):
+        moved = 0.0
+        for k, effect in enumerate(effects):
+            part = cells
+            for j, other in enumerate(effects):
+                if j != k:
+                    part = part.join(state[j].select(F.col(other).alias("_o"), *[F.col(n).alias(f"_a{j}_{i}") for i, n in enumerate(names)]), F.col(other) == F.col("_o")).drop("_o")
+            left = lambda i, k=k: F.sum(F.col(f"_s{i}") - F.col("_n") * sum((F.col(f"_a{j}_{i}") for j in range(len(effects)) if j != k), F.lit(0.0))) / F.sum("_n")
+            fresh = part.groupBy(effect).agg(*[left(i).alias(n) for i, n in enumerate(names)])
+            before = state[k].select(F.col(effect).alias("_o"), *[F.col(n).alias(f"_b{i}") for i, n in enumerate(names)])
+            fresh = kept(fresh.join(before, F.col(effect) == F.col("_o")).drop("_o"))
+            moved = max(moved, fresh.agg(F.max(F.greatest(*[F.abs(F.col(n) - F.col(f"_b{i}")) for i, n in enumerate(names)], F.lit(0.0)))).first()[0] or 0.0)
+            state[k] = fresh.select(effect, *names)
+        if moved <= tolerance * max(largest, 1e-300):
+            return _less(rows, state, effects, names)
+    raise ValueError(f"the effects did not settle in {sweeps} sweeps")
+
+
+def _means(rows: DataFrame, effect: str, names: list[str]) -> DataFrame:
+    return rows.groupBy(effect).agg(*[F.avg(n).alias(n) for n in names])
+
+
+def _less(rows: DataFrame, tables: list[DataFrame], effects: list[str], names: list[str]) -> DataFrame:
+    for k, (table, effect) in enumerate(zip(tables, effects, strict=True)):
+        own = table.select(F.col(effect).alias(f"_o{k}"), *[F.col(n).alias(f"_m{k}_{i}") for i, n in enumerate(names)])
+        rows = rows.join(own, F.col(effect).eqNullSafe(F.col(f"_o{k}")), "left")
+    for i, n in enumerate(names):
+        rows = rows.withColumn(n, F.col(n) - sum((F.col(f"_m{k}_{i}") for k in range(len(effects))), F.lit(0.0)))
+    return rows.drop(*[f"_o{k}" for k in range(len(effects))], *[f"_m{k}_{i}" for k in range(len(effects)) for i in range(len(names))])
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: a checkpoint in the folder the cluster shares, or on one machine the cache."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None and folder:
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+
+
+def singletons_dropped(rows: DataFrame, effects: list[str]) -> DataFrame:
+    """With several effects, without rows that are alone in a level, again and again until none is; they fit perfectly."""
+    if len(effects) < 2:
+        return rows
+    while True:
+        alone = [(e, rows.groupBy(F.col(e).alias("_o")).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")) for e in effects]
+        alone = [(e, t) for e, t in alone if not t.isEmpty()]
+        if not alone:
+            return rows
+        for e, t in alone:
+            rows = rows.join(t, F.col(e) == F.col("_o"), "left_anti")
+        rows = _cut(rows)
+
+
+def levels_absorbed(rows: DataFrame, effects: list[str]) -> int:
+    """Degrees of freedom of the effects: the levels of the first, and of each further one its levels less the connected
+    groups (mobility groups) that it forms with the first; at least one is lost to each."""
+    from quarrystat.operators.network import components
+
+    counts = rows.agg(*[F.countDistinct(e) for e in effects]).first()
+    total = counts[0]
+    for k, e in enumerate(effects[1:], 1):
+        text = lambda n, mark: F.concat(F.lit(mark), F.col(n).cast("string"))
+        groups = components(rows.select(text(effects[0], "a").alias("src"), text(e, "b").alias("dst")).distinct()).select("component").distinct().count()
+        total += counts[k] - max(groups, 1)
+    return total
 
 
 def areg(df: DataFrame, spec: Spec, effects: list[str]) -> Fit:
     """Least squares with absorbed effects: the coefficients of the predictors, with degrees of freedom for the effects."""
     names = [spec.outcome, *spec.predictors]
     used = [n for n in dict.fromkeys([*names, *effects, *spec.cluster])]
-    rows = df.select(*used).na.drop()
-    groups = rows.agg(*[F.countDistinct(e) for e in effects]).first()
-    absorbed = sum(groups) - (len(effects) - 1)
+    rows = singletons_dropped(df.select(*used).na.drop(), effects)
+    absorbed = levels_absorbed(rows, effects)
     flat = within(rows, {f"d_{n}": F.col(n) for n in names}, effects)
     clean = Spec(f"d_{spec.outcome}", tuple(f"d_{p}" for p in spec.predictors), spec.covariance, spec.cluster, intercept=False, alpha=spec.alpha)
     fit = ols(flat, clean, absorbed=absorbed)

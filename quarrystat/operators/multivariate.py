@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystat.operators.ranked import running
 from quarrystat.sources.tables import small
 
 
@@ -37,26 +38,28 @@ def survey_ratio(df: DataFrame, top: str, bottom: str, weight: str, stratum: str
 
 
 def vector_moments(df: DataFrame, vector: str, dims: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and covariance of an array column. Tasks reduce their batches to one matrix each, and Spark adds the
+    """Rows, mean and covariance of an array column, in two passes, the second about the mean. Tasks reduce their batches to one matrix each, and Spark adds the
     cells up; the driver sees dims * dims numbers."""
     rows = df.where(F.col(vector).isNotNull() & (F.size(vector) == dims)).select(F.col(vector).cast("array<double>").alias("v"))
 
-    def reduce(batches):
-        import pyarrow as pa
+    def sums(centre: np.ndarray | None) -> np.ndarray:
+        def reduce(batches):
+            import pyarrow as pa
+
+            total = None
+            for b in batches:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                part = np.concatenate([[len(x)], x.sum(0)]) if centre is None else ((x - centre).T @ (x - centre)).ravel()
+                total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "x"])
 
-        n, s, q = 0, np.zeros(dims), np.zeros((dims, dims))
-        for b in batches:
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-            n, s, q = n + len(x), s + x.sum(0), q + x.T @ x
-        if n:
-            flat = np.concatenate([[n], s, q.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "x"])
+        got = {r["i"]: r["x"] for r in rows.mapInArrow(reduce, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}
+        return np.array([got.get(i, 0.0) for i in range(1 + dims if centre is None else dims * dims)])
 
-    got = {r["i"]: r["x"] for r in rows.mapInArrow(reduce, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}
-    flat = np.array([got.get(i, 0.0) for i in range(1 + dims + dims * dims)])
-    n = int(flat[0])
-    mean = flat[1 : 1 + dims] / max(n, 1)
-    return n, mean, (flat[1 + dims :].reshape(dims, dims) - n * np.outer(mean, mean)) / max(n - 1, 1)
+    first = sums(None)
+    n, mean = int(first[0]), first[1:] / max(first[0], 1)
+    return n, mean, sums(mean).reshape(dims, dims) / max(n - 1, 1)
 
 
 def pca(df: DataFrame, vector: str, dims: int, keep: int = 5) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -121,6 +124,5 @@ def cronbach(df: DataFrame, items: list[str]) -> DataFrame:
 def lorenz(df: DataFrame, value: str) -> DataFrame:
     """The Gini coefficient, from counts of distinct values in order."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    rows = counts.withColumn("w", F.col("n") * (before + (F.col("n") + 1) / 2.0))
+    rows = running(counts, "v", "n", "upto").withColumn("w", F.col("n") * (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0))
     return rows.agg((2 * F.sum(F.col("w") * F.col("v")) / (F.sum("n") * F.sum(F.col("n") * F.col("v"))) - (F.sum("n") + 1) / F.sum("n")).alias("gini"))

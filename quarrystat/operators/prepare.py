@@ -25,8 +25,8 @@ def map_rows(df: DataFrame, columns: dict[str, Column], schema: dict[str, str])
     return out
 
 
-def _unique(df: DataFrame, on: list[str]) -> bool:
-    keyed = df.na.drop(subset=on)
+def _unique(df: DataFrame, on: list[str], nulls: str) -> bool:
+    keyed = df if nulls == "equal" else df.na.drop(subset=on)  # null keys that match nothing may repeat
     return keyed.groupBy(*on).count().where("count > 1").isEmpty()
 
 
@@ -38,7 +38,7 @@ def join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", v
         if kinds[0][k] != kinds[1][k]:
             raise TypeError(f"{k} is {kinds[0][k]} on the left and {kinds[1][k]} on the right")
     for side, df, name in ((0, left, "left"), (2, right, "right")):
-        if validate[side] == "1" and not _unique(df, on):
+        if validate[side] == "1" and not _unique(df, on, nulls):
             raise ValueError(f"keys repeat on the {name}, which {validate} excludes")
     if nulls != "equal":
         return left.join(right, on, how)
@@ -60,7 +60,7 @@ def reshape_wide(df: DataFrame, keys: list[str], variable: str, value: str, leve
     """One column for each stated level. A cell met twice is an error, or its first or last row by ``order`` counts;
     a level that isn't stated is an error or dropped."""
     known = F.col(variable).isin(levels)
-    if unknown == "error" and not df.where(~known).isEmpty():
+    if unknown == "error" and not df.where(~F.coalesce(known, F.lit(False))).isEmpty():
         raise ValueError("a level that isn't stated occurs")
     rows = df.where(known)
     if duplicates == "error":

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrystat.functions import dist
 from quarrystat.operators.linear import Fit
+from quarrystat.operators.ranked import running
 from quarrystat.plans.spec import Spec
 from quarrystat.sources.tables import small
 
@@ -19,6 +20,8 @@ def risk_table(df: DataFrame, time: str, event: str, by: list[str] | None = None
     by = by or []
     rows = df.na.drop(subset=[time, event, *by])
     counts = rows.groupBy(*by, F.col(time).cast("double").alias("time")).agg(F.sum(F.col(event).cast("long")).alias("events"), F.count(F.lit(1)).alias("exits"))
+    if not by:
+        return running(counts, "time", "exits", "at_risk", descending=True)
     after = Window.partitionBy(*by).orderBy("time").rowsBetween(0, Window.unboundedFollowing)
     return counts.withColumn("at_risk", F.sum("exits").over(after))
 
@@ -46,9 +49,8 @@ def logrank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     by_time = rows.groupBy(F.col(time).cast("double").alias("time")).agg(
         *[F.count(F.when(F.col(group) == v, 1)).alias(f"n{i}") for i, v in enumerate(levels)], *[F.sum(F.when(F.col(group) == v, F.col(event).cast("long")).otherwise(0)).alias(f"d{i}") for i, v in enumerate(levels)]
     )
-    after = Window.orderBy(F.col("time")).rowsBetween(0, Window.unboundedFollowing)
     k = len(levels)
-    rows = by_time.withColumns({f"r{i}": F.sum(f"n{i}").over(after) for i in range(k)})
+    rows = running(by_time, "time", [f"n{i}" for i in range(k)], [f"r{i}" for i in range(k)], descending=True)
     r, d = sum((F.col(f"r{i}") for i in range(k)), F.lit(0)), sum((F.col(f"d{i}") for i in range(k)), F.lit(0))
     scale = F.when(r > 1, d * (r - d) / (r - 1)).otherwise(F.lit(0.0))
     share = [F.col(f"r{i}") / r for i in range(k)]
@@ -70,7 +72,6 @@ def cox(df: DataFrame, time: str, event: str, predictors: tuple[str, ...], *, st
     rows = rows.select("t", "d", *[(F.col(f"x{i}") - F.lit(m)).alias(f"x{i}") for i, m in enumerate(means)]).persist()
     xs = [F.col(f"x{i}") for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    after = Window.orderBy(F.col("t")).rowsBetween(0, Window.unboundedFollowing)
 
     def measure(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         eta: Column = sum((F.lit(float(v)) * x for v, x in zip(b, xs, strict=True)), F.lit(0.0))
@@ -79,7 +80,9 @@ def cox(df: DataFrame, time: str, event: str, predictors: tuple[str, ...], *, st
             *[F.sum(F.col("d") * x).alias(f"dx{i}") for i, x in enumerate(xs)], *[F.sum(F.col("r") * x).alias(f"s{i + 1}") for i, x in enumerate(xs)],
             *[F.sum(F.col("r") * xs[i] * xs[j]).alias(f"q{i}_{j}") for i, j in pairs],
         )
-        run = at.select("d", "de", *[f"dx{i}" for i in range(k)], *[F.sum(c).over(after).alias(c) for c in ["s0", *[f"s{i + 1}" for i in range(k)], *[f"q{i}_{j}" for i, j in pairs]]]).where("d > 0")
+        moments = ["s0", *[f"s{i + 1}" for i in range(k)], *[f"q{i}_{j}" for i, j in pairs]]
+        run = running(at, "t", moments, [f"u_{c}" for c in moments], descending=True)
+        run = run.select("d", "de", *[f"dx{i}" for i in range(k)], *[F.col(f"u_{c}").alias(c) for c in moments]).where("d > 0")
         m = [F.col(f"s{i + 1}") / F.col("s0") for i in range(k)]
         x = run.agg(
             F.sum(F.col("de") - F.col("d") * F.log("s0")), *[F.sum(F.col(f"dx{i}") - F.col("d") * m[i]) for i in range(k)],

@@ -147,7 +147,8 @@ def _spells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {SURV}, c AS (SELECT g, time, sum(event) AS d, count(*) AS m FROM u GROUP BY g, time), r AS (SELECT *, sum(m) OVER (PARTITION BY g ORDER BY time DESC) AS at_risk FROM c),
-k AS (SELECT *, exp(sum(ln((at_risk - d) / at_risk)) OVER w) AS s, sum(d / (at_risk * (at_risk - d))) OVER w AS gw, sum(d / at_risk) OVER w AS hazard FROM r WHERE at_risk > d WINDOW w AS (PARTITION BY g ORDER BY time))
+k AS (SELECT *, CASE WHEN max(CAST(at_risk = d AS INTEGER)) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN at_risk > d THEN ln((at_risk - d) / at_risk) ELSE 0 END) OVER w) END AS s,
+  sum(CASE WHEN at_risk > d THEN d / (at_risk * (at_risk - d)) ELSE 0 END) OVER w AS gw, sum(d / at_risk) OVER w AS hazard FROM r WINDOW w AS (PARTITION BY g ORDER BY time))
 SELECT g, time, CAST(at_risk AS BIGINT) AS at_risk, CAST(d AS BIGINT) AS events, round(s, 8) AS survival, round(s * sqrt(gw), 8) AS std_error, round(hazard, 8) AS hazard FROM k WHERE d > 0""")
 def kaplan_meier(spark, sf):
     return rounded(survival.kaplan_meier(_spells(spark, sf), "time", "event", ["g"]), 8)
@@ -274,7 +275,7 @@ def _graph(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
 
 
-GRAPH = "g AS (SELECT DISTINCT l_partkey % 300 AS src, l_suppkey % 40 + 1000 AS dst FROM lineitem WHERE l_orderkey % 11 = 0)"
+GRAPH = "g AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem)"
 
 
 @query(f"WITH {GRAPH} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o + i) AS BIGINT) AS degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM g UNION ALL SELECT dst, 0, 1 FROM g) GROUP BY node")
@@ -282,8 +283,15 @@ def network_degree(spark, sf):
     return network.degree(_graph(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), n AS (SELECT DISTINCT src AS node FROM b), w(node, c) AS (SELECT node, node FROM n UNION SELECT b.dst, w.c FROM w JOIN b ON b.src = w.node WHERE w.c < b.dst)
-SELECT node, min(c) AS component FROM w GROUP BY node""")
+def _components_sql(rounds: int = 16) -> str:
+    """Labels fall to the smallest of the neighbours', round by round; more rounds than the graph is wide."""
+    steps = ["c0 AS (SELECT DISTINCT src AS node, src AS c FROM b)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"c{i} AS (SELECT x.node, least(any_value(x.c), min(y.c)) AS c FROM c{i - 1} x JOIN b ON b.src = x.node JOIN c{i - 1} y ON y.node = b.dst GROUP BY x.node)")
+    return f"WITH {GRAPH}, b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), {', '.join(steps)} SELECT node, c AS component FROM c{rounds}"
+
+
+@query(_components_sql())
 def network_components(spark, sf):
     return network.components(_graph(spark, sf))
 
@@ -309,7 +317,8 @@ def _ring(spark: SparkSession, sf: str) -> DataFrame:
     return one.join(two, "l_orderkey").where("i <= j AND src <> dst").select("src", "dst").distinct()
 
 
-RING = "g AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT l_partkey % 211 AS a, l_suppkey * 3 % 211 AS b FROM lineitem WHERE l_orderkey % 7 = 0) WHERE a <> b), b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"
+LINES = "SELECT DISTINCT x.l_partkey AS s, y.l_partkey AS d FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber <= y.l_linenumber AND x.l_partkey <> y.l_partkey"
+RING = f"g AS (SELECT DISTINCT least(s, d) AS src, greatest(s, d) AS dst FROM ({LINES})), b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"
 
 
 @query(f"""WITH {RING}, t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM g x JOIN g y ON y.src = x.dst JOIN g z ON z.src = x.src AND z.dst = y.dst), k AS (SELECT src AS node, count(*) AS k FROM b GROUP BY 1),
@@ -349,7 +358,7 @@ def network_distances(spark, sf):
     return network.distances(network.both_ways(network.undirected(_ring(spark, sf))), spark.range(1).select(F.col("id").alias("node")), 6)
 
 
-@query("WITH g AS (SELECT DISTINCT l_partkey % 211 AS s, l_suppkey * 3 % 211 AS d FROM lineitem WHERE l_orderkey % 7 = 0 AND l_partkey % 211 <> l_suppkey * 3 % 211) SELECT round(avg(CAST(EXISTS (SELECT 1 FROM g h WHERE h.s = g.d AND h.d = g.s) AS DOUBLE)), 8) AS reciprocity FROM g")
+@query(f"WITH g AS ({LINES}) SELECT round(avg(CAST(h.s IS NOT NULL AS DOUBLE)), 8) AS reciprocity FROM g LEFT JOIN g h ON h.s = g.d AND h.d = g.s")
 def network_reciprocity(spark, sf):
     return rounded(network.reciprocity(_ring(spark, sf)), 8)
 

@@ -68,39 +68,63 @@ def expression(text: str) -> Column:
     return column(ast.parse(text.strip().replace("^", "**"), mode="eval"))
 
 
+def _side(node: ast.AST, source: str) -> tuple[list[str], list[str], bool]:
+    """Names of terms, categories, and whether the intercept stays, of the right side of a formula."""
+    text = lambda n: ast.get_source_segment(source, n).replace("**", "^").replace("@", ":")
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add | ast.Sub):
+        names, categories, stays = _side(node.left, source)
+        if isinstance(node.op, ast.Sub):
+            if not (isinstance(node.right, ast.Constant) and node.right.value == 1):
+                raise ValueError("only the intercept, as - 1, can be taken out of a formula")
+            return names, categories, False
+        more = _side(node.right, source)
+        return names + more[0], categories + more[1], stays and more[2]
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub) and isinstance(node.operand, ast.Constant) and node.operand.value == 1:
+        return [], [], False
+    if isinstance(node, ast.Constant) and node.value in (0, 1):
+        return [], [], node.value == 1
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Mult):
+        (left, c1, _), (right, c2, _) = _side(node.left, source), _side(node.right, source)
+        singles = [*left, *[f"C({c})" for c in c1]], [*right, *[f"C({c})" for c in c2]]
+        return [*left, *right, *[f"{a}:{b}" for a in singles[0] for b in singles[1]]], [*c1, *c2], True
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "C":
+        return [], [text(node.args[0])], True
+    return [text(node)], [], True
+
+
 def formula(text: str, **options) -> Spec:
-    """``y ~ a + C(b) + a:c + I(x**2) + log(z)``; ``- 1`` leaves the intercept out."""
+    """``y ~ a + C(b) + a:c + x*C(b) + I(x**2) + I(x + z) + log(z)``; ``- 1`` leaves the intercept out. Products with a
+    category take every level but the first."""
     outcome, _, right = text.partition("~")
-    flat = right.replace("- 1", "+ -1").replace("-1", "+ -1")
-    parts = [p.strip() for p in flat.split("+") if p.strip()]
-    names, categorical, intercept = [], [], True
-    for p in parts:
-        if p == "-1" or p == "- 1":
-            intercept = False
-        elif p.startswith("C(") and p.endswith(")"):
-            categorical.append(p[2:-1].strip())
-        elif "*" in p and "(" not in p:
-            a, b = (x.strip() for x in p.split("*"))
-            names += [a, b, f"{a}:{b}"]
-        else:
-            names.append(p)
-    return Spec(outcome.strip(), tuple(dict.fromkeys(names)), categorical=tuple(categorical), intercept=intercept, **options)
+    source = right.strip().replace("^", "**").replace(":", "@")  # @ binds as tightly as * and isn't used otherwise
+    names, categorical, intercept = _side(ast.parse(source, mode="eval").body, source)
+    return Spec(outcome.strip(), tuple(dict.fromkeys(n.replace(" @ ", ":").replace(" : ", ":") for n in names)), categorical=tuple(dict.fromkeys(categorical)), intercept=intercept, **options)
+
+
+def _levels(df: DataFrame, c: str) -> list:
+    levels = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(385).collect()]
+    if len(levels) > 384:
+        raise ValueError(f"{c} has more than 384 levels; absorb it instead")
+    return levels
+
+
+def _coded(c: str, v) -> Term:
+    return Term(f"{c}[{v}]", F.when(F.col(c) == F.lit(v), 1.0).otherwise(F.when(F.col(c).isNotNull(), 0.0)))
 
 
 def terms(df: DataFrame, spec: Spec) -> list[Term]:
     """The design: the predictors, treatment-coded categories (the first level in order is the reference, found
     before rows are dropped), and the intercept."""
     made = []
+    levels = {c: _levels(df, c) for c in {*spec.categorical, *[f[2:-1] for p in spec.predictors for f in p.split(":") if f.startswith("C(")]}}
     for p in spec.predictors:
-        product = F.lit(1.0)
+        products = [Term("", F.lit(1.0))]
         for factor in p.split(":"):
-            product = product * expression(factor)
-        made.append(Term(p, product if ":" in p else expression(p)))
+            parts = [_coded(factor[2:-1], v) for v in levels[factor[2:-1]][1:]] if factor.startswith("C(") else [Term(factor, expression(factor))]
+            products = [Term(f"{a.name}:{b.name}".lstrip(":"), a.column * b.column) for a in products for b in parts]
+        made += products
     for c in spec.categorical:
-        levels = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(385).collect()]
-        if len(levels) > 384:
-            raise ValueError(f"{c} has more than 384 levels; absorb it instead")
-        made += [Term(f"{c}[{v}]", F.when(F.col(c) == F.lit(v), 1.0).otherwise(F.when(F.col(c).isNotNull(), 0.0))) for v in levels[1:]]
+        made += [_coded(c, v) for v in levels[c][1:]]
     return made + [Term(INTERCEPT, F.lit(1.0))] * spec.intercept
 
 

@@ -64,11 +64,12 @@ def test_ols_matches_normal_equations(rows, kind):
     assert fit.covariance == pytest.approx(v, rel=2e-7)
 
 
-def test_analytic_line(spark):
-    df = spark.createDataFrame([(0.0, 1.0), (1.0, 2.0), (2.0, 1.0), (3.0, 4.0), (4.0, 5.0)], "x double, y double")
+def test_line_by_hand(spark):
+    """Points on 4 - x / 2, moved by 3, -1, -1, -1 (which x and the constant cannot explain)."""
+    df = spark.createDataFrame([(float(x), 4 - x / 2 + d) for x, d in zip((0, 6, 2, -8), (3, -1, -1, -1), strict=True)], "x double, y double")
     fit = linear.ols(df, Spec("y", ("x",)))
-    assert fit.beta == pytest.approx([1.0, 0.6], rel=1e-12)
-    assert fit.metrics["r2"] == pytest.approx(1 - 3.2 / 13.2, rel=1e-12)
+    assert fit.beta == pytest.approx([-0.5, 4.0], rel=1e-12)
+    assert fit.metrics["rss"] == pytest.approx(12.0, rel=1e-12)
 
 
 def test_frequency_weights_are_repeated_rows(spark, rows):
@@ -131,6 +132,69 @@ def test_formula(rows):
     assert spec.predictors == ("x1", "x2", "x1:x2", "log(x2)", "I(x1^2)") and spec.categorical == ("g",) and not spec.intercept
     with pytest.raises(ValueError):
         expression("__import__('os')")
+    assert formula("y ~ I(x1 + x3) + I(x1 - 1)").predictors == ("I(x1 + x3)", "I(x1 - 1)")
+    assert formula("y ~ x1*C(g)").predictors == ("x1", "x1:C(g)") and formula("y ~ x1*C(g)").categorical == ("g",)
+    fit = linear.ols(rows[0], formula("y ~ x1*C(g) + I(x2 - 50)"))
+    assert len(fit.names) == 1 + 6 + 1 + 6 + 1
+    assert linear.ols(rows[0], formula("y ~ I(x1 + x3)")).beta[0] == pytest.approx(np.polyfit(rows[1][:, 0] + rows[1][:, 2], rows[2], 1)[0])
+
+
+def test_beta_and_its_tails_by_other_ways():
+    """Against sums of binomial terms, symmetry, and closed forms."""
+    for n in (5, 40, 300):
+        for k in range(1, n, max(1, n // 7)):
+            for p in (0.02, 0.3, 0.5, 0.9):
+                upper = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k, n + 1))
+                assert dist.beta_tail(k, n - k + 1, p) == pytest.approx(upper, rel=1e-10, abs=1e-14)
+    assert dist.beta_tail(0.5, 0.5, 0.3) == pytest.approx(2 / math.pi * math.asin(math.sqrt(0.3)), rel=1e-12)
+    assert dist.beta_tail(7.5, 0.5, 0.99) + dist.beta_tail(0.5, 7.5, 0.01) == pytest.approx(1, rel=1e-12)
+    assert dist.t_sf(40.0, 3) == pytest.approx(0.5 * dist.beta_tail(1.5, 0.5, 3 / 1603), rel=1e-12)
+    assert dist.f_sf(1.0, 1e6, 1e6) == pytest.approx(0.5, rel=1e-6)
+
+
+def test_two_effects_drop_singletons_and_count_mobility_groups(spark):
+    rng = np.random.default_rng(4)
+    g, f = np.r_[rng.integers(0, 5, 60), rng.integers(5, 9, 60)], np.r_[rng.integers(0, 4, 60), rng.integers(4, 8, 60)]
+    x = rng.standard_normal(120)
+    y = 2 * x + g - f + rng.standard_normal(120)
+    rows = [*zip(g.tolist(), f.tolist(), x.tolist(), y.tolist(), strict=True), (99, 0, 5.0, 100.0)]
+    fit = linear.areg(spark.createDataFrame(rows, "g int, f int, x double, y double"), Spec("y", ("x",)), ["g", "f"])
+    d = np.column_stack([x, *[(g == c) for c in range(9)], *[(f == c) for c in range(8)]]).astype(float)
+    rank = np.linalg.matrix_rank(d)
+    beta = np.linalg.lstsq(d, y, rcond=None)[0]
+    rss = ((y - d @ beta) ** 2).sum()
+    assert fit.beta[0] == pytest.approx(beta[0], rel=1e-7) and fit.metrics["df_resid"] == 120 - rank
+    assert fit.metrics["rss"] == pytest.approx(rss, rel=1e-7)
+
+
+def test_full_leverage_and_repeated_periods_are_errors(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 1.0), (0.0, 1.0, 2.0), (0.0, 2.0, 2.5), (1.0, 3.0, 9.0)], "alone double, x double, y double")
+    with pytest.raises(ValueError, match="leverage"):
+        linear.ols(df, Spec("y", ("alone", "x"), "HC3"))
+    with pytest.raises(ValueError, match="repeats"):
+        linear.ols(df.withColumn("t", F.lit(1)), Spec("y", ("x",), "hac", time="t", lags=1))
+
+
+def test_large_offsets_and_running_totals(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((500, 2)) * 0.5 + [1e9, -1e6]
+    df = spark.createDataFrame([(list(map(float, r)),) for r in x], "v array<double>")
+    from quarrystat.operators import multivariate, ranked
+
+    _, _, cov = multivariate.vector_moments(df, "v", 2)
+    assert cov == pytest.approx(np.cov(x.T), rel=1e-6)
+    rows = spark.createDataFrame([(float(v), int(k)) for v, k in zip(rng.permutation(3_000), rng.integers(1, 5, 3_000), strict=True)], "v double, n long")
+    for down in (False, True):
+        got = ranked.running(rows, "v", "n", "upto", descending=down, slices=20).orderBy(F.col("v").desc() if down else "v").toPandas()
+        assert (got.upto == got.n.cumsum()).all()
+
+
+def test_null_keys_are_checked_where_they_match(spark):
+    left, right = spark.createDataFrame([(None, 1)], "k long, x long"), spark.createDataFrame([(None, 1), (None, 2)], "k long, r long")
+    with pytest.raises(ValueError):
+        prepare.join(left, right, ["k"], nulls="equal")
+    with pytest.raises(ValueError):
+        prepare.reshape_wide(spark.createDataFrame([(1, None, 2)], "id long, variable string, value long"), ["id"], "variable", "value", ["a"])
 
 
 def test_preparation(spark):
