@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrystat.functions import dist
 from quarrystat.plans.spec import INTERCEPT, Spec, design
-from quarrystat.sources.tables import small
+from quarrystat.sources.tables import small, written
 
 COEFFICIENTS = "term string, estimate double, std_error double, statistic double, p_value double, ci_low double, ci_high double"
 
@@ -223,7 +223,7 @@ def within(df: DataFrame, columns: dict[str, Column], effects: list[str], *, swe
     rows = df.select("*", *[c.cast("double").alias(n) for n, c in columns.items()])
     if len(effects) == 1:
         return _less(rows, [_means(rows, effects[0], names)], effects, names)
-    kept = _cut
+    kept = written
     cells = kept(rows.groupBy(*effects).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(n).alias(f"_s{i}") for i, n in enumerate(names)]))
     state = [cells.select(e).distinct().select(e, *[F.lit(0.0).alias(n) for n in names]) for e in effects]
     size = rows.agg(*[F.max(F.abs(n)) for n in names]).first()
@@ -259,15 +259,6 @@ def _less(rows: DataFrame, tables: list[DataFrame], effects: list[str], names: l
     return rows.drop(*[f"_o{k}" for k in range(len(effects))], *[f"_m{k}_{i}" for k in range(len(effects)) for i in range(len(names))])
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: a checkpoint in the folder the cluster shares, or on one machine the cache."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None and folder:
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
-
-
 def singletons_dropped(rows: DataFrame, effects: list[str]) -> DataFrame:
     """With several effects, without rows that are alone in a level, again and again until none is; they fit perfectly."""
     if len(effects) < 2:
@@ -279,7 +270,7 @@ def singletons_dropped(rows: DataFrame, effects: list[str]) -> DataFrame:
             return rows
         for e, t in alone:
             rows = rows.join(t, F.col(e) == F.col("_o"), "left_anti")
-        rows = _cut(rows)
+        rows = written(rows)
 
 
 def levels_absorbed(rows: DataFrame, effects: list[str]) -> int:

@@ -110,7 +110,7 @@ def maximise(
 
     def parts(b: np.ndarray, c: dict[str, np.ndarray]) -> tuple[Jet, list[np.ndarray]]:
         m = len(c["w"])
-        xs = [np.column_stack([*[c[f"x{i}_{j}"] for j in range(len(e.terms))], *([np.ones(m)] if e.constant else [])]).reshape(m, p[i]) for i, e in enumerate(equations)]
+        xs = [np.column_stack([np.zeros((m, 0)), *[c[f"x{i}_{j}"] for j in range(len(e.terms))], *([np.ones(m)] if e.constant else [])]) for i, e in enumerate(equations)]
         with np.errstate(all="ignore"):
             return loglik({o: c[f"y{i}"] for i, o in enumerate(outcomes)}, Jet.variables([x @ b[offset[i] : offset[i + 1]] for i, x in enumerate(xs)])), xs
 

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystat.plans import basic
-from quarrystat.plans import models as _models  # registers its queries in basic
+from quarrystat.plans import models as _models  # these register their queries in basic
+from quarrystat.plans import more as _more
 
 
-MODULES = (basic, _models)
+MODULES = (basic, _models, _more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,3 +18,28 @@ def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A result of a few rows; numpy numbers become plain ones."""
     plain = lambda v: v.item() if hasattr(v, "item") else v
     return spark.createDataFrame([tuple(map(plain, r)) for r in rows], schema)
+
+
+_written: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _sweep() -> None:
+    """Deletes what written() has left, if the session still runs."""
+    for path, spark in _written.items():
+        with contextlib.suppress(Exception):  # the session may have stopped, and the folder may be gone with it
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the folder that the cluster shares (spark.checkpoint.dir, or where that is unset, as in
+    tests, one below the warehouse), read from there. So plans of loops don't grow, lost executors cost no more than
+    their tasks, and sizes are those of files: a checkpoint keeps the estimate of the plan before, which joins of a
+    loop's state with itself square in every round."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_written"
+    path = f"{folder.rstrip('/')}/loop-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
