@@ -109,8 +109,13 @@ def link(messages: DataFrame) -> DataFrame:
     each = quoted.select("conv_id", "turn", "id", "quotes").distinct()
     lines = each.select("conv_id", "turn", "id", F.explode("quotes").alias("q")).select("conv_id", "turn", "id", "q.level", "q.key", "q.i")
     whole = met(lines, dated.select("conv_id", "turn", F.explode("keys").alias("key"))).select("conv_id", "turn", "id", "i", "first", F.lit(True).alias("whole"), F.lit(1).cast("long").alias("n"))
-    spans = each.select("conv_id", "turn", "id", F.explode(quoted_runs(F.col("quotes"))).alias("r")).select("conv_id", "turn", "id", "r.*")
-    written = dated.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(runs(F.col("said")), lambda r: F.xxhash64(r)))).alias("key"))
+    whole = settle(whole)
+    # runs of words are looked for only where a line was not found whole: in these messages, and in their conversations
+    rest = lines.join(whole.select("conv_id", "turn", "id", "i"), ["conv_id", "turn", "id", "i"], "left_anti").select("conv_id", "turn", "id").distinct()
+    rest = settle(rest)
+    spans = each.join(rest, ["conv_id", "turn", "id"], "left_semi").select("conv_id", "turn", "id", F.explode(quoted_runs(F.col("quotes"))).alias("r")).select("conv_id", "turn", "id", "r.*")
+    open_ = dated.join(rest.select("conv_id").distinct(), "conv_id", "left_semi")
+    written = open_.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(runs(F.col("said")), lambda r: F.xxhash64(r)))).alias("key"))
     part = met(spans, written).select("conv_id", "turn", "id", "first", F.explode("lines").alias("i")).groupBy("conv_id", "turn", "id", "i", "first").agg(F.count(F.lit(1)).alias("n"))
     hits = whole.unionByName(part.withColumn("whole", F.lit(False))).groupBy("conv_id", "turn", "id", "i").agg(F.max_by("first", F.struct("whole", "n", "first")).alias("first"))
     met_lines = hits.join(lines.select("conv_id", "turn", "id", "i", "level"), ["conv_id", "turn", "id", "i"])
