@@ -27,21 +27,30 @@ BLANK = r"[\x20\x09-\x0D]+"
 RUN = 5
 
 
+def normal(text: Column) -> Column:
+    """A text in lower case with single blanks, also for line ends."""
+    return F.trim(F.regexp_replace(F.lower(text), BLANK, " "))
+
+
+def keys_of(text: Column) -> Column:
+    """The md5 of the distinct lines of a text, in normal form; blank ones have none."""
+    lines = F.transform(F.split(text, "\n", -1), normal)
+    return F.transform(F.array_distinct(F.filter(lines, lambda x: x != "")), F.md5)
+
+
 def parsed(text: Column) -> Column:
-    """The lines of a text: structs of level, own (whether the line is the writer's own), line (without marks), key
-    (md5 of the line in lower case with single blanks, null if blank), words (those of that form)."""
+    """The lines of a text: structs of level, own (whether the line is the writer's own), line (without marks), norm
+    (its normal form)."""
 
     def of(lines: Column) -> Column:
         def one(line: Column, i: Column) -> Column:
             after = F.coalesce(F.get(lines, i + 1), F.lit(""))
             body = F.regexp_replace(line, MARKS, "")
-            norm = F.trim(F.regexp_replace(F.lower(body), BLANK, " "))
             return F.struct(
                 F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 0), "[^>]", "")).alias("level"),
                 (~line.rlike(MARKS) & ~(line.rlike(ANNOUNCES) & after.rlike(MARKS))).alias("own"),
                 body.alias("line"),
-                F.when(norm != "", F.md5(norm)).alias("key"),
-                F.split(norm, " ").alias("words"),
+                normal(body).alias("norm"),
             )
 
         return F.transform(lines, one)
@@ -58,7 +67,7 @@ def quoted_runs(quotes: Column) -> Column:
     """The runs of words of each level's passage: structs of key and lines (the numbers of the lines it has words of)."""
 
     def of(level: Column) -> Column:
-        words = F.flatten(F.transform(F.filter(quotes, lambda q: q["level"] == level), lambda q: F.transform(q["words"], lambda w: F.struct(w.alias("w"), q["i"].alias("i")))))
+        words = F.flatten(F.transform(F.filter(quotes, lambda q: q["level"] == level), lambda q: F.transform(F.split(q["norm"], " "), lambda w: F.struct(w.alias("w"), q["i"].alias("i")))))
         return F.transform(runs(words), lambda r: F.struct(F.xxhash64(F.transform(r, lambda x: x["w"])).alias("key"), F.array_distinct(F.transform(r, lambda x: x["i"])).alias("lines")))
 
     return F.flatten(F.transform(F.array_distinct(F.transform(quotes, lambda q: q["level"])), of))
@@ -92,13 +101,12 @@ def link(messages: DataFrame) -> DataFrame:
     rows = messages.select("conv_id", "turn", "role", text_or_empty("text").alias("raw"))
     rows = rows.withColumn("lines", parsed(F.col("raw")))
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["own"]), lambda x: x["line"]), "\n")
-    quotes = F.filter("lines", lambda x: (x["level"] > 0) & x["key"].isNotNull())
-    rows = rows.select(
+    quotes = F.filter("lines", lambda x: (x["level"] > 0) & (x["norm"] != ""))
+    # texts are parsed once; keys and words are made of these columns where they are needed
+    rows = settle(rows.select(
         "conv_id", "turn", "role", F.md5("raw").alias("id"), F.regexp_replace(own, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("text"),
-        F.transform(quotes, lambda x, i: F.struct(x["level"].alias("level"), x["key"].alias("key"), i.alias("i"), x["words"].alias("words"))).alias("quotes"),
-        F.array_distinct(F.transform(F.filter("lines", lambda x: x["own"] & x["key"].isNotNull()), lambda x: x["key"])).alias("keys"),
-        F.flatten(F.transform(F.filter("lines", lambda x: x["own"] & x["key"].isNotNull()), lambda x: x["words"])).alias("said"),
-    )
+        F.transform(quotes, lambda x, i: F.struct(x["level"].alias("level"), x["norm"].alias("norm"), i.alias("i"))).alias("quotes"),
+    ))
     quoted = rows.where(F.size("quotes") > 0)
     dated = rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
 
@@ -106,16 +114,16 @@ def link(messages: DataFrame) -> DataFrame:
         first = written.groupBy(F.col("conv_id").alias("_conv"), F.col("key").alias("_key")).agg(F.min("turn").alias("first"))
         return quoted.join(first, (F.col("conv_id") == F.col("_conv")) & (F.col("key") == F.col("_key")) & (F.col("first") < F.col("turn")))
 
-    each = quoted.select("conv_id", "turn", "id", "quotes").distinct()
-    lines = each.select("conv_id", "turn", "id", F.explode("quotes").alias("q")).select("conv_id", "turn", "id", "q.level", "q.key", "q.i")
-    whole = met(lines, dated.select("conv_id", "turn", F.explode("keys").alias("key"))).select("conv_id", "turn", "id", "i", "first", F.lit(True).alias("whole"), F.lit(1).cast("long").alias("n"))
+    each = quoted.dropDuplicates(["conv_id", "turn", "id"]).select("conv_id", "turn", "id", "quotes")
+    lines = each.select("conv_id", "turn", "id", F.explode("quotes").alias("q")).select("conv_id", "turn", "id", "q.level", F.md5("q.norm").alias("key"), "q.i")
+    whole = met(lines, dated.select("conv_id", "turn", F.explode(keys_of(F.col("text"))).alias("key"))).select("conv_id", "turn", "id", "i", "first", F.lit(True).alias("whole"), F.lit(1).cast("long").alias("n"))
     whole = settle(whole)
     # runs of words are looked for only where a line was not found whole: in these messages, and in their conversations
     rest = lines.join(whole.select("conv_id", "turn", "id", "i"), ["conv_id", "turn", "id", "i"], "left_anti").select("conv_id", "turn", "id").distinct()
     rest = settle(rest)
     spans = each.join(rest, ["conv_id", "turn", "id"], "left_semi").select("conv_id", "turn", "id", F.explode(quoted_runs(F.col("quotes"))).alias("r")).select("conv_id", "turn", "id", "r.*")
     open_ = dated.join(rest.select("conv_id").distinct(), "conv_id", "left_semi")
-    written = open_.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(runs(F.col("said")), lambda r: F.xxhash64(r)))).alias("key"))
+    written = open_.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(runs(F.split(normal(F.col("text")), " ")), lambda r: F.xxhash64(r)))).alias("key"))
     part = met(spans, written).select("conv_id", "turn", "id", "first", F.explode("lines").alias("i")).groupBy("conv_id", "turn", "id", "i", "first").agg(F.count(F.lit(1)).alias("n"))
     hits = whole.unionByName(part.withColumn("whole", F.lit(False))).groupBy("conv_id", "turn", "id", "i").agg(F.max_by("first", F.struct("whole", "n", "first")).alias("first"))
     met_lines = hits.join(lines.select("conv_id", "turn", "id", "i", "level"), ["conv_id", "turn", "id", "i"])
