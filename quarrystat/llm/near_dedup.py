@@ -13,7 +13,7 @@ with the same nodes are one bucket. In a first round every node meets one leader
 buckets the one whose map of bits differs least. As md5 hashes order nodes alike in all buckets, a group of near copies
 falls into few classes at once. In each further round a few leaders of a bucket are compared with the bucket's nodes of
 other classes, and leave. Rounds go on, with twice the leaders each time, until no bucket holds nodes of two classes
-that haven't met. What a few rounds leave over (many different texts that share a common passage) moves on to buckets
+that haven't met. What ``rounds`` of them (one round) leave over (many different texts that share a common passage) moves on to buckets
 of an exact prefix filter over the same nodes. Before two nodes become a pair, their sizes and maps of bits must allow
 the similarity: the bits in which two maps differ never outnumber the shingles in which the sets differ, so this drops
 no link, and texts that only share a passage seldom become pairs. A link needs a Jaccard similarity of the shingle sets
@@ -248,7 +248,7 @@ def resolve(members: DataFrame, sets: DataFrame, found: Classes, tested: DataFra
     """Rounds of leaders over buckets: members (settled: bucket, node, leads: whether the node may lead, size, bits); ``tested``: pairs
     that have met. Returns the classes and the members of buckets that still hold a leader of a class which hasn't met
     the others (none, if the rounds have no limit). The number of a bucket's leaders starts at ``leaders`` and doubles
-    each round, or where rounds have no limit becomes four times as many."""
+    each round, or where rounds have no limit becomes sixteen times as many."""
     tries = [] if tested is None else [tested]
     done = 0
     while True:
@@ -258,7 +258,7 @@ def resolve(members: DataFrame, sets: DataFrame, found: Classes, tested: DataFra
             return found, open_
         # leaders come from a bucket's smallest classes: outsiders meet a large class, not the other way round
         order = Window.partitionBy("bucket").orderBy("n", "part", "node")
-        heads = open_.where("leads").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders << (done if rounds else 2 * done))
+        heads = open_.where("leads").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= leaders << (done if rounds else 4 * done))
         heads = settle(heads.select(F.col("bucket").alias("_bucket"), F.col("node").alias("leader"), F.col("part").alias("of"), F.col("size").alias("_size"), F.col("bits").alias("_bits")))
         met = open_.join(heads, F.col("bucket") == F.col("_bucket")).where((F.col("part") != F.col("of")) & allowed(threshold))
         ends = [F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"), F.least("of", "part").alias("pa"), F.greatest("of", "part").alias("pb")]
@@ -296,7 +296,7 @@ def classes(
     threshold: float = 0.8,
     registers: int = 192,
     band_rows: int = 6,
-    rounds: int = 3,
+    rounds: int = 1,
 ) -> DataFrame:
     """doc_id, class_id (long: the smallest id of its class), kept (boolean: the class's row that stays), node (binary:
     equal for equal word lists), a row for each row of ``docs``.
