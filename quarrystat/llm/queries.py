@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystat.llm import ann, licenses, lm_scoring, mixing, near_dedup, packing, quality_model, quality_rules, quotations, toxicity
+from quarrystat.llm import ann, lexical, licenses, lm_scoring, mixing, near_dedup, packing, quality_model, quality_rules, quotations, toxicity
 from quarrystat.llm.common import crc_remainder, documents
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -163,6 +163,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.score(docs, model), held_out, 0.3)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: Every item's score for every document that holds a term of it.
+SQL11 = r"""
+WITH folded AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+asked AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> ''))) AS term FROM benchmark),
+corpus AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS words FROM folded),
+held AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM folded) SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM held GROUP BY term), corpus),
+scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term), corpus GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -175,8 +192,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
+        "op11_lexical_search": op11_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quotation_linking": SQL3.replace("MESSAGES", QUOTING), "op5_license_scan": sql5(), "op6_mixing": SQL6, "op7_quality_rules": sql7(), "op8_nearest_neighbours": SQL8}
+    return {"op3_quotation_linking": SQL3.replace("MESSAGES", QUOTING), "op5_license_scan": sql5(), "op6_mixing": SQL6, "op7_quality_rules": sql7(), "op8_nearest_neighbours": SQL8, "op11_lexical_search": SQL11}
