@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystat.llm import ann, lexical, licenses, lm_scoring, mixing, near_dedup, packing, quality_model, quality_rules, quotations, toxicity
-from quarrystat.llm.common import crc_remainder, documents
+from quarrystat.llm import ann, lexical, licenses, lm_scoring, mixing, near_dedup, packing, passages, periodic, quality_model, quality_rules, quotations, toxicity
+from quarrystat.llm.common import crc_remainder, documents, let, text_or_empty, words_of
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -180,6 +180,71 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50"""
 
 
+def periodic_texts(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where one text in ten, by its id, goes on with a period from some word on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def altered(words: Column) -> Column:
+        n = F.size(words)
+        parts = F.struct(n.alias("n"), (g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).alias("p"))
+        at = lambda x, i: F.when(i < x.a, i).otherwise(x.a + (i - x.a) % x.p)
+        return let(parts, lambda x: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, at(x, i).cast("int"))), " "))
+
+    words = words_of(text_or_empty())
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), let(words, altered)).otherwise(text_or_empty()).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.collapse(periodic_texts(documents(spark, sf_dir).select("doc_id", "text")))
+    better = lambda best, r: F.when(best.isNull() | (r.length * best.period > best.length * r.period), r).otherwise(best)
+    line = lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))
+    best = F.reduce("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"), better)
+    return rows.withColumn("best", best).select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: Every pair of equal words of a text, gathered to stretches of one distance; crc32 bit by bit.
+SQL12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) AS h FROM documents),
+g AS (SELECT *, len(w)::BIGINT AS n, (h // 10)::BIGINT AS g FROM d),
+p AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g),
+t AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+words AS (SELECT r, n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM t),
+pairs AS (SELECT a.r, a.i, b.i - a.i AS q FROM words a JOIN words b ON a.r = b.r AND a.x = b.x AND a.i < b.i AND 3 * (b.i - a.i) <= a.n),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS grp FROM pairs) GROUP BY r, q, grp HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+told AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DECIMAL(18, 0) / period DESC, start, period) = 1),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM t LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = passages.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: Every window of 35 words as a string.
+SQL13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+starts AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS run FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+twice AS (SELECT r, i FROM starts SEMI JOIN (SELECT run FROM starts GROUP BY run HAVING count(*) > 1) USING (run)),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM twice),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS text FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) ANTI JOIN covered USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -193,8 +258,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
         "op11_lexical_search": op11_lexical_search,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_substring_dedup": op13_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quotation_linking": SQL3.replace("MESSAGES", QUOTING), "op5_license_scan": sql5(), "op6_mixing": SQL6, "op7_quality_rules": sql7(), "op8_nearest_neighbours": SQL8, "op11_lexical_search": SQL11}
+    return {"op3_quotation_linking": SQL3.replace("MESSAGES", QUOTING), "op5_license_scan": sql5(), "op6_mixing": SQL6, "op7_quality_rules": sql7(), "op8_nearest_neighbours": SQL8, "op11_lexical_search": SQL11, "op12_periodic_runs": SQL12, "op13_substring_dedup": SQL13}
