@@ -70,9 +70,9 @@ def same(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def anchors(rolling: Rolling, words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of a text's anchors."""
+    """Positions and hashes of a text's anchors; a text shorter than a window has none."""
     period = period_for(window)
-    h = rolling.hashes(words, window - period + 1, 0)
+    h = rolling.hashes(words, window - period + 1, 0) if len(words) >= window else np.zeros(0, np.uint64)
     at = np.flatnonzero(np.isin(np.arange(len(h)) % period, COVERS[period]))
     return at, h[at].view(np.int64)
 
@@ -81,8 +81,8 @@ def extended(rolling: Rolling, words: list[bytes], window: int, shared: np.ndarr
     """Starts and both hashes of the windows that hold a shared anchor."""
     at, h = anchors(rolling, words, window)
     at = at[np.isin(h, shared)]
-    period, last = period_for(window), len(words) - window
-    steps = np.zeros(max(last, 0) + 2, np.int64)
+    period, last = period_for(window), max(len(words) - window, -1)
+    steps = np.zeros(last + 2, np.int64)
     np.add.at(steps, np.clip(at - period + 1, 0, last + 1), 1)
     np.add.at(steps, np.clip(at + 1, 0, last + 1), -1)
     starts = np.flatnonzero(np.cumsum(steps)[:-1] > 0)
