@@ -68,13 +68,22 @@ def _sweep() -> None:
             _delete(spark, path)
 
 
+#: With this, the shuffle files of a query are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, *superseded: DataFrame | None) -> DataFrame:
     """The rows written once as a table in the shared folder, and read from there: later reads neither repeat the work
-    nor depend on the executors that did it. (checkpoint() would run the last stage twice.) Then the settled tables in
-    ``superseded`` are released."""
+    nor depend on the executors that did it, so its shuffle files go at once. (checkpoint() would run the last stage
+    twice.) Then the settled tables in ``superseded`` are released."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     _settled[path] = spark
     made = spark.read.schema(df.schema).parquet(path)
     vars(made)["settled_at"] = path
