@@ -168,14 +168,15 @@ def without_repeats(docs: DataFrame, *, window: int = 35) -> DataFrame:
     profiled = settle(profiles(texts, window))
     rows = profiled.select("id", F.explode("anchors").alias("anchor"))
     shared = settle(several(rows, "anchor"))
-    held = rows.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
-    candidates = settle(profiled.select("id", "text").join(held, "id"), shared)
+    held = settle(rows.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared")), shared)
+    candidates = settle(profiled.select("id", "text").join(held, "id"), held)
+    profiled = settle(profiled.drop("text", "anchors"), profiled)
     extended_rows = settle(windows(candidates, window))
     repeated = settle(several(extended_rows, "a", "b"))
     starts = extended_rows.join(repeated, ["a", "b"]).groupBy("id").agg(F.collect_set("at").alias("repeated"))
     less = settle(removed(candidates.join(starts, "id"), window), candidates, extended_rows, repeated)
     copied = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    judged = profiled.select("id", "k1", "k2", "copies", "n_words", "kept").join(less, "id", "left").select(
+    judged = profiled.join(less, "id", "left").select(
         "k1", "k2", "n_words",
         F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(sha([]))).otherwise(F.coalesce("kept_less", "kept")).alias("kept_sha256"),
