@@ -88,12 +88,38 @@ def _reduce(rows: DataFrame, body: Callable[[dict[str, np.ndarray]], np.ndarray]
     return out
 
 
+def _reduce_lists(rows: DataFrame, name: str) -> np.ndarray:
+    """The sum of lists of one length over all rows."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                part = b[name].flatten().to_numpy().reshape(b.num_rows, -1).sum(axis=0)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "x"])
+
+    got = rows.select(name).mapInArrow(sums, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros(got.num_rows)
+    out[got.column("i").to_numpy()] = got.column("x").to_numpy()
+    return out
+
+
 def maximise(
-    df: DataFrame, problem: Problem, *, weight: str | None = None, robust: bool = False, cluster: str | None = None, alpha: float = 0.05, steps: int = 60, tolerance: float = 1e-9, ancillary: dict | None = None
+    df: DataFrame, problem: Problem, *, weight: str | None = None, robust: bool = False, cluster: str | None = None, alpha: float = 0.05, steps: int = 60, tolerance: float = 1e-9, ancillary: dict | None = None,
+    panel: str | None = None, nodes: int = 12,
 ) -> Fit:
     """The maximum, with covariance from the observed information, or robust, or clustered. Rows with a null or NaN in
     what is read are left out; an empty table is an error. Coefficients are named equation:term, or by the term alone
-    where there is one equation."""
+    where there is one equation. With ``panel`` the first index holds a normal effect of each panel, integrated over
+    ``nodes`` (see ``random_effects``)."""
+    if panel:
+        from quarrystat.operators import random_effects
+
+        if weight or robust or cluster:
+            raise ValueError("a model with random effects takes no weights and no robust covariance")
+        return random_effects.maximise(df, problem, panel, nodes=nodes, alpha=alpha, steps=steps, tolerance=tolerance)
     equations = problem.equations
     p = [len(e.names) for e in equations]
     offset = np.cumsum([0, *p])

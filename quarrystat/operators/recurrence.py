@@ -544,6 +544,12 @@ def _adjusted(rows: Rows, value: str, predictors: tuple[str, ...], slopes: np.nd
     return y - np.column_stack([rows[c] for c in predictors]) @ slopes.T if predictors else y
 
 
+def state_space_filter(df: DataFrame, value: str, time: str, model: Model, panel: tuple[str, ...] = (), *, per_slice: int = PER_SLICE) -> DataFrame:
+    """The Kalman filter of any time-invariant model (``scan.Model`` at one point) over series in the order of their rows:
+    panel, t, error and variance of each row's prediction, and its loglik (null for a gap)."""
+    return kalman_filter(ordered(df, time, [value], panel, per_slice), model, lambda rows: rows[value][:, None])
+
+
 def arima_filter(df: DataFrame, value: str, time: str, order: Arima, parameters: dict[str, float], panel: tuple[str, ...] = (), predictors: tuple[str, ...] = (), *, per_slice: int = PER_SLICE) -> DataFrame:
     """panel, t, error and variance of each row's prediction, and its loglik, on the differenced series."""
     constant = "_cons" in parameters
@@ -552,11 +558,16 @@ def arima_filter(df: DataFrame, value: str, time: str, order: Arima, parameters:
     model, slopes, alive = _arima_model(order, points, constant, len(predictors))
     if not alive[0]:
         raise ValueError("the model is not stationary")
-    y = lambda rows: _adjusted(rows, value, predictors, slopes)
+    return kalman_filter(series, model, lambda rows: _adjusted(rows, value, predictors, slopes))
+
+
+def kalman_filter(series: Series, model: Model, y: Callable[[Rows], np.ndarray]) -> DataFrame:
+    """panel, t, error and variance of each row's prediction and its loglik, for a state-space model at one point."""
 
     def body(rows: Rows, first: np.ndarray, state: tuple) -> dict[str, np.ndarray]:
         f = scan.filtered(model, y(rows), first, *state)
-        return {"error": f.error[:, 0], "variance": f.variance[:, 0], "loglik": _gaussian(f.error, f.variance)[:, 0]}
+        seen = np.where(np.isnan(f.error), np.nan, _gaussian(f.error, f.variance))
+        return {"error": f.error[:, 0], "variance": f.variance[:, 0], "loglik": seen[:, 0]}
 
     return mapped(series, _kalman(model, y), body, ["error", "variance", "loglik"])
 
