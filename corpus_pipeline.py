@@ -1,6 +1,7 @@
 """A corpus pipeline: documents in, packed token sequences out.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents as they
+were, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,19 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystat.llm import mixing, near_dedup, packing, quality_model, quality_rules
-from quarrystat.llm.common import crc_remainder, settle
+from quarrystat.llm.common import crc_remainder, settle, wrapped
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base policy and the current one."""
-    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+    return quality_rules.judge(wrapped(docs, text=F.col("text"))).where("kept").select("row.*")
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 1/2 at least; learns from those labelled ones that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_model.fit(docs, labels, fits=crc_remainder("doc_id", 3) != 1)
-    return quality_model.score(docs, model).where("score >= 0.5").select(*docs.columns)
+    return quality_model.score(wrapped(docs, text=F.col("text")), model).where("score >= 0.5").select("row.*")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,6 +123,8 @@ def cut(queue: DataFrame, share: float) -> Column | None:
     total = queue.agg(F.sum(F.when(F.col("at.copy") == 0, F.col("size")))).first()[0]
     if total is None:
         return None
+    if not total:  # nothing has a size, so all is taken
+        return literal(queue.agg(F.max("at").alias("at")).first()["at"], queue.schema["at"].dataType)
     budget, before, part = share * total, 0, queue
     for ranges in (coarse, fine):
         # the coarse ranges up to time 1 and a last one for what is later: the budget ends at about 1
@@ -157,7 +159,7 @@ def taken(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, most=most, seed=seed, **options)
     cuts = settle(mixed.groupBy(F.col("source").alias("_cut_source")).agg(*[F.max(F.when(F.col("copies") > c, F.col("place"))).alias(f"_cut_{c}") for c in range(most)]))
     columns, order = placed(docs, id_col, text_col, source_col, seed)
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *columns).select("_row", "source", order.alias("place"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns).select("_row", "source", order.alias("place"))
     joined = keyed.join(cuts, F.col("source").eqNullSafe(F.col("_cut_source")))
     copies = sum(F.when(F.col("place") <= F.col(f"_cut_{c}"), 1).otherwise(0) for c in range(most))
     return joined.select("_row", copies.alias("copies")).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

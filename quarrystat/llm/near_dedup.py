@@ -306,15 +306,17 @@ def classes(
     banding a pair at similarity 0.8 is missed with odds of 6 in 100,000, and at 0.85 of 3 in 10 million.
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal(text_or_empty(text_col)).alias("norm")).select("doc_id", node_of(F.col("norm")).alias("node"), "norm")
-    signed = settle(banded(read, registers, band_rows))
-    rows = settle(signed.select("doc_id", "node"))
-    nodes = settle(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), signed)
+    signed = settle(banded(read, registers, band_rows).withColumn("number", F.monotonically_increasing_id()))
+    rows = settle(signed.select("doc_id", "number", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "number"))
+    nodes = signed.groupBy("node").agg(first.alias("first"), F.first("bands").alias("bands"))
+    nodes = settle(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.number").alias("number"), "bands"), signed)
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     # a bucket of one node says nothing; of buckets with the same nodes (by number and sum of hashes) one is enough
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
     shared = settle(shared.groupBy("n", "all", "low", "high").agg(F.min("bucket").alias("_bucket")).select("_bucket"))
     members = settle(buckets.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "node", F.lit(True).alias("leads")))
-    reps = settle(nodes.select("node", "rep"), nodes, shared)
+    reps = settle(nodes.select("node", "rep", "number"), nodes, shared)
     involved = members.select("node").distinct().join(reps, "node").select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
     texts = read.join(involved, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("node", "norm")
     sets = settle(shingled(texts).dropDuplicates(["node"]))
@@ -326,13 +328,12 @@ def classes(
         found, rest = resolve(settle(described(prefixes(left, sets, threshold), sets), left), sets, found, None, threshold, None, leaders=4)
     release(sets, rest)
     labelled = found.of(reps)
-    # the row that stays: the smallest id, and of equal ids the smallest node
-    low = labelled.groupBy("part").agg(F.min(F.struct(F.col("rep").isNull().alias("void"), "rep", "node")).alias("low"))
+    # the row that stays: the smallest id, of equal ids the smallest node, and of equal rows the first written
+    low = labelled.groupBy("part").agg(F.min(F.struct(F.col("rep").isNull().alias("void"), "rep", "node", "number")).alias("low"))
     low = low.select(F.col("part").alias("_part"), "low")
-    grouped = labelled.join(low, F.col("part") == F.col("_part")).select(F.col("node").alias("_node"), F.col("low.rep").alias("class_id"), F.col("low.node").alias("first"))
-    joined = rows.join(grouped, F.col("node") == F.col("_node")).select("doc_id", "node", "class_id", (F.col("node") == F.col("first")).alias("leads"))
-    stays = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return joined.select("doc_id", "class_id", stays.alias("kept"), "node")
+    grouped = labelled.join(low, F.col("part") == F.col("_part")).select(F.col("node").alias("_node"), F.col("low.rep").alias("class_id"), F.col("low.number").alias("stays"))
+    joined = rows.join(grouped, F.col("node") == F.col("_node"))
+    return joined.select("doc_id", "class_id", (F.col("number") == F.col("stays")).alias("kept"), "node")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
