@@ -215,19 +215,48 @@ def _resampled(rows: DataFrame, k: int, weigh: Callable[[np.ndarray], np.ndarray
 
 def bootstrap(df: DataFrame, spec: Spec, *, draws: int = 200, seed: int = 0, key: str | None = None) -> Fit:
     """Least squares with bootstrap covariance: a row's (or with ``key`` a cluster's) weight in each draw is a Poisson
-    number from a hash of it, so all draws take one pass and reruns agree."""
+    number from a hash of it, so all draws take one pass and reruns agree, however the rows lie. Equal rows are first summed
+    to one, whose weight is the sum of as many Poisson numbers: one with their count as its mean."""
     rows, names = design(df, spec, (key,) if key else ())
     k = len(names)
-    unit = F.xxhash64(F.lit(seed), F.col(f"k_{key}")) if key else F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), "y", *[f"x{i}" for i in range(k)])
+    if not key:
+        return _bootstrap_of_rows(df, spec, rows, names, draws, seed)
+    unit = F.xxhash64(F.lit(seed), F.col(f"k_{key}"))
+    betas = _resampled(rows.select("y", *[f"x{i}" for i in range(k)], unit.alias("h")), k, lambda h: _poisson_ones(h.astype(np.uint64), draws), draws)
+    fit = ols(df, spec)
+    return Fit(names, fit.beta, np.atleast_2d(np.cov(betas.T)), None, fit.metrics | {"draws": float(draws)}, spec.alpha)
+
+
+def _poisson_ones(h: np.ndarray, draws: int) -> np.ndarray:
+    """Poisson numbers of mean 1 for each hash and draw."""
     table = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
+    x = h[:, None] + np.arange(1, draws + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(table, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53).astype(float)
+
 
-    def weigh(h: np.ndarray) -> np.ndarray:
-        x = h.astype(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return np.searchsorted(table, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53).astype(float)
+def _bootstrap_of_rows(df: DataFrame, spec: Spec, rows: DataFrame, names: list[str], draws: int, seed: int) -> Fit:
+    k = len(names)
+    columns = ["y", *[f"x{i}" for i in range(k)]]
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64(F.lit(seed), *columns))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((draws, (k + 1) ** 2))
+        for b in batches:
+            c = np.column_stack([b[n].to_numpy(zero_copy_only=False) for n in columns])
+            outer = (c[:, :, None] * c[:, None, :]).reshape(len(c), -1)
+            n, h = b["n"].to_numpy(), b["h"].to_numpy().view(np.uint64)
+            w = _poisson_ones(h, draws)
+            for i in np.flatnonzero(n > 1).tolist():  # a generator of the row's own seed, so neighbours don't matter
+                w[i] = np.random.Generator(np.random.Philox(key=int(h[i]))).poisson(n[i], draws)
+            total += w.T @ outer
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(draws), total.shape[1])), pa.array(np.tile(np.arange(total.shape[1]), draws)), pa.array(total.ravel())], ["draw", "i", "x"])
 
-    betas = _resampled(rows.select("y", *[f"x{i}" for i in range(k)], unit.alias("h")), k, weigh, draws)
+    cells = counted.mapInArrow(sums, "draw long, i long, x double").groupBy("draw", "i").agg(F.sum("x").alias("x")).toArrow()
+    table = np.zeros((draws, (k + 1) ** 2))
+    table[cells["draw"].to_numpy(), cells["i"].to_numpy()] = cells["x"].to_numpy()
+    betas = np.array([np.linalg.lstsq(m[1:, 1:], m[1:, 0], rcond=None)[0] for m in table.reshape(draws, k + 1, k + 1)])
     fit = ols(df, spec)
     return Fit(names, fit.beta, np.atleast_2d(np.cov(betas.T)), None, fit.metrics | {"draws": float(draws)}, spec.alpha)
 
@@ -252,13 +281,12 @@ def jackknife(df: DataFrame, spec: Spec, key: str) -> Fit:
             sums = np.zeros((k, k))
             for b in batches:
                 own = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
-                for row in own:
-                    m = total.copy()
-                    for (i, j), v in zip(pairs, row, strict=True):
-                        m[i, j] -= v
-                        m[j, i] = m[i, j]
-                    d = np.linalg.lstsq(m[1:, 1:], m[1:, 0], rcond=None)[0] - beta
-                    sums += np.outer(d, d)
+                left = np.repeat(total[None], len(own), axis=0)
+                rows_, cols_ = np.array(pairs).T
+                left[:, rows_, cols_] -= own
+                left[:, cols_, rows_] = left[:, rows_, cols_]
+                d = (np.linalg.pinv(left[:, 1:, 1:], hermitian=True) @ left[:, 1:, :1])[..., 0] - beta
+                sums += d.T @ d
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(sums.ravel())], ["i", "x"])
 
         got = cells.select(*[f"p{i}_{j}" for i, j in pairs]).mapInArrow(outer, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()

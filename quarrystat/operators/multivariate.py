@@ -71,13 +71,14 @@ def pca(df: DataFrame, vector: str, dims: int, keep: int = 5) -> tuple[DataFrame
     return table, mean, vectors[:, order]
 
 
-def kmeans(df: DataFrame, vector: str, dims: int, k: int, *, rounds: int = 20, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+def kmeans(df: DataFrame, vector: str, dims: int, k: int, *, rounds: int | None = None, most: int = 1000, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
     """Lloyd's iterations from k rows chosen by hash: cluster, size, and within sum of squares; and the centres. Tasks
-    send k sums, never rows."""
+    send k sums, never rows. Rounds go on until no centre moves; what still moves after ``most`` is an error. ``rounds``: so
+    many at most."""
     rows = df.where(F.col(vector).isNotNull() & (F.size(vector) == dims)).select(F.col(vector).cast("array<double>").alias("v"))
     centres = np.array([r["v"] for r in rows.orderBy(F.xxhash64(F.lit(seed), F.col("v").cast("string"))).limit(k).collect()])
     out = None
-    for _ in range(rounds):
+    for _ in range(rounds if rounds is not None else most):
         current = centres.copy()
 
         def assign(batches, current=current):
@@ -104,6 +105,9 @@ def kmeans(df: DataFrame, vector: str, dims: int, k: int, *, rounds: int = 20, s
         shift, centres = np.abs(moved - centres).max(), moved
         if shift < 1e-9:
             break
+    else:
+        if rounds is None:
+            raise ValueError(f"the centres still move after {most} rounds")
     return small(df.sparkSession, [(i, int(n), ss) for i, (n, ss) in enumerate(out)], "cluster int, size long, within double"), centres
 
 

@@ -42,24 +42,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int = 20, tolerance: float = 0.0) -> DataFrame:
-    """node and rank (summing to 1); nodes without edges out spread their rank evenly."""
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = _kept(edges.select("src", "dst").join(out, "src"))
+def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-8, most: int = 500) -> DataFrame:
+    """node and rank (summing to 1); nodes without edges out spread their rank evenly. Rounds go on until the ranks change by
+    less than ``tolerance`` together; what has not settled after ``most`` rounds is an error. ``rounds``: exactly so many."""
+    links = _kept(edges.select("src", "dst").join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src"))
     nodes = _kept(edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct())
     n = nodes.count()
+    if not n:
+        return nodes.withColumn("rank", F.lit(0.0))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
+    for i in range(rounds if rounds is not None else most):
         given = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
-        sent = given.agg(F.sum("given")).first()[0]
-        base = (1 - damping) / n + damping * (1 - sent) / n
-        moved = nodes.join(given, nodes["node"] == given["dst"], "left").select("node", (F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
-        moved = _kept(moved)
-        if tolerance and i % 5 == 4:
+        got = _kept(nodes.join(given, nodes["node"] == given["dst"], "left").select("node", F.coalesce("given", F.lit(0.0)).alias("given")))
+        base = (1 - damping) / n + damping * (1 - got.agg(F.sum("given")).first()[0]) / n
+        moved = got.select("node", (F.lit(base) + damping * F.col("given")).alias("rank"))
+        if rounds is None and i % 4 == 3:
             before = ranks.select("node", F.col("rank").alias("old"))
             if moved.join(before, "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
                 return moved
         ranks = moved
+    if rounds is None:
+        raise ValueError(f"ranks have not settled in {most} rounds")
     return ranks
 
 
@@ -132,16 +135,15 @@ def modularity(edges: DataFrame, parts: DataFrame, resolution: float = 1.0) -> D
     return x.select((F.col("inside") / F.col("m") - resolution * F.col("vv") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame:
-    """node and hops from the nearest of the source nodes over directed edges, up to ``most``; one round a hop."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """node and hops from the nearest of the source nodes over directed edges, one round a hop, to the end; with ``most``,
+    the nodes within so many hops."""
     links = _kept(edges.select("src", "dst").distinct())
-    reached = _kept(sources.select("node").distinct().withColumn("hops", F.lit(0)))
-    front = reached
-    for hop in range(1, most + 1):
-        next_ = links.join(front, links["src"] == front["node"]).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti").withColumn("hops", F.lit(hop))
-        front = _kept(next_)
-        if front.isEmpty():
-            break
+    front = _kept(sources.select("node").distinct().withColumn("hops", F.lit(0)))
+    reached, hop = front, 0
+    while (most is None or hop < most) and not front.isEmpty():
+        hop += 1
+        front = _kept(links.join(front, links["src"] == front["node"]).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti").withColumn("hops", F.lit(hop)))
         reached = _kept(reached.union(front))
     return reached
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystat.operators import prepare
+from quarrystat.operators import prepare, recurrence
 from quarrystat.operators.linear import Fit, gram, ols
 from quarrystat.plans.spec import Spec
 from quarrystat.sources.tables import small
@@ -91,15 +91,10 @@ def granger(df: DataFrame, effect: str, cause: str, time: str, lags: int) -> Dat
 
 
 def smooth(df: DataFrame, value: str, time: str, alpha: float, panel: list[str]) -> DataFrame:
-    """Simple exponential smoothing of each panel from its first value, by weights of the periods before: the
-    forecast for a row uses earlier rows only. Built on rows in order, whatever their distance."""
-    by = Window.partitionBy(*panel).orderBy(time)
-    i = F.row_number().over(by)
-    rows = df.withColumn("_i", i.cast("double"))
-    # the weighted sum over earlier rows, rescaled by (1 - alpha)^i; kept in range by working in blocks of rows
-    past = F.collect_list(value).over(by.rowsBetween(-200, -1))
-    level = F.aggregate(F.slice(past, F.lit(2), F.greatest(F.size(past) - 1, F.lit(0))), F.element_at(past, 1), lambda s, v: F.lit(1 - alpha) * s + F.lit(alpha) * v)
-    return rows.withColumn("smooth", F.when(F.size(past) > 0, level)).drop("_i")
+    """panel, time and smooth: simple exponential smoothing of each panel from its first value, the forecast for a row from all
+    earlier ones; rows in order, whatever their distance. See ``recurrence``."""
+    rows = recurrence.smooth(df, value, time, alpha, tuple(panel))
+    return rows.select(*panel, F.col("t").alias(time), F.col("forecast").alias("smooth"))
 
 
 def white_noise(df: DataFrame, value: str, time: str, lags: int) -> DataFrame:

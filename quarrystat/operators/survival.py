@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrystat.functions import dist
 from quarrystat.operators.linear import Fit
+from quarrystat.operators.mle import NotConverged
 from quarrystat.operators.ranked import running
 from quarrystat.plans.spec import Spec
 from quarrystat.sources.tables import small
@@ -65,7 +66,7 @@ def logrank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
 
 def cox(df: DataFrame, time: str, event: str, predictors: tuple[str, ...], *, steps: int = 30) -> Fit:
     """Cox regression, Breslow's way with ties. Each step sums the risk set's moments by distinct time, and runs them
-    up from the last time; no rows are sorted, and what is ordered are distinct times."""
+    up from the last time; no rows are sorted, and what is ordered are distinct times. What has no maximum is an error."""
     k = len(predictors)
     rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("d"), *[F.col(p).cast("double").alias(f"x{i}") for i, p in enumerate(predictors)]).na.drop()
     means = rows.agg(*[F.avg(f"x{i}") for i in range(k)]).first()
@@ -95,9 +96,12 @@ def cox(df: DataFrame, time: str, event: str, predictors: tuple[str, ...], *, st
     try:
         beta = np.zeros(k)
         ll, score, info = measure(beta)
-        null = ll
+        null, first = ll, info
         for _ in range(steps):
-            step, size = np.linalg.solve(info, score), 1.0
+            try:
+                step, size = np.linalg.solve(info, score), 1.0
+            except np.linalg.LinAlgError as e:
+                raise NotConverged("the likelihood is flat: terms explain each other, or events are separated") from e
             for _ in range(30):
                 moved = measure(beta + size * step)
                 if moved[0] >= ll - 1e-12 * abs(ll):
@@ -106,6 +110,11 @@ def cox(df: DataFrame, time: str, event: str, predictors: tuple[str, ...], *, st
             beta, (ll, score, info) = beta + size * step, moved
             if np.max(np.abs(size * step) / (1 + np.abs(beta))) < 1e-7:
                 break
+        else:
+            raise NotConverged(f"not converged in {steps} steps; events may be separated")
+        scale = 1 / np.sqrt(np.maximum(np.diag(info), 1e-300))
+        if np.linalg.eigvalsh(info * np.outer(scale, scale)).min() < 1e-9 or np.diag(info).min() < 1e-8 * np.diag(first).min():
+            raise NotConverged("the likelihood is flat: terms explain each other, or events are separated")
         return Fit(list(predictors), beta, np.linalg.inv(info), None, {"loglik": ll, "loglik_null": null, "lr_chi2": 2 * (ll - null)})
     finally:
         rows.unpersist()

@@ -14,16 +14,34 @@ from quarrystat.sources.tables import small
 
 
 def binomial(df: DataFrame, value: str, p: float) -> DataFrame:
-    """The exact two-sided test of a share of ones: outcomes no likelier than the one seen count. Large counts go by
-    the normal approximation with a correction for continuity."""
+    """The exact two-sided test of a share of ones: outcomes no likelier than the one seen count, whatever their number."""
     n, k = df.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(value).cast("long")), F.lit(0))).first()
-    if n <= 100_000:
-        log = lambda j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)
-        seen = log(k) + 1e-9
-        chance = min(1.0, sum(math.exp(x) for j in range(n + 1) if (x := log(j)) <= seen))
-    else:
-        chance = min(1.0, 2 * dist.normal_sf(max(abs(k - n * p) - 0.5, 0) / math.sqrt(n * p * (1 - p))))
-    return small(df.sparkSession, [(n, k, k / n, chance)], "n long, k long, share double, p_value double")
+    chance = binomial_chance(n, k, p)
+    return small(df.sparkSession, [(n, k, k / n if n else math.nan, chance)], "n long, k long, share double, p_value double")
+
+
+def binomial_chance(n: int, k: int, p: float) -> float:
+    """The odds of a count no likelier than ``k`` of ``n``: both tails by the incomplete beta function. Beyond the mode odds
+    fall, so the other tail's edge is found by halving."""
+    if not n or not 0 < p < 1:
+        return 1.0 if not n or k == n * p else 0.0
+    log = lambda j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)
+    upper = lambda j: 1.0 if j <= 0 else 0.0 if j > n else dist.beta_tail(j, n - j + 1, p)  # noqa: E731  # j or more
+    lower = lambda j: 0.0 if j < 0 else 1.0 if j >= n else dist.beta_tail(n - j, j + 1, 1 - p)  # noqa: E731  # j or fewer
+    mode, seen = min(int((n + 1) * p), n), log(k) + 1e-9
+    if k == mode:
+        return 1.0
+    if k < mode:
+        low, high = mode, n + 1  # the first place above the mode that is no likelier
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if log(mid) <= seen else (mid + 1, high)
+        return min(1.0, lower(k) + upper(low))
+    low, high = -1, mode
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if log(mid) <= seen else (low, mid - 1)
+    return min(1.0, lower(low) + upper(k))
 
 
 def proportions(df: DataFrame, value: str, group: str, levels: tuple) -> DataFrame:

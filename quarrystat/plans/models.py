@@ -353,9 +353,9 @@ def network_modularity(spark, sf):
     return rounded(network.modularity(edges, parts), 8)
 
 
-@query(f"""WITH RECURSIVE {RING}, w(node, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT b.dst, w.hops + 1 FROM w JOIN b ON b.src = w.node WHERE w.hops < 6) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY node""")
+@query(f"""WITH RECURSIVE {RING}, w(node, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT b.dst, w.hops + 1 FROM w JOIN b ON b.src = w.node WHERE w.hops < 12) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY node""")
 def network_distances(spark, sf):
-    return network.distances(network.both_ways(network.undirected(_ring(spark, sf))), spark.range(1).select(F.col("id").alias("node")), 6)
+    return network.distances(network.both_ways(network.undirected(_ring(spark, sf))), spark.range(1).select(F.col("id").alias("node")))
 
 
 @query(f"WITH g AS ({LINES}) SELECT round(avg(CAST(h.s IS NOT NULL AS DOUBLE)), 8) AS reciprocity FROM g LEFT JOIN g h ON h.s = g.d AND h.d = g.s")

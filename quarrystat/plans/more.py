@@ -14,7 +14,7 @@ from quarrystat.sources.tables import small, table
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "lineitem")
-    return d.select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_linestatus") == "F").cast("double").alias("g"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").cast("double").alias("i"), F.col("l_returnflag").alias("f"))
+    return d.select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_linestatus") == "F").cast("double").alias("g"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").cast("double").alias("i"), F.col("l_returnflag").alias("f"), F.col("l_orderkey").alias("o"))
 
 
 L = "l AS (SELECT CAST(l_returnflag = 'R' AS DOUBLE) AS y, CAST(l_linestatus = 'F' AS DOUBLE) AS g, l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_tax AS t, l_suppkey AS s, CAST(l_linenumber AS DOUBLE) AS i, l_returnflag AS f FROM lineitem)"
@@ -58,7 +58,7 @@ def variance_inflation(spark, sf):
 
 @query()
 def stepwise_terms(spark, sf):
-    return small(spark, [(i, t) for i, t in enumerate(moments.stepwise(_lines(spark, sf), "p", ["q", "d", "t", "i"]))], "place int, term string")
+    return small(spark, [(i, t) for i, t in enumerate(moments.stepwise(_lines(spark, sf).withColumn("v", F.col("q") + 90 * F.col("d") + F.col("s") % 7), "v", ["p", "t", "d", "i", "q"]))], "place int, term string")
 
 
 #: With the same predictors in all equations, least squares by equation.
@@ -296,7 +296,7 @@ for _name, _fit in {
     "truncated_poisson": lambda d: mle.truncated_poisson(d, "i", ("q",)),
     "median_regression": lambda d: mle.quantile_regression(d, "p", ("q",)),
     "fractional_logit": lambda d: mle.fraction_logit(d.withColumn("r", F.col("d") * 5), "r", ("q",), robust=True),
-    "conditional_logit": lambda d: mle.conditional_logit(d.withColumns({"k": F.monotonically_increasing_id() / 3, "c": (F.col("i") == 1).cast("double")}).withColumn("k", F.floor("k")), "c", ("q",), "k"),
+    "conditional_logit": lambda d: mle.conditional_logit(d.withColumn("c", (F.col("i") == 1).cast("double")), "c", ("q",), "o"),
 }.items():
     _registered(_name, _fit)
 
