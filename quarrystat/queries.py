@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrystat.plans import basic
 from quarrystat.plans import dynamics as _dynamics
 from quarrystat.plans import effects as _effects
+from quarrystat.plans import learned as _learned
 from quarrystat.plans import models as _models  # these register their queries in basic
 from quarrystat.plans import more as _more
 from quarrystat.plans import panels as _panels
 
 
-MODULES = (basic, _models, _more, _dynamics, _panels, _effects)
+MODULES = (basic, _models, _more, _dynamics, _panels, _effects, _learned)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
