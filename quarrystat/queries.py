@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystat.plans import basic
+from quarrystat.plans import designs as _designs
 from quarrystat.plans import dynamics as _dynamics
 from quarrystat.plans import effects as _effects
 from quarrystat.plans import learned as _learned
@@ -15,7 +16,7 @@ from quarrystat.plans import more as _more
 from quarrystat.plans import panels as _panels
 
 
-MODULES = (basic, _models, _more, _dynamics, _panels, _effects, _learned)
+MODULES = (basic, _models, _more, _dynamics, _panels, _effects, _learned, _designs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
