@@ -45,7 +45,16 @@ k AS (SELECT *, nullif(trim(regexp_replace(lower(body), '[\x20\x09-\x0D]+', ' ',
   CASE WHEN quoted THEN len(regexp_replace(regexp_extract(line, '^[ \t]*>([ \t]*>)*'), '[^>]', '', 'g')) ELSE 0 END AS level,
   NOT quoted AND NOT (before AND regexp_matches(line, '(?i)^[ \t]*(on\b.*\bwrote|.*\bsaid)[ \t]*:[ \t]*$')) AS own FROM l),
 w AS (SELECT conv_id, key, min(turn) AS first FROM k WHERE own AND key IS NOT NULL GROUP BY conv_id, key),
-t AS (SELECT q.conv_id, q.turn, first, min(level) AS level, count(*) AS n FROM k q JOIN w ON q.conv_id = w.conv_id AND q.key = w.key AND first < q.turn WHERE level > 0 GROUP BY ALL),
+x AS (SELECT q.conv_id, q.turn, q.i, q.level, first FROM k q JOIN w ON q.conv_id = w.conv_id AND q.key = w.key AND first < q.turn WHERE level > 0),
+qw AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i, p) AS pos FROM (SELECT conv_id, turn, level, i, len(string_split(key, ' ')) AS m, unnest(string_split(key, ' ')) AS x, generate_subscripts(string_split(key, ' '), 1) AS p FROM k WHERE level > 0 AND key IS NOT NULL)),
+qr AS (SELECT conv_id, turn, level, pos, concat_ws(' ', x, lead(x, 1) OVER v, lead(x, 2) OVER v, lead(x, 3) OVER v, lead(x, 4) OVER v) AS run, lead(x, 4) OVER v AS last FROM qw WINDOW v AS (PARTITION BY conv_id, turn, level ORDER BY pos)),
+ow AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i, p) AS pos FROM (SELECT conv_id, turn, i, unnest(string_split(key, ' ')) AS x, generate_subscripts(string_split(key, ' '), 1) AS p FROM k WHERE own AND key IS NOT NULL)),
+orun AS (SELECT conv_id, turn, concat_ws(' ', x, lead(x, 1) OVER v, lead(x, 2) OVER v, lead(x, 3) OVER v, lead(x, 4) OVER v) AS run, lead(x, 4) OVER v AS last FROM ow WINDOW v AS (PARTITION BY conv_id, turn ORDER BY pos)),
+wr AS (SELECT conv_id, run, min(turn) AS first FROM orun WHERE last IS NOT NULL GROUP BY ALL),
+hit AS (SELECT conv_id, qr.turn, level, unnest(range(pos, pos + 5)) AS pos, first FROM qr JOIN wr USING (conv_id, run) WHERE last IS NOT NULL AND first < qr.turn),
+share AS (SELECT conv_id, turn, level, i, first, count(DISTINCT pos) AS n FROM hit JOIN qw USING (conv_id, turn, level, pos) GROUP BY ALL HAVING 2 * count(DISTINCT pos) >= max(m)),
+y AS (SELECT conv_id, turn, i, level, first FROM share ANTI JOIN x USING (conv_id, turn, i) QUALIFY row_number() OVER (PARTITION BY conv_id, turn, i ORDER BY n DESC, first DESC) = 1),
+t AS (SELECT conv_id, turn, first, min(level) AS level, count(*) AS n FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY ALL),
 f AS (SELECT conv_id, turn, arg_max(first, (-level, n, first)) AS parent, sum(n) AS n_linked FROM t GROUP BY conv_id, turn),
 p(conv_id, turn, root, depth) AS (
   SELECT conv_id, turn, turn, 0 FROM m ANTI JOIN f USING (conv_id, turn)
@@ -57,9 +66,9 @@ FROM o LEFT JOIN f USING (conv_id, turn) JOIN p USING (conv_id, turn)"""
 
 #: The same messages with the quotes that quotations.quoting gives them.
 QUOTING = r"""(
-  WITH s AS (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY ALL HAVING said <> '')
+  WITH s AS (SELECT *, string_split(trim(regexp_replace(said, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS w FROM (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY ALL HAVING said <> ''))
   SELECT c.conv_id, c.turn, c.role,
-    coalesce('> > ' || replace(b.said, chr(10), chr(10) || '> > ') || chr(10), '') || coalesce('> ' || replace(a.said, chr(10), chr(10) || '> ') || chr(10), '') || coalesce(c.text, '') AS text
+    coalesce('> > ' || replace(b.said, chr(10), chr(10) || '> > ') || chr(10), '') || coalesce('> ' || replace(CASE WHEN c.turn % 3 = 1 AND len(a.w) >= 8 THEN array_to_string(list_transform(range(3, len(a.w) + 1, 9), lambda i: array_to_string(a.w[i : i + 8], ' ')), chr(10)) ELSE a.said END, chr(10), chr(10) || '> ') || chr(10), '') || coalesce(c.text, '') AS text
   FROM conversations c LEFT JOIN s a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 AND c.turn % 3 <> 0 LEFT JOIN s b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2 AND c.turn % 3 = 2)"""
 
 

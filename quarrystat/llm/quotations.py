@@ -3,7 +3,7 @@
 Lines that start with > marks quote an earlier message; the number of marks is the level. Quoted lines are normalised,
 hashed and joined to the message of the same conversation that first wrote such a line itself. The lines of one level
 are also a passage, hashed in runs of five words across line ends: a line that was wrapped again, or is part of a
-longer one, belongs to the message that first wrote most of the runs it has a word in. The message replied to
+longer one, belongs to the message that first wrote the runs that cover most of its words, half of them at least. The message replied to
 is the one that the shallowest matched level names, of several the one with most matched lines, then the latest. The
 root of a message is the message at the start of its chain of replies, its depth the number of replies up to there;
 sorted by root and turn, replies follow what they answer. All columns are built-in expressions.
@@ -64,11 +64,15 @@ def runs(words: Column) -> Column:
 
 
 def quoted_runs(quotes: Column) -> Column:
-    """The runs of words of each level's passage: structs of key and lines (the numbers of the lines it has words of)."""
+    """The runs of words of each level's passage: structs of key and words (line number, place in the line, and the line's
+    count of words for each word)."""
 
     def of(level: Column) -> Column:
-        words = F.flatten(F.transform(F.filter(quotes, lambda q: q["level"] == level), lambda q: F.transform(F.split(q["norm"], " "), lambda w: F.struct(w.alias("w"), q["i"].alias("i")))))
-        return F.transform(runs(words), lambda r: F.struct(F.xxhash64(F.transform(r, lambda x: x["w"])).alias("key"), F.array_distinct(F.transform(r, lambda x: x["i"])).alias("lines")))
+        def placed(q: Column) -> Column:
+            return let(F.split(q["norm"], " "), lambda ws: F.transform(ws, lambda w, p: F.struct(w.alias("w"), F.struct(q["i"].alias("i"), p.alias("p"), F.size(ws).alias("m")).alias("at"))))
+
+        words = F.flatten(F.transform(F.filter(quotes, lambda q: q["level"] == level), placed))
+        return F.transform(runs(words), lambda r: F.struct(F.xxhash64(F.transform(r, lambda x: x["w"])).alias("key"), F.transform(r, lambda x: x["at"]).alias("words")))
 
     return F.flatten(F.transform(F.array_distinct(F.transform(quotes, lambda q: q["level"])), of))
 
@@ -124,7 +128,8 @@ def link(messages: DataFrame) -> DataFrame:
     spans = each.join(rest, ["conv_id", "turn", "id"], "left_semi").select("conv_id", "turn", "id", F.explode(quoted_runs(F.col("quotes"))).alias("r")).select("conv_id", "turn", "id", "r.*")
     open_ = dated.join(rest.select("conv_id").distinct(), "conv_id", "left_semi")
     written = open_.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(runs(F.split(normal(F.col("text")), " ")), lambda r: F.xxhash64(r)))).alias("key"))
-    part = met(spans, written).select("conv_id", "turn", "id", "first", F.explode("lines").alias("i")).groupBy("conv_id", "turn", "id", "i", "first").agg(F.count(F.lit(1)).alias("n"))
+    covered = met(spans, written).select("conv_id", "turn", "id", "first", F.explode("words").alias("at")).distinct()
+    part = covered.groupBy("conv_id", "turn", "id", F.col("at.i").alias("i"), "first").agg(F.count(F.lit(1)).alias("n"), F.max("at.m").alias("m")).where(F.col("n") * 2 >= F.col("m")).drop("m")
     hits = whole.unionByName(part.withColumn("whole", F.lit(False))).groupBy("conv_id", "turn", "id", "i").agg(F.max_by("first", F.struct("whole", "n", "first")).alias("first"))
     met_lines = hits.join(lines.select("conv_id", "turn", "id", "i", "level"), ["conv_id", "turn", "id", "i"])
     by_turn = met_lines.groupBy("conv_id", "turn", "id", "first").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n"))
@@ -146,12 +151,21 @@ def in_reply_order(linked: DataFrame) -> DataFrame:
 
 def quoting(messages: DataFrame) -> DataFrame:
     """The messages as a mail client would send them: two in three quote the message before (turn - 1), and one in three
-    also the one before that, at the second level. For tables that hold no quotes."""
+    also the one before that, at the second level. Where both are quoted, or the message is of fewer than eight words, lines
+    stay; else the quote leaves out the first two words and is wrapped again, nine words a line. For tables that hold no
+    quotes."""
     messages = messages.select("conv_id", "turn", "role", "text")
     said = messages.groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn")).agg(F.min("text").alias("_said"))
-    marked = lambda marks: F.concat(F.lit(marks), F.replace("_said", F.lit("\n"), F.lit("\n" + marks)), F.lit("\n"))
+    words = F.split(F.trim(F.regexp_replace("_said", BLANK, " ")), " ")
+    cited = lambda ws: F.transform(F.sequence(F.lit(3), F.size(ws), F.lit(9)), lambda i: F.array_join(F.slice(ws, i, F.lit(9)), " "))
+    wrapped = F.when(F.size(words) >= 8, F.array_join(let(words, cited), "\n")).otherwise(F.col("_said"))
+
+    def marked(said: Column, marks: str) -> Column:
+        return F.concat(F.lit(marks), F.replace(said, F.lit("\n"), F.lit("\n" + marks)), F.lit("\n"))
+
     for back, name, marks, some in ((2, "_second", "> > ", F.col("turn") % 3 == 2), (1, "_first", "> ", F.col("turn") % 3 != 0)):
-        before = said.where("_said <> ''").select("_conv", F.col("_turn") + back, marked(marks).alias(name)).toDF("_conv", "_turn", name)
+        text = F.col("_said") if back == 2 else F.when((F.col("_turn") + 1) % 3 == 1, wrapped).otherwise(F.col("_said"))
+        before = said.where("_said <> ''").select("_conv", F.col("_turn") + back, marked(text, marks).alias(name)).toDF("_conv", "_turn", name)
         messages = messages.join(before, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")) & some, "left").drop("_conv", "_turn")
     quoted = F.concat(F.coalesce("_second", F.lit("")), F.coalesce("_first", F.lit("")), F.coalesce("text", F.lit("")))
     return messages.select("conv_id", "turn", "role", quoted.alias("text"))
