@@ -1,12 +1,14 @@
-"""Queries on trees and forests, with SQL for the first split by trying all of them."""
+"""Queries on trees and forests, with SQL for the first split by trying all of them, and on missing values."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystat.operators import trees
-from quarrystat.plans.basic import query, rounded
+from quarrystat.operators import imputation, trees
+from quarrystat.operators.linear import ols
+from quarrystat.plans.basic import estimates, query, rounded
+from quarrystat.plans.spec import Spec
 from quarrystat.sources.tables import small, table
 
 
@@ -60,3 +62,37 @@ def causal_forest_effects(spark, sf):
     forest = trees.causal_forest(rows, "y", "w", ["q", "d", "t"], trees=20, depth=3, keys=["l_orderkey", "l_linenumber"])
     found = trees.causal_predict(rows, forest).groupBy((F.col("q") > 25).alias("large")).agg(F.avg("effect").alias("effect"), F.count("effect").alias("n"))
     return rounded(found, 2)
+
+
+def _missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices and quantities of lines; the price is missing in one line of three with a large quantity, tax in others."""
+    d = table(spark, sf, "lineitem")
+    price = F.col("l_extendedprice") / 1000 + F.col("l_quantity")
+    return d.select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.when(~((F.col("l_quantity") > 30) & (F.col("l_orderkey") % 3 == 0)), price).alias("p"),
+        F.when(F.col("l_partkey") % 4 != 0, F.col("l_tax") * 100 + price / 10).alias("t"),
+    )
+
+
+@query("""WITH l AS (SELECT l_quantity AS q, CASE WHEN NOT (l_quantity > 30 AND l_orderkey % 3 = 0) THEN l_extendedprice / 1000 + l_quantity END AS p FROM lineitem),
+c AS (SELECT regr_slope(p, q) AS b, regr_intercept(p, q) AS a, (regr_syy(p, q) - regr_slope(p, q) * regr_sxy(p, q)) / regr_count(p, q) AS v FROM l), m AS (SELECT avg(q) AS q, var_pop(q) AS v FROM l)
+SELECT 'q' AS a, NULL AS b, round(m.q, 4) AS value FROM m UNION ALL SELECT 'p', NULL, round(a + b * q, 4) FROM c, m UNION ALL SELECT 'q', 'q', round(m.v, 4) FROM m UNION ALL SELECT 'q', 'p', round(b * m.v, 4) FROM c, m UNION ALL SELECT 'p', 'p', round(c.v + b * b * m.v, 4) FROM c, m""")
+def missing_normal_em(spark, sf):
+    return rounded(imputation.normal_em(_missing(spark, sf), ["q", "p"]).frame(spark), 4)
+
+
+@query()
+def missing_general_em(spark, sf):
+    return rounded(imputation.normal_em(_missing(spark, sf), ["q", "p", "t"]).frame(spark), 3)
+
+
+@query()
+def missing_at_random_test(spark, sf):
+    return rounded(imputation.missing_at_random(_missing(spark, sf), ["q", "p", "t"]).drop("p_value"), 2)
+
+
+@query()
+def imputed_regression(spark, sf):
+    made = imputation.impute(_missing(spark, sf), ["q", "p", "t"], ["l_orderkey", "l_linenumber"], imputations=5)
+    fits = [ols(made.where(F.col("imputation") == m), Spec("p", ("q", "t"))) for m in range(1, 6)]
+    return estimates(imputation.pooled(fits), spark, 2)
