@@ -79,12 +79,13 @@ def oriented(edges: DataFrame) -> DataFrame:
 
 def triangles(edges: DataFrame) -> DataFrame:
     """node, triangles, clustering: triangles over pairs of neighbours."""
+    edges = _kept(undirected(edges))  # read three times
     lines = _kept(oriented(edges))
     one, two = lines.select(F.col("low").alias("a"), F.col("high").alias("b")), lines.select(F.col("low").alias("a"), F.col("high").alias("c"))
     wedges = one.join(two, "a").where(F.col("b") < F.col("c"))
     ends = lines.select(F.least("low", "high").alias("b"), F.greatest("low", "high").alias("c"))
     found = wedges.join(ends, ["b", "c"]).select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
-    deg = degree(undirected(edges)).select("node", F.col("degree").alias("k"))
+    deg = degree(edges).select("node", F.col("degree").alias("k"))
     out = deg.join(found, "node", "left").select("node", "k", F.coalesce("triangles", F.lit(0)).alias("triangles"))
     return out.select("node", "triangles", F.when(F.col("k") > 1, 2 * F.col("triangles") / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
 

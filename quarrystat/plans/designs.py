@@ -18,7 +18,7 @@ def _sampled(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(
         F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("customer"), F.col("o_orderkey").alias("ordered"), F.col("l_linenumber").alias("line"),
         (1 + F.col("l_linenumber") / 4).alias("w"), F.lit(20_000).alias("customers"), F.lit(60).alias("orders"), F.lit(9).alias("lines"),
-        F.col("l_quantity").alias("y"), (F.col("l_extendedprice") / 1000).alias("x"), F.col("l_returnflag").alias("flag"), (F.col("l_returnflag") == "R").cast("double").alias("d"), (F.col("c_custkey") % 2).alias("half"),
+        F.col("l_quantity").alias("y"), (F.col("l_extendedprice") / 1000).alias("x"), F.col("l_returnflag").alias("flag"), (F.col("l_returnflag") == "R").cast("double").alias("d"), (F.col("o_orderkey") % 2).alias("half"),
     )
 
 
@@ -62,10 +62,10 @@ def survey_proportions(spark, sf):
     return _told(survey.proportions(_sampled(spark, sf), "flag", Design("w", (Stage("customer", "nation"),), "certainty")), spark, 6)
 
 
-@query(f"""WITH {SAMPLED}, u AS (SELECT nation, customer % 2 AS half, sum(w * y) / 1000 AS z, sum(w * x) / 1000 AS q FROM s GROUP BY ALL), d AS (SELECT max(z) FILTER (half = 0) - max(z) FILTER (half = 1) AS y, max(q) FILTER (half = 0) - max(q) FILTER (half = 1) AS x FROM u GROUP BY nation)
+@query(f"""WITH {SAMPLED}, u AS (SELECT nation, ordered % 2 AS half, sum(w * y) / 1000 AS z, sum(w * x) / 1000 AS q FROM s GROUP BY ALL), d AS (SELECT max(z) FILTER (half = 0) - max(z) FILTER (half = 1) AS y, max(q) FILTER (half = 0) - max(q) FILTER (half = 1) AS x FROM u GROUP BY nation)
 SELECT 'ky' AS term, round((SELECT sum(z) FROM u), 6) AS estimate, round(sqrt(sum(y * y)), 6) AS std_error FROM d UNION ALL SELECT 'kx', round((SELECT sum(q) FROM u), 6), round(sqrt(sum(x * x)), 6) FROM d""")
 def survey_balanced_totals(spark, sf):
-    """Halves of each nation's customers as its two units."""
+    """Halves of each nation's orders as its two units."""
     rows = _sampled(spark, sf).withColumns({"ky": F.col("y") / 1000, "kx": F.col("x") / 1000})
     return _told(survey.balanced(rows, survey.total_statistic(["ky", "kx"]), Design("w", (Stage("half", "nation"),)), fay=0.3), spark, 6)
 
