@@ -1,13 +1,15 @@
-"""Queries on local polynomials, discontinuities, staggered adoption and treatment effects, with their SQL."""
+"""Queries on local polynomials, discontinuities, staggered adoption, treatment effects and resampled scores, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystat.operators import local, staggered
+from quarrystat.functions import jets as J
+from quarrystat.operators import local, mle, staggered, wild
 from quarrystat.plans.basic import query, rounded
-from quarrystat.sources.tables import table
+from quarrystat.plans.spec import Spec
+from quarrystat.sources.tables import small, table
 
 
 def _priced(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,3 +133,26 @@ def treatment_effects_adjusted(spark, sf):
     treated = (F.col("l_quantity") + 40 * F.col("l_discount") * 10 > 45).cast("double")
     rows = d.select(treated.alias("d"), "l_discount", "l_tax", (F.col("l_extendedprice") / 1000 + 5 * treated).alias("y"))
     return rounded(staggered.treatment_effects(rows, "y", "d", ("l_discount", "l_tax")), 3)
+
+
+@query()
+def wild_cluster_few(spark, sf):
+    """Seven clusters, so all sign patterns are taken."""
+    d = table(spark, sf, "lineitem").select((F.col("l_extendedprice") / 1000).alias("p"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_linenumber").alias("g"))
+    test = wild.wild_cluster(d, Spec("p", ("q", "d")), "q", "g")
+    return rounded(small(spark, [("q", test.estimate, test.statistic(0.0)[0], test.p_value(), *test.confidence_set())], "term string, estimate double, t double, p_value double, ci_low double, ci_high double"), 4)
+
+
+@query("""WITH d AS (SELECT l_extendedprice / 1000 AS y, l_quantity AS x, l_suppkey AS g FROM lineitem), m AS (SELECT avg(y) AS my, avg(x) AS mx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS s FROM d),
+u AS (SELECT g, sum((x - mx) / s * (y - a - b * x)) AS z FROM d, m GROUP BY g) SELECT round(max(b), 6) AS estimate, round(max(b) / sqrt(sum(z * z)), 5) AS t FROM u, m""")
+def wild_cluster_statistic(spark, sf):
+    d = table(spark, sf, "lineitem").select((F.col("l_extendedprice") / 1000).alias("p"), F.col("l_quantity").alias("q"), F.col("l_suppkey").alias("g"))
+    test = wild.wild_cluster(d, Spec("p", ("q",)), "q", "g", draws=199)
+    return small(spark, [(round(test.estimate, 6), round(float(test.statistic(0.0)[0]), 5))], "estimate double, t double")
+
+
+@query()
+def score_bootstrap_logit(spark, sf):
+    d = table(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), F.col("l_quantity").alias("q"), (F.col("l_tax") * 10).alias("t"), F.col("l_suppkey").alias("g"))
+    problem = mle.Problem(lambda y, e: e[0] * y["y"] - J.softplus(e[0]), ("y",), (mle.Equation("y", ("q", "t")),))
+    return rounded(small(spark, [("q", *wild.score_test(d, problem, "q", "g"))], "term string, t double, p_value double"), 4)
