@@ -1,11 +1,11 @@
-"""Queries on trees and forests, with SQL for the first split by trying all of them, and on missing values."""
+"""Queries on trees and forests, with SQL for the first split by trying all of them, on missing values and on categories."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystat.operators import imputation, trees
+from quarrystat.operators import categories, imputation, trees
 from quarrystat.operators.linear import ols
 from quarrystat.plans.basic import estimates, query, rounded
 from quarrystat.plans.spec import Spec
@@ -96,3 +96,34 @@ def imputed_regression(spark, sf):
     made = imputation.impute(_missing(spark, sf), ["q", "p", "t"], ["l_orderkey", "l_linenumber"], imputations=5)
     fits = [ols(made.where(F.col("imputation") == m), Spec("p", ("q", "t"))) for m in range(1, 6)]
     return estimates(imputation.pooled(fits), spark, 2)
+
+
+def _kinds(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "lineitem")
+    return d.select(F.col("l_returnflag").alias("flag"), F.floor(F.col("l_quantity") / 20).cast("int").alias("amount"), F.floor((F.col("l_quantity") + 60 * F.col("l_discount")) / 14).cast("int").alias("score"))
+
+
+@query("""WITH k AS (SELECT CAST(floor(l_quantity / 20) AS INTEGER) AS a, CAST(floor((l_quantity + 60 * l_discount) / 14) AS INTEGER) AS b FROM lineitem), n AS (SELECT count(*) AS n FROM k),
+t AS (SELECT a, b, count(*) AS o FROM k GROUP BY ALL), r AS (SELECT a, count(*) AS r FROM k GROUP BY ALL), c AS (SELECT b, count(*) AS c FROM k GROUP BY ALL)
+SELECT CAST(max(n.n) AS DOUBLE) AS n, round(sum((coalesce(o, 0) - r * c / n.n::DOUBLE) ** 2 / (r * c / n.n::DOUBLE)) / max(n.n), 8) AS inertia FROM r CROSS JOIN c CROSS JOIN n LEFT JOIN t USING (a, b)""")
+def correspondence_inertia(spark, sf):
+    fit = categories.correspondence(_kinds(spark, sf), "amount", "score")
+    return small(spark, [(fit.n, round(fit.total, 8))], "n double, inertia double")
+
+
+@query()
+def correspondence_coordinates(spark, sf):
+    return rounded(categories.correspondence(_kinds(spark, sf), "amount", "score").frame(spark), 6)
+
+
+@query("""WITH k AS (SELECT l_returnflag AS f, floor(l_quantity / 20) AS a, floor((l_quantity + 60 * l_discount) / 14) AS s FROM lineitem) SELECT CAST((count(DISTINCT f) + count(DISTINCT a) + count(DISTINCT s)) AS INTEGER) AS categories, round((count(DISTINCT f) + count(DISTINCT a) + count(DISTINCT s)) / 3.0 - 1, 8) AS total FROM k""")
+def multiple_correspondence_total(spark, sf):
+    fit = categories.multiple(_kinds(spark, sf), ["flag", "amount", "score"])
+    return small(spark, [(len(fit.levels), round(fit.total, 8))], "categories int, total double")
+
+
+@query()
+def multiple_correspondence_scores(spark, sf):
+    rows = _kinds(spark, sf)
+    scored = categories.project(rows, categories.multiple(rows, ["flag", "amount", "score"]), 1)
+    return rounded(scored.groupBy("amount").agg(F.avg("axis1").alias("axis1"), F.count(F.lit(1)).alias("n")), 6)
