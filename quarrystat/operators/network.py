@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystat.sources.tables import release
 from quarrystat.sources.tables import written as _kept
 
 
@@ -31,13 +32,14 @@ def degree(edges: DataFrame, weight: str | None = None) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node). Labels move over edges and then jump to their label's label."""
     links = _kept(both_ways(undirected(edges)).distinct())
-    labels = _kept(links.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
+    labels = held = _kept(links.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
     while True:
         near = links.join(labels, links["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("near"))
         moved = labels.join(near, labels["node"] == near["src"], "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         above = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         jumped = _kept(moved.join(above, F.col("component") == F.col("_n"), "left").select("node", "old", F.least("component", "_c").alias("component")))
-        labels = jumped.select("node", "component")
+        release(held)
+        labels, held = jumped.select("node", "component"), jumped
         if jumped.where(F.col("component") != F.col("old")).isEmpty():
             return labels
 
@@ -144,8 +146,10 @@ def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) ->
     reached, hop = front, 0
     while (most is None or hop < most) and not front.isEmpty():
         hop += 1
-        front = _kept(links.join(front, links["src"] == front["node"]).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti").withColumn("hops", F.lit(hop)))
-        reached = _kept(reached.union(front))
+        last, had = front, reached
+        front = _kept(links.join(last, links["src"] == last["node"]).select(F.col("dst").alias("node")).distinct().join(had, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        reached = _kept(had.union(front))
+        release(last, had)
     return reached
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quarrystat.functions.jets import HALF_LOG_2PI, Jet
 from quarrystat.operators import mle
 from quarrystat.operators.linear import Fit
-from quarrystat.sources.tables import written
+from quarrystat.sources.tables import release, written
 
 
 @dataclass(frozen=True)
@@ -185,8 +185,9 @@ def maximise(df: DataFrame, problem: mle.Problem, panel: str, *, nodes: int = 12
     measure = lambda b, places: _measured(rows, problem, b, nodes, places)
     ll, score, info, places = measure(beta, None)
     for _ in range(3):  # nodes find their places
-        before = ll
-        ll, score, info, places = measure(beta, places)
+        before, used = ll, places
+        ll, score, info, places = measure(beta, used)
+        release(used)
         if abs(ll - before) < 1e-7 * abs(ll):
             break
     if not math.isfinite(ll):
@@ -202,14 +203,18 @@ def maximise(df: DataFrame, problem: mle.Problem, panel: str, *, nodes: int = 12
         for _ in range(20):
             moved = measure(beta + size * step, places)
             if not better(moved):
-                moved = measure(beta + size * step, moved[3])  # once more, with nodes that have moved along
+                first = moved[3]
+                moved = measure(beta + size * step, first)  # once more, with nodes that have moved along
+                release(first)
             if better(moved):
                 break
+            release(moved[3])
             size /= 2
         else:
             raise mle.NotConverged("no step raises the likelihood")
-        beta = beta + size * step
+        beta, used = beta + size * step, places
         ll, score, info, places = moved
+        release(used)
         if beta[-1] < -8:
             raise mle.NotConverged("the panels don't differ: the deviation of their effects goes to zero")
     else:

@@ -38,12 +38,12 @@ def smooth_simple(spark, sf):
     return rounded(rows.drop("trend"), 6)
 
 
-@query(f"""WITH RECURSIVE {EVENTS}, s AS (SELECT user_id, event_id, i, NULL::DOUBLE AS forecast, y AS level, 0.0::DOUBLE AS trend, [0.0::DOUBLE, 0, 0, 0] AS season FROM e WHERE i = 1
-UNION ALL SELECT e.user_id, e.event_id, e.i, level + 0.9 * trend + season[4], level + 0.9 * trend + 0.2 * (y - level - 0.9 * trend - season[4]), 0.9 * trend + 0.05 * (y - level - 0.9 * trend - season[4]),
-  list_prepend(season[4] + 0.1 * (y - level - 0.9 * trend - season[4]), season[1:3]) FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+@query(f"""WITH RECURSIVE {EVENTS}, w AS (SELECT 1.0::DOUBLE / 7 AS al, 1.0::DOUBLE / 19 AS be, 1.0::DOUBLE / 11 AS ga, 6.0::DOUBLE / 7 AS d), s AS (SELECT user_id, event_id, i, NULL::DOUBLE AS forecast, y AS level, 0.0::DOUBLE AS trend, [0.0::DOUBLE, 0, 0, 0] AS season FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.event_id, e.i, level + d * trend + season[4], level + d * trend + al * (y - level - d * trend - season[4]), d * trend + be * (y - level - d * trend - season[4]),
+  list_prepend(season[4] + ga * (y - level - d * trend - season[4]), season[1:3]) FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1, w)
 SELECT user_id, event_id, round(forecast, 4) AS forecast, round(level, 4) AS level, round(trend, 4) AS trend, round(season[1], 4) AS season FROM s""")
 def smooth_holt_winters(spark, sf):
-    rows = R.smooth(_events(spark, sf), "value", "event_id", 0.2, ("user_id",), beta=0.05, gamma=0.1, period=4, damping=0.9)
+    rows = R.smooth(_events(spark, sf), "value", "event_id", 1 / 7, ("user_id",), beta=1 / 19, gamma=1 / 11, period=4, damping=6 / 7)
     return rounded(rows.withColumnRenamed("t", "event_id"), 4)
 
 

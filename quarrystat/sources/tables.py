@@ -28,18 +28,41 @@ def _sweep() -> None:
     """Deletes what written() has left, if the session still runs."""
     for path, spark in _written.items():
         with contextlib.suppress(Exception):  # the session may have stopped, and the folder may be gone with it
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that written() returned and that no plan still to be run reads; others are left alone."""
+    for made in tables:
+        path = vars(made).get("written_at") if made is not None else None
+        if path and (spark := _written.pop(path, None)):
+            _delete(spark, path)
+
+
+#: With this, the shuffle files of a query are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the folder that the cluster shares (spark.checkpoint.dir, or where that is unset, as in
     tests, one below the warehouse), read from there. So plans of loops don't grow, lost executors cost no more than
     their tasks, and sizes are those of files: a checkpoint keeps the estimate of the plan before, which joins of a
-    loop's state with itself square in every round."""
+    loop's state with itself square in every round. The shuffle files that made the table go at once."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_written"
     path = f"{folder.rstrip('/')}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    vars(made)["written_at"] = path
+    return made
