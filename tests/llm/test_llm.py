@@ -493,5 +493,5 @@ def test_registered_queries_have_contract_columns():
 
     assert "pipeline" in __spark_entry__.queries()
     names = {n.split("_")[0] for n in registered.queries()}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
     assert set(registered.oracle_sql()) <= set(registered.queries())
