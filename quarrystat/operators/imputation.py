@@ -146,7 +146,9 @@ def normal_em(df: DataFrame, columns: list[str], *, steps: int = 5000, tolerance
     centre = _centre(df, columns)
     sums = {m: s[0] for m, s in _sums(_read(df, columns, centre), len(columns)).items()}
     mean, cov, ll, n = _maximum(sums, len(columns), steps, tolerance)
-    return Normal(list(columns), mean + centre, cov, ll, n)
+    # a column that every row has keeps its average: what the sums about it hold is rounding
+    whole = [all(m >> i & 1 for m in sums) for i in range(len(columns))]
+    return Normal(list(columns), np.where(whole, 0.0, mean) + centre, cov, ll, n)
 
 
 def missing_at_random(df: DataFrame, columns: list[str]) -> DataFrame:
