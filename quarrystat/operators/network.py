@@ -6,7 +6,12 @@ are shuffled, so a hub is a row in the shuffle and not a group in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystat.sources.tables import release
@@ -79,14 +84,72 @@ def oriented(edges: DataFrame) -> DataFrame:
     return both.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("low"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("high"))
 
 
+#: Edges out of the nodes of one block, and wedges looked at together in it.
+BLOCK, WEDGES = 1_000_000, 4_000_000
+
+
+def _blocks(lines: DataFrame) -> Callable[[Column], Column]:
+    """The block of a node: ranges of whole-number nodes with some BLOCK edges out, split further by hash where a range has
+    more; other nodes by hash alone. Null beyond the ranges, where no node has edges out."""
+    n, lo, hi = lines.agg(F.count(F.lit(1)), F.min("low"), F.max("low")).first()
+    ranged = dict(lines.dtypes)["low"] in ("tinyint", "smallint", "int", "bigint")
+    cells = 8 * math.ceil(n / BLOCK) if ranged and n else 1
+    width = -(-(hi - lo + 1) // cells) if cells > 1 else 1
+    cell = (lambda node: F.floor((node - lo) / width).cast("int")) if cells > 1 else (lambda node: F.lit(0))
+    counts = {r[0]: r[1] for r in lines.groupBy(cell(F.col("low")).alias("cell")).agg(F.count(F.lit(1))).collect()}
+    first, parts, at, load = [], [], 0, 0
+    for i in range(cells):
+        k = max(1, math.ceil(counts.get(i, 0) / BLOCK))
+        if load and load + counts.get(i, 0) > BLOCK:
+            at, load = at + 1, 0
+        first.append(at)
+        parts.append(k)
+        at, load = (at + k, 0) if k > 1 else (at, load + counts.get(i, 0))
+    starts, split = F.array(*map(F.lit, first)), F.array(*map(F.lit, parts))
+    return lambda node: F.get(starts, cell(node)) + F.pmod(F.xxhash64(node), F.get(split, cell(node))).cast("int")
+
+
+def _closed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The triangles a -> b -> c with a -> c of a block: ``right`` has its nodes b, ``left`` all nodes a that point into it, each with
+    the nodes it points to. node and n, the triangles it is in."""
+    flat = [t["out"].combine_chunks().flatten() for t in (left, right)]
+    lens = [np.diff(t["out"].combine_chunks().offsets.to_numpy()) for t in (left, right)]
+    names, codes = np.unique(np.concatenate([x.to_numpy(zero_copy_only=False) for x in (left["node"].combine_chunks(), flat[0], right["node"].combine_chunks(), flat[1])]), return_inverse=True)
+    a, to_a, b, to_b = np.split(codes, np.cumsum([len(left), len(flat[0]), len(right)]))
+    m = len(names)
+    owner = np.repeat(np.arange(len(a)), lens[0])
+    keys = np.sort(owner * m + to_a)
+    place = np.full(m, -1)
+    place[b] = np.arange(len(b))
+    begins, found = np.cumsum(lens[1]) - lens[1], np.zeros(m, np.int64)
+    steps = np.flatnonzero(place[to_a] >= 0)
+    ends = np.cumsum(lens[1][place[to_a[steps]]])
+    for part in np.split(steps, np.flatnonzero(np.diff(ends // WEDGES)) + 1):
+        k = place[to_a[part]]
+        size = lens[1][k]
+        from_, total = np.repeat(np.arange(len(part)), size), int(size.sum())
+        c = to_b[np.arange(total) + np.repeat(begins[k] - (np.cumsum(size) - size), size)]
+        key = owner[part][from_] * m + c
+        hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(0, bool)
+        for end in (a[owner[part]][from_[hit]], to_a[part][from_[hit]], c[hit]):
+            found += np.bincount(end, minlength=m)
+    seen = np.flatnonzero(found)
+    return pa.table({"node": pa.array(names[seen], left.schema.field("node").type), "n": pa.array(found[seen])})
+
+
 def triangles(edges: DataFrame) -> DataFrame:
-    """node, triangles, clustering: triangles over pairs of neighbours."""
+    """node, triangles, clustering. A node's list of those it points to (see ``oriented``) goes once to each block of nodes that
+    it points into, and wedges are made and closed there; they never are rows."""
     edges = _kept(undirected(edges))  # read three times
     lines = _kept(oriented(edges))
-    one, two = lines.select(F.col("low").alias("a"), F.col("high").alias("b")), lines.select(F.col("low").alias("a"), F.col("high").alias("c"))
-    wedges = one.join(two, "a").where(F.col("b") < F.col("c"))
-    ends = lines.select(F.least("low", "high").alias("b"), F.greatest("low", "high").alias("c"))
-    found = wedges.join(ends, ["b", "c"]).select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
+    block = _blocks(lines)
+    lists = _kept(lines.groupBy(F.col("low").alias("node")).agg(F.collect_list("high").alias("out")))
+    left = lists.select(F.explode(F.array_distinct(F.transform("out", block))).alias("block"), "node", "out").where("block IS NOT NULL")
+    right = lists.select(block(F.col("node")).alias("block"), "node", "out")
+    kind = dict(lines.dtypes)["low"]
+    sums = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(_closed, f"node {kind}, n long")
+    found = _kept(sums.groupBy("node").agg(F.sum("n").alias("triangles")))
+    release(lists, lines)
     deg = degree(edges).select("node", F.col("degree").alias("k"))
     out = deg.join(found, "node", "left").select("node", "k", F.coalesce("triangles", F.lit(0)).alias("triangles"))
     return out.select("node", "triangles", F.when(F.col("k") > 1, 2 * F.col("triangles") / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
