@@ -6,14 +6,14 @@ are shuffled, so a hub is a row in the shuffle and not a group in one task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystat.operators import blocks
 from quarrystat.sources.tables import release
 from quarrystat.sources.tables import written as _kept
 
@@ -89,24 +89,8 @@ BLOCK, WEDGES = 1_000_000, 4_000_000
 
 
 def _blocks(lines: DataFrame) -> Callable[[Column], Column]:
-    """The block of a node: ranges of whole-number nodes with some BLOCK edges out, split further by hash where a range has
-    more; other nodes by hash alone. Null beyond the ranges, where no node has edges out."""
-    n, lo, hi = lines.agg(F.count(F.lit(1)), F.min("low"), F.max("low")).first()
-    ranged = dict(lines.dtypes)["low"] in ("tinyint", "smallint", "int", "bigint")
-    cells = 8 * math.ceil(n / BLOCK) if ranged and n else 1
-    width = -(-(hi - lo + 1) // cells) if cells > 1 else 1
-    cell = (lambda node: F.floor((node - lo) / width).cast("int")) if cells > 1 else (lambda node: F.lit(0))
-    counts = {r[0]: r[1] for r in lines.groupBy(cell(F.col("low")).alias("cell")).agg(F.count(F.lit(1))).collect()}
-    first, parts, at, load = [], [], 0, 0
-    for i in range(cells):
-        k = max(1, math.ceil(counts.get(i, 0) / BLOCK))
-        if load and load + counts.get(i, 0) > BLOCK:
-            at, load = at + 1, 0
-        first.append(at)
-        parts.append(k)
-        at, load = (at + k, 0) if k > 1 else (at, load + counts.get(i, 0))
-    starts, split = F.array(*map(F.lit, first)), F.array(*map(F.lit, parts))
-    return lambda node: F.get(starts, cell(node)) + F.pmod(F.xxhash64(node), F.get(split, cell(node))).cast("int")
+    """The block of a node; null beyond the ranges, where no node has edges out."""
+    return blocks.dealt(lines, BLOCK)[0]
 
 
 def _closed(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -155,18 +139,45 @@ def triangles(edges: DataFrame) -> DataFrame:
     return out.select("node", "triangles", F.when(F.col("k") > 1, 2 * F.col("triangles") / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
 
 
+def _h_index(own: np.ndarray, owner: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """For each node the largest h, up to its bound ``own``, so that h of its neighbours (``near``, by ``owner``) have a bound of
+    at least h."""
+    begins = np.cumsum(own + 1) - (own + 1)
+    counts = np.bincount(np.minimum(near, own[owner]) + begins[owner], minlength=int((own + 1).sum()))
+    upto = np.cumsum(counts)
+    after = np.repeat(upto[begins + own], own + 1) - upto + counts  # neighbours with this bound or more
+    level = np.arange(len(counts)) - np.repeat(begins, own + 1)
+    return np.add.reduceat(((after >= level) & (level > 0)).astype(np.int64), begins)
+
+
+def _cores(block: blocks.Block, bounds: np.ndarray) -> np.ndarray:
+    """The bounds of a block's nodes once they have settled among themselves; only bounds that too few neighbours reach are looked at."""
+    owner, bounds = block.owner, bounds.astype(np.int32)
+    while True:
+        own, near = bounds[block.places], bounds[block.into]
+        falls = block.reduced(np.add, (near >= own[owner]).astype(np.int32), 0) < own
+        if not falls.any():
+            return own
+        some = falls[owner]
+        bounds[block.places[falls]] = _h_index(own[falls], (np.cumsum(falls) - 1)[owner[some]], near[some])
+
+
 def core_numbers(edges: DataFrame) -> DataFrame:
-    """node and core, by rounds in which a node's bound falls to the h-index of its neighbours' bounds."""
-    links = _kept(both_ways(undirected(edges)))
-    bounds = _kept(links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core")))
+    """node and core, by rounds in which a node's bound falls to the h-index of its neighbours' bounds; blocks of nodes settle
+    among themselves within a round."""
+    graph, schema = blocks.laid(edges, both=True), {"core": "long", "fell": "boolean"}
+    bounds = blocks.begun(graph, schema, lambda nodes, lens: {"core": lens, "fell": np.ones(len(lens), bool)})
+
+    def step(block: blocks.Block, known: blocks.Values) -> blocks.Values:
+        before = known["core"][block.places]
+        core = _cores(block, known["core"])
+        return {"core": core, "fell": core < before}
+
     while True:
-        levels = links.join(bounds, links["dst"] == bounds["node"]).groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
-        over = F.sum("n").over(Window.partitionBy("src").orderBy(F.col("core").desc()))
-        h = levels.withColumn("h", F.least("core", over)).groupBy("src").agg(F.max("h").alias("h"))
-        moved = _kept(bounds.join(h, bounds["node"] == h["src"]).select("node", F.col("core").alias("old"), F.least("core", "h").alias("core")))
-        bounds = moved.select("node", "core")
-        if moved.where(F.col("core") < F.col("old")).isEmpty():
-            return bounds
+        last, bounds = bounds, blocks.moved(graph, bounds, schema, step)
+        release(last)
+        if bounds.where("home AND fell").isEmpty():
+            return graph.named(blocks.home(bounds).select("node", "core"), "node")
 
 
 def projection(edges: DataFrame, node: str, via: str, most: int | None = None) -> DataFrame:
