@@ -6,7 +6,7 @@ are shuffled, so a hub is a row in the shuffle and not a group in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,66 @@ def degree(edges: DataFrame, weight: str | None = None) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.sum(F.col("o") + F.col("i")).alias("degree"))
 
 
+#: Edges that a task joins to a forest at a time.
+TREE = 2_000_000
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of the component of each of n nodes."""
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        a, b = low[low < high], high[low < high]
+        np.minimum.at(root, b, a)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _forest(table: pa.Table, sides: bool) -> pa.Table:
+    """Each node with the smallest of its component; with ``sides`` also whether it lies on the other side than that (``odd``). A
+    component whose sides contradict each other has an odd edge of its smallest node with itself."""
+    kind = table.schema.field("src").type
+    names, code = np.unique(np.concatenate([table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("src", "dst")]), return_inverse=True)
+    a, b = np.split(code, 2)
+    if not sides:
+        root = _roots(a, b, len(names))
+        node = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"src": pa.array(names[node], kind), "dst": pa.array(names[root[node]], kind)})
+    odd = table["odd"].to_numpy()
+    root, mirrored = _roots(np.concatenate([2 * a, 2 * a + 1]), np.concatenate([2 * b + odd, 2 * b + 1 - odd]), 2 * len(names)).reshape(-1, 2).T
+    against = mirrored == root
+    node = np.flatnonzero((root // 2 != np.arange(len(names))) | against)
+    ends, first = root[node] // 2, root // 2 == np.arange(len(names))
+    loops = first[node] & against[node]
+    return pa.table({"src": pa.array(names[node], kind), "dst": pa.array(names[ends], kind), "odd": pa.array(np.where(loops, 1, root[node] % 2).astype(np.int32))})
+
+
+def forest(edges: DataFrame, *, sides: bool = False) -> DataFrame:
+    """src, dst (and ``odd``, see ``_forest``): edges with the same components as the given ones, of which each task that holds
+    a range of nodes keeps one a node."""
+    rows = edges.select("src", "dst", *([F.lit(1).alias("odd")] if sides else [])).repartitionByRange("src")
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, *pa.Table.from_batches([b]).to_batches()], n + b.num_rows
+            if n >= TREE:
+                tree = _forest(pa.Table.from_batches(held), sides)
+                if len(tree) > TREE // 2:
+                    yield from tree.to_batches()
+                    held, n = [], 0
+                else:
+                    held, n = tree.to_batches(), len(tree)
+        if n:
+            yield from _forest(pa.Table.from_batches(held), sides).to_batches()
+
+    return rows.mapInArrow(grown, rows.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node). Labels move over edges and then jump to their label's label."""
-    links = _kept(both_ways(undirected(edges)).distinct())
+    """node and component (its smallest node). Labels move over a forest of the edges and then jump to their label's label."""
+    links = _kept(both_ways(undirected(forest(edges.where("src <> dst")))).distinct())
     labels = held = _kept(links.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
     while True:
         near = links.join(labels, links["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("near"))
