@@ -48,3 +48,15 @@ def test_label_communities(spark, edges_stay):
             break
     assert {r["node"]: r["community"] for r in graphs.label_communities(df).collect()} == label
     assert edges_stay and min(edges_stay) > 1
+
+
+def test_eigenvector(spark, edges_stay):
+    pairs = _pairs(6, 40, 200)
+    m = np.zeros((40, 40))
+    for a, b in pairs:
+        if a != b:
+            m[a, b] = m[b, a] = 1
+    w, v = np.linalg.eigh(m)
+    got = {r["node"]: r["score"] for r in graphs.eigenvector(_state(pairs, "int")(spark)).collect()}
+    assert [got[i] for i in range(40)] == pytest.approx(np.abs(v[:, -1]), abs=1e-5)
+    assert edges_stay and min(edges_stay) > 1
