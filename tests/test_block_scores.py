@@ -60,3 +60,14 @@ def test_eigenvector(spark, edges_stay):
     got = {r["node"]: r["score"] for r in graphs.eigenvector(_state(pairs, "int")(spark)).collect()}
     assert [got[i] for i in range(40)] == pytest.approx(np.abs(v[:, -1]), abs=1e-5)
     assert edges_stay and min(edges_stay) > 1
+
+
+def test_katz(spark, edges_stay):
+    pairs = _pairs(7, 40, 200)  # with loops and edges that stand there twice
+    m = np.zeros((40, 40))
+    for a, b in pairs:
+        m[b, a] += 1
+    want = np.linalg.solve(np.eye(40) - 0.02 * m, np.ones(40))
+    got = {r["node"]: r["katz"] for r in graphs.katz(_state(pairs)(spark), alpha=0.02).collect()}
+    assert [got[i] for i in range(40)] == pytest.approx(want, abs=1e-8)
+    assert edges_stay and min(edges_stay) > 1
