@@ -71,3 +71,18 @@ def test_katz(spark, edges_stay):
     got = {r["node"]: r["katz"] for r in graphs.katz(_state(pairs)(spark), alpha=0.02).collect()}
     assert [got[i] for i in range(40)] == pytest.approx(want, abs=1e-8)
     assert edges_stay and min(edges_stay) > 1
+
+
+def test_strong_components(spark, edges_stay):
+    pairs = _pairs(8, 50, 90) + [(60 + i, 60 + (i + 1) % 30) for i in range(30)] + [(99, 99)]
+    nodes = sorted({x for p in pairs for x in p})
+    far = {a: {a} for a in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            far[a] |= far[b]
+    want = {a: {b for b in far[a] if a in far[b]} for a in nodes}
+    got = {r["node"]: r["component"] for r in graphs.strong_components(_state(pairs)(spark)).collect()}
+    assert set(got) == set(nodes)
+    for a in nodes:
+        assert {b for b in nodes if got[b] == got[a]} == want[a] and got[a] in want[a]
+    assert edges_stay and max(edges_stay) > 1
