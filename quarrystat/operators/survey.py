@@ -22,7 +22,7 @@ from quarrystat.functions import dist
 from quarrystat.functions.jets import Jet
 from quarrystat.operators import mle
 from quarrystat.operators.linear import Fit
-from quarrystat.sources.tables import written
+from quarrystat.sources.tables import release, written
 
 
 @dataclass(frozen=True)
@@ -64,10 +64,15 @@ def variance(scores: DataFrame, design: Design, k: int) -> tuple[np.ndarray, flo
     units of the first stage less its strata."""
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     total, free = np.zeros((k, k)), 0.0
+    # sums by unit, of the last stage from the rows and of the others from the stage below, each written once: rows are read once
+    summed_, below = [], scores
+    for s in reversed(range(len(design.stages))):
+        below = written(below.groupBy(*_prefix(s, True)).agg(*[F.first(f"n{j}").alias(f"n{j}") for j in range(s + 1)], *[F.sum(f"z{i}").alias(f"z{i}") for i in range(k)]))
+        summed_.insert(0, below)
     # how much of the stages above was sampled, for each of their units
     above: DataFrame | None = None
     for s, stage in enumerate(design.stages):
-        units = scores.groupBy(*_prefix(s, True)).agg(F.first(f"n{s}").alias("population"), *[F.sum(f"z{i}").alias(f"z{i}") for i in range(k)])
+        units = summed_[s].withColumnRenamed(f"n{s}", "population").drop(*[f"n{j}" for j in range(s)])
         keys = _prefix(s, False)
         # moments about the stratum's mean, so large totals cost no digits
         means = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.max("population").alias("N"), *[F.avg(f"z{i}").alias(f"a{i}") for i in range(k)])
@@ -101,6 +106,7 @@ def variance(scores: DataFrame, design: Design, k: int) -> tuple[np.ndarray, flo
         if s + 1 < len(design.stages):
             share = F.col("f") * F.col("share") if above is not None else F.col("f")
             above = written(joined.select(*_prefix(s, True), share.alias("share")))
+    release(*summed_)
     return total, free
 
 
@@ -387,7 +393,10 @@ def calibrate(df: DataFrame, weight: str, totals_: dict[str, float], *, method:
 
 def calibrated_total(df: DataFrame, value: str, auxiliaries: dict[str, float], design: Design, *, method: str = "linear") -> Fit:
     """A total with calibrated weights, and the design's variance of its regression residuals on the auxiliary columns."""
-    rows = calibrate(df, design.weight, auxiliaries, method=method).where(_complete([value, *auxiliaries]))
+    # the steps, the sums and the scores all read the rows, which may come from joins: written once, with what they need
+    keys = [c for st in design.stages for c in (st.unit, st.stratum, st.population) if c]
+    held = written(df.select(*[F.col(c) for c in dict.fromkeys([design.weight, value, *auxiliaries, *keys])]))
+    rows = calibrate(held, design.weight, auxiliaries, method=method).where(_complete([value, *auxiliaries]))
     names, k = list(auxiliaries), len(auxiliaries)
     x = [F.col(n).cast("double") for n in names]
     found = rows.agg(F.sum(F.col("calibrated") * F.col(value)), *[F.sum(F.col(design.weight) * a * b) for a in x for b in x], *[F.sum(F.col(design.weight) * a * F.col(value)) for a in x]).first()
@@ -395,4 +404,5 @@ def calibrated_total(df: DataFrame, value: str, auxiliaries: dict[str, float], d
     residual = F.col(value) - sum((F.lit(float(b)) * c for b, c in zip(slopes, x, strict=True)), F.lit(0.0))
     scored = _keyed(rows, design, [(F.col("calibrated") * residual).alias("z0")])
     v, free = variance(scored, design, 1)
+    release(held)
     return _fit([value], np.array([found[0]]), v, free, {})

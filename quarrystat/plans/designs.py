@@ -9,7 +9,7 @@ from quarrystat.operators import survey
 from quarrystat.operators.linear import Fit
 from quarrystat.operators.survey import Design, Stage
 from quarrystat.plans.basic import query, rounded
-from quarrystat.sources.tables import table
+from quarrystat.sources.tables import table, written
 
 
 def _sampled(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,6 +91,7 @@ def survey_calibrated(spark, sf):
 @query()
 def survey_raked_total(spark, sf):
     rows = _sampled(spark, sf).withColumns({f: (F.col("flag") == f).cast("double") for f in ("A", "N", "R")})
+    rows = written(rows.select("w", "A", "N", "R", "y", "customer", "nation"))  # the joins of three tables, read again by every step
     counts = rows.agg(*[F.sum(F.col("w") * F.col(f)) for f in ("A", "N", "R")]).first()
     goal = {f: float(c) * s for f, c, s in zip(("A", "N", "R"), counts, (1.3, 0.9, 1.0), strict=True)}
     return _told(survey.calibrated_total(rows, "y", goal, Design("w", (Stage("customer", "nation"),), "certainty"), method="raking"), spark, 1)
