@@ -41,13 +41,22 @@ def _affine_dealt(steps: Affine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([steps.a, same]), _dealt(steps.kind, blocks, length, len(steps.a)), _dealt(steps.b, blocks, length, 0.0)
 
 
+def _by(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of matrices; those of one by one are plain ones, which cost no call each."""
+    return a * b if a.shape[-1] == 1 else a @ b
+
+
+def _on(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return a[..., 0] * v if a.shape[-1] == 1 else (a @ v[..., None])[..., 0]
+
+
 def composed(steps: Affine) -> tuple[np.ndarray, np.ndarray]:
     """All steps as one: its matrix (m, k, k) and its constant (m, k)."""
     a, kinds, b = _affine_dealt(steps)
     t, c = _block_steps(a, kinds, b)
     total, constant = t[0], c[0]
     for i in range(1, len(t)):
-        total, constant = t[i] @ total, (t[i] @ constant[..., None])[..., 0] + c[i]
+        total, constant = _by(t[i], total), _on(t[i], constant) + c[i]
     return total, constant
 
 
@@ -56,7 +65,7 @@ def _block_steps(a: np.ndarray, kinds: np.ndarray, b: np.ndarray) -> tuple[np.nd
     c = np.zeros(b.shape[1:])
     for kind, add in zip(kinds, b, strict=True):
         step = a[kind]
-        t, c = step @ t, (step @ c[..., None])[..., 0] + add
+        t, c = _by(step, t), _on(step, c) + add
     return t, c
 
 
@@ -67,10 +76,10 @@ def states(steps: Affine, start: np.ndarray) -> np.ndarray:
     s = np.empty((len(t), *start.shape))
     s[0] = start
     for i in range(1, len(t)):
-        s[i] = (t[i - 1] @ s[i - 1][..., None])[..., 0] + c[i - 1]
+        s[i] = _on(t[i - 1], s[i - 1]) + c[i - 1]
     out = np.empty(b.shape)
     for i, (kind, add) in enumerate(zip(kinds, b, strict=True)):
-        s = (a[kind] @ s[..., None])[..., 0] + add
+        s = _on(a[kind], s) + add
         out[i] = s
     return np.swapaxes(out, 0, 1).reshape(-1, *start.shape)[: len(steps.kind)]
 

@@ -10,12 +10,13 @@ derivatives need in one such pass.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,16 +68,21 @@ def ordered(df: DataFrame, time: str, values: list[str] | tuple[str, ...], panel
     return Series(cut, tuple(panel), Layout(keys, tuple(values), before))
 
 
+def _follows(keys: list[str], table: pa.Table) -> np.ndarray:
+    """Which rows of a table in order, but the first, go on with the series of the row before."""
+    same = np.ones(len(table) - 1, bool)
+    for k in keys:
+        same &= pc.equal(table[k].slice(0, len(table) - 1), table[k].slice(1)).to_numpy(zero_copy_only=False)
+    if (same & pc.equal(table["t"].slice(0, len(table) - 1), table["t"].slice(1)).to_numpy(zero_copy_only=False)).any():
+        raise ValueError("a time repeats within a series")
+    return same
+
+
 def _opened(layout: Layout, table: pa.Table) -> tuple[pa.Table, int, Rows, np.ndarray]:
     """A slice in order, its number, its values, and which rows begin a series."""
     keys = layout.keys
     table = table.sort_by([(k, "ascending") for k in [*keys, "t"]])
-    number = table["slice"][0].as_py()
-    same = np.ones(len(table) - 1, bool)
-    for k in keys:
-        same &= pa.compute.equal(table[k].slice(0, len(table) - 1), table[k].slice(1)).to_numpy(zero_copy_only=False)
-    if (same & pa.compute.equal(table["t"].slice(0, len(table) - 1), table["t"].slice(1)).to_numpy(zero_copy_only=False)).any():
-        raise ValueError("a time repeats within a series")
+    number, same = table["slice"][0].as_py(), _follows(keys, table)
     begins = layout.before[number] != tuple(table[k][0].as_py() for k in keys)
     values = {v: table[f"v{i}"].to_numpy(zero_copy_only=False).astype(float) for i, v in enumerate(layout.values)}
     return table, number, values, np.append(begins, ~same)
@@ -92,18 +98,17 @@ class Stepper:
     start: tuple[np.ndarray, ...]
 
 
-def incoming(series: Series, stepper: Stepper, whole: bool = False) -> tuple[dict[int, tuple], tuple]:
+def incoming(series: Series | Packed, stepper: Stepper, whole: bool = False) -> tuple[dict[int, tuple], tuple]:
     """The state before each slice, and after the last one (only if ``whole``, or if there are several slices)."""
-    layout = series.layout
-    if len(layout.before) <= 1 and not whole:
-        return dict.fromkeys(layout.before, stepper.start), stepper.start
+    numbers = series.earlier if isinstance(series, Packed) else series.layout.before
+    if len(numbers) <= 1 and not whole:
+        return dict.fromkeys(numbers, stepper.start), stepper.start
 
-    def reduce(table: pa.Table) -> pa.Table:
-        _, number, values, first = _opened(layout, table)
+    def reduce(number: int, values: Rows, first: np.ndarray) -> pa.Table:
         parts = stepper.reduce(values, first)
         return pa.table({"slice": pa.array([number], pa.int32()), "shapes": pa.array([[list(p.shape) for p in parts]], pa.list_(pa.list_(pa.int64()))), "x": pa.array([np.concatenate([p.ravel() for p in parts])], pa.list_(pa.float64()))})
 
-    found = series.rows.groupBy("slice").applyInArrow(reduce, "slice int, shapes array<array<long>>, x array<double>").orderBy("slice").toArrow()
+    found = _per_slice(series, reduce, "slice int, shapes array<array<long>>, x array<double>").orderBy("slice").toArrow()
     states, state = {}, stepper.start
     for number, shapes, x in zip(found["slice"].to_pylist(), found["shapes"].to_pylist(), found["x"], strict=True):
         states[number] = state
@@ -112,16 +117,93 @@ def incoming(series: Series, stepper: Stepper, whole: bool = False) -> tuple[dic
     return states, state
 
 
-def summed(series: Series, stepper: Stepper, body: Callable[[Rows, np.ndarray, tuple], np.ndarray]) -> np.ndarray:
-    """The sum over all slices of an array that ``body`` makes of a slice and its incoming state."""
-    states, layout = incoming(series, stepper)[0], series.layout
+# ---- slices that many passes read
 
-    def part(table: pa.Table) -> pa.Table:
-        _, number, values, first = _opened(layout, table)
-        x = body(values, first, states[number]).ravel()
+@dataclass(frozen=True)
+class Packed:
+    """Slices in order, one row each: slice, same (which rows but the first go on with the series before them), v (values).
+    What sums over them pass after pass neither moves nor sorts rows. ``earlier``: for each slice the values of up to ``lags``
+    rows before it, the nearest last, or None where its first row begins a series."""
+
+    rows: DataFrame
+    value: str
+    lags: int
+    earlier: dict[int, tuple[float, ...] | None]
+
+
+def packed(df: DataFrame, value: str, time: str, panel: tuple[str, ...] = (), lags: int = 1, per_slice: int = PER_SLICE) -> Packed:
+    """The series of a table as ``ordered``, packed. Rows with a null value are left out as well."""
+    keys = [f"p{i}" for i in range(len(panel))]
+    rows = df.select(*[F.col(p).alias(k) for p, k in zip(panel, keys, strict=True)], F.col(time).alias("t"), F.col(value).cast("double").alias("v")).na.drop()
+    slices = max(1, -(-rows.count() // per_slice))
+    cut = rows.repartitionByRange(slices, *keys, "t").withColumn("slice", F.spark_partition_id()).sortWithinPartitions(*keys, "t")
+    ends = [T.StructField(f"{side}_{k}", rows.schema[k].dataType) for side in ("first", "last") for k in keys]
+    schema = T.StructType([T.StructField("slice", T.IntegerType()), *ends, T.StructField("same", T.ArrayType(T.BooleanType())), T.StructField("near", T.ArrayType(T.DoubleType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            same, v = _follows(keys, table), table["v"].to_numpy()
+            own = v[np.append(0, np.flatnonzero(~same) + 1)[-1] :][-lags:]
+            found = [table[k].slice(i, 1).combine_chunks() for i in (0, len(v) - 1) for k in keys]
+            yield pa.RecordBatch.from_arrays([table["slice"].slice(0, 1).combine_chunks(), *found, pa.array([same], pa.list_(pa.bool_())), *[pa.array([x], pa.list_(pa.float64())) for x in (own, v)]], schema.names)
+
+    made = written(cut.mapInArrow(pack, schema))
+    earlier: dict[int, tuple[float, ...] | None] = {}
+    last, near = None, ()
+    for r in made.select("slice", *[f.name for f in ends], F.forall("same", lambda x: x).alias("single"), "near").orderBy("slice").collect():
+        goes_on = last == tuple(r[f"first_{k}"] for k in keys)
+        earlier[r["slice"]] = near if goes_on else None
+        near = (*(near if goes_on and r["single"] else ()), *r["near"])[-lags:]
+        last = tuple(r[f"last_{k}"] for k in keys)
+    return Packed(made.select("slice", "same", "v"), value, lags, earlier)
+
+
+def lagged(name: str, lag: int) -> str:
+    """The column of ``lag`` rows earlier in the series of a packed slice; NaN where the series hasn't begun by then."""
+    return f"{name}-{lag}"
+
+
+def _unpacked(value: str, lags: int, before: dict[int, tuple[float, ...] | None], b: pa.RecordBatch) -> Iterator[tuple[int, Rows, np.ndarray]]:
+    """The slices of a batch: number, values with their lags, and which rows begin a series."""
+    for i, number in enumerate(b["slice"].to_pylist()):
+        v = b["v"][i].values.to_numpy(zero_copy_only=False)
+        earlier = before[number]
+        first = np.append(earlier is None, ~b["same"][i].values.to_numpy(zero_copy_only=False).astype(bool))
+        places, near = np.arange(len(v)), np.array(earlier or ())
+        age = places - np.maximum.accumulate(np.where(first, places, -len(near)))
+        whole = np.concatenate([np.full(lags - len(near), np.nan), near, v])
+        rows = {value: v}
+        for lag in range(1, lags + 1):
+            rows[lagged(value, lag)] = np.where(age >= lag, whole[lags - lag : lags - lag + len(v)], np.nan)
+        yield number, rows, first
+
+
+def _per_slice(series: Series | Packed, body: Callable[[int, Rows, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """The rows that ``body`` makes of each slice."""
+    if isinstance(series, Packed):
+        known = (series.value, series.lags, series.earlier)
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for slice_ in _unpacked(*known, b):
+                    yield from body(*slice_).to_batches()
+
+        return series.rows.mapInArrow(parts, schema)
+    layout = series.layout
+    return series.rows.groupBy("slice").applyInArrow(lambda table: body(*_opened(layout, table)[1:]), schema)
+
+
+def summed(series: Series | Packed, stepper: Stepper | None, body: Callable[[Rows, np.ndarray, tuple | None], np.ndarray]) -> np.ndarray:
+    """The sum over all slices of an array that ``body`` makes of a slice and its incoming state (None without a stepper)."""
+    states = incoming(series, stepper)[0] if stepper else {}
+
+    def part(number: int, values: Rows, first: np.ndarray) -> pa.Table:
+        x = body(values, first, states.get(number)).ravel()
         return pa.table({"i": np.arange(len(x)), "x": x})
 
-    got = series.rows.groupBy("slice").applyInArrow(part, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    got = _per_slice(series, part, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
     out = np.zeros(got.num_rows)
     out[got["i"].to_numpy()] = got["x"].to_numpy()
     return out
@@ -325,32 +407,65 @@ def garch_model(points: np.ndarray, arch: int, garch: int, asymmetric: bool, var
     return AffineModel(a, start, inputs)
 
 
+def _driven(points: np.ndarray, arch: int, skew: np.ndarray, variance: float, value: str, shift: int, rows: Rows) -> np.ndarray:
+    """What squared deviations add to the next variance (n, m), or with ``shift`` 1 to the row's own: the part that needs no
+    state, only the values of earlier rows; before a series these count as the sample's variance."""
+    means, which = np.unique(points[:, 0], return_inverse=True)
+    omega, alphas = np.exp(points[:, 1]), points[:, 2 : 2 + arch]
+    n = len(rows[value])
+    out = np.repeat(omega[:, None], n, axis=1)
+    term = np.empty(n)
+    for i in range(arch):
+        y = rows[lagged(value, i + shift) if i + shift else value]
+        begun = ~np.isnan(y)
+        for u, mean in enumerate(means):
+            e = y - mean
+            squares = np.where(begun, e * e, variance)
+            below = np.where(begun, np.where(e < 0, squares, 0.0), variance / 2) if skew.any() else None
+            for p in np.flatnonzero(which == u):
+                out[p] += np.multiply(squares, alphas[p, i], out=term)
+                if skew[p].any():
+                    out[p] += np.multiply(below, skew[p, i], out=term)
+    return out.T
+
+
 def garch(df: DataFrame, value: str, time: str, panel: tuple[str, ...] = (), *, arch: int = 1, garch: int = 1, asymmetric: bool = False, robust: bool = False, per_slice: int = PER_SLICE) -> Fit:
     """GARCH(garch, arch) with a constant mean, or with ``asymmetric`` the threshold form of Glosten, Jagannathan and Runkle
     (an extra weight on squares below the mean); with ``garch=0`` ARCH. Maximum likelihood with normal errors; the variance
     before a series is the sample's. Names: mean, lnomega, arch1..., tarch1..., garch1.... ``robust``: with the scores'
     outer products, taken in one more pass. Rows with a null value are left out."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    series = ordered(rows, time, [value], panel, per_slice)
-    n, middle, variance = series.rows.agg(F.count("v0"), F.avg("v0"), F.var_pop("v0")).first()
+    series = packed(rows, value, time, panel, max(arch, 1), per_slice)
+    n, middle, variance = series.rows.select(F.explode("v").alias("v")).agg(F.count("v"), F.avg("v"), F.var_pop("v")).first()
     if not n or not variance:
         raise ValueError("no rows, or no variance")
     names = ["mean", "lnomega", *[f"arch{i + 1}" for i in range(arch)], *([f"tarch{i + 1}" for i in range(arch)] if asymmetric else []), *[f"garch{i + 1}" for i in range(garch)]]
 
-    def rowwise(points: np.ndarray) -> tuple[AffineModel, Callable]:
-        model = garch_model(points, arch, garch, asymmetric, variance, value)
-
-        def loglik(rows: Rows, first: np.ndarray, state: tuple) -> np.ndarray:
-            before, _ = model.run(rows, first, state)
+    def rowwise(points: np.ndarray) -> tuple[Stepper | None, Callable]:
+        rest = points[:, 2 + arch :]
+        skew, betas = (rest[:, :arch], rest[:, arch:]) if asymmetric else (np.zeros((len(points), arch)), rest)
+        model = None
+        if garch:  # only the variances go from row to row
+            a = np.zeros((len(points), garch, garch))
+            a[:, 0], a[:, 1:, :-1] = betas, np.eye(garch - 1)
+            unit = np.eye(garch)[0]
+            model = AffineModel(a, np.full((len(points), garch), variance), lambda rows: _driven(points, arch, skew, variance, value, 0, rows)[..., None] * unit)
+
+        def loglik(rows: Rows, first: np.ndarray, state: tuple | None) -> np.ndarray:
+            h = np.ascontiguousarray(model.run(rows, first, state)[0][..., 0].T) if model else _driven(points, arch, skew, variance, value, 1, rows).T
             with np.errstate(all="ignore"):
-                return np.where(before[..., 0] > 0, _gaussian(rows[value][:, None] - points[:, 0], before[..., 0]), -np.inf)
+                for v, mean in zip(h, points[:, 0], strict=True):  # a point at a time stays in the processor's cache
+                    if not model:
+                        v[first] = variance
+                    v[:] = np.where(v > 0, _gaussian(rows[value] - mean, v), -np.inf)
+            return h.T
 
-        return model, loglik
+        return model.stepper if model else None, loglik
 
     def objective(points: np.ndarray) -> np.ndarray:
-        model, loglik = rowwise(points)
+        stepper, loglik = rowwise(points)
         alive = (points[:, 2:] > -0.5).all(axis=1) & (np.abs(points[:, 2:]).sum(axis=1) < 3)
-        total = summed(series, model.stepper, lambda rows, first, state: np.nan_to_num(loglik(rows, first, state).sum(axis=0), nan=-np.inf, neginf=-np.inf))
+        total = summed(series, stepper, lambda rows, first, state: np.nan_to_num(loglik(rows, first, state).sum(axis=0), nan=-np.inf, neginf=-np.inf))
         return np.where(alive, total, -np.inf)
 
     each = 0.1 / arch
@@ -360,14 +475,14 @@ def garch(df: DataFrame, value: str, time: str, panel: tuple[str, ...] = (), *,
     if robust:
         h = 1e-4 * scale
         points = np.concatenate([beta + np.diag(h), beta - np.diag(h)])
-        model, loglik = rowwise(points)
+        stepper, loglik = rowwise(points)
 
         def outer(rows: Rows, first: np.ndarray, state: tuple) -> np.ndarray:
             x = loglik(rows, first, state)
             s = (x[:, : len(h)] - x[:, len(h) :]) / (2 * h)
             return s.T @ s
 
-        v = v @ summed(series, model.stepper, outer).reshape(len(h), len(h)) @ v
+        v = v @ summed(series, stepper, outer).reshape(len(h), len(h)) @ v
     k = len(names)
     return Fit(names, beta, v, None, {"n": float(n), "loglik": ll, "aic": 2 * k - 2 * ll, "bic": math.log(n) * k - 2 * ll, "start_variance": variance})
 

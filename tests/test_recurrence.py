@@ -201,6 +201,37 @@ def test_asymmetric_garch_and_arch(spark):
     assert plain.metrics["loglik"] < fit.metrics["loglik"]
 
 
+def test_garch_over_slices_that_cut_short_series(spark):
+    """ARCH(2) and GARCH(1, 1) likelihoods by plain loops over the series of a panel, some shorter than the lags or a slice's rows."""
+    rng = np.random.default_rng(9)
+    lengths = [1, 2, 3, 700, 1, 5, 290, 2]
+    data = [(g, i, float(rng.normal() * (2 + (i % 7 == 0)))) for g, n in enumerate(lengths) for i in range(n)]
+    rows = spark.createDataFrame(data, "g int, t long, y double").repartition(5)
+    v0 = float(np.var([y for _, _, y in data]))
+    by = [[y for g, _, y in data if g == k] for k in range(len(lengths))]
+    for per_slice in (5_000, 90):
+        fit = R.garch(rows, "y", "t", ("g",), arch=2, garch=0, per_slice=per_slice)
+        mean, omega, a1, a2 = fit.beta[0], math.exp(fit.beta[1]), *fit.beta[2:]
+        total = 0.0
+        for ys in by:
+            squares = [v0, v0, *[(y - mean) ** 2 for y in ys]]
+            for i in range(len(ys)):
+                h = omega + a1 * squares[i + 1] + a2 * squares[i] if i else v0
+                total -= 0.5 * (math.log(2 * math.pi) + math.log(h) + squares[i + 2] / h)
+        assert fit.metrics["loglik"] == pytest.approx(total, rel=1e-11)
+        both = R.garch(rows, "y", "t", ("g",), asymmetric=True, per_slice=per_slice)
+        assert both.metrics["loglik"] == pytest.approx(sum(garch_loglik(ys, both.beta, v0, True) for ys in by), rel=1e-11)
+
+
+def test_passes_of_garch_move_no_rows(spark):
+    """Rows are laid out once: a pass over the slices neither shuffles nor sorts them, and knows the values before each."""
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("t"), (F.col("id") * 1.0).alias("y"))
+    series = R.packed(rows, "y", "t", ("g",), lags=2, per_slice=100)
+    assert "Exchange" not in series.rows._jdf.queryExecution().executedPlan().toString()
+    wrong = R.summed(series, None, lambda r, first, _: np.array([len(first), first.sum(), np.nansum(r["y-1"] != r["y"] - 3), np.isnan(r["y-2"]).sum()], float))
+    assert list(wrong) == [1000, 3, 3, 6]  # the first row of a series has no lag, the first two no second one
+
+
 def dense_arma_loglik(y, mean, ar, ma, sigma):
     """The normal density with the covariance matrix of an ARMA process from a long moving average."""
     n, far = len(y), 4000
