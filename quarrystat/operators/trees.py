@@ -3,6 +3,9 @@
 Predictors are cut at quantiles, or between all their values where these are few. For each level one pass sends every row
 down the trees grown so far and adds it to its node's histogram of each predictor; tasks return sums by tree, node, predictor
 and bin, whatever the number of rows, and the driver picks the splits from them. All trees of a forest share the passes.
+
+Trees see no more of a row than its bins. So where combinations of bins are few, rows are first summed by them (and by what
+trees take them for) in one pass, and the levels read these sums.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystat.sources.tables import small, written
+from quarrystat.sources.tables import release, small, written
 
 
 @dataclass
@@ -95,14 +98,15 @@ def _histograms(rows: DataFrame, width: int, statistics: Callable[[np.ndarray],
                 mine = np.ones(len(x), bool) if take is None else take(h, t)
                 number = np.full(len(tree.feature), -1)
                 for node, place in nodes.items():
-                    number[node] = first + place
+                    number[node] = place
+                here = total[first : first + len(nodes)]
                 at = number[tree.place(x[mine])]
                 inside = at >= 0
                 own, ob, ov = at[inside], binned[mine][inside], v[mine][inside]
                 for k in range(p):
                     cell = own * bins + ob[:, k]
                     for s in range(width):
-                        total[:, k, :, s] += np.bincount(cell, ov[:, s], count * bins).reshape(count, bins)
+                        here[:, k, :, s] += np.bincount(cell, ov[:, s], len(nodes) * bins).reshape(-1, bins)
                 first += len(nodes)
         filled = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(total.ravel()[filled])], ["i", "s"])
@@ -113,6 +117,67 @@ def _histograms(rows: DataFrame, width: int, statistics: Callable[[np.ndarray],
     return out.reshape(count, p, bins, width)
 
 
+#: Sums (by combination of bins, group and statistic) up to which rows are summed first.
+MOST_SUMS = 3_000_000
+
+#: Rows that a task adds at once.
+AT_ONCE = 100_000
+
+
+def _codes(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The number of each row's combination of bins; a null (NaN) has the last bin of its predictor."""
+    code = np.zeros(len(x), np.int64)
+    for k, e in enumerate(edges):
+        code = code * (len(e) + 2) + np.where(np.isnan(x[:, k]), len(e) + 1, np.searchsorted(e, x[:, k], side="left"))
+    return code
+
+
+def _combined(rows: DataFrame, edges: list[np.ndarray], width: int, statistics: Callable[[np.ndarray], np.ndarray], groups: int = 1, dealt: Callable[[np.ndarray], Iterator[tuple[int, np.ndarray]]] | None = None) -> DataFrame | None:
+    """Rows (x, v, h) summed by combination of bins and group: x holds a value of each bin, v the sums of the statistics, h the
+    group. ``dealt`` makes of the rows' h pairs: a group, and which rows belong to it, or the one after it (0, 1; others to
+    none). None where there may be too many sums."""
+    sizes = [len(e) + 2 for e in edges]
+    cells = math.prod(sizes)
+    if cells * groups * width > MOST_SUMS:
+        return None
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, groups, cells))
+
+        def add(held: list[pa.RecordBatch]) -> None:
+            x, v = (np.concatenate([b[c].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in held]) for c in ("x", "v"))
+            h = np.concatenate([b["h"].to_numpy() for b in held]).view(np.uint64)
+            code, values = _codes(x, edges), np.ascontiguousarray(statistics(v).T)
+            for group, role in dealt(h) if dealt else [(0, np.zeros(len(h), np.int64))]:
+                mine = np.flatnonzero(role < 2)
+                own, roles = code[mine] + cells * role[mine], min(2, groups - group)
+                for s in range(width):
+                    total[s, group : group + roles] += np.bincount(own, values[s, mine], roles * cells).reshape(roles, cells)
+
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= AT_ONCE:
+                add(held)
+                held, n = [], 0
+        if held:
+            add(held)
+        flat = total.reshape(width, -1)
+        filled = np.flatnonzero((flat != 0).any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(filled), *[pa.array(flat[s, filled]) for s in range(width)]], ["i", *[f"s{s}" for s in range(width)]])
+
+    names = [f"s{s}" for s in range(width)]
+    got = rows.mapInArrow(sums, "i long, " + ", ".join(f"{n} double" for n in names)).groupBy("i").agg(*[F.sum(n).alias(n) for n in names])
+    x, left = [], F.col("i") % cells
+    for e, size in zip(reversed(edges), reversed(sizes), strict=True):
+        # up to its edge a bin's values go left; beyond all edges, and for nulls, they go right
+        x.insert(0, F.element_at(F.array(*[F.lit(float(v)) for v in [*e, math.inf, math.nan]]), (left % size + 1).cast("int")))
+        left = F.floor(left / size)
+    return got.select(F.array(*x).alias("x"), F.array(*names).alias("v"), F.floor(F.col("i") / cells).alias("h"))
+
+
 def grow(rows: DataFrame, predictors: list[str], edges: list[np.ndarray], width: int, statistics: Callable, score: Callable[[np.ndarray], np.ndarray], size: Callable[[np.ndarray], np.ndarray], *, depth: int, least: float, gain: float, trees: int = 1, take: Callable | None = None, tried: Callable[[int, int], np.ndarray] | None = None) -> list[Tree]:
     """Trees whose splits raise the sum of ``score`` over nodes most. Ties go to the first predictor, then the lowest edge.
     ``tried``: which predictors a tree tries at a node."""
@@ -165,13 +230,13 @@ def _rows(df: DataFrame, predictors: list[str], values: list[Column]) -> DataFra
     return found.where(~F.exists("v", lambda c: c.isNull() | F.isnan(c))).withColumn("h", F.xxhash64("x", "v"))
 
 
-def cart(df: DataFrame, outcome: str, predictors: list[str], *, kind: str = "regression", depth: int = 5, least: int = 1, bins: int = 64, gain: float = 1e-9) -> Tree:
+def cart(df: DataFrame, outcome: str, predictors: list[str], *, kind: str = "regression", depth: int = 5, least: int = 1, bins: int = 64, gain: float = 1e-9, edges: list[np.ndarray] | None = None) -> Tree:
     """A regression tree (least squares) or a classification tree (Gini; an outcome of 100 levels at most). ``least``: rows of a
     leaf; ``gain``: what a split has to add to the score, as a share of the root's. Rows with a null outcome are left out;
     null predictors go right. An empty table gives a single leaf. Statistics of a node: count, sum and sum of squares, or
-    counts by level (``tree.levels``)."""
+    counts by level (``tree.levels``). ``edges``: where predictors may be cut, if that is known (``edges_of``)."""
     if kind == "regression":
-        rows = written(_rows(df, predictors, [F.col(outcome).cast("double")]))
+        rows = _rows(df, predictors, [F.col(outcome).cast("double")])
         width, levels = 3, []
         statistics = lambda v: np.column_stack([np.ones(len(v)), v[:, 0], v[:, 0] ** 2])
         score = lambda s: np.where(s[..., 0] > 0, s[..., 1] ** 2 / np.maximum(s[..., 0], 1), 0.0)
@@ -182,13 +247,17 @@ def cart(df: DataFrame, outcome: str, predictors: list[str], *, kind: str = "reg
         if len(levels) > 100:
             raise ValueError("a class has 100 levels at most")
         number = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(outcome)) - 1 if levels else F.lit(None)
-        rows = written(_rows(df, predictors, [number.cast("double")]))
+        rows = _rows(df, predictors, [number.cast("double")])
         width = max(len(levels), 1)
         statistics = lambda v: (v[:, :1] == np.arange(width)).astype(float)
         size = lambda s: s.sum(axis=-1)
         score = lambda s: np.where(s.sum(axis=-1) > 0, (s**2).sum(axis=-1) / np.maximum(s.sum(axis=-1), 1), 0.0)
         spread = float(rows.count())
-    tree = grow(rows, predictors, edges_of(df, predictors, bins), width, statistics, score, size, depth=depth, least=least, gain=gain * max(spread, 1e-300))[0]
+    edges = edges_of(df, predictors, bins) if edges is None else edges
+    combined = _combined(rows, edges, width, statistics)
+    rows = written(rows if combined is None else combined)
+    tree = grow(rows, predictors, edges, width, statistics if combined is None else lambda v: v, score, size, depth=depth, least=least, gain=gain * max(spread, 1e-300))[0]
+    release(rows)
     tree.levels = levels
     return tree
 
@@ -279,25 +348,30 @@ def causal_forest(df: DataFrame, outcome: str, treatment: str, predictors: list[
     rows: half of these choose its splits, the others its effects. Equal rows are taken together unless ``keys`` tell them
     apart. Rows with a null outcome or treatment are left out; null predictors go right."""
     usable = df.where(F.col(outcome).isNotNull() & F.col(treatment).isNotNull())
+    edges = edges_of(usable, predictors, bins)
     for c in (outcome, treatment):
-        usable = cart_predict(usable, cart(usable, c, predictors, depth=6, least=50, bins=bins), f"_{c}_hat")
+        usable = cart_predict(usable, cart(usable, c, predictors, depth=6, least=50, bins=bins, edges=edges), f"_{c}_hat")
     y, w = F.col(outcome).cast("double") - F.col(f"_{outcome}_hat"), F.col(treatment).cast("double") - F.col(f"_{treatment}_hat")
     rows = _rows(usable, predictors, [w * y, w * w])
     if keys:
         x = F.array(*[F.coalesce(F.col(f"`{p}`").cast("double"), F.lit(float("nan"))) for p in predictors])
         rows = usable.select(x.alias("x"), F.array(w * y, w * w).alias("v"), F.xxhash64(F.lit(seed), *keys).alias("h"))
-    rows = written(rows)
     statistics = lambda v: np.column_stack([np.ones(len(v)), v])
+    # groups 2 t and 2 t + 1: the rows that choose the splits of tree t, and those that estimate its effects
+    combined = _combined(rows, edges, 3, statistics, 2 * trees, lambda h: ((2 * t, (_bits(h, t) % np.uint64(4)).astype(np.int64)) for t in range(trees)))
+    rows = written(rows if combined is None else combined)
     effect = lambda s: np.where(s[..., 2] > 1e-12, s[..., 1] / np.maximum(s[..., 2], 1e-12), 0.0)
     score = lambda s: s[..., 0] * effect(s) ** 2
     choose = lambda h, t: _bits(h, t) % np.uint64(4) == 0
     estimate = lambda h, t: _bits(h, t) % np.uint64(4) == 1
+    if combined is not None:
+        statistics = lambda v: v
+        choose, estimate = (lambda h, t: h == np.uint64(2 * t)), (lambda h, t: h == np.uint64(2 * t + 1))
     several = max(1, math.ceil(len(predictors) * 2 / 3))
 
     def tried(t: int, node: int) -> np.ndarray:
         return np.random.default_rng([seed, t, node]).permutation(len(predictors))[:several]
 
-    edges = edges_of(usable, predictors, bins)
     grown = grow(rows, predictors, edges, 3, statistics, score, lambda s: s[..., 0], depth=depth, least=least, gain=0.0, trees=trees, take=choose, tried=tried)
     leaves = [{n: i for i, n in enumerate(t.leaves())} for t in grown]
     sums = _histograms(rows, 3, statistics, grown, leaves, edges[:1], estimate)[:, 0].sum(axis=1)
@@ -308,28 +382,30 @@ def causal_forest(df: DataFrame, outcome: str, treatment: str, predictors: list[
             table[node] = sums[first + i]
         out.append(table)
         first += len(own)
+    release(rows)
     return CausalForest(grown, out, predictors)
 
 
 def causal_predict(df: DataFrame, forest: CausalForest, name: str = "effect") -> DataFrame:
     """``df`` with each row's effect, from the leaves that it shares with the estimating rows; null where there are none."""
-    x = F.array(*[F.coalesce(F.col(f"`{p}`").cast("double"), F.lit(float("nan"))) for p in forest.predictors])
-    keep = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    rows = df.select(keep, x.alias("x"))
     trees, sums = forest.trees, forest.sums
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b["x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            total = np.zeros((b.num_rows, 3))
-            for tree, table in zip(trees, sums, strict=True):
-                own = table[tree.place(x)]
-                total += own / np.maximum(own[:, :1], 1)  # a tree's leaf counts once, by the means of its rows
-            with np.errstate(all="ignore"):
-                effect = np.where(total[:, 2] > 0, total[:, 1] / total[:, 2], np.nan)
-            yield pa.RecordBatch.from_arrays([b["row"], pa.array(effect, from_pandas=True)], ["row", "effect"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    made = rows.mapInArrow(predict, StructType([rows.schema["row"], StructField("effect", DoubleType())]))
-    return made.select("row.*", F.col("effect").alias(name))
+    # rows between the same cuts share their leaves, so trees are asked once for each such combination in a batch
+    cuts = [np.unique([e for t in trees for f, e in zip(t.feature, t.edge, strict=True) if f == k]) for k in range(len(forest.predictors))]
+    coded = math.prod(len(c) + 2 for c in cuts) < 1 << 62
+
+    def predict(*columns: pa.Array) -> pa.Array:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns])
+        back = slice(None)
+        if coded:
+            _, some, back = np.unique(_codes(x, cuts), return_index=True, return_inverse=True)
+            x = x[some]
+        total = np.zeros((len(x), 3))
+        for tree, table in zip(trees, sums, strict=True):
+            own = table[tree.place(x)]
+            total += own / np.maximum(own[:, :1], 1)  # a tree's leaf counts once, by the means of its rows
+        with np.errstate(all="ignore"):
+            effect = np.where(total[:, 2] > 0, total[:, 1] / total[:, 2], np.nan)
+        return pa.array(effect[back], pa.float64(), from_pandas=True)
+
+    # a column's function: only the predictors go to it, and a plan reads no columns that nothing needs
+    return df.withColumn(name, F.arrow_udf(predict, "double")(*[F.col(f"`{p}`").cast("double") for p in forest.predictors]))

@@ -117,3 +117,45 @@ def test_causal_forest_finds_who_gains(spark):
     again = trees.causal_forest(df.repartition(7), "y", "w", ["x", "z"], trees=20, depth=3, keys=["i"])
     assert all(np.allclose(a, b) for a, b in zip(forest.sums, again.sums, strict=True))
     assert math.isfinite(high)
+
+
+def test_trees_read_sums_where_bins_are_few(spark, monkeypatch):
+    """Sums by bins give the trees, effects and predictions of the rows themselves, nulls included, and are far fewer."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    data = [(i, *[None if rng.random() < 0.05 else float(rng.integers(k)) for k in (40, 6, 3)], float(rng.random() < 0.5), float(rng.normal())) for i in range(n)]
+    df = spark.createDataFrame(data, "i long, a double, b double, c double, w double, y double").repartition(3)
+    df = df.withColumn("y", F.col("y") + F.coalesce(F.col("a") / 10, F.lit(1.0)) + F.col("w") * F.when(F.col("b") > 2, 3.0).otherwise(0.0))
+    seen = []
+
+    def noted(rows, *rest):
+        seen.append(rows.count())
+        return histograms(rows, *rest)
+
+    histograms = trees._histograms
+    monkeypatch.setattr(trees, "_histograms", noted)
+    got = {}
+    for most in (trees.MOST_SUMS, 0):
+        monkeypatch.setattr(trees, "MOST_SUMS", most)
+        seen.clear()
+        tree = trees.cart(df, "y", ["b", "c"], depth=3, least=20)
+        classes = trees.cart(df, "w", ["b", "c"], kind="class", depth=2, least=20)
+        assert max(seen) <= 8 * 5 if most else min(seen) == n
+        forest = trees.causal_forest(df, "y", "w", ["a", "b", "c"], trees=6, depth=2, bins=8, keys=["i"])
+        effects = [r["effect"] for r in trees.causal_predict(df, forest).orderBy("i").collect()]
+        got[most] = (tree, classes, forest, effects)
+    (one, k1, f1, e1), (two, k2, f2, e2) = got.values()
+    for x, z in [(one, two), (k1, k2), *zip(f1.trees, f2.trees, strict=True)]:
+        assert (x.feature, x.edge, x.left) == (z.feature, z.edge, z.left)
+        assert all(np.allclose(p, q) for p, q in zip(x.stats, z.stats, strict=True))
+    assert all(np.allclose(p, q) for p, q in zip(f1.sums, f2.sums, strict=True))
+    assert np.allclose(e1, e2)
+    assert len(set(e1)) > 2
+
+
+def test_effects_of_leaves_and_nulls(spark):
+    tree = trees.Tree(["a"], [0, -1, -1], [0.5, math.inf, math.inf], [1, -1, -1], [np.zeros(3)] * 3)
+    forest = trees.CausalForest([tree], [np.array([[0, 0, 0], [2, 4.0, 2.0], [1, 0, 0]])], ["a"])
+    df = spark.createDataFrame([(0.0, "u"), (1.0, "v"), (None, "w")], "a double, other string")
+    got = trees.causal_predict(df, forest)
+    assert [tuple(r) for r in got.orderBy("other").collect()] == [(0.0, "u", 2.0), (1.0, "v", None), (None, "w", None)]
