@@ -1,8 +1,7 @@
 """Survey statistics under designs of several stages, with replicate weights and calibration.
 
 Every statistic is a sum of scores (its linearisation), so its variance comes from weighted scores summed by sampling unit:
-units of the last stage first, then those of the stage above, with the moments of each stage's strata. What meets is one row a
-unit, never its rows. Replicates are combinations of the units' sums: tasks multiply them by the replicates' factors, which
+units of the last stage first, then those of the stage above, with the moments of each stage's strata, in one plan. Replicates are combinations of the units' sums: tasks multiply them by the replicates' factors, which
 come from a rule, and return one sum for each replicate.
 """
 
@@ -59,55 +58,57 @@ def _prefix(i: int, unit: bool) -> list[str]:
     return [c for j in range(i + 1) for c in ((f"h{j}", f"u{j}") if j < i or unit else (f"h{j}",))]
 
 
+#: Rows of a unit of the last stage but one, on average, up to which each of these units is handled where its rows meet.
+ROWS_OF_A_UNIT = 10_000
+
+
 def variance(scores: DataFrame, design: Design, k: int) -> tuple[np.ndarray, float]:
     """The variance matrix of the sums of z0..z(k-1), weighted scores beside the design's keys; and the degrees of freedom:
-    units of the first stage less its strata."""
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    total, free = np.zeros((k, k)), 0.0
-    # sums by unit, of the last stage from the rows and of the others from the stage below, each written once: rows are read once
-    summed_, below = [], scores
-    for s in reversed(range(len(design.stages))):
-        below = written(below.groupBy(*_prefix(s, True)).agg(*[F.first(f"n{j}").alias(f"n{j}") for j in range(s + 1)], *[F.sum(f"z{i}").alias(f"z{i}") for i in range(k)]))
-        summed_.insert(0, below)
-    # how much of the stages above was sampled, for each of their units
-    above: DataFrame | None = None
-    for s, stage in enumerate(design.stages):
-        units = summed_[s].withColumnRenamed(f"n{s}", "population").drop(*[f"n{j}" for j in range(s)])
-        keys = _prefix(s, False)
+    units of the first stage less its strata.
+
+    A stratum's part is the spread of its units' sums, and its sampled fraction times the parts of the strata within them. So
+    units and strata are summed stage by stage from the last one up, and no unit meets its stratum's mean again."""
+    pairs, stages = [(i, j) for i in range(k) for j in range(i, k)], len(design.stages)
+    z, parts = [f"z{i}" for i in range(k)], [f"v{i}_{j}" for i, j in pairs]
+    below, carried = scores, []
+    if stages > 1:
+        # lines of one unit of the stage above meet once, for three groupings; few large units would make few large tasks
+        above = _prefix(stages - 2, True)
+        rows, units = scores.select(*above).agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*above))).first()
+        if rows <= ROWS_OF_A_UNIT * units:
+            below = scores.repartition(*above)
+    strata = None
+    for s in reversed(range(stages)):
+        populations = [F.max(f"n{j}").alias(f"n{j}") for j in range(s + 1)]
+        units = below.groupBy(*_prefix(s, True)).agg(*populations, *[F.sum(c).alias(c) for c in [*z, *carried]])
         # moments about the stratum's mean, so large totals cost no digits
-        means = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.max("population").alias("N"), *[F.avg(f"z{i}").alias(f"a{i}") for i in range(k)])
-        if s == 0:
-            strata, number, lonely = means.agg(F.count(F.lit(1)), F.sum("m"), F.sum((F.col("m") == 1).cast("int"))).first()
-            if not strata:
-                raise ValueError("no rows")
-            free = float(number - strata)
-            grand = [r / number for r in units.agg(*[F.sum(f"z{i}") for i in range(k)]).first()] if design.lonely == "grand" else None
-        else:
-            lonely = means.agg(F.sum((F.col("m") == 1).cast("int"))).first()[0]
-            grand = None
-        certain = means.where((F.col("m") == 1) & (F.col("N").isNull() | (F.col("N") > 1))).isEmpty() if lonely else True
-        if not certain and design.lonely == "raise":
-            raise ValueError(f"a stratum of stage {s + 1} has one unit")
-        fraction = F.when(F.col("N").isNull(), 0.0).otherwise(F.least(F.col("m") / F.col("N"), F.lit(1.0)))
-        renamed = means.select(*[F.col(c).alias(f"_{c}") for c in keys], "m", fraction.alias("f"), *[(F.when(F.col("m") == 1, F.lit(grand[i])).otherwise(F.col(f"a{i}")) if grand else F.col(f"a{i}")).alias(f"a{i}") for i in range(k)])
-        joined = units.join(renamed, [units[c].eqNullSafe(F.col(f"_{c}")) for c in keys])
-        spread = F.when(F.col("m") > 1, F.col("m") / (F.col("m") - 1)).otherwise(F.lit(1.0 if grand else 0.0)) * (1 - F.col("f"))
-        if above is not None:
-            before = _prefix(s - 1, True)
-            outer = above.select(*[F.col(c).alias(f"__{c}") for c in before], "share")
-            joined = joined.join(outer, [joined[c].eqNullSafe(F.col(f"__{c}")) for c in before])
-            spread = spread * F.col("share")
-        d = [F.col(f"z{i}") - F.col(f"a{i}") for i in range(k)]
-        found = joined.agg(*[F.coalesce(F.sum(spread * d[i] * d[j]), F.lit(0.0)) for i, j in pairs]).first()
-        own = np.zeros((k, k))
-        for (i, j), v in zip(pairs, found, strict=True):
-            own[i, j] = own[j, i] = v
-        total += own
-        if s + 1 < len(design.stages):
-            share = F.col("f") * F.col("share") if above is not None else F.col("f")
-            above = written(joined.select(*_prefix(s, True), share.alias("share")))
-    release(*summed_)
-    return total, free
+        moments = [(F.covar_pop(f"z{i}", f"z{j}") * F.count(F.lit(1))).alias(f"m{i}_{j}") for i, j in pairs]
+        found = units.groupBy(*_prefix(s, False)).agg(F.count(F.lit(1)).alias("m"), *populations, *moments, *[F.sum(c).alias(c) for c in [*z, *carried]])
+        f = F.when(F.col(f"n{s}").isNull(), 0.0).otherwise(F.least(F.col("m") / F.col(f"n{s}"), F.lit(1.0)))
+        spread = F.when(F.col("m") > 1, F.col("m") / (F.col("m") - 1)).otherwise(0.0) * (1 - f)
+        own = [(spread * F.col(f"m{i}_{j}") + (f * F.col(f"v{i}_{j}") if carried else F.lit(0.0))).alias(f"v{i}_{j}") for i, j in pairs]
+        lonely = ((F.col("m") == 1) & (F.col(f"n{s}").isNull() | (F.col(f"n{s}") > 1))).cast("long").alias(f"lonely{s}")
+        strata = found.select(*_prefix(s, False), "m", f.alias("f"), *[f"n{j}" for j in range(s)], *z, *own, *[c for c in carried if c not in parts], lonely)
+        carried = [*parts, *[f"lonely{j}" for j in reversed(range(s, stages))]]
+        below = strata
+    strata = written(strata)
+    number, units, *sums = strata.agg(F.count(F.lit(1)), F.sum("m"), *[F.sum(c) for c in [*z, *parts]], *[F.sum(f"lonely{s}") for s in range(stages)]).first()
+    if not number:
+        raise ValueError("no rows")
+    if design.lonely == "raise":
+        for s, bad in enumerate(sums[k + len(parts) :]):
+            if bad:
+                raise ValueError(f"a stratum of stage {s + 1} has one unit")
+    own = list(sums[k : k + len(parts)])
+    if design.lonely == "grand":
+        d = [F.col(c) - F.lit(float(t) / units) for c, t in zip(z, sums, strict=False)]
+        more = strata.where("m = 1").agg(*[F.coalesce(F.sum((1 - F.col("f")) * d[i] * d[j]), F.lit(0.0)) for i, j in pairs]).first()
+        own = [a + b for a, b in zip(own, more, strict=True)]
+    total = np.zeros((k, k))
+    for (i, j), v in zip(pairs, own, strict=True):
+        total[i, j] = total[j, i] = v
+    release(strata)
+    return total, float(units - number)
 
 
 def _fit(names: list[str], value: np.ndarray, v: np.ndarray, free: float, metrics: dict) -> Fit:
@@ -172,15 +173,14 @@ def _scores(rows: DataFrame, keep: list[str], family: str, beta: np.ndarray, bre
     """The columns of ``keep`` with z0...: the influence of each row's weighted score on the coefficients."""
     loglik, k = FAMILIES[family], len(beta)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.column_stack([*[b[f"x{i}"].to_numpy() for i in range(k - 1)], np.ones(b.num_rows)])
-            l = loglik(b["y"].to_numpy(), Jet.variables([x @ beta])[0])
-            z = ((b["w"].to_numpy() * l.g[0])[:, None] * x) @ bread
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], *[pa.array(z[:, i]) for i in range(k)]], [*keep, *[f"z{i}" for i in range(k)]])
+    def slope(y: pa.Array, index: pa.Array) -> pa.Array:
+        return pa.array(loglik(y.to_numpy(zero_copy_only=False), Jet.variables([index.to_numpy(zero_copy_only=False)])[0]).g[0])
 
-    kept = [rows.schema[c] for c in keep]
-    return rows.mapInArrow(score, T.StructType([*kept, *[T.StructField(f"z{i}", T.DoubleType()) for i in range(k)]]))
+    x = [*[F.col(f"x{i}") for i in range(k - 1)], F.lit(1.0)]
+    combined = lambda w: sum((F.lit(float(v)) * c for v, c in zip(w[1:], x[1:], strict=True)), F.lit(float(w[0])) * x[0])
+    # only the outcome and the index go to the function, and plans that ask for keys alone don't call it
+    scored = rows.select(*keep, *[c for c in ("w", *[f"x{i}" for i in range(k - 1)]) if c not in keep], (F.col("w") * F.arrow_udf(slope, "double")("y", combined(beta))).alias("_s"))
+    return scored.select(*keep, *[(F.col("_s") * combined(bread[:, i])).alias(f"z{i}") for i in range(k)])
 
 
 def regression(df: DataFrame, outcome: str, terms: tuple[str, ...], design: Design, family: str = "linear") -> Fit:

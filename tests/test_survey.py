@@ -75,6 +75,22 @@ def test_three_stages(sample):
     assert sum(share.beta) == pytest.approx(1)
 
 
+def test_a_variance_writes_strata_alone(sample, monkeypatch):
+    """Units are summed stage by stage in one plan: what is written is a row for each stratum of the first stage, with and
+    without units of the stage above in a task each."""
+    rows = sample.where("h IS NOT NULL AND y IS NOT NULL")
+    z = [r["w"] * r["y"] for r in rows.collect()]
+    scores = survey._keyed(rows, THREE, [(F.col("w") * F.col("y")).alias("z0")])
+    made = []
+    monkeypatch.setattr(survey, "written", lambda df: made.append(df.count()) or df)
+    for most in (survey.ROWS_OF_A_UNIT, 0):
+        monkeypatch.setattr(survey, "ROWS_OF_A_UNIT", most)
+        v, free = survey.variance(scores, THREE, 1)
+        assert v[0, 0] == pytest.approx(nested_variance(rows.collect(), z))
+        assert free == 9 - 3
+    assert made == [3, 3]
+
+
 @pytest.mark.parametrize("family", ["linear", "logit", "probit", "poisson"])
 def test_regressions(sample, family):
     outcome = {"linear": "y", "logit": "d", "probit": "d", "poisson": "y"}[family]
