@@ -349,14 +349,23 @@ def causal_forest(df: DataFrame, outcome: str, treatment: str, predictors: list[
     apart. Rows with a null outcome or treatment are left out; null predictors go right."""
     usable = df.where(F.col(outcome).isNotNull() & F.col(treatment).isNotNull())
     edges = edges_of(usable, predictors, bins)
+    whole, first_stage = usable, []
     for c in (outcome, treatment):
-        usable = cart_predict(usable, cart(usable, c, predictors, depth=6, least=50, bins=bins, edges=edges), f"_{c}_hat")
+        first_stage.append(cart(whole, c, predictors, depth=6, least=50, bins=bins, edges=edges))
+        usable = cart_predict(usable, first_stage[-1], f"_{c}_hat")
     y, w = F.col(outcome).cast("double") - F.col(f"_{outcome}_hat"), F.col(treatment).cast("double") - F.col(f"_{treatment}_hat")
     rows = _rows(usable, predictors, [w * y, w * w])
+    statistics = lambda v: np.column_stack([np.ones(len(v)), v])
     if keys:
+        # tasks take the residuals: nested conditions of two trees are too long a method for the JVM to compile
         x = F.array(*[F.coalesce(F.col(f"`{p}`").cast("double"), F.lit(float("nan"))) for p in predictors])
-        rows = usable.select(x.alias("x"), F.array(w * y, w * w).alias("v"), F.xxhash64(F.lit(seed), *keys).alias("h"))
-    statistics = lambda v: np.column_stack([np.ones(len(v)), v])
+        rows = whole.select(x.alias("x"), F.concat(F.array(F.col(outcome).cast("double"), F.col(treatment).cast("double")), x).alias("v"), F.xxhash64(F.lit(seed), *keys).alias("h"))
+        hats = [np.array([math.nan if (value := node_value(t, n)) is None else value for n in range(len(t.feature))]) for t in first_stage]
+
+        def statistics(v: np.ndarray) -> np.ndarray:
+            y, w = (v[:, i] - hat[tree.place(v[:, 2:])] for i, (tree, hat) in enumerate(zip(first_stage, hats, strict=True)))
+            return np.column_stack([np.ones(len(v)), w * y, w * w])
+
     # groups 2 t and 2 t + 1: the rows that choose the splits of tree t, and those that estimate its effects
     combined = _combined(rows, edges, 3, statistics, 2 * trees, lambda h: ((2 * t, (_bits(h, t) % np.uint64(4)).astype(np.int64)) for t in range(trees)))
     rows = written(rows if combined is None else combined)
