@@ -74,16 +74,18 @@ def named(rows: DataFrame, kind: str, names: DataFrame | None, *columns: str) ->
     return rows
 
 
-def numbered(edges: DataFrame) -> tuple[DataFrame, str, DataFrame | None]:
-    """src and dst as longs, the type they had, and the names of the numbers (in order of the names), if they were not whole."""
+def numbered(edges: DataFrame, *, dense: bool = False) -> tuple[DataFrame, str, DataFrame | None]:
+    """src and dst as longs, the type they had, and the names of the numbers (in order of the names), if they were not whole, or
+    with ``dense`` always: such numbers are from 0, and twice their value is a long. Other columns stay."""
     kinds = {dict(edges.dtypes)[c] for c in ("src", "dst")}
-    if kinds <= set(WHOLE):
-        return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")), max(kinds, key=WHOLE.index), None
+    others = [c for c in edges.columns if c not in ("src", "dst")]
+    if kinds <= set(WHOLE) and not dense:
+        return edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), *others), max(kinds, key=WHOLE.index), None
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct().where("node IS NOT NULL")
     names = written(nodes.orderBy("node").select("node", F.monotonically_increasing_id().alias("number")))
     a, b = (names.select(F.col("node").alias(f"_{c}"), F.col("number").alias(f"n{c}")) for c in ("src", "dst"))
     joined = edges.join(a, F.col("src") == F.col("_src"), "left").join(b, F.col("dst") == F.col("_dst"), "left")
-    return joined.select(F.col("nsrc").alias("src"), F.col("ndst").alias("dst")), dict(names.dtypes)["node"], names
+    return joined.select(F.col("nsrc").alias("src"), F.col("ndst").alias("dst"), *others), dict(names.dtypes)["node"], names
 
 
 def _binaries(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:

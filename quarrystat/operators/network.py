@@ -77,7 +77,8 @@ def forest(edges: DataFrame, *, sides: bool = False) -> DataFrame:
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            held, n = [*held, *pa.Table.from_batches([b]).to_batches()], n + b.num_rows
+            # what Spark sends says that no value is null, what _forest makes does not
+            held, n = [*held, pa.RecordBatch.from_arrays(b.columns, b.schema.names)], n + b.num_rows
             if n >= TREE:
                 tree = _forest(pa.Table.from_batches(held), sides)
                 if len(tree) > TREE // 2:

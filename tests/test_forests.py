@@ -55,3 +55,23 @@ def test_tasks_of_the_graph_grow_with_the_lines(spark, tmp_path, monkeypatch):
     spark.range(1_000).select((F.col("id") % 90).alias("l_partkey"), (F.col("id") % 7).alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
     graph = models._graph(spark, str(tmp_path))
     assert graph.rdd.getNumPartitions() == 10 and graph.count() == 630
+
+
+@pytest.mark.parametrize("shift, kind", [(0, "long"), (0, "string"), (2**62, "long"), (-(2**62) - 500, "long")])
+def test_sides_of_tasks_with_several_batches(spark, monkeypatch, shift, kind):
+    """Before, a task with more rows than TREE failed: the forest's batches and those of Spark disagreed on null values."""
+    monkeypatch.setattr(network, "TREE", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        at = F.col("id") % 12 + shift
+        path = spark.range(400).select(at.cast(kind).alias("src"), (at + 1).cast(kind).alias("dst")).coalesce(1)
+        even, sides = graphs.two_colours(path)
+        got = {int(r["node"]): r["side"] for r in sides.collect()}
+        assert even and len(got) == 13 and sides.schema["node"].dataType == path.schema["src"].dataType
+        assert all(got[i + shift] != got[i + shift + 1] for i in range(12))
+        if kind == "long":
+            assert got[shift] == 0
+            loop = path.union(spark.createDataFrame([(shift + 2, shift)], path.schema))
+            assert not graphs.two_colours(loop)[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
