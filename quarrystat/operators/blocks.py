@@ -1,9 +1,10 @@
 """Rounds over a graph whose edges stay where they are.
 
 Nodes are dealt to blocks, ranges of whole numbers with some EDGES edges in, so that neighbours in number share a block. The
-edges into a block's nodes are laid out once, as places in the list of the nodes that the block knows, in a table bucketed by
-block. A round shuffles only the values of nodes, each once to every block that knows it, and meets the edges without moving
-them. A task holds one block: its edges at four bytes each, and the values that it knows.
+edges into a block's nodes are laid out once, as places in the list of the nodes that the block knows, in a table with a row a
+block, bucketed by it. A round shuffles only the values of nodes, each once to every block that knows it, as one array from a
+block to a block in the order that both know, and meets the edges without moving them. A task holds one block: its edges at four
+bytes each, and the values that it knows.
 """
 
 from __future__ import annotations
@@ -21,22 +22,81 @@ from pyspark.sql import functions as F
 from quarrystat.sources.tables import bucketed, release, written
 
 #: Edges into the nodes of one block; a block may hold up to two times as many where many nodes share few numbers.
-EDGES = 2_000_000
+EDGES = 4_000_000
 
 #: Values of nodes by name.
 Values = dict[str, np.ndarray]
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
-def dealt(ends: DataFrame, size: int, low: str = "low") -> tuple[Callable[[Column], Column], int]:
-    """The block of a node, and the number of blocks: ranges of whole-number nodes with some ``size`` rows of ``ends`` each, split
-    further by hash where a range has more; other nodes by hash alone. Null for nodes beyond the range of ``ends``."""
-    n, lo, hi = ends.agg(F.count(F.lit(1)), F.min(low), F.max(low)).first()
-    ranged = dict(ends.dtypes)[low] in WHOLE
-    cells = 8 * math.ceil(n / size) if ranged and n else 1
-    width = -(-(hi - lo + 1) // cells) if cells > 1 else 1
-    cell = (lambda node: F.floor((node - lo) / width).cast("int")) if cells > 1 else (lambda node: F.lit(0))
-    counts = {r[0]: r[1] for r in ends.groupBy(cell(F.col(low)).alias("cell")).agg(F.count(F.lit(1))).collect()}
+@dataclass(frozen=True)
+class Plan:
+    """The blocks of nodes: ranges of whole numbers with some ``size`` ends of edges each, split further by hash where a range has more."""
+
+    low: int
+    width: int
+    first: np.ndarray
+    parts: np.ndarray
+    numbers: np.ndarray
+    small: bool
+
+    @property
+    def blocks(self) -> int:
+        return len(self.numbers)
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        if self.blocks == 1:
+            return np.full(len(nodes), self.numbers[0], np.int32)
+        cell = np.clip((nodes - self.low) // self.width, 0, len(self.first) - 1)
+        mixed = (nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.numbers[self.first[cell] + (mixed % self.parts[cell].astype(np.uint64)).astype(np.int64)]
+
+    def packed(self, nodes: np.ndarray) -> bytes:
+        return planes((nodes - self.low).astype(np.int32) if self.small else nodes.astype(np.int64))
+
+    def nodes(self, parts: list[bytes]) -> np.ndarray:
+        found = unplaned(parts, np.int32 if self.small else np.int64)
+        return found.astype(np.int64) + self.low if self.small else found
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second and so on, so that small or like numbers compress."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T.tobytes()
+
+
+def unplaned(parts: list[bytes], kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    rows = [np.frombuffer(p, np.uint8).reshape(width, -1).T for p in parts if p]
+    return np.ascontiguousarray(np.concatenate(rows)).view(kind).ravel() if rows else np.zeros(0, kind)
+
+
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """In order; by sorting, which for many numbers is faster than the hashing of numpy's own."""
+    found = np.sort(numbers)
+    return found[np.append(True, found[1:] != found[:-1])[: len(found)]]
+
+
+def _buckets(edges: DataFrame, blocks: int) -> list[int]:
+    """A number for each block, so that each falls into a bucket of its own of ``blocks`` buckets."""
+    at, found, spark = 0, {}, edges.sparkSession
+    while len(found) < blocks:
+        tried = spark.range(at, at + 16 * blocks).select(F.col("id").cast("int").alias("i"))
+        found = {r[0]: r[1] for r in tried.groupBy(F.pmod(F.hash("i"), F.lit(blocks))).agg(F.min("i")).collect()} | found
+        at += 16 * blocks
+    return [found[i] for i in range(blocks)]
+
+
+def planned(links: DataFrame, size: int) -> Plan:
+    """A plan for edges of whole numbers."""
+    ends = links.select(F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL")
+    bounds = [f(c) for c in ("src", "dst") for f in (F.count, F.min, F.max)]
+    n, m, lo, hi = (lambda r: (r[0], r[3], min((x for x in (r[1], r[4]) if x is not None), default=0), max((x for x in (r[2], r[5]) if x is not None), default=0)))(links.agg(*bounds).first())
+    cells = 8 * math.ceil((n + m) / size) if n + m > size else 1
+    width = -(-(hi - lo + 1) // cells)
+    counts = {0: n + m}
+    if cells > 1:
+        cell = F.floor((F.col("node") - lo) / width) if hi - lo < 2**53 else F.expr(f"(CAST(node AS DECIMAL(38, 0)) - {lo}) DIV {width}")
+        counts = {int(r[0]): r[1] for r in ends.groupBy(cell.alias("cell")).agg(F.count(F.lit(1))).collect()}
     first, parts, at, load = [], [], 0, 0
     for i in range(cells):
         k = max(1, math.ceil(counts.get(i, 0) / size))
@@ -45,24 +105,34 @@ def dealt(ends: DataFrame, size: int, low: str = "low") -> tuple[Callable[[Colum
         first.append(at)
         parts.append(k)
         at, load = (at + k, 0) if k > 1 else (at, load + counts.get(i, 0))
-    starts, split = F.array(*map(F.lit, first)), F.array(*map(F.lit, parts))
-    return (lambda node: F.get(starts, cell(node)) + F.pmod(F.xxhash64(node), F.get(split, cell(node))).cast("int")), at + 1
+    return Plan(lo, width, np.array(first), np.array(parts), np.array(_buckets(links, at + 1), np.int32), hi - lo < 2**31)
 
 
 @dataclass(frozen=True)
 class Laid:
-    """``lists``: block, node, ``to`` (other blocks that know the node) and ``into`` (the places of the nodes that point to it), both
-    as 32-bit numbers. ``names``: the nodes of these numbers, where the graph's own are not whole numbers."""
+    """``lists``, a row a block: its nodes, how many and which places of known nodes point to each (``lens``, ``into``), where its own
+    nodes stand among those it knows (``start``), and which of its nodes go to which other blocks (``goes``, ``sizes``, ``which``).
+    Known nodes are in order of their block, then of their number. ``names``: the nodes of these numbers, where the graph's own are
+    not whole numbers. ``nodes``: how many there are."""
 
     lists: DataFrame
-    blocks: int
+    plan: Plan
     kind: str
     names: DataFrame | None
+    nodes: int
+
+    @property
+    def blocks(self) -> int:
+        return self.plan.blocks
 
     def named(self, rows: DataFrame, *columns: str) -> DataFrame:
         return named(rows, self.kind, self.names, *columns)
 
 
+def named(self, rows: DataFrame, *columns: str) -> DataFrame:
+        return named(rows, self.kind, self.names, *columns)
+
+
 def named(rows: DataFrame, kind: str, names: DataFrame | None, *columns: str) -> DataFrame:
     """``rows`` with the numbers of nodes in ``columns`` as the graph has them: the way back from ``numbered``."""
     for c in columns:
@@ -88,111 +158,104 @@ def numbered(edges: DataFrame, *, dense: bool = False) -> tuple[DataFrame, str,
     return joined.select(F.col("nsrc").alias("src"), F.col("ndst").alias("dst"), *others), dict(names.dtypes)["node"], names
 
 
-def _binaries(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Runs of 32-bit numbers, up to each of ``ends``, as binary values."""
-    offsets = np.append(0, ends).astype(np.int64) * 4
-    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers, np.int32))]).cast(pa.binary())
-
-
-def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of ``_binaries`` end to end, and their lengths."""
-    flat = pa.chunked_array([c.cast(pa.large_binary()) for c in column.chunks]).combine_chunks()
-    offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-    data = flat.buffers()[2]
-    return np.frombuffer(data, np.int32)[offsets[0] // 4 : offsets[-1] // 4] if data and offsets[-1] > offsets[0] else np.zeros(0, np.int32), np.diff(offsets) // 4
-
-
 #: Edges that a task packs together.
 PACK = 1_000_000
 
-PACKED = "block int, node binary, into binary, other binary, sender binary, goes binary"
+PACKED = "block int, node binary, into binary, sender binary, goes binary"
 
 
-def _split(block: np.ndarray, *columns: np.ndarray) -> dict[int, list[bytes]]:
-    order = np.argsort(block, kind="stable")
+def _split(block: np.ndarray, *columns: np.ndarray) -> dict[int, list[np.ndarray]]:
+    order = np.argsort(block.astype(np.uint16) if block.max(initial=0) < 2**16 else block, kind="stable")
     found, starts = np.unique(block[order], return_index=True)
     parts = [np.split(c[order], starts[1:]) for c in columns]
-    return {int(x): [p[i].tobytes() for p in parts] for i, x in enumerate(found)}
+    return {int(x): [p[i] for p in parts] for i, x in enumerate(found)}
 
 
-def _packed(chunk: pa.Table, both: bool) -> pa.RecordBatch:
-    """A row a block of the edges of a chunk: the ends of those into it with the blocks of the other ends, and which of its nodes
-    go to which blocks (-1: nowhere, the node is just there)."""
+def _packed(chunk: pa.Table, both: bool, plan: Plan) -> pa.RecordBatch:
+    """A row a block of the edges of a chunk: the ends of those into it and the other ends, and which of its nodes go to which
+    blocks (-1: nowhere, the node is just there)."""
     there = [pa.compute.is_valid(chunk[c]).to_numpy() for c in ("src", "dst")]
-    src, dst, from_, to = (pa.compute.fill_null(chunk[c], 0).to_numpy() for c in ("src", "dst", "_src", "_dst"))
+    src, dst = (pa.compute.fill_null(chunk[c], 0).to_numpy() for c in ("src", "dst"))
     whole = there[0] & there[1]
-    s, d, bs, bd = src[whole], dst[whole], from_[whole], to[whole]
-    edges = (bd, d, s, bs)
+    s, d = src[whole], dst[whole]
     if both:
-        edges = tuple(np.concatenate(x) for x in zip(edges, (bs, s, d, bd), strict=True))
-        sends = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))
-    else:
+        s, d = np.concatenate([s, d]), np.concatenate([d, s])
+    if plan.small:  # in order, so that they compress
+        keys = np.sort((d - plan.low) << 32 | (s - plan.low))
+        d, s = (keys >> 32) + plan.low, (keys & 0xFFFFFFFF) + plan.low
+    bd = plan.of(d)
+    into = _split(bd, d, s)
+    senders, goes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    if not both:
         order = np.lexsort((bd, s))
         new = np.append(True, (np.diff(s[order]) != 0) | (np.diff(bd[order]) != 0))[: len(order)]
-        first = order[new]
-        sends = (bs[first], s[first], bd[first])
-    alone = [(own[ok & ~whole], node[ok & ~whole]) for own, node, ok in ((from_, src, there[0]), (to, dst, there[1]))]
-    sends = tuple(np.concatenate(x) for x in zip(sends, *[(o, n, np.full(len(n), -1, np.int32)) for o, n in alone], strict=True))
-    into, out = _split(*edges), _split(*sends)
-    none = [b""] * 3
-    rows = [(x, *into.get(x, none), *out.get(x, none[:2])) for x in sorted({*into, *out})]
-    kinds = [pa.int32(), *[pa.binary()] * 5]
+        senders, goes = [s[order[new]]], [bd[order[new]]]
+    for node, ok in ((src, there[0]), (dst, there[1])):
+        senders.append(node[ok & ~whole])
+        goes.append(np.full(len(senders[-1]), -1, np.int32))
+    senders, goes = np.concatenate(senders), np.concatenate(goes)
+    out = _split(plan.of(senders), senders, goes)
+    none = [np.zeros(0, np.int64)] * 2
+    rows = [(x, *map(plan.packed, into.get(x, none)), plan.packed(out.get(x, none)[0]), planes(out.get(x, none)[1].astype(np.int32))) for x in sorted({*into, *out})]
+    kinds = [pa.int32(), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in PACKED.split(", ")])
 
 
-def _laid(table: pa.Table, once: bool, both: bool) -> pa.Table:
-    block = table["block"][0].as_py()
-    a, b, other, sender, goes = (np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in (("node", np.int64), ("into", np.int64), ("other", np.int32), ("sender", np.int64), ("goes", np.int32)))
-    own = np.unique(np.concatenate([a, sender]))
-    known = np.unique(np.concatenate([own, b]))
-    m = max(len(known), 1)
-    at = np.searchsorted(own, a)
-    keys = at * m + np.searchsorted(known, b)
-    keys = np.unique(keys) if once else np.sort(keys)
-    at, to = (at, other) if both else (np.searchsorted(own, sender), goes)
-    sends = (to >= 0) & (to != block)
-    most = int(to.max(initial=0)) + 1
-    pairs = np.unique(at[sends] * most + to[sends])
-    return pa.table({
-        "block": pa.array(np.full(len(own), block, np.int32)), "node": pa.array(own),
-        "to": _binaries(pairs % most, np.cumsum(np.bincount(pairs // most, minlength=len(own)))), "into": _binaries(keys % m, np.cumsum(np.bincount(keys // m, minlength=len(own)))),
-    })
+LISTS = pa.schema([("block", pa.int32()), ("node", pa.binary()), ("lens", pa.binary()), ("into", pa.binary()), ("start", pa.int32()), ("goes", pa.binary()), ("sizes", pa.binary()), ("which", pa.binary())])
 
 
-def _buckets(edges: DataFrame, blocks: int) -> list[int]:
-    """A number for each block, so that each falls into a bucket of its own of ``blocks`` buckets."""
-    at, found, spark = 0, {}, edges.sparkSession
-    while len(found) < blocks:
-        tried = spark.range(at, at + 16 * blocks).select(F.col("id").cast("int").alias("i"))
-        found = {r[0]: r[1] for r in tried.groupBy(F.pmod(F.hash("i"), F.lit(blocks))).agg(F.min("i")).collect()} | found
-        at += 16 * blocks
-    return [found[i] for i in range(blocks)]
+def _laid(table: pa.Table, once: bool, both: bool, plan: Plan) -> pa.Table:
+    block = table["block"][0].as_py()
+    a, b, sender = (plan.nodes(table[c].to_pylist()) for c in ("node", "into", "sender"))
+    own = distinct(np.concatenate([a, sender]))
+    other, at_b = np.unique(b, return_inverse=True)
+    home = plan.of(other)
+    far = home != block
+    order = np.lexsort((other[far], home[far]))
+    start = int((home[far] < block).sum())
+    place = np.empty(len(other), np.int64)  # of each other end among the known nodes
+    place[np.flatnonzero(far)[order]] = np.arange(len(order)) + np.where(np.arange(len(order)) < start, 0, len(own))
+    place[~far] = start + np.searchsorted(own, other[~far])
+    m = len(order) + len(own) or 1
+    keys = np.searchsorted(own, a) * m + place[at_b]
+    keys = distinct(keys) if once else np.sort(keys)
+    if both:
+        known = np.empty(m, np.int64)
+        known[place] = home
+        at, to = keys // m, known[keys % m]
+    else:
+        at, to = np.searchsorted(own, sender), unplaned(table["goes"].to_pylist(), np.int32).astype(np.int64)
+    sends = (to >= 0) & (to != block)
+    pairs = distinct(to[sends] * (len(own) or 1) + at[sends])
+    goes, sizes = np.unique(pairs // (len(own) or 1), return_counts=True)
+    row = [block, own, np.bincount(keys // m, minlength=len(own)).astype(np.int32), (keys % m).astype(np.int32), start, goes.astype(np.int32), sizes.astype(np.int32), (pairs % (len(own) or 1)).astype(np.int32)]
+    return pa.table([pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], f.type) for v, f in zip(row, LISTS, strict=True)], schema=LISTS)
 
 
-def laid(edges: DataFrame, *, both: bool = False, once: bool = False, size: int | None = None) -> Laid:
+def laid(edges: DataFrame, *, both: bool = False, once: bool = False, size: int | None = None, plan: Plan | None = None) -> Laid:
     """The edges src -> dst, of which values go from src to dst. ``both``: and back, without loops, each pair once. ``once``: each edge
-    counts once, however often it stands there. Edges with a null end only make their other end a node."""
+    counts once, however often it stands there. Edges with a null end only make their other end a node. ``plan``: that of a graph
+    of the same nodes, so that values of blocks fit both."""
     plain, kind, names = numbered(edges)
-    links = written(plain.where("src <> dst") if both else plain)
-    ends = links.select(F.explode(F.array("src", "dst")).alias("low")).where("low IS NOT NULL")
-    plan, blocks = dealt(ends, (size or EDGES) * (1 if both else 2))
-    numbers = F.array(*map(F.lit, _buckets(edges, blocks)))
+    plain = plain.select("src", "dst")
+    links = written(plain.where("src <> dst") if both else plain, compression="zstd")
+    plan = plan or planned(links, (size or EDGES) * (1 if both else 2))
 
     def packed(batches):
         held, rows = [], 0
         for b in batches:
             held, rows = [*held, b], rows + b.num_rows
             if rows >= PACK:
-                yield _packed(pa.Table.from_batches(held).combine_chunks(), both)
+                yield _packed(pa.Table.from_batches(held).combine_chunks(), both, plan)
                 held, rows = [], 0
         if rows:
-            yield _packed(pa.Table.from_batches(held).combine_chunks(), both)
+            yield _packed(pa.Table.from_batches(held).combine_chunks(), both, plan)
 
-    dealt_ = links.select("src", "dst", *[F.get(numbers, plan(F.col(c))).alias(f"_{c}") for c in ("src", "dst")])
-    lists = dealt_.mapInArrow(packed, PACKED).repartition(blocks, "block").groupBy("block").applyInArrow(lambda t: _laid(t, once or both, both), "block int, node long, to binary, into binary")
-    out = Laid(bucketed(lists, "block", blocks), blocks, kind, names)
+    text = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'int'}" for f in LISTS)
+    lists = links.mapInArrow(packed, PACKED).repartition(plan.blocks, "block").groupBy("block").applyInArrow(lambda t: _laid(t, once or both, both, plan), text)
+    made = bucketed(lists, "block", plan.blocks)
     release(links)
-    return out
+    return Laid(made, plan, kind, names, made.agg(F.coalesce(F.sum(F.length("node") / 8), F.lit(0)).cast("long")).first()[0])
 
 
 @dataclass(frozen=True)
@@ -218,51 +281,79 @@ class Block:
         return out
 
 
-def _sent(block: int, nodes: np.ndarray, to: pa.ChunkedArray, values: Values, schema: pa.Schema) -> pa.Table:
-    """A node's values for its own block (``home``) and for those that know it."""
-    blocks, lens = _numbers(to)
-    n = len(nodes)
-    row = np.concatenate([np.arange(n), np.repeat(np.arange(n), lens)])
-    made = {"block": np.concatenate([np.full(n, block, np.int32), blocks]), "node": nodes[row], "home": np.arange(len(row)) < n} | {k: np.asarray(v)[row] for k, v in values.items()}
-    return pa.table({f.name: pa.array(made[f.name], f.type) for f in schema})
+def _ints(table: pa.Table, name: str, kind: type = np.int32) -> np.ndarray:
+    return np.frombuffer(table[name][0].as_py(), kind)
+
 
+KINDS = {"long": (pa.int64(), np.int64), "double": (pa.float64(), np.float64), "boolean": (pa.bool_(), np.bool_), "int": (pa.int32(), np.int32)}
 
-ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
 
+def _rows(block: int, nodes: np.ndarray, values: Values, schema: dict[str, str]) -> pa.Table:
+    """A block's nodes with their values, as one row of arrays."""
+    arrays = {"node": (nodes, "long")} | {k: (np.asarray(values[k]), v) for k, v in schema.items()}
+    lists = {k: pa.ListArray.from_arrays(pa.array([0, len(nodes)], pa.int32()), pa.array(v, KINDS[kind][0])) for k, (v, kind) in arrays.items()}
+    return pa.table({"block": pa.array([block], pa.int32())} | lists)
 
-def _types(schema: dict[str, str]) -> tuple[str, pa.Schema]:
-    whole = {"block": "int", "node": "long", "home": "boolean"} | schema
-    return ", ".join(f"{k} {v}" for k, v in whole.items()), pa.schema([(k, ARROW[v]) for k, v in whole.items()])
+
+def _text(schema: dict[str, str]) -> str:
+    return ", ".join(["block int", "node array<long>", *[f"{k} array<{v}>" for k, v in schema.items()]])
 
 
 def begun(graph: Laid, schema: dict[str, str], start: Callable[[np.ndarray, np.ndarray], Values]) -> DataFrame:
-    """The values that ``start`` makes of nodes and of how many nodes point to them, as rows for the first round."""
-    text, arrow = _types(schema)
+    """The values that ``start`` makes of nodes and of how many nodes point to them, for the first round: a row of arrays a block."""
 
     def first(batches):
         for b in batches:
-            t = pa.Table.from_batches([b])
-            nodes, home = t["node"].to_numpy(), t["block"].to_numpy()
-            values = start(nodes, _numbers(t["into"])[1])
-            for block in np.unique(home):
-                own = home == block
-                yield from _sent(int(block), nodes[own], t["to"].filter(pa.array(own)), {k: np.asarray(v)[own] for k, v in values.items()}, arrow).to_batches()
-
-    return written(graph.lists.mapInArrow(first, text))
-
-
-def moved(graph: Laid, values: DataFrame, schema: dict[str, str], step: Callable[[Block, Values], Values]) -> DataFrame:
-    """A round: ``step`` makes a block's new values from those that it knows."""
-    text, arrow = _types(schema)
-
-    def one(known: pa.Table, lists: pa.Table) -> pa.Table:
-        known, lists = known.take(pa.array(np.argsort(known["node"].to_numpy()))), lists.take(pa.array(np.argsort(lists["node"].to_numpy())))
-        into, lens = _numbers(lists["into"])
-        block = Block(lists["node"].to_numpy(), np.flatnonzero(known["home"].to_numpy(zero_copy_only=False)), into, lens)
-        made = step(block, {c: known[c].to_numpy(zero_copy_only=False).copy() for c in known.column_names[3:]})
-        return _sent(lists["block"][0].as_py(), block.nodes, lists["to"], made, arrow)
-
-    return written(values.groupBy("block").cogroup(graph.lists.groupBy("block")).applyInArrow(one, text))
+            for i in range(b.num_rows):
+                t = pa.Table.from_batches([b.slice(i, 1)])
+                nodes = _ints(t, "node", np.int64)
+                yield from _rows(t["block"][0].as_py(), nodes, start(nodes, _ints(t, "lens").astype(np.int64)), schema).to_batches()
+
+    return written(graph.lists.select("block", "node", "lens").mapInArrow(first, _text(schema)))
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """In fewer bytes, where whole numbers fit them."""
+    if values.dtype.kind != "i" or not len(values):
+        return values
+    return values.astype(np.promote_types(np.min_scalar_type(values.min()), np.min_scalar_type(values.max())))
+
+
+def met(graph: Laid, values: DataFrame, schema: dict[str, str], step: Callable[[int, Block, Values], pa.Table], out: str, sent: tuple[str, ...]) -> DataFrame:
+    """What ``step`` makes of each block and the values that it knows: of all nodes it knows where these are ``sent``, else of its own."""
+
+    def send(own: pa.Table, lists: pa.Table) -> pa.Table:
+        block = lists["block"][0].as_py()
+        at = {k: own[k].combine_chunks().flatten().to_numpy(zero_copy_only=False) for k in schema}
+        which = np.split(_ints(lists, "which"), np.cumsum(_ints(lists, "sizes"))[:-1])
+        rows = [(block, at)] + [(int(to), {k: at[k][i] for k in sent}) for to, i in zip(_ints(lists, "goes"), which, strict=False)]
+        rows = [(to, {k: _narrow(v) for k, v in some.items()}) for to, some in rows]
+        names = {f"kind_{k}": pa.array([some[k].dtype.str if k in some else None for _, some in rows], pa.string()) for k in schema}
+        parts = {f"part_{k}": pa.array([some[k].tobytes() if k in some else None for _, some in rows], pa.binary()) for k in schema}
+        return pa.table({"block": pa.array([to for to, _ in rows], pa.int32()), "sender": pa.array([block] * len(rows), pa.int32())} | names | parts)
+
+    def meet(news: pa.Table, lists: pa.Table) -> pa.Table:
+        number = lists["block"][0].as_py()
+        order = np.argsort(news["sender"].to_numpy())
+        nodes, start = _ints(lists, "node", np.int64), lists["start"][0].as_py()
+        block = Block(nodes, np.arange(start, start + len(nodes)), _ints(lists, "into"), _ints(lists, "lens"))
+        known = {}
+        for k, kind in schema.items():
+            whose = [i for i in order if k in sent or news["sender"][i].as_py() == number]
+            parts = [np.frombuffer(news[f"part_{k}"][i].as_py(), news[f"kind_{k}"][i].as_py()) for i in whose]
+            known[k] = np.concatenate(parts).astype(KINDS[kind][1])
+        return step(number, block, known)
+
+    kinds = "".join(f", kind_{k} string" for k in schema) + "".join(f", part_{k} binary" for k in schema)
+    sends, lists = graph.lists.select("block", "goes", "sizes", "which"), graph.lists.select("block", "node", "start", "into", "lens")
+    news = values.groupBy("block").cogroup(sends.groupBy("block")).applyInArrow(send, f"block int, sender int{kinds}")
+    return news.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(meet, out)
+
+
+def moved(graph: Laid, values: DataFrame, schema: dict[str, str], step: Callable[[Block, Values], Values], *sent: str) -> DataFrame:
+    """A round: ``step`` makes a block's new values from those that it knows, of which those of other blocks' nodes are ``sent``."""
+    made = lambda number, block, known: _rows(number, block.nodes, step(block, known), schema)
+    return written(met(graph, values, schema, made, _text(schema), sent))
 
 
 def settled(block: Block, value: np.ndarray, again: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -276,5 +367,4 @@ def settled(block: Block, value: np.ndarray, again: Callable[[np.ndarray], np.nd
 
 def home(values: DataFrame) -> DataFrame:
     """The nodes of the graph, once each, with their values."""
-    return values.where("home").drop("block", "home")
-
+    return values.select(F.explode(F.arrays_zip(*values.drop("block").columns)).alias("_x")).select("_x.*")

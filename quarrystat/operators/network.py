@@ -208,16 +208,32 @@ def _h_index(own: np.ndarray, owner: np.ndarray, near: np.ndarray) -> np.ndarray
     return np.add.reduceat(((after >= level) & (level > 0)).astype(np.int64), begins)
 
 
+def _edges(begins: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of runs of edges, end to end."""
+    ends = np.cumsum(lens)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - lens), lens)
+
+
 def _cores(block: blocks.Block, bounds: np.ndarray) -> np.ndarray:
-    """The bounds of a block's nodes once they have settled among themselves; only bounds that too few neighbours reach are looked at."""
-    owner, bounds = block.owner, bounds.astype(np.int32)
-    while True:
-        own, near = bounds[block.places], bounds[block.into]
-        falls = block.reduced(np.add, (near >= own[owner]).astype(np.int32), 0) < own
-        if not falls.any():
-            return own
-        some = falls[owner]
-        bounds[block.places[falls]] = _h_index(own[falls], (np.cumsum(falls) - 1)[owner[some]], near[some])
+    """The bounds of a block's nodes once they have settled among themselves; after the first time only nodes next to one whose
+    bound fell are looked at."""
+    bounds = bounds.astype(np.int32)
+    own, n, begins = bounds[block.places], len(block.nodes), np.cumsum(block.lens) - block.lens
+    rows = np.flatnonzero(block.lens)
+    while len(rows):
+        lens = block.lens[rows]
+        near = bounds[block.into[_edges(begins[rows], lens)] if len(rows) < n else block.into]
+        falls = np.add.reduceat((near >= np.repeat(own[rows], lens)).astype(np.int32), np.cumsum(lens) - lens) < own[rows]
+        fallen, size = rows[falls], lens[falls]
+        if not len(fallen):
+            break
+        own[fallen] = _h_index(own[fallen], np.repeat(np.arange(len(fallen)), size), near[np.repeat(falls, lens)])
+        bounds[block.places[fallen]] = own[fallen]
+        next_ = block.into[_edges(begins[fallen], size)] - block.places[0]
+        touched = np.zeros(n, bool)
+        touched[next_[(next_ >= 0) & (next_ < n)]] = True
+        rows = np.flatnonzero(touched)
+    return own
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:
@@ -232,9 +248,9 @@ def core_numbers(edges: DataFrame) -> DataFrame:
         return {"core": core, "fell": core < before}
 
     while True:
-        last, bounds = bounds, blocks.moved(graph, bounds, schema, step)
+        last, bounds = bounds, blocks.moved(graph, bounds, schema, step, "core")
         release(last)
-        if bounds.where("home AND fell").isEmpty():
+        if bounds.where(F.exists("fell", lambda x: x)).isEmpty():
             return graph.named(blocks.home(bounds).select("node", "core"), "node")
 
 

@@ -59,3 +59,24 @@ def test_rounds_do_not_shuffle_edges(spark, monkeypatch):
 def test_no_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert network.core_numbers(none).isEmpty()
+
+
+def test_a_round_sends_an_array_from_block_to_block(spark):
+    """Before, each node's value was a row for every block that knows it: where numbers say nothing about who is near, nearly a row an edge."""
+    graph = blocks.laid(spark.createDataFrame(_pairs(3, 300, 3000), "src long, dst long"), both=True, size=1500)
+    assert graph.blocks > 2 and graph.lists.count() == graph.blocks
+    state = blocks.begun(graph, {"x": "long"}, lambda nodes, lens: {"x": nodes})
+    assert state.count() == graph.blocks
+    near = _near(_pairs(3, 300, 3000))
+    summed = blocks.moved(graph, state, {"x": "long"}, lambda block, known: {"x": block.reduced(np.add, known["x"][block.into], 0)}, "x")
+    assert {r["node"]: r["x"] for r in blocks.home(summed).collect()} == {a: sum(b) for a, b in near.items()}
+    assert graph.nodes == len(near)
+
+
+def test_chains_that_fall_apart_within_a_block():
+    """Only nodes next to a fallen one are looked at again, down to the end of the chain."""
+    n = 50
+    into = np.concatenate([[b for b in (i - 1, i + 1) if 0 <= b < n] for i in range(n)]).astype(np.int32)
+    lens = np.array([1, *[2] * (n - 2), 1], np.int32)
+    block = blocks.Block(np.arange(n), np.arange(n), into, lens)
+    assert (network._cores(block, lens.astype(np.int64)) == 1).all()
