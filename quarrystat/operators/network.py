@@ -6,11 +6,11 @@ are shuffled, so a hub is a row in the shuffle and not a group in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystat.operators import blocks
@@ -131,70 +131,105 @@ def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int | None = No
     return ranks
 
 
-def oriented(edges: DataFrame) -> DataFrame:
-    """Undirected edges from the end with fewer neighbours to the other (ties by node): no node has more than
-    sqrt(2 m) edges out, so wedges stay few even around hubs."""
-    pairs = undirected(edges)
-    deg = degree(pairs).select("node", "degree")
-    a, b = deg.select(F.col("node").alias("src"), F.col("degree").alias("ds")), deg.select(F.col("node").alias("dst"), F.col("degree").alias("dd"))
-    both = pairs.join(a, "src").join(b, "dst")
-    first = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    return both.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("low"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("high"))
-
-
-#: Edges out of the nodes of one block, and wedges looked at together in it.
-BLOCK, WEDGES = 1_000_000, 4_000_000
-
-
-def _blocks(lines: DataFrame) -> Callable[[Column], Column]:
-    """The block of a node; null beyond the ranges, where no node has edges out."""
-    return blocks.dealt(lines, BLOCK)[0]
-
-
-def _closed(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The triangles a -> b -> c with a -> c of a block: ``right`` has its nodes b, ``left`` all nodes a that point into it, each with
-    the nodes it points to. node and n, the triangles it is in."""
-    flat = [t["out"].combine_chunks().flatten() for t in (left, right)]
-    lens = [np.diff(t["out"].combine_chunks().offsets.to_numpy()) for t in (left, right)]
-    names, codes = np.unique(np.concatenate([x.to_numpy(zero_copy_only=False) for x in (left["node"].combine_chunks(), flat[0], right["node"].combine_chunks(), flat[1])]), return_inverse=True)
-    a, to_a, b, to_b = np.split(codes, np.cumsum([len(left), len(flat[0]), len(right)]))
-    m = len(names)
-    owner = np.repeat(np.arange(len(a)), lens[0])
-    keys = np.sort(owner * m + to_a)
-    place = np.full(m, -1)
-    place[b] = np.arange(len(b))
-    begins, found = np.cumsum(lens[1]) - lens[1], np.zeros(m, np.int64)
-    steps = np.flatnonzero(place[to_a] >= 0)
-    ends = np.cumsum(lens[1][place[to_a[steps]]])
-    for part in np.split(steps, np.flatnonzero(np.diff(ends // WEDGES)) + 1):
-        k = place[to_a[part]]
-        size = lens[1][k]
-        from_, total = np.repeat(np.arange(len(part)), size), int(size.sum())
-        c = to_b[np.arange(total) + np.repeat(begins[k] - (np.cumsum(size) - size), size)]
-        key = owner[part][from_] * m + c
-        hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(0, bool)
-        for end in (a[owner[part]][from_[hit]], to_a[part][from_[hit]], c[hit]):
-            found += np.bincount(end, minlength=m)
-    seen = np.flatnonzero(found)
-    return pa.table({"node": pa.array(names[seen], left.schema.field("node").type), "n": pa.array(found[seen])})
+#: Edges of one cell, from nodes of one group to those of another, and wedges looked at together in it.
+BLOCK, WEDGES = 2_000_000, 4_000_000
+
+
+def _oriented(block: blocks.Block, known: blocks.Values, groups: int) -> pa.Table:
+    """A row a cell (i, j) of the edges of a block from the end with fewer neighbours to the other (ties by number): no node has more
+    than sqrt(2 m) edges out, so wedges stay few even around hubs. A node of number x is the x // groups-th of the group x % groups."""
+    k, number, owner = known["k"], known["number"], block.owner
+    near, own = k[block.into], k[block.places][owner]
+    a, b = number[block.places][owner], number[block.into]
+    first = (own < near) | ((own == near) & (a < b))
+    a, b = a[first], b[first]
+    cell = a % groups * groups + b % groups
+    order = np.argsort(cell, kind="stable")
+    found, starts = np.unique(cell[order], return_index=True)
+    ends = [np.split((x // groups).astype(np.int32)[order], starts[1:]) if len(found) else [] for x in (a, b)]
+    parts = [pa.array([blocks.planes(x) for x in end], pa.binary()) for end in ends]
+    return pa.table({"i": pa.array(found // groups, pa.int32()), "j": pa.array(found % groups, pa.int32()), "a": parts[0], "b": parts[1]})
+
+
+def _closed(table: pa.Table, groups: int, last: int, size: int) -> pa.Table:
+    """The triangles a -> b -> c with a -> c of three groups of ``size`` nodes, c in the group ``last``: for each group how many each of
+    its nodes is in. The edges have part 0 (a -> b), 1 (b -> c) and 2 (a -> c)."""
+    part = table["part"].to_numpy()
+    key = table["key"][0].as_py()
+
+    def keys(which: int) -> np.ndarray:
+        rows = table.filter(pa.array(part == which))
+        a, b = (blocks.unplaned(rows[c].to_pylist(), np.int32).astype(np.int64) for c in ("a", "b"))
+        return np.sort(a * size + b)
+
+    (xa, xb), (yb, yc), closing = np.divmod(keys(0), size), np.divmod(keys(1), size), keys(2)
+    found = np.zeros((3, size), np.int64)
+    if len(xa) and len(yb) and len(closing):
+        seen = np.zeros(1 << min(26, (8 * len(closing)).bit_length()), bool)  # by the last bits of a key: most wedges end here
+        mask = len(seen) - 1
+        seen[closing & mask] = True
+        lens = np.bincount(yb, minlength=size)
+        begins, wedges = (np.cumsum(lens) - lens)[xb], lens[xb]
+        for some in np.split(np.arange(len(xa)), np.flatnonzero(np.diff(np.cumsum(wedges) // WEDGES)) + 1):
+            n = wedges[some]
+            ends = np.cumsum(n)
+            c = yc[np.arange(ends[-1]) + np.repeat(begins[some] - (ends - n), n)]
+            wedge = np.repeat(xa[some] * size, n) + c
+            maybe = np.flatnonzero(seen[wedge & mask])
+            wedge = wedge[maybe]
+            hit = maybe[closing[np.minimum(np.searchsorted(closing, wedge), len(closing) - 1)] == wedge]
+            edge = some[np.searchsorted(ends, hit, side="right")]
+            for f, end in zip(found, (xa[edge], xb[edge], c[hit]), strict=True):
+                f += np.bincount(end, minlength=size)
+    return pa.table({"group": pa.array([key // groups, key % groups, last], pa.int32()), "n": pa.array([blocks.planes(f) for f in found], pa.binary())})
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(blocks.unplaned([part.as_py()], np.int64) for part in table["n"])
+    return pa.table({"group": table["group"][:1], "n": pa.array([blocks.planes(total)], pa.binary())})
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """node, triangles, clustering. A node's list of those it points to (see ``oriented``) goes once to each block of nodes that
-    it points into, and wedges are made and closed there; they never are rows."""
-    edges = _kept(undirected(edges))  # read three times
-    lines = _kept(oriented(edges))
-    block = _blocks(lines)
-    lists = _kept(lines.groupBy(F.col("low").alias("node")).agg(F.collect_list("high").alias("out")))
-    left = lists.select(F.explode(F.array_distinct(F.transform("out", block))).alias("block"), "node", "out").where("block IS NOT NULL")
-    right = lists.select(block(F.col("node")).alias("block"), "node", "out")
-    kind = dict(lines.dtypes)["low"]
-    sums = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(_closed, f"node {kind}, n long")
-    found = _kept(sums.groupBy("node").agg(F.sum("n").alias("triangles")))
-    release(lists, lines)
-    deg = degree(edges).select("node", F.col("degree").alias("k"))
-    out = deg.join(found, "node", "left").select("node", "k", F.coalesce("triangles", F.lit(0)).alias("triangles"))
-    return out.select("node", "triangles", F.when(F.col("k") > 1, 2 * F.col("triangles") / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
+    """node, triangles, clustering. Nodes fall into groups, and edges into cells from group to group, of some BLOCK edges; a task
+    closes the wedges of three groups, and they never are rows. A round for each third group sends every cell once as the first
+    edges of wedges, and those into the group to as many tasks as there are groups, so it moves all edges some three times."""
+    graph = blocks.laid(edges, both=True)
+    sizes = {r[0]: (r[1], r[2]) for r in graph.lists.select("block", (F.length("node") / 8).cast("long"), (F.length("into") / 4).cast("long")).collect()}
+    groups = max(1, int(np.ceil((sum(m for _, m in sizes.values()) / 2 / BLOCK) ** 0.5)))
+    size, begin, begins = -(-graph.nodes // groups) or 1, 0, []
+    for number, (n, _) in sizes.items():
+        begins += [F.lit(number), F.lit(begin).cast("long")]
+        begin += n
+    schema = {"k": "long", "number": "long"}
+    start = F.element_at(F.create_map(*begins), F.col("block")) if begins else F.lit(0)
+    state = blocks.begun(graph, {"k": "long"}, lambda nodes, lens: {"k": lens}).withColumn("number", F.transform("k", lambda _, i: start + i))
+    lines = _kept(blocks.met(graph, state, schema, lambda number, block, known: _oriented(block, known, groups), "i int, j int, a binary, b binary", ("k", "number")), compression="zstd")
+    release(graph.lists)
+    closing = lambda last: lambda t: _closed(t, groups, last, size)
+    found, every = [], F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    for last in range(groups):
+        to = lines.where(F.col("j") == last).withColumn("e", every)
+        one = lines.select((F.col("i") * groups + F.col("j")).alias("key"), F.lit(0).alias("part"), "a", "b")
+        two = to.select((F.col("e") * groups + F.col("i")).alias("key"), F.lit(1).alias("part"), "a", "b")
+        three = to.select((F.col("i") * groups + F.col("e")).alias("key"), F.lit(2).alias("part"), "a", "b")
+        counts = one.union(two).union(three).repartition(4 * groups**2, "key").groupBy("key").applyInArrow(closing(last), "group int, n binary")
+        found.append(_kept(counts.groupBy("group").applyInArrow(_summed, "group int, n binary")))
+    release(lines)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group, part in zip(b["group"].to_pylist(), b["n"].to_pylist(), strict=True):
+                n = blocks.unplaned([part], np.int64)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at * groups + group), pa.array(n[at])], ["_number", "triangles"])
+
+    all_ = found[0]
+    for more in found[1:]:
+        all_ = all_.union(more)
+    sums = all_.groupBy("group").applyInArrow(_summed, "group int, n binary").mapInArrow(rows, "_number long, triangles long")
+    out = blocks.home(state).join(sums, F.col("number") == F.col("_number"), "left").select("node", "k", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+    share = F.when(F.col("k") > 1, 2 * F.col("triangles") / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)
+    return graph.named(out.select("node", "triangles", share.alias("clustering")), "node")
 
 
 def _h_index(own: np.ndarray, owner: np.ndarray, near: np.ndarray) -> np.ndarray:

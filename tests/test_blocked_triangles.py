@@ -37,3 +37,22 @@ def test_no_wedge_is_a_row(spark):
 
 def test_an_empty_graph(spark):
     assert network.triangles(spark.range(3).select(F.col("id").alias("src"), F.col("id").alias("dst"))).isEmpty()
+
+
+def test_edges_are_kept_once_in_cells(spark, monkeypatch):
+    """Before, a node's whole list was copied to every block that it points into: nearly all blocks, where numbers say nothing about who is near."""
+    kept, before = [], network._kept
+
+    def noted(df, **how):
+        made = before(df, **how)
+        kept.append(made.agg(F.sum(F.length("a") / 4)).first()[0] if "a" in df.columns else None)
+        return made
+
+    monkeypatch.setattr(network, "BLOCK", 200)
+    monkeypatch.setattr(network, "_kept", noted)
+    edges = spark.range(1500).select((F.col("id") * 7919 % 101).alias("src"), (F.col("id") * F.col("id") % 97).alias("dst"))
+    found = network.triangles(edges)
+    once = network.undirected(edges).count()
+    assert [n for n in kept if n is not None] == [once] and once > 400
+    assert len(kept) == 1 + -(-((once / 200) ** 0.5) // 1)  # a table of the cells, and of the counts of each group
+    assert found.count() == edges.where("src <> dst").select("src").union(edges.where("src <> dst").select("dst")).distinct().count()
