@@ -86,3 +86,23 @@ def test_strong_components(spark, edges_stay):
     for a in nodes:
         assert {b for b in nodes if got[b] == got[a]} == want[a] and got[a] in want[a]
     assert edges_stay and max(edges_stay) > 1
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_mixing_counts_edges_where_they_lie(spark, monkeypatch, kind):
+    """Before, all edges were shuffled for the kind of each end; null kinds are a group whose nodes are not the same."""
+    monkeypatch.setattr(blocks, "EDGES", 200)
+    met, before = [], blocks.met
+    monkeypatch.setattr(blocks, "met", lambda *a: met.append(a[0].blocks) or before(*a))
+    pairs = _pairs(9, 60, 400)
+    of = {i: f"k{i % 4}" if i % 7 else None for i in range(55)}  # some nodes have no kind
+    ends = [(a, b) for x, y in {(min(p), max(p)) for p in pairs if p[0] != p[1]} for a, b in ((x, y), (y, x)) if a in of and b in of]
+    counts = {k: sum(of[a] == k for a, _ in ends) for k in set(of.values())}
+    share = sum((n / len(ends)) ** 2 for n in counts.values())
+    same = sum(of[a] is not None and of[a] == of[b] for a, b in ends) / len(ends)
+    kinds = spark.createDataFrame(list(of.items()), "node long, kind string").withColumn("node", F.col("node").cast(kind))
+    got = graphs.attribute_mixing(_state(pairs)(spark).select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst")), kinds)
+    assert got.first()[0] == pytest.approx((same - share) / (1 - share))
+    assert met and min(met) > 1
+    with pytest.raises(ValueError, match="several kinds"):
+        graphs.attribute_mixing(_state(pairs)(spark).select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst")), kinds.union(kinds))
